@@ -1,90 +1,97 @@
-"""Columns over parsed JSON (``VARIANT``)."""
+"""SQL expressions over parsed JSON (``VARIANT``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from turnmill.functions.sql import bind
 
 # A record whose binary form passes this limit cannot be held in a VARIANT.
 VARIANT_LIMIT_BYTES = 16 * 1024 * 1024
 
 
-def parse_strict(raw: Column) -> Column:
-    """Parse one JSON value; null when the text holds anything before or after it.
+def parse_strict(raw: str) -> str:
+    """One JSON value; null when the text holds anything before or after it.
 
     The parser stops at the end of the first value and ignores the rest, so the
     text is parsed as the first element of a two-element array whose second
     element is a checksum of the text. The checksum is only found in its place
     when the text was exactly one value.
     """
-    checksum = F.xxhash64(raw)
-    pair = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), checksum.cast("string"), F.lit("]")))
-    return F.struct(pair.alias("pair"), checksum.alias("checksum"))
-
-
-def strict_value(parsed: Column) -> Column:
-    """The value inside a :func:`parse_strict` result, null when it is malformed."""
-    pair = parsed["pair"]
-    whole = (F.try_variant_get(pair, "$[1]", "bigint") == parsed["checksum"]) & (
-        F.try_variant_get(pair, "$[2]", "variant").isNull()
+    pair = f"try_parse_json(concat('[', {raw}, ',', CAST(xxhash64({raw}) AS STRING), ']'))"
+    whole = (
+        f"try_variant_get(p, '$[1]', 'bigint') = xxhash64({raw})"
+        " AND try_variant_get(p, '$[2]', 'variant') IS NULL"
     )
-    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+    return bind("p", pair, f"CASE WHEN {whole} THEN try_variant_get(p, '$[0]', 'variant') END")
 
 
-def field(value: Column, key: str) -> Column:
+def field(value: str, key: str) -> str:
     """The field as VARIANT: SQL null when absent, a VARIANT null for JSON null."""
-    return F.try_variant_get(value, f"$.{key}", "variant")
+    return f"try_variant_get({value}, '$.{key}', 'variant')"
 
 
-def items(value: Column, key: str) -> Column:
-    """The field as an array of VARIANT, null when it is not a list."""
-    return F.try_variant_get(value, f"$.{key}", "array<variant>")
+def typed(value: str, key: str, sql_type: str) -> str:
+    """The field cast to a SQL type; null when absent or not castable."""
+    return f"try_variant_get({value}, '$.{key}', '{sql_type}')"
 
 
-def kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def is_list(value: str, key: str) -> str:
+    return f"{typed(value, key, 'array<variant>')} IS NOT NULL"
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
+def has(value: str, key: str) -> str:
+    """The key is there, even when its value is null."""
+    return f"{field(value, key)} IS NOT NULL"
 
 
-def is_string(value: Column) -> Column:
-    return F.coalesce(kind(value) == "STRING", F.lit(False))
+def _as_string(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'string')"
 
 
-def string_or_null(value: Column) -> Column:
+def string_or_null(value: str) -> str:
     """The text of a JSON string; null for every other kind."""
-    return F.when(is_string(value), F.try_variant_get(value, "$", "string"))
+    return bind("s", value, f"CASE WHEN schema_of_variant(s) = 'STRING' THEN {_as_string('s')} END")
+
 
+def first_truthy(value: str, otherwise: str) -> str:
+    """A string if ``value`` is a non-empty one; ``otherwise`` if it is empty.
 
-def _printed(value: Column) -> Column:
-    """Non-null JSON as text, with booleans spelled ``True`` and ``False``."""
-    text = F.try_variant_get(value, "$", "string")
-    return F.when(kind(value) == "BOOLEAN", F.initcap(text)).otherwise(
-        F.coalesce(text, F.to_json(value))
+    Empty means absent, null, ``""``, zero, false, ``[]`` or ``{}``. Any other
+    value that is no string gives null.
+    """
+    empty = (
+        "to_json(t) IN ('false', '[]', '{}') OR coalesce(try_variant_get(t, '$', 'double') = 0, false)"
+    )
+    return bind(
+        "t",
+        value,
+        f"""CASE WHEN t IS NULL OR is_variant_null(t) THEN {otherwise}
+             WHEN schema_of_variant(t) = 'STRING' THEN coalesce(nullif({_as_string('t')}, ''), {otherwise})
+             WHEN {empty} THEN {otherwise} END""",
     )
 
 
-def _part_text(part: Column) -> Column:
-    text = field(part, "text")
-    printed = F.when(F.is_variant_null(text), F.lit("None")).otherwise(_printed(text))
-    return F.when(is_string(part), F.try_variant_get(part, "$", "string")).when(
-        is_object(part) & text.isNotNull(), printed
-    )
+def _printed(value: str) -> str:
+    """A JSON value that is no string as text; booleans as ``True`` and ``False``."""
+    return f"""CASE WHEN schema_of_variant({value}) = 'BOOLEAN' THEN initcap({_as_string(value)})
+                    ELSE coalesce({_as_string(value)}, to_json({value})) END"""
 
 
-def content_text(value: Column) -> Column:
+def content_text(value: str) -> str:
     """Message content as one string.
 
     Strings stay as they are, absent and null become empty, a list of parts
     becomes its texts on separate lines, anything else is printed.
     """
-    parts = F.try_variant_get(value, "$", "array<variant>")
-    texts = F.filter(F.transform(parts, _part_text), lambda t: t.isNotNull())
-    return (
-        F.when(value.isNull() | F.is_variant_null(value), F.lit(""))
-        .when(is_string(value), F.try_variant_get(value, "$", "string"))
-        .when(parts.isNotNull(), F.array_join(texts, "\n"))
-        .otherwise(_printed(value))
+    part = f"""CASE WHEN schema_of_variant(p) = 'STRING' THEN {_as_string('p')}
+                    WHEN startswith(schema_of_variant(p), 'OBJECT') AND {has('p', 'text')} THEN
+                      {bind('x', field('p', 'text'), f"CASE WHEN is_variant_null(x) THEN 'None' ELSE {_printed('x')} END")}
+               END"""
+    texts = f"filter(transform(try_variant_get(c, '$', 'array<variant>'), p -> {part}), p -> p IS NOT NULL)"
+    return bind(
+        "c",
+        value,
+        f"""CASE WHEN c IS NULL OR is_variant_null(c) THEN ''
+             WHEN schema_of_variant(c) = 'STRING' THEN {_as_string('c')}
+             WHEN startswith(schema_of_variant(c), 'ARRAY') THEN array_join({texts}, '\\n')
+             ELSE {_printed('c')} END""",
     )

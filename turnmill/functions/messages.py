@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from turnmill.functions.text import is_blank, strip
+from turnmill.functions import sql
+from turnmill.functions.text import is_blank
 
 MESSAGES_TYPE = "array<struct<role:string,content:string>>"
 
@@ -27,14 +28,13 @@ ROLE_ALIASES = {
 FALLBACK_ROLE = "user"
 
 
-def canonical_role(name: Column) -> Column:
-    """Map any speaker name to a canonical role; unknown and null give ``user``."""
-    cleaned = F.lower(strip(name))
-    role = None
-    for target in dict.fromkeys(ROLE_ALIASES.values()):
-        known = cleaned.isin([a for a, r in ROLE_ALIASES.items() if r == target])
-        role = F.when(known, target) if role is None else role.when(known, target)
-    return role.otherwise(FALLBACK_ROLE)
+def canonical_role(name: str) -> str:
+    """SQL for the canonical role of any speaker name; unknown and null give ``user``."""
+    branches = " ".join(
+        f"WHEN r IN ({', '.join(repr(a) for a, role in ROLE_ALIASES.items() if role == target)}) THEN '{target}'"
+        for target in dict.fromkeys(ROLE_ALIASES.values())
+    )
+    return sql.bind("r", f"lower({sql.strip(name)})", f"CASE {branches} ELSE '{FALLBACK_ROLE}' END")
 
 
 def message(role: Column | str, content: Column) -> Column:

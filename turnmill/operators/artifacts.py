@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnmill.functions.json import field, items, parse_strict, strict_value, string_or_null
+from turnmill.functions.json import parse_strict, string_or_null
 from turnmill.functions.text import human_bytes, strip
 from turnmill.operators.staging import with_computed
 
@@ -58,10 +58,9 @@ def file_inventory(files: DataFrame) -> DataFrame:
 
 def _parsed(documents: DataFrame) -> DataFrame:
     """``model, v``; ``v`` is null for text that is not one JSON object."""
-    parsed = with_computed(documents, parsed=parse_strict(strip(F.col("raw"))))
-    valued = with_computed(parsed, v=strict_value(F.col("parsed")))
-    is_object = F.coalesce(strip(F.col("raw")).startswith("{"), F.lit(False))
-    return valued.select("model", F.when(is_object, F.col("v")).alias("v"))
+    stripped = documents.withColumn("raw", strip(F.col("raw")))
+    value = f"CASE WHEN startswith(raw, '{{') THEN {parse_strict('raw')} END"
+    return with_computed(stripped, v=F.expr(value)).select("model", "v")
 
 
 def indexed_shards(indexes: DataFrame) -> DataFrame:
@@ -146,20 +145,24 @@ def model_facts(
 ) -> DataFrame:
     """Architecture facts per model; nulls where a file is missing or invalid."""
     v = F.col("v")
+    filled = v.isNotNull() & (F.to_json(v) != "{}")
+
+    def text_of(key: str, path: str = "") -> Column:
+        value = f"try_variant_get(v, '$.{key}{path}', 'variant')"
+        return F.expr(string_or_null(value)).alias(key)
+
     config = _parsed(configs).select(
         "model",
-        string_or_null(F.get(items(v, "architectures"), F.lit(0))).alias("architecture"),
-        string_or_null(field(v, "model_type")).alias("model_type"),
+        text_of("architectures", "[0]").alias("architecture"),
+        text_of("model_type"),
         F.try_variant_get(v, "$.hidden_size", "bigint").alias("hidden_size"),
         F.try_variant_get(v, "$.num_hidden_layers", "bigint").alias("num_layers"),
         F.try_variant_get(v, "$.vocab_size", "bigint").alias("vocab_size"),
-        (v.isNotNull() & (F.to_json(v) != "{}")).alias("config_ok"),
-    )
-    tokenizer = _parsed(tokenizer_configs).select(
-        "model", string_or_null(field(v, "tokenizer_class")).alias("tokenizer_class")
+        filled.alias("config_ok"),
     )
+    tokenizer = _parsed(tokenizer_configs).select("model", text_of("tokenizer_class"))
     generation = _parsed(generation_configs).select(
-        "model", F.when(F.to_json(v) != "{}", F.to_json(v)).alias("generation_config")
+        "model", F.when(filled, F.to_json(v)).alias("generation_config")
     )
     facts = models.select("model")
     for part in (config, tokenizer, generation):

@@ -13,17 +13,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnmill.functions import sql
 from turnmill.functions.json import (
     content_text,
     field,
-    is_object,
-    is_string,
-    items,
+    first_truthy,
+    has,
+    is_list,
     string_or_null,
+    typed,
 )
-from turnmill.functions.messages import MESSAGES_TYPE, canonical_role, message
+from turnmill.functions.messages import MESSAGES_TYPE, canonical_role
 from turnmill.functions.templates import TURN_OPEN
-from turnmill.functions.text import is_blank, strip
+from turnmill.functions.text import is_blank
 from turnmill.operators.staging import with_computed
 
 # One ChatML turn, role first, then everything up to the next
@@ -32,7 +34,9 @@ CHATML_TURN = (
     r"(?sU)<\|im_start\|>[\s\x1c-\x1f]*([a-zA-Z]+)[\s\x1c-\x1f]*\n(.*?)<\|im_end\|>"
 )
 
-Converter = Callable[[Column, "str | None"], Column]
+# SQL text over the columns `v` (the parsed record) and `default_system`, or a
+# function from the column `v`.
+Expression = str | Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
@@ -45,137 +49,114 @@ class Format:
     """
 
     name: str
-    matches: Callable[[Column], Column]
-    messages: Converter | None = None
-    text: Callable[[Column], Column] | None = None
+    matches: Expression
+    messages: Expression | None = None
+    text: Expression | None = None
     complaint: str = "malformed record"
 
 
-def _system_turn(system: Column) -> Column:
-    """A one-turn array, or an empty one when there is nothing to say."""
-    said = strip(system)
-    turn = F.array(message("system", said))
-    return F.when(said != "", turn).otherwise(F.array().cast(MESSAGES_TYPE))
-
-
-def _is_falsy(value: Column) -> Column:
-    """Absent, null, or an empty/zero/false JSON value."""
-    printed = F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
-    number = F.try_variant_get(value, "$", "double")
-    return (
-        value.isNull()
-        | F.is_variant_null(value)
-        | printed.isin("", "false", "[]", "{}")
-        | (~is_string(value) & F.coalesce(number == 0, F.lit(False)))
-    )
-
+def _column(expression: Expression) -> Column:
+    return F.expr(expression) if isinstance(expression, str) else expression(F.col("v"))
 
-def _turns(list_items: Column, turn: Callable[[Column], Column]) -> Column:
-    """Convert every item; null when the list is absent or an item is no object."""
-    malformed = F.exists(list_items, lambda m: ~is_object(m))
-    return F.when(~malformed, F.transform(list_items, turn))
 
-
-def _openai(v: Column, _default: str | None) -> Column:
-    return _turns(
-        items(v, "messages"),
-        lambda m: message(
-            canonical_role(string_or_null(field(m, "role"))), content_text(field(m, "content"))
-        ),
-    )
-
-
-def _sharegpt(v: Column, _default: str | None) -> Column:
-    system = F.when(_is_falsy(field(v, "system")), field(v, "system_prompt")).otherwise(
-        field(v, "system")
-    )
-    turns = _turns(
-        items(v, "conversations"),
-        lambda m: message(
-            canonical_role(string_or_null(field(m, "from"))), content_text(field(m, "value"))
-        ),
-    )
-    return F.concat(_system_turn(string_or_null(system)), turns)
+def _message(role: str, content: str) -> str:
+    return f"named_struct('role', {role}, 'content', {content})"
 
 
-def _exchange(system: Column, asked: Column, answered: Column) -> Column:
-    pair = F.array(message("user", asked), message("assistant", answered))
-    return F.concat(_system_turn(system), pair)
+def _system_turn(text: str) -> str:
+    """A one-turn array, or an empty one when there is nothing to say."""
+    turn = f"array({_message(sql.literal('system'), 'y')})"
+    empty = f"CAST(array() AS {MESSAGES_TYPE})"
+    return sql.bind("y", sql.strip(text), f"CASE WHEN y <> '' THEN {turn} ELSE {empty} END")
 
 
-def _alpaca(v: Column, default_system: str | None) -> Column:
-    task = strip(content_text(field(v, "instruction")))
-    extra = strip(content_text(field(v, "input")))
-    asked = F.when(extra == "", task).otherwise(F.concat_ws("\n\n", task, extra))
-    own = field(v, "system")
-    system = F.when(_is_falsy(own), F.lit(default_system).cast("string")).otherwise(
-        string_or_null(own)
-    )
-    answered = strip(content_text(field(v, "output")))
-    return F.when(task != "", _exchange(system, asked, answered))
+def _turns(key: str, role: str, content: str) -> str:
+    """Convert every item of a list; null when the list is absent or an item is no object."""
+    items = typed("v", key, f"array<struct<`{role}` string, {content} variant>>")
+    turn = _message(canonical_role(f"m.`{role}`"), content_text(f"m.{content}"))
+    convert = f"CASE WHEN NOT exists(l, m -> m IS NULL) THEN transform(l, m -> {turn}) END"
+    return sql.bind("l", items, convert)
 
 
-def _prompt(v: Column, _default: str | None) -> Column:
-    asked = strip(content_text(field(v, "prompt")))
-    first = field(v, "completion")
-    reply = F.when(first.isNull() | F.is_variant_null(first), field(v, "response")).otherwise(first)
-    system = string_or_null(field(v, "system"))
-    return F.when(asked != "", _exchange(system, asked, strip(content_text(reply))))
+def _exchange(asked: str, answered: str, system: str) -> str:
+    """One question and its answer; null when the question is empty."""
+    user, assistant = _message("'user'", "q"), _message("'assistant'", answered)
+    turns = f"concat({_system_turn(system)}, array({user}, {assistant}))"
+    return sql.bind("q", asked, f"CASE WHEN q <> '' THEN {turns} END")
 
 
-def parse_chatml(text: Column) -> Column:
-    """All complete turns of a ChatML text; null when there is none."""
-    roles = F.regexp_extract_all(text, F.lit(CHATML_TURN), F.lit(1))
-    contents = F.regexp_extract_all(text, F.lit(CHATML_TURN), F.lit(2))
-    turns = F.zip_with(roles, contents, lambda r, c: message(canonical_role(r), strip(c)))
-    return F.when(F.size(turns) > 0, turns)
+def _stripped(key: str) -> str:
+    return sql.strip(content_text(field("v", key)))
 
 
-def _chatml(v: Column, _default: str | None) -> Column:
-    return parse_chatml(content_text(field(v, "text")))
+_ALPACA_QUESTION = sql.bind(
+    "e",
+    f"named_struct('task', {_stripped('instruction')}, 'extra', {_stripped('input')})",
+    "CASE WHEN e.task = '' OR e.extra = '' THEN e.task ELSE concat(e.task, '\\n\\n', e.extra) END",
+)
+_REPLY = (
+    "coalesce("
+    + sql.bind("f", field("v", "completion"), "CASE WHEN NOT is_variant_null(f) THEN f END")
+    + f", {field('v', 'response')})"
+)
 
 
-def _has(v: Column, key: str) -> Column:
-    return field(v, key).isNotNull()
+def parse_chatml(text: str) -> str:
+    """SQL for all complete turns of a ChatML text; null when there is none."""
+    pattern = sql.literal(CHATML_TURN)
+    turn = _message(canonical_role("a"), sql.strip("b"))
+    turns = f"""zip_with(regexp_extract_all(x, {pattern}, 1), regexp_extract_all(x, {pattern}, 2),
+                         (a, b) -> {turn})"""
+    return sql.bind("x", text, sql.bind("z", turns, "CASE WHEN size(z) > 0 THEN z END"))
 
 
 CHAT_FORMATS = [
     Format(
         "openai",
-        lambda v: items(v, "messages").isNotNull(),
-        messages=_openai,
+        is_list("v", "messages"),
+        messages=_turns("messages", "role", "content"),
         complaint="'messages' must be a list of objects",
     ),
     Format(
         "sharegpt",
-        lambda v: items(v, "conversations").isNotNull(),
-        messages=_sharegpt,
+        is_list("v", "conversations"),
+        messages=f"""concat(
+            {_system_turn(first_truthy(field('v', 'system'), string_or_null(field('v', 'system_prompt'))))},
+            {_turns('conversations', 'from', 'value')})""",
         complaint="'conversations' must be a list of objects",
     ),
     Format(
         "alpaca",
-        lambda v: _has(v, "instruction"),
-        messages=_alpaca,
+        has("v", "instruction"),
+        messages=_exchange(
+            _ALPACA_QUESTION,
+            _stripped("output"),
+            first_truthy(field("v", "system"), "default_system"),
+        ),
         complaint="'instruction' is empty",
     ),
     Format(
         "prompt",
-        lambda v: _has(v, "prompt") & (_has(v, "completion") | _has(v, "response")),
-        messages=_prompt,
+        f"{has('v', 'prompt')} AND ({has('v', 'completion')} OR {has('v', 'response')})",
+        messages=_exchange(
+            _stripped("prompt"),
+            sql.strip(content_text(_REPLY)),
+            string_or_null(field("v", "system")),
+        ),
         complaint="'prompt' is empty",
     ),
 ]
 TEXT_FORMATS = [
     Format(
         "chatml",
-        lambda v: F.contains(string_or_null(field(v, "text")), F.lit(TURN_OPEN)),
-        messages=_chatml,
+        f"contains({string_or_null(field('v', 'text'))}, {sql.literal(TURN_OPEN)})",
+        messages=parse_chatml(content_text(field("v", "text"))),
         complaint="no complete ChatML turn in 'text'",
     ),
     Format(
         "text",
-        lambda v: is_string(field(v, "text")),
-        text=lambda v: content_text(field(v, "text")),
+        f"schema_of_variant({field('v', 'text')}) = 'STRING'",
+        text=content_text(field("v", "text")),
     ),
 ]
 _added: list[Format] = []
@@ -194,27 +175,22 @@ def known_formats() -> list[Format]:
     return [*CHAT_FORMATS, *_added, *TEXT_FORMATS]
 
 
-def detect_format(v: Column) -> Column:
-    """Name of the first layout that fits a parsed record; null when none does."""
-    name = None
-    for fmt in known_formats():
-        name = F.when(fmt.matches(v), fmt.name) if name is None else name.when(fmt.matches(v), fmt.name)
-    return name
+def with_format(records: DataFrame) -> DataFrame:
+    """Add ``format``: the first layout that fits ``v``, null when none does."""
+    name = F.lit(None).cast("string")
+    for fmt in reversed(known_formats()):
+        name = F.when(_column(fmt.matches), fmt.name).otherwise(name)
+    return with_computed(records, format=name)
 
 
-def _choose(formats: list[Format], values: list[Column | None], dtype: str) -> Column:
-    chosen = F.lit(None).cast(dtype)
-    for fmt, value in zip(formats, values):
-        if value is not None:
-            chosen = F.when(F.col("format") == fmt.name, value).otherwise(chosen)
+def _by_format(values: dict[str, Column], sql_type: str) -> Column:
+    """The value that belongs to the row's format."""
+    chosen = F.lit(None).cast(sql_type)
+    for name, value in values.items():
+        chosen = F.when(F.col("format") == name, value).otherwise(chosen)
     return chosen
 
 
-def _unknown_layout(v: Column) -> Column:
-    keys = F.array_sort(F.json_object_keys(F.to_json(v)))
-    return F.concat(F.lit("no known layout; keys: "), F.array_join(keys, ", "))
-
-
 def normalize(
     records: DataFrame,
     fmt: str = "auto",
@@ -229,31 +205,29 @@ def normalize(
 
     ``fmt="auto"`` looks at every record; a format name is applied to all.
     ``on_error`` is ``"raise"`` (fail the job), ``"skip"`` (drop the record) or
-    ``"quarantine"`` (keep it with its ``error``).
+    ``"quarantine"`` (keep it with its ``error``). ``default_system`` is for
+    instruction records without a system prompt of their own.
     """
     formats = known_formats()
     if fmt == "auto":
-        records = with_computed(records, format=detect_format(F.col("v")))
+        records = with_format(records)
     else:
         formats = [f for f in formats if f.name == fmt]
         if not formats:
             raise ValueError(f"unknown format {fmt!r}")
         records = records.withColumn("format", F.lit(fmt))
 
-    v = F.col("v")
-    messages = [f.messages(v, default_system) if f.messages else None for f in formats]
-    texts = [f.text(v) if f.text else None for f in formats]
     out = with_computed(
-        records,
-        messages=_choose(formats, messages, MESSAGES_TYPE),
-        text=_choose(formats, texts, "string"),
-    )
-
-    complaint = F.when(F.col("format").isNull(), _unknown_layout(v)).otherwise(
-        _choose(formats, [F.lit(f.complaint) for f in formats], "string")
+        records.withColumn("default_system", F.lit(default_system).cast("string")),
+        messages=_by_format({f.name: _column(f.messages) for f in formats if f.messages}, MESSAGES_TYPE),
+        text=_by_format({f.name: _column(f.text) for f in formats if f.text}, "string"),
     )
+    complaint = _by_format({f.name: F.lit(f.complaint) for f in formats}, "string")
+    keys = "array_join(array_sort(json_object_keys(to_json(v))), ', ')"
+    unknown = F.expr(f"concat('no known layout; keys: ', {keys})")
+    error = F.when(F.col("format").isNull(), unknown).otherwise(complaint)
     converted = F.col("messages").isNotNull() | F.col("text").isNotNull()
-    out = out.withColumn("error", F.when(~converted, complaint)).drop("v")
+    out = out.withColumn("error", F.when(~converted, error)).drop("v", "default_system")
     return apply_error_policy(out, on_error)
 
 

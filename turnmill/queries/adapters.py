@@ -6,10 +6,9 @@ tables are used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.functions.templates import CHATML
 from turnmill.functions.text import PY_WS
 from turnmill.operators.conversations import collect_turns
 from turnmill.session import configure
@@ -34,49 +33,41 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect_turns(turns(spark, sf_dir), "conv_id")
 
 
-def _nth(role: str, n: int = 0) -> Column:
-    said = F.filter("messages", lambda m: m["role"] == role)
-    return F.get(said, F.lit(n))["content"]
-
-
-def _layout_fields(layout: str) -> dict[str, Column]:
-    """The JSON fields that hold a conversation in one layout."""
-    messages = F.col("messages")
-    if layout == "openai":
-        return {"messages": messages}
-    if layout == "sharegpt":
-
-        def named(m: Column) -> Column:
-            name = F.coalesce(*(F.when(m["role"] == r, F.lit(n)) for r, n in SHAREGPT_NAMES.items()))
-            return F.struct(name.alias("from"), m["content"].alias("value"))
-
-        return {"conversations": F.transform(messages, named)}
-    if layout == "alpaca":
-        return {
-            "instruction": _nth("user"),
-            "input": F.coalesce(_nth("user", 1), F.lit("")),
-            "output": _nth("assistant"),
-            "system": _nth("system"),
-        }
-    if layout == "chatml":
-        return {"text": CHATML.render(messages)}
-    if layout == "prompt":
-        reply = _nth("assistant")
-        return {
-            "prompt": _nth("user"),
-            "completion": F.when(F.col("conv_id") % 12 != 10, reply),
-            "response": F.when(F.col("conv_id") % 12 == 10, reply),
-        }
-    if layout == "text":
-        return {"text": F.array_join(F.transform(messages, lambda m: m["content"]), "\n")}
-    raise ValueError(layout)
+def _nth(role: str, n: int = 0) -> str:
+    return f"get(filter(messages, m -> m.role = '{role}'), {n}).content"
+
+
+# The JSON fields that hold a conversation in each layout, as SQL over `messages`.
+_NAMED = " ".join(f"WHEN '{role}' THEN '{name}'" for role, name in SHAREGPT_NAMES.items())
+LAYOUT_FIELDS = {
+    "openai": {"messages": "messages"},
+    "sharegpt": {
+        "conversations": f"""transform(messages, m ->
+            named_struct('from', CASE m.role {_NAMED} END, 'value', m.content))"""
+    },
+    "alpaca": {
+        "instruction": _nth("user"),
+        "input": f"coalesce({_nth('user', 1)}, '')",
+        "output": _nth("assistant"),
+        "system": _nth("system"),
+    },
+    "chatml": {
+        "text": """array_join(transform(messages, m ->
+            concat('<|im_start|>', m.role, '\\n', m.content, '<|im_end|>\\n')), '')"""
+    },
+    "prompt": {
+        "prompt": _nth("user"),
+        "completion": f"CASE WHEN conv_id % 12 <> 10 THEN {_nth('assistant')} END",
+        "response": f"CASE WHEN conv_id % 12 = 10 THEN {_nth('assistant')} END",
+    },
+    "text": {"text": "array_join(transform(messages, m -> m.content), '\\n')"},
+}
 
 
 def records_in(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
     """Every conversation as one JSON record of ``layout``: ``conv_id, raw``."""
-    fields = _layout_fields(layout)
-    raw = F.to_json(F.struct(*(c.alias(name) for name, c in fields.items())))
-    return conversations(spark, sf_dir).select("conv_id", raw.alias("raw"))
+    pairs = ", ".join(f"'{name}', {value}" for name, value in LAYOUT_FIELDS[layout].items())
+    return conversations(spark, sf_dir).selectExpr("conv_id", f"to_json(named_struct({pairs})) AS raw")
 
 
 def mixed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,15 +75,13 @@ def mixed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every 25th record lacks the fields that identify its layout.
     """
-    names: dict[str, Column] = {}
-    intact = F.col("conv_id") % 25 != 7
+    fields: dict[str, str] = {}
     for number, layout in enumerate(LAYOUTS):
-        here = intact & (F.col("conv_id") % len(LAYOUTS) == number)
-        for name, value in _layout_fields(layout).items():
-            own = F.when(here, value)
-            names[name] = F.coalesce(names[name], own) if name in names else own
-    kept = [c.alias(name) for name, c in names.items()]
-    return conversations(spark, sf_dir).select("conv_id", F.lit("x").alias("note"), *kept)
+        for name, value in LAYOUT_FIELDS[layout].items():
+            branch = f"WHEN conv_id % 25 <> 7 AND conv_id % {len(LAYOUTS)} = {number} THEN {value}"
+            fields[name] = f"{fields.get(name, '')} {branch}"
+    kept = [f"CASE {branches} END AS {name}" for name, branches in fields.items()]
+    return conversations(spark, sf_dir).selectExpr("conv_id", "'x' AS note", *kept)
 
 
 def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:

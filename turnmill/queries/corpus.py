@@ -9,7 +9,7 @@ from turnmill.functions.json import content_text, field
 from turnmill.functions.messages import canonical_role, is_usable
 from turnmill.functions.templates import CHATML, ROLE_PREFIX
 from turnmill.operators import conversations as ops
-from turnmill.operators.formats import normalize, status
+from turnmill.operators.formats import normalize, status, with_format
 from turnmill.operators.formats import turns as long_turns
 from turnmill.operators.split import seeded_split
 from turnmill.plans.prepare import dataset_report, prepare
@@ -60,7 +60,7 @@ def _normalize_mixed(spark, sf_dir) -> DataFrame:
 
 
 def _detect_formats(spark, sf_dir) -> DataFrame:
-    return _mixed(spark, sf_dir, "quarantine").select("conv_id", "format")
+    return with_format(a.parsed(a.mixed_records(spark, sf_dir))).select("conv_id", "format")
 
 
 def _format_counts(spark, sf_dir) -> DataFrame:
@@ -82,25 +82,25 @@ def _normalize_quarantine(spark, sf_dir) -> DataFrame:
 
 
 def _canonical_roles(spark, sf_dir) -> DataFrame:
-    spelled = (
-        F.when(F.col("role") == "user", F.element_at(F.array(*map(F.lit, [" Human\t", "USER", "someone"])), (F.col("turn") % 3 + 1).cast("int")))
-        .when(F.col("role") == "assistant", F.element_at(F.array(*map(F.lit, ["GPT", " bot", " Bard"])), (F.col("turn") % 3 + 1).cast("int")))
-        .otherwise(F.upper("role"))
+    spelled = """CASE role
+        WHEN 'user' THEN element_at(array(' Human\\t', 'USER', 'someone'), CAST(turn % 3 + 1 AS INT))
+        WHEN 'assistant' THEN element_at(array('GPT', ' bot', ' Bard'), CAST(turn % 3 + 1 AS INT))
+        ELSE upper(role) END"""
+    return a.turns(spark, sf_dir).select(
+        "conv_id", "turn", F.expr(canonical_role(spelled)).alias("role")
     )
-    return a.turns(spark, sf_dir).select("conv_id", "turn", canonical_role(spelled).alias("role"))
 
 
 def _stringify_content(spark, sf_dir) -> DataFrame:
-    def part(m, i):
-        as_object = F.to_json(F.struct(F.lit("text").alias("type"), m["content"].alias("text")))
-        quoted = F.to_json(F.array(m["content"]))
-        as_string = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
-        return F.when(i % 2 == 0, as_object).otherwise(as_string)
-
-    parts = F.array_join(F.transform("messages", part), ",")
-    raw = F.concat(F.lit('{"content":[{"type":"image"},'), parts, F.lit(",5,null]}"))
-    records = a.conversations(spark, sf_dir).select("conv_id", raw.alias("raw"))
-    return a.parsed(records).select("conv_id", content_text(field(F.col("v"), "content")).alias("content"))
+    """Each conversation as one content list: objects, bare strings, and parts to ignore."""
+    raw = """concat('{"content":[{"type":"image"},', array_join(transform(messages, (m, i) ->
+        CASE WHEN i % 2 = 0 THEN to_json(named_struct('type', 'text', 'text', m.content))
+             ELSE substr(to_json(array(m.content)), 2, length(to_json(array(m.content))) - 2) END), ','),
+        ',5,null]}')"""
+    records = a.conversations(spark, sf_dir).select("conv_id", F.expr(raw).alias("raw"))
+    return a.parsed(records).select(
+        "conv_id", F.expr(content_text(field("v", "content"))).alias("content")
+    )
 
 
 def _split_exact(spark, sf_dir) -> DataFrame:

@@ -6,10 +6,12 @@ holds one document, a list of records or a single record, and is read by one tas
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.functions.json import VARIANT_LIMIT_BYTES, parse_strict, strict_value
+from turnmill.functions.json import VARIANT_LIMIT_BYTES, parse_strict
 from turnmill.functions.text import strip
 from turnmill.operators.ordinals import number_lines
 from turnmill.operators.staging import with_computed
@@ -52,9 +54,8 @@ def _malformed(raw: Column, value: Column, utf8: Column) -> Column:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Parse non-blank lines into ``v``; ``problem`` says why one could not be."""
     present = lines.filter(F.col("raw") != "")
-    parsed = with_computed(present, parsed=parse_strict(F.col("raw")))
-    valued = with_computed(parsed, v=strict_value(F.col("parsed"))).drop("parsed")
-    return valued.withColumn("problem", _malformed(F.col("raw"), F.col("v"), F.is_valid_utf8("raw")))
+    parsed = with_computed(present, v=F.expr(parse_strict("raw")))
+    return parsed.withColumn("problem", _malformed(F.col("raw"), F.col("v"), F.is_valid_utf8("raw")))
 
 
 def read_documents(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -64,38 +65,25 @@ def read_documents(spark: SparkSession, path: str, **options) -> DataFrame:
         .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("file"), strip(F.col("value")).alias("raw"))
     )
-    is_list = F.col("raw").startswith("[")
     # A list is complete when it is exactly the first of two array elements.
-    wrapped = F.concat(F.lit("["), F.col("raw"), F.lit(",0]"))
-    list_items = F.when(F.json_array_length(wrapped) == 2, F.from_json("raw", "array<variant>"))
-    parsed = with_computed(
-        documents,
-        parsed=F.when(~is_list, parse_strict(F.col("raw"))),
-        list_items=F.when(is_list, list_items),
-    )
-    elements = with_computed(
-        parsed,
-        elements=F.when(is_list, F.col("list_items")).otherwise(F.array(strict_value(F.col("parsed")))),
-    )
-    exploded = elements.select(
+    elements = f"""CASE WHEN NOT startswith(raw, '[') THEN array({parse_strict("raw")})
+        WHEN json_array_length(concat('[', raw, ',0]')) = 2 THEN from_json(raw, 'array<variant>') END"""
+    parsed = with_computed(documents, elements=F.expr(elements))
+    bad = F.expr("elements IS NULL OR (NOT startswith(raw, '[') AND elements[0] IS NULL)")
+    exploded = parsed.select(
         "file",
-        F.when(
-            (F.col("elements").isNull()) | (~is_list & F.get("elements", F.lit(0)).isNull()),
-            F.col("raw"),
-        ).alias("bad_document"),
+        F.when(bad, F.col("raw")).alias("bad_document"),
         F.is_valid_utf8("raw").alias("utf8"),
         F.posexplode_outer("elements").alias("index", "v"),
     )
     return exploded.select(
         "file",
-        F.lit(0).cast("bigint").alias("block"),
-        F.coalesce(F.col("index"), F.lit(0)).cast("bigint").alias("position"),
-        F.coalesce(F.col("bad_document"), F.to_json("v")).alias("raw"),
+        (F.coalesce("index", F.lit(0)) + 1).cast("bigint").alias("ordinal"),
+        F.coalesce("bad_document", F.to_json("v")).alias("raw"),
         "v",
         F.when(~F.col("utf8"), F.lit("invalid UTF-8"))
         .when(F.col("bad_document").isNotNull(), F.lit("invalid JSON"))
         .alias("problem"),
-        (F.coalesce(F.col("index"), F.lit(0)) + 1).cast("bigint").alias("ordinal"),
     )
 
 
@@ -135,12 +123,9 @@ def read_records(
         parts.append(_numbered_lines(spark, path))
     else:
         parts.append(read_documents(spark, path))
-    records = parts[0]
-    for more in parts[1:]:
-        records = records.unionByName(more)
-    records = records.select(
-        F.concat_ws("#", "file", "ordinal").alias("record_id"), "file", "ordinal", "raw", "v", "problem"
-    )
+    columns = ["file", "ordinal", "raw", "v", "problem"]
+    records = reduce(DataFrame.unionByName, (p.select(*columns) for p in parts))
+    records = records.select(F.concat_ws("#", "file", "ordinal").alias("record_id"), *columns)
     return apply_json_policy(records, on_bad_json)
 
 
