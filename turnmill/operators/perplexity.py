@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from turnmill.functions.text import is_blank
 from turnmill.functions.tokens import Tokenizer, whitespace_tokens
+from turnmill.operators.staging import with_computed
+from turnmill.session import materialize
 
 UNKNOWN = "<unk>"
 
@@ -31,23 +33,25 @@ def perplexity(losses: DataFrame, *groups: str, max_length: int | None = 1024) -
     )
 
 
-def _pairs(tokens: Column) -> Column:
-    """Every token with its successor; the last one has none."""
-    following = F.concat(F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), F.array(F.lit(None).cast("string")))
-    return F.arrays_zip(tokens.alias("prev"), following.alias("next"))
-
-
 def _pair_counts(texts: DataFrame, tokens: Column, *groups: str) -> DataFrame:
-    """Counts of (prev, next), summed in the map stage before they are shuffled."""
-    pairs = texts.select(*groups, F.inline(_pairs(tokens)).alias("prev", "next"))
-    return pairs.groupBy(*groups, "prev", "next").agg(F.count(F.lit(1)).alias("times"))
+    """Counts of (prev, next), summed in the map stage before they are shuffled.
+
+    The last token of a text has a null successor, so every token is some ``prev``.
+    """
+    tokenized = with_computed(texts.select(*groups, tokens.alias("t")), t=F.col("t"))
+    following = F.concat(F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))), F.array(F.lit(None).cast("string")))
+    pairs = tokenized.select(*groups, F.inline(F.arrays_zip("t", following)).alias("prev", "next"))
+    # A text without tokens still zips one null with the end mark.
+    real = pairs.filter(F.col("prev").isNotNull())
+    return real.groupBy(*groups, "prev", "next").agg(F.count(F.lit(1)).alias("times"))
 
 
 class BigramModel:
     """Add-k bigram counts of a training text column, as two tables.
 
     ``pairs``: prev, next, pair_count. ``words``: prev, prev_count, one row per
-    known word, also those that are never followed by another.
+    known word, also those that are never followed by another. Both are written
+    to the shared folder, since scoring reads them several times.
     """
 
     def __init__(
@@ -60,13 +64,12 @@ class BigramModel:
     ):
         self.k = k
         self.tokenizer = tokenizer
-        counted = _pair_counts(train, tokenizer(F.col(text)))
+        counted = materialize(_pair_counts(train, tokenizer(F.col(text))), "pairs")
         has_next = F.col("next").isNotNull()
         self.pairs = counted.filter(has_next).withColumnRenamed("times", "pair_count")
         followed = F.sum(F.when(has_next, F.col("times")))
-        self.words = counted.groupBy("prev").agg(
-            F.coalesce(followed, F.lit(0)).alias("prev_count")
-        )
+        words = counted.groupBy("prev").agg(F.coalesce(followed, F.lit(0)).alias("prev_count"))
+        self.words = materialize(words, "words")
 
     def _tokens(self, text: str, max_length: int | None) -> Column:
         tokens = self.tokenizer(F.col(text))

@@ -1,4 +1,4 @@
-"""Evaluate expensive columns once."""
+"""Evaluate expensive columns once, and on all cores."""
 
 from __future__ import annotations
 
@@ -16,3 +16,13 @@ def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
     row = F.struct(*(c.alias(name) for name, c in columns.items()))
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(row)))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan of fewer splits than cores one partition per core.
+
+    For costly work on a small file that Spark cannot split further. A scan with
+    enough splits is returned as it is, so large inputs are never shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

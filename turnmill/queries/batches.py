@@ -22,12 +22,12 @@ BATCH = 2
 
 
 def _lengths(spark, sf_dir, *columns: str) -> DataFrame:
-    documents = a.table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
+    documents = a.documents(spark, sf_dir, "text", *columns)
     return with_token_count(documents).drop("text").withColumn("n_tokens", F.col("n_tokens").cast("bigint"))
 
 
 def _truncate(spark, sf_dir) -> DataFrame:
-    documents = a.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = a.documents(spark, sf_dir, "text")
     kept = truncated(whitespace_tokens(F.col("text")), MAX_LENGTH)
     return documents.select("doc_id", F.array_join(kept, " ").alias("text"), F.size(kept).cast("bigint").alias("n_tokens"))
 

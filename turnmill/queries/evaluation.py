@@ -19,13 +19,13 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _perplexity_by_lang(spark, sf_dir) -> DataFrame:
-    documents = a.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    documents = a.documents(spark, sf_dir, "lang", "text")
     losses = with_token_count(documents).withColumn("loss", (F.col("doc_id") % 97) / 10.0 + 0.5)
     return _rounded(perplexity(losses, "lang"), "perplexity")
 
 
 def _held_out(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    documents = a.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    documents = a.documents(spark, sf_dir, "lang", "text")
     split = seeded_split(documents, "doc_id", ratio=0.05, seed=42)
     return split.filter("split = 'train'"), split.filter("split = 'eval'")
 
@@ -42,7 +42,7 @@ def _bigram_losses(spark, sf_dir) -> DataFrame:
 
 def _eval_report(spark, sf_dir) -> DataFrame:
     """A model of ``documents`` scored on the prepared conversations, by layout."""
-    model = BigramModel(a.table(spark, sf_dir, "documents").select("text"))
+    model = BigramModel(a.documents(spark, sf_dir, "text"))
     corpus = prepare(a.parsed(a.mixed_records(spark, sf_dir)), "conv_id", eval_ratio=0.0, on_error="skip")
     corpus = corpus.select("conv_id", "format", "text").withColumnRenamed("format", "dataset")
     return _rounded(evaluation_report(model, corpus, "dataset", ["conv_id"], "conv_id"), "perplexity")
