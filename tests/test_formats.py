@@ -56,6 +56,8 @@ def test_openai_roles_and_contents(parsed):
             {"content": 7},
             {"role": "observation"},
             {"role": ["user"], "content": {"a": 1}},
+            {"role": "user", "content": float("nan")},
+            {"role": "user", "content": [{"text": "true"}, {"text": True}, {"text": float("-inf")}, {"text": [1]}]},
         ]
     }
     assert run(parsed, record)[1] == [
@@ -66,6 +68,8 @@ def test_openai_roles_and_contents(parsed):
         ("user", "7"),
         ("tool", ""),
         ("user", '{"a":1}'),
+        ("user", "nan"),
+        ("user", "true\nTrue\n-inf\n[1]"),
     ]
 
 

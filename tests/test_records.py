@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.errors import PySparkException
 
+from turnmill.operators import ordinals
 from turnmill.sources.records import in_read_order, read_records
 
 
@@ -31,6 +32,7 @@ def test_lines(spark, tmp_path):
         ('\n {"text":"a"}\n', [(1, "a")]),
         ("7", []),
         ("[]", []),
+        ("[ \n ]", []),
         ('"x"', []),
         ("null", []),
     ],
@@ -40,7 +42,7 @@ def test_documents(spark, tmp_path, content, expected):
     assert [t[1:] for t in texts(read_records(spark, path))] == expected
 
 
-@pytest.mark.parametrize("content", ["[{]", '[{"text":"a"}] x', '{"text":"a"} x', " ", "{bad", '[1],[2]'])
+@pytest.mark.parametrize("content", ["[{]", '[{"text":"a"}] x', '{"text":"a"} x', " ", "{bad", '[1],[2]', '[{"text":"a"},]', "[", '[{"text":"a"}'])
 def test_bad_document_fails(spark, tmp_path, content):
     path = write(tmp_path / "d.json", content)
     with pytest.raises(PySparkException, match="invalid JSON on line 1 of .*d.json"):
@@ -92,6 +94,20 @@ def test_bad_line_policies(spark, tmp_path):
         read_records(spark, path, on_bad_json="ignore")
 
 
+def test_python_numbers(spark, tmp_path):
+    lines = '{"text":"a","x":NaN}\n{"text":"b","x":[Infinity,-Infinity]}\n'
+    assert [t[2] for t in texts(read_records(spark, write(tmp_path / "a.jsonl", lines)))] == ["a", "b"]
+    document = '[{"text":"a","x":NaN}, {"text":"b"}]'
+    assert [t[2] for t in texts(read_records(spark, write(tmp_path / "d.json", document)))] == ["a", "b"]
+
+
+def test_numbering_beyond_the_broadcast_bound(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordinals, "_BROADCAST_BLOCKS", 0)
+    write(tmp_path / "a.jsonl", '{"text":"1"}\n\n{"text":"3"}')
+    write(tmp_path / "b.jsonl", '{"text":"1"}')
+    assert [t[1:] for t in texts(read_records(spark, str(tmp_path)))] == [(1, "1"), (3, "3"), (1, "1")]
+
+
 def test_invalid_utf8_is_bad(spark, tmp_path):
     path = write(tmp_path / "a.jsonl", b'{"text":"\xff"}\n{"text":"ok"}\n')
     rows = read_records(spark, path, on_bad_json="quarantine").orderBy("ordinal").collect()

@@ -8,6 +8,14 @@ from turnmill.functions.sql import bind
 VARIANT_LIMIT_BYTES = 16 * 1024 * 1024
 
 
+# What the parser takes: standard JSON, and NaN and Infinity as Python writes them.
+_OPTIONS = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'true')"
+
+
+def _checksum(raw: str) -> str:
+    return f"CAST(xxhash64({raw}) AS STRING)"
+
+
 def parse_strict(raw: str) -> str:
     """One JSON value; null when the text holds anything before or after it.
 
@@ -16,7 +24,7 @@ def parse_strict(raw: str) -> str:
     element is a checksum of the text. The checksum is only found in its place
     when the text was exactly one value.
     """
-    pair = f"try_parse_json(concat('[', {raw}, ',', CAST(xxhash64({raw}) AS STRING), ']'))"
+    pair = f"from_json(concat('[', {raw}, ',', {_checksum(raw)}, ']'), 'variant', {_OPTIONS})"
     whole = (
         f"try_variant_get(p, '$[1]', 'bigint') = xxhash64({raw})"
         " AND try_variant_get(p, '$[2]', 'variant') IS NULL"
@@ -24,6 +32,22 @@ def parse_strict(raw: str) -> str:
     return bind("p", pair, f"CASE WHEN {whole} THEN try_variant_get(p, '$[0]', 'variant') END")
 
 
+def parse_strict_list(raw: str) -> str:
+    """The elements of a JSON list, each a VARIANT of its own; null when malformed.
+
+    The same check as in :func:`parse_strict`, with the checksum as one more
+    element. Only a single element has to fit the VARIANT limit, not the list.
+    """
+    marked = f"concat(substr({raw}, 1, length({raw}) - 1), ',', {_checksum(raw)}, ']')"
+    last = "try_variant_get(get(l, size(l) - 1), '$', 'bigint')"
+    elements = bind(
+        "l",
+        f"from_json({marked}, 'array<variant>', {_OPTIONS})",
+        f"CASE WHEN endswith({raw}, ']') AND {last} = xxhash64({raw}) THEN slice(l, 1, size(l) - 1) END",
+    )
+    return f"CASE WHEN {raw} RLIKE '^\\\\[\\\\s*\\\\]$' THEN CAST(array() AS ARRAY<VARIANT>) ELSE {elements} END"
+
+
 def field(value: str, key: str) -> str:
     """The field as VARIANT: SQL null when absent, a VARIANT null for JSON null."""
     return f"try_variant_get({value}, '$.{key}', 'variant')"
@@ -71,8 +95,10 @@ def first_truthy(value: str, otherwise: str) -> str:
 
 
 def _printed(value: str) -> str:
-    """A JSON value that is no string as text; booleans as ``True`` and ``False``."""
-    return f"""CASE WHEN schema_of_variant({value}) = 'BOOLEAN' THEN initcap({_as_string(value)})
+    """A JSON value that is no string, as Python prints it where SQL differs."""
+    return f"""CASE coalesce({_as_string(value)}, to_json({value}))
+                    WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' WHEN 'NaN' THEN 'nan'
+                    WHEN 'Infinity' THEN 'inf' WHEN '-Infinity' THEN '-inf'
                     ELSE coalesce({_as_string(value)}, to_json({value})) END"""
 
 
@@ -82,9 +108,11 @@ def content_text(value: str) -> str:
     Strings stay as they are, absent and null become empty, a list of parts
     becomes its texts on separate lines, anything else is printed.
     """
+    part_text = f"""CASE WHEN is_variant_null(x) THEN 'None'
+                         WHEN schema_of_variant(x) = 'STRING' THEN {_as_string('x')} ELSE {_printed('x')} END"""
     part = f"""CASE WHEN schema_of_variant(p) = 'STRING' THEN {_as_string('p')}
                     WHEN startswith(schema_of_variant(p), 'OBJECT') AND {has('p', 'text')} THEN
-                      {bind('x', field('p', 'text'), f"CASE WHEN is_variant_null(x) THEN 'None' ELSE {_printed('x')} END")}
+                      {bind('x', field('p', 'text'), part_text)}
                END"""
     texts = f"filter(transform(try_variant_get(c, '$', 'array<variant>'), p -> {part}), p -> p IS NOT NULL)"
     return bind(

@@ -28,11 +28,10 @@ from turnmill.functions.templates import TURN_OPEN
 from turnmill.functions.text import is_blank
 from turnmill.operators.staging import with_computed
 
-# One ChatML turn, role first, then everything up to the next
-# end marker. U+001C-001F are blanks for Python but not for Java's \s.
-CHATML_TURN = (
-    r"(?sU)<\|im_start\|>[\s\x1c-\x1f]*([a-zA-Z]+)[\s\x1c-\x1f]*\n(.*?)<\|im_end\|>"
-)
+# How a ChatML turn opens, with its role, and how it ends.
+# U+001C-001F are blanks for Python but not for Java's \s.
+CHATML_OPENING = r"(?U)<\|im_start\|>[\s\x1c-\x1f]*([a-zA-Z]+)[\s\x1c-\x1f]*\n"
+CHATML_END = r"<\|im_end\|>"
 
 # SQL text over the columns `v` (the parsed record) and `default_system`, or a
 # function from the column `v`.
@@ -102,12 +101,18 @@ _REPLY = (
 
 
 def parse_chatml(text: str) -> str:
-    """SQL for all complete turns of a ChatML text; null when there is none."""
-    pattern = sql.literal(CHATML_TURN)
-    turn = _message(canonical_role("a"), sql.strip("b"))
-    turns = f"""zip_with(regexp_extract_all(x, {pattern}, 1), regexp_extract_all(x, {pattern}, 2),
-                         (a, b) -> {turn})"""
-    return sql.bind("x", text, sql.bind("z", turns, "CASE WHEN size(z) > 0 THEN z END"))
+    """SQL for all complete turns of a ChatML text; null when there is none.
+
+    The text is cut at its end markers, and each piece at its first opening.
+    The piece after the last end marker is an unfinished turn.
+    """
+    opening = sql.literal(CHATML_OPENING)
+    pieces = sql.bind("x", f"split({text}, {sql.literal(CHATML_END)})", "slice(x, 1, size(x) - 1)")
+    opened = f"""filter(transform({pieces}, p ->
+        named_struct('role', regexp_extract(p, {opening}, 1), 'cut', split(p, {opening}, 2))),
+        p -> size(p.cut) = 2)"""
+    turn = _message(canonical_role("p.role"), sql.strip("p.cut[1]"))
+    return sql.bind("z", opened, f"CASE WHEN size(z) > 0 THEN transform(z, p -> {turn}) END")
 
 
 CHAT_FORMATS = [

@@ -20,6 +20,9 @@ _BUCKET_DIGITS = 4
 _BUCKETS = 16**_BUCKET_DIGITS
 # The bucket table is broadcast while it has at most this many rows (about 32 MB).
 _BROADCAST_ROWS = 16 * _BUCKETS
+# Three numbers per file block: 2 million blocks are 256 TB of text in 128 MB
+# blocks and some 150 MB to broadcast.
+_BROADCAST_BLOCKS = 2_000_000
 
 
 def seeded_key(seed: Column | int, *ids: str) -> Column:
@@ -117,9 +120,10 @@ def running_total(
 def number_lines(lines: DataFrame) -> DataFrame:
     """Turn ``block`` and ``position`` of scanned lines into 1-based line numbers.
 
-    The line text is not shuffled: one (file, block) row per file block is
-    counted, and its first line number joined back. That table is written first,
-    so its real size decides between a broadcast and a shuffle join.
+    The line text is not shuffled: one row per file block is counted, written,
+    and its first line number joined back. The table is broadcast while its row
+    count is within the bound, with the path as a hash once that is known to be
+    unique; beyond the bound the join shuffles.
     """
     blocks = lines.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("size"), F.min("position").alias("first")
@@ -128,8 +132,15 @@ def number_lines(lines: DataFrame) -> DataFrame:
     starts = materialize(
         blocks.select("file", "block", (earlier - F.col("first") + 1).alias("shift")), "blocks"
     )
-    return (
-        lines.join(starts, ["file", "block"])
-        .withColumn("ordinal", F.col("position") + F.col("shift"))
-        .drop("shift")
-    )
+    found = starts.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("file").alias("files"),
+        F.count_distinct(F.xxhash64("file")).alias("hashes"),
+    ).first()
+    if found["rows"] <= _BROADCAST_BLOCKS and found["files"] == found["hashes"]:
+        short = starts.select(F.xxhash64("file").alias("file_key"), "block", "shift")
+        keyed = lines.withColumn("file_key", F.xxhash64("file"))
+        joined = keyed.join(F.broadcast(short), ["file_key", "block"]).drop("file_key")
+    else:
+        joined = lines.join(starts, ["file", "block"])
+    return joined.withColumn("ordinal", F.col("position") + F.col("shift")).drop("shift")

@@ -6,22 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnmill.session import materialize
+
 
 def mark_warmup(runs: DataFrame, engine: str = "engine", *, warmup: int = 1) -> DataFrame:
     """Add ``is_warmup`` to the first ``warmup`` runs of every engine.
 
-    The rank filter is applied in every task before the exchange, so an engine
-    with most of the runs sends only ``warmup`` rows per task.
+    Each engine's last warm-up run is found first. The rank filter runs in every
+    task before the exchange, so an engine with most of the runs sends only
+    ``warmup`` rows per task. That table has a row per engine and is written, so
+    that its real size decides how it is joined; the log is not shuffled for it.
     """
+    if warmup <= 0:
+        return runs.withColumn("is_warmup", F.lit(False))
     place = F.row_number().over(W.partitionBy(engine).orderBy("run_index"))
-    first = (
-        runs.select(engine, "run_index")
-        .withColumn("place", place)
-        .filter(F.col("place") <= max(warmup, 0))
-        .select(engine, "run_index", F.lit(True).alias("is_warmup"))
-    )
-    marked = runs.join(first, [engine, "run_index"], "left")
-    return marked.withColumn("is_warmup", F.coalesce("is_warmup", F.lit(False)))
+    first = runs.select(engine, "run_index").withColumn("place", place)
+    first = first.filter(F.col("place") <= warmup)
+    ends = materialize(first.groupBy(engine).agg(F.max("run_index").alias("warm_until")), "warmup")
+    marked = runs.join(ends, engine, "left")
+    return marked.withColumn("is_warmup", F.col("run_index") <= F.col("warm_until")).drop("warm_until")
 
 
 def _rates(gen: Column, total: Column, ttft: Column) -> tuple[Column, Column]:

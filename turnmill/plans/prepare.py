@@ -36,14 +36,17 @@ def prepare(
     default_system: str | None = None,
     on_error: str = "raise",
 ) -> DataFrame:
-    """Normalise, filter, render and split parsed records; lazy.
+    """Normalise, filter, render and split parsed records.
 
-    The split needs the ids of the usable records before it can label any, so
-    the records are read twice. :func:`prepare_dataset` writes the rendered
-    text in between instead.
+    The split must know the ids of all usable records before it can label one.
+    The rendered corpus is therefore written once to the shared folder, and the
+    ids are read back from there instead of parsing every record a second time.
     """
     unified = normalize(records, fmt, default_system=default_system, on_error=on_error)
-    return seeded_split(render(unified, template), id_column, ratio=eval_ratio, seed=seed)
+    rendered = render(unified, template)
+    if eval_ratio > 0:
+        rendered = materialize(rendered, "rendered")
+    return seeded_split(rendered, id_column, ratio=eval_ratio, seed=seed)
 
 
 def prepare_dataset(

@@ -109,7 +109,7 @@ def _split_exact(spark, sf_dir) -> DataFrame:
 
 
 def _prepared(spark, sf_dir) -> DataFrame:
-    records = a.parsed(a.mixed_records(spark, sf_dir))
+    records = a.parsed(a.mixed_records(spark, sf_dir)).drop("raw")
     return prepare(records, "conv_id", on_error="skip").select("conv_id", "format", "text", "split")
 
 

@@ -47,7 +47,8 @@ def _line_ordinals(spark, sf_dir) -> DataFrame:
 def _split_sink(spark, sf_dir) -> DataFrame:
     """The prepared corpus, written by split and read back."""
     path = new_folder(spark, "corpus")
-    write_splits(prepare(a.parsed(a.mixed_records(spark, sf_dir)), "conv_id", on_error="skip"), path)
+    records = a.parsed(a.mixed_records(spark, sf_dir)).drop("raw")
+    write_splits(prepare(records, "conv_id", on_error="skip"), path)
     return spark.read.parquet(path).select("conv_id", "format", "text", "split")
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.functions.json import VARIANT_LIMIT_BYTES, parse_strict
+from turnmill.functions.json import VARIANT_LIMIT_BYTES, parse_strict, parse_strict_list
 from turnmill.functions.text import strip
 from turnmill.operators.ordinals import number_lines
 from turnmill.operators.staging import with_computed
@@ -65,9 +65,8 @@ def read_documents(spark: SparkSession, path: str, **options) -> DataFrame:
         .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("file"), strip(F.col("value")).alias("raw"))
     )
-    # A list is complete when it is exactly the first of two array elements.
-    elements = f"""CASE WHEN NOT startswith(raw, '[') THEN array({parse_strict("raw")})
-        WHEN json_array_length(concat('[', raw, ',0]')) = 2 THEN from_json(raw, 'array<variant>') END"""
+    elements = f"""CASE WHEN startswith(raw, '[') THEN {parse_strict_list("raw")}
+        ELSE array({parse_strict("raw")}) END"""
     parsed = with_computed(documents, elements=F.expr(elements))
     bad = F.expr("elements IS NULL OR (NOT startswith(raw, '[') AND elements[0] IS NULL)")
     exploded = parsed.select(
