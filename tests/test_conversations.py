@@ -5,8 +5,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from turnmill.functions.messages import MESSAGES_TYPE, is_usable, with_system
+from turnmill.functions.sql import strip
 from turnmill.functions.templates import CHATML, ROLE_PREFIX
-from turnmill.functions.text import PY_WS, human_bytes, is_blank, strip
+from turnmill.functions.text import PY_WS, human_bytes, is_blank
 from turnmill.operators import conversations as ops
 from turnmill.operators.formats import normalize
 
@@ -87,7 +88,7 @@ def test_strip_is_pythons(spark):
     assert {c for c in every if not c.strip()} == set(PY_WS)
     samples = [f"{c}a{c}b{c}" for c in PY_WS] + ["", PY_WS, "​x​", "﻿x"]
     rows = spark.createDataFrame([(s,) for s in samples], "s string")
-    got = rows.select("s", strip(F.col("s")).alias("t"), is_blank(F.col("s")).alias("b")).collect()
+    got = rows.select("s", F.expr(strip("s")).alias("t"), is_blank(F.col("s")).alias("b")).collect()
     assert all(r["t"] == r["s"].strip() and r["b"] == (not r["s"].strip()) for r in got)
 
 

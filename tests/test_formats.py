@@ -183,6 +183,13 @@ def test_explicit_format_errors(parsed, fmt, record, error):
     assert run(parsed, record, fmt)[3] == error
 
 
+def test_lists_of_strings_with_gaps(parsed):
+    record = {"messages": [{"role": "GPT", "content": "a"}, {"role": None, "content": None}, {}, {"content": "b", "role": "x"}]}
+    assert run(parsed, record)[1] == [("assistant", "a"), ("user", ""), ("user", ""), ("user", "b")]
+    record["messages"].append(None)
+    assert run(parsed, record)[3] == "'messages' must be a list of objects"
+
+
 def test_explicit_text_format_coerces(parsed):
     assert run(parsed, {}, "text")[2] == ""
     assert run(parsed, {"text": ["a", "b"]}, "text")[2] == "a\nb"

@@ -30,11 +30,15 @@ FALLBACK_ROLE = "user"
 
 def canonical_role(name: str) -> str:
     """SQL for the canonical role of any speaker name; unknown and null give ``user``."""
+    targets = list(dict.fromkeys(ROLE_ALIASES.values()))
     branches = " ".join(
         f"WHEN r IN ({', '.join(repr(a) for a, role in ROLE_ALIASES.items() if role == target)}) THEN '{target}'"
-        for target in dict.fromkeys(ROLE_ALIASES.values())
+        for target in targets
     )
-    return sql.bind("r", f"lower({sql.strip(name)})", f"CASE {branches} ELSE '{FALLBACK_ROLE}' END")
+    cleaned = f"lower({sql.strip_short(name)})"
+    mapped = sql.bind("r", cleaned, f"CASE {branches} ELSE '{FALLBACK_ROLE}' END")
+    # Names that are canonical already are the common case.
+    return f"CASE WHEN {name} IN ({', '.join(map(repr, targets))}) THEN {name} ELSE {mapped} END"
 
 
 def message(role: Column | str, content: Column) -> Column:

@@ -23,6 +23,19 @@ def _escape(c: str) -> str:
 
 
 def strip(text: str) -> str:
+    """``text`` without the blanks around it, by Python's rules.
+
+    Trimming a set of characters from the right end walks the whole string, so
+    it is only done for a text that ends in one of them.
+    """
+    blanks = literal(PY_WS)
+    ends_blank = " OR ".join(f"endswith(w, {literal(c)})" for c in PY_WS)
+    stripped = f"CASE WHEN {ends_blank} THEN btrim(w, {blanks}) ELSE trim(LEADING {blanks} FROM w) END"
+    return bind("w", text, stripped)
+
+
+def strip_short(text: str) -> str:
+    """The same for a text of a few characters."""
     return f"btrim({text}, {literal(PY_WS)})"
 
 

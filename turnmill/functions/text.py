@@ -16,12 +16,8 @@ PY_WS = "".join(map(chr, _BLANK_CODES))
 _SIZE_UNITS = ("B", "KiB", "MiB", "GiB", "TiB")
 
 
-def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(PY_WS))
-
-
 def is_blank(text: Column) -> Column:
-    return strip(text) == ""
+    return F.ltrim(text, F.lit(PY_WS)) == ""
 
 
 def human_bytes(size: Column) -> Column:

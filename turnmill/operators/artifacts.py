@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnmill.functions import sql
 from turnmill.functions.json import parse_strict, string_or_null
-from turnmill.functions.text import human_bytes, strip
+from turnmill.functions.text import human_bytes
 from turnmill.operators.staging import with_computed
 
 # The files a usable model needs.
@@ -58,7 +59,7 @@ def file_inventory(files: DataFrame) -> DataFrame:
 
 def _parsed(documents: DataFrame) -> DataFrame:
     """``model, v``; ``v`` is null for text that is not one JSON object."""
-    stripped = documents.withColumn("raw", strip(F.col("raw")))
+    stripped = documents.withColumn("raw", F.expr(sql.strip("raw")))
     value = f"CASE WHEN startswith(raw, '{{') THEN {parse_strict('raw')} END"
     return with_computed(stripped, v=F.expr(value)).select("model", "v")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnmill.functions.messages import is_usable, with_system
 from turnmill.functions.templates import Template
 from turnmill.functions.text import is_blank
+from turnmill.operators.staging import with_computed
 
 
 def collect_turns(turns: DataFrame, *keys: str) -> DataFrame:
@@ -58,8 +59,9 @@ def render(normalized: DataFrame, template: Template | None) -> DataFrame:
         chat_text = missing.cast("string")
     else:
         chat_text = template.render(F.col("messages"))
-    rendered = usable.withColumn("text", F.when(is_chat, chat_text).otherwise(F.col("text")))
-    return rendered.filter(~is_blank(F.col("text"))).drop("messages", "error")
+    text = F.when(is_chat, chat_text).otherwise(F.col("text"))
+    rendered = with_computed(usable, text=text).drop("messages", "error")
+    return rendered.filter(~is_blank(F.col("text")))
 
 
 def inference_prompts(

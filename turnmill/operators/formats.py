@@ -69,12 +69,34 @@ def _system_turn(text: str) -> str:
     return sql.bind("y", sql.strip(text), f"CASE WHEN y <> '' THEN {turn} ELSE {empty} END")
 
 
+# Content that, seen as a string, may have been something else than a string
+# that prints differently: a list, a boolean, or a number without a value.
+_AMBIGUOUS = "startswith(m.{0}, '[') OR m.{0} IN ('true', 'false', 'NaN', 'Infinity', '-Infinity')"
+
+
 def _turns(key: str, role: str, content: str) -> str:
-    """Convert every item of a list; null when the list is absent or an item is no object."""
-    items = typed("v", key, f"array<struct<`{role}` string, {content} variant>>")
-    turn = _message(canonical_role(f"m.`{role}`"), content_text(f"m.{content}"))
-    convert = f"CASE WHEN NOT exists(l, m -> m IS NULL) THEN transform(l, m -> {turn}) END"
-    return sql.bind("l", items, convert)
+    """Convert every item of a list; null when the list is absent or an item is no object.
+
+    One cast reads the whole list with its contents as strings, which is right
+    for all but a few kinds of content. Lists that may hold one of those are
+    read again, item by item.
+    """
+
+    def convert(items: str, text: str) -> str:
+        turn = _message(canonical_role(f"m.`{role}`"), text)
+        return f"transform({items}, m -> {turn})"
+
+    def items(content_type: str) -> str:
+        return typed("v", key, f"array<struct<`{role}` string, {content} {content_type}>>")
+
+    return sql.bind(
+        "l",
+        items("string"),
+        f"""CASE WHEN exists(l, m -> m IS NULL) THEN NULL
+                 WHEN exists(l, m -> {_AMBIGUOUS.format(content)})
+                 THEN {convert(items("variant"), content_text(f"m.{content}"))}
+                 ELSE {convert("l", f"coalesce(m.{content}, '')")} END""",
+    )
 
 
 def _exchange(asked: str, answered: str, system: str) -> str:
@@ -154,7 +176,8 @@ CHAT_FORMATS = [
 TEXT_FORMATS = [
     Format(
         "chatml",
-        f"contains({string_or_null(field('v', 'text'))}, {sql.literal(TURN_OPEN)})",
+        f"""schema_of_variant({field('v', 'text')}) = 'STRING'
+            AND contains({typed('v', 'text', 'string')}, {sql.literal(TURN_OPEN)})""",
         messages=parse_chatml(content_text(field("v", "text"))),
         complaint="no complete ChatML turn in 'text'",
     ),

@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnmill.functions import sql
 from turnmill.functions.json import VARIANT_LIMIT_BYTES, parse_strict, parse_strict_list
-from turnmill.functions.text import strip
 from turnmill.operators.ordinals import number_lines
 from turnmill.operators.staging import with_computed
 from turnmill.session import configure
@@ -40,7 +40,8 @@ def _provenance() -> list[Column]:
 
 def read_lines(spark: SparkSession, path: str, **options) -> DataFrame:
     """Every line of the line files with where it came from; blank lines included."""
-    return spark.read.options(**options).text(path).select(*_provenance(), strip(F.col("value")).alias("raw"))
+    scan = spark.read.options(**options).text(path)
+    return scan.select(*_provenance(), F.expr(sql.strip("value")).alias("raw"))
 
 
 def _malformed(raw: Column, value: Column, utf8: Column) -> Column:
@@ -63,7 +64,7 @@ def read_documents(spark: SparkSession, path: str, **options) -> DataFrame:
     documents = (
         spark.read.options(**options)
         .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), strip(F.col("value")).alias("raw"))
+        .select(F.col("_metadata.file_path").alias("file"), F.expr(sql.strip("value")).alias("raw"))
     )
     elements = f"""CASE WHEN startswith(raw, '[') THEN {parse_strict_list("raw")}
         ELSE array({parse_strict("raw")}) END"""

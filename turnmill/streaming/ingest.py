@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from turnmill.functions import sql
 from turnmill.functions.templates import CHATML, Template
-from turnmill.functions.text import strip
 from turnmill.operators.conversations import render
 from turnmill.operators.formats import normalize
 from turnmill.session import configure
@@ -27,7 +27,7 @@ def stream_records(
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     lines = reader.text(path).select(
-        F.col("_metadata.file_path").alias("file"), strip(F.col("value")).alias("raw")
+        F.col("_metadata.file_path").alias("file"), F.expr(sql.strip("value")).alias("raw")
     )
     return parse_lines(lines).filter(F.col("problem").isNotNull() | F.col("raw").startswith("{"))
 
