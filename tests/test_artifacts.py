@@ -53,6 +53,11 @@ def store(tmp_path_factory):
     text(bare / "sub" / "config.json", {"model_type": "not this one"})
     text(bare / "tokenizer.model", "x")
 
+    spaced = root / "with space"
+    weights(spaced / "m 1.safetensors", {"t": {"dtype": "F64", "shape": [5]}})
+    text(spaced / "config.json", {"model_type": "sp"})
+    text(spaced / "tokenizer.json", "{}")
+
     plain = root / "plain"
     weights(plain / "m.safetensors", {"t": {"dtype": "F64", "shape": [3, 0]}})
     text(plain / "config.json", {"model_type": "p"})
@@ -88,6 +93,7 @@ def test_headers(tables):
         ("good", "model-2.safetensors", "odd", "?", ()),
         ("broken", "fine.safetensors", "t", "F16", (4,)),
         ("plain", "m.safetensors", "t", "F64", (3, 0)),
+        ("with space", "m 1.safetensors", "t", "F64", (5,)),
     }
     assert {(r["shard"], r["issue"]) for r in rows if r["issue"]} == {
         ("short.safetensors", "file is shorter than its length prefix"),
@@ -108,7 +114,7 @@ def test_dtype_breakdown(spark):
 
 def test_totals(tables):
     got = {r["model"]: int(r["parameters"]) for r in ops.parameter_totals(tables["tensors"]).collect()}
-    assert got == {"good": 8, "broken": 4, "plain": 0}
+    assert got == {"good": 8, "broken": 4, "plain": 0, "with space": 5}
 
 
 def test_inventory(tables):
@@ -161,3 +167,4 @@ def test_facts(spark, store, tables):
     assert got["bare"]["architecture"] is None and got["bare"]["config_ok"]
     assert got["bare"]["model_type"] is None
     assert got["empty_map"]["config_ok"] is False
+    assert got["with space"]["model_type"] == "sp"

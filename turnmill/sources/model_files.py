@@ -70,8 +70,10 @@ def _header_problem(path: str) -> tuple[dict | None, str | None]:
     """The parsed header of one weight file, or what is wrong with it."""
     from pyarrow import fs
 
-    location = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-    filesystem, inner = fs.FileSystem.from_uri(location)
+    if path.startswith("file:"):
+        filesystem, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        filesystem, inner = fs.FileSystem.from_uri(path)
     with filesystem.open_input_file(inner) as handle:
         prefix = handle.read(_PREFIX_BYTES)
         if len(prefix) < _PREFIX_BYTES:
@@ -91,19 +93,18 @@ def _header_problem(path: str) -> tuple[dict | None, str | None]:
 
 def _read_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
         for file in batch.to_pylist():
             where = {"model": file["model"], "shard": file["rel_path"]}
             header, issue = _header_problem(file["path"])
             if issue:
-                rows.append({**where, "issue": issue})
-                continue
-            rows.extend(
-                {**where, "tensor": name, "dtype": entry.get("dtype", "?"), "shape": entry.get("shape", [])}
-                for name, entry in header.items()
-                if name != "__metadata__"
-            )
-        yield pa.RecordBatch.from_pylist(rows, schema=_HEADER_ARROW)
+                rows = [{**where, "issue": issue}]
+            else:
+                rows = [
+                    {**where, "tensor": name, "dtype": entry.get("dtype", "?"), "shape": entry.get("shape", [])}
+                    for name, entry in header.items()
+                    if name != "__metadata__"
+                ]
+            yield pa.RecordBatch.from_pylist(rows, schema=_HEADER_ARROW)
 
 
 def read_tensor_headers(files: DataFrame) -> DataFrame:
@@ -120,11 +121,13 @@ def read_tensor_headers(files: DataFrame) -> DataFrame:
 
 def read_json_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     """``model, raw`` of the file ``name`` at the top of each model directory."""
+    # The metadata path is percent-encoded; a plus sign in it is a plus sign.
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     text = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", name)
         .text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+        .select(path.alias("path"), F.col("value").alias("raw"))
     )
     parts = F.split("path", "/")
     depth = len([p for p in root.split(":", 1)[-1].split("/") if p])
