@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import exact_dedup, sharding
+from turnmill.llm import bpe, exact_dedup, langid, sharding, warc
 from turnmill.llm.common import table
 
 QUERIES = {}
@@ -32,6 +32,44 @@ def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text, and of the text they decode to."""
+    encoded = bpe.encode_documents(
+        table(spark, sf_dir, "documents"), vocabulary(), keep=["doc_id"], decoded=True
+    )
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives that it was written to."""
+    index, folder = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return warc.read_records(index, folder, payload=False).drop("url")
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    profiles = langid.learn_profiles(docs.filter(~held_out))
+    found = langid.identify(docs, profiles, ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal normalised texts and the document of each that stays."""
