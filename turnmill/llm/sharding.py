@@ -144,22 +144,15 @@ def _sums(sized: DataFrame, digits: int) -> DataFrame:
     )
 
 
-def _ranges(seg: _Segments, chosen: np.ndarray) -> Column:
-    """A filter for the chosen runs, neighbours joined into one key range."""
-    test = F.lit(False)
-    places = np.flatnonzero(chosen)
-    for run in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
-        test = test | F.col("key").between(seg.first[run[0]], seg.last[run[-1]])
-    return test
-
-
 def _refined(sized: DataFrame, seg: _Segments, chosen: np.ndarray) -> _Segments:
     """Split the chosen runs by further digits of the key."""
     parts = [_Segments(*(getattr(seg, n)[~chosen] for n in ("first", "last", "size", "digits")))]
     for depth in np.unique(seg.digits[chosen]):
         own = chosen & (seg.digits == depth)
         digits = min(int(depth) + _NEXT_DIGITS, _KEY_DIGITS)
-        parts.append(_collect(_sums(sized.filter(_ranges(seg, own)), digits), digits))
+        prefixes = [str(k)[: int(depth)] for k in seg.first[own]]
+        rows = sized.filter(F.substring("key", 1, int(depth)).isin(prefixes))
+        parts.append(_collect(_sums(rows, digits), digits))
     joined = [np.concatenate([getattr(p, n) for p in parts]) for n in ("first", "last", "size", "digits")]
     order = np.argsort(joined[0].astype(str), kind="stable")
     return _Segments(*(a[order] for a in joined))
