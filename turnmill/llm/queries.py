@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import bpe, exact_dedup, langid, sharding, warc
+from turnmill.llm import bpe, exact_dedup, jaccard, langid, sharding, warc
 from turnmill.llm.common import table
 
 QUERIES = {}
@@ -84,3 +84,10 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
+
+
+@query
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document under 5-word shingles and similarity 0.75."""
+    found = jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
