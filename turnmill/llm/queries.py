@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import bpe, exact_dedup, jaccard, langid, sharding, vector_file, warc
+from turnmill.llm import bpe, exact_dedup, jaccard, langid, line_dedup, mixing, sharding, vector_file, warc
 from turnmill.llm.common import table
 
 QUERIES = {}
@@ -51,6 +51,38 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+# The mixture's tree: domains are families of sources.
+DOMAINS = {"web": ("src0",), "books": ("src1", "src2", "src3", "src4", "src5"), "news": ("src6", "src7", "src8", "src9")}
+MIX_LEVELS = ("domain", "lang", "source")
+MIX_WEIGHTS = {"domain": {"web": 3, "books": 3, "news": 2, "other": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """``docs`` with the domain of each source; sources of no family are other."""
+    domain = F.lit("other")
+    for name, sources in DOMAINS.items():
+        domain = F.when(F.col("source").isin(*sources), name).otherwise(domain)
+    return docs.withColumn("domain", domain)
+
+
+@query
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a mixture of half of all words, over at most two epochs."""
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(docs, MIX_LEVELS, MIX_WEIGHTS, budget=F.expr("total div 2"), max_epochs=2, seed=11)
+    return mixed.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one has, in figures."""
+    clean = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.concat_ws(",", F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])))
+    return clean.select(
+        "doc_id", "n_lines", "removed_lines", spans.alias("removed_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    )
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers
