@@ -31,6 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 # How byte-level vocabularies cut a text into words before merging,
 # in full and for texts of Latin-1 characters.
@@ -296,8 +297,9 @@ def encode_documents(
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     shared = docs.sparkSession.sparkContext.broadcast(compile_automaton(path))
     source = docs.select(*[docs[c] for c in kept], docs[text].alias("_encoded_text"))
-    types = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    schema = ", ".join(filter(None, [types, "ids binary, n_tokens bigint", "decoded string" if decoded else ""]))
+    schema = T.StructType(source.schema.fields[:-1]).add("ids", T.BinaryType()).add("n_tokens", T.LongType())
+    if decoded:
+        schema = schema.add("decoded", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)

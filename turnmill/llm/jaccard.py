@@ -124,18 +124,19 @@ def _arrow(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    body = F.col(text).cast("string")
+    return docs.select(F.col(id_column).cast("long").alias("id"), body.alias("text"), F.md5(body).alias("key"))
 
 
 def _profiles(docs: DataFrame, words_each: int) -> DataFrame:
     """For each document its node, size and least hashes; then, with a null size,
     tokens that repeat within a task with the number of documents they are in."""
-    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("minima", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.string()), ("node", pa.int64()), ("n", pa.int32()), ("minima", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
 
     def counted(lot: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(lot), return_counts=True)
         often = counts > 1
-        return _arrow([[None], [None], [None], [None], [tokens[often].view(np.int64)], [counts[often].astype(np.int32)]], schema)
+        return _arrow([[None], [None], [None], [None], [None], [tokens[often].view(np.int64)], [counts[often].astype(np.int32)]], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot, size, seen = [], 0, set()
@@ -158,14 +159,14 @@ def _profiles(docs: DataFrame, words_each: int) -> DataFrame:
                         lot.append(tokens)
                         size += len(tokens)
                 none = [None] * len(nodes)
-                yield _arrow([part.column(0), nodes, sizes, minima, none, none], schema)
+                yield _arrow([part.column(0), part.column(2), nodes, sizes, minima, none, none], schema)
                 if size >= _TOKENS_A_LOT:
                     yield counted(lot)
                     lot, size = [], 0
         if lot:
             yield counted(lot)
 
-    return docs.mapInArrow(run, "id long, node long, n int, minima array<long>, tokens array<long>, counts array<int>")
+    return docs.mapInArrow(run, "id long, key string, node long, n int, minima array<long>, tokens array<long>, counts array<int>")
 
 
 def _frequent(profiles: DataFrame) -> np.ndarray:
@@ -370,12 +371,13 @@ def _opened(pairs: DataFrame, members: DataFrame, sets: DataFrame, at: Threshold
 def jaccard_classes(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", *, words_each: int = 5, part: int = 75, whole: int = 100
 ) -> DataFrame:
-    """Rows ``id, n_shingles, node, component_id``, one per row of ``docs``.
+    """Rows ``id, key, n_shingles, node, component_id``, one per row of ``docs``.
 
     Documents are linked when their sets of shingles have a Jaccard similarity of at
     least ``part / whole``; ``component_id`` is the smallest id reachable by links, the
     document's own included. Documents with equal sets share a ``node``. Those without
-    words have an empty set, a null node and their own id. Null ids count only where
+    words have an empty set, a null node and their own id. ``key`` is the MD5 of the
+    text, ``first`` the (id, key) of the first document of the component. Null ids count only where
     a component has no other. Other columns are not read; an empty table gives no rows.
     """
     at = Threshold(part, whole)
@@ -400,9 +402,30 @@ def jaccard_classes(
     sets = _sets(docs, profiles, members.select("node"), words_each)
     far = _opened(pairs, members, sets, at)
     labels = components(near.union(far))
-    labelled = profiles.filter("n is not null").select("id", "node", "n").join(labels, "node", "left")
+    labelled = profiles.filter("n is not null").select("id", "key", "node", "n").join(labels, "node", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "node"))
-    least = labelled.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"))
-    return labelled.join(least, "label", "left").select(
-        "id", F.col("n").cast("long").alias("n_shingles"), "node", F.coalesce("least", "id").alias("component_id")
+    least = labelled.filter("label is not null").groupBy("label").agg(
+        F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first")
     )
+    return labelled.join(least, "label", "left").select(
+        "id", "key", F.col("n").cast("long").alias("n_shingles"), "node",
+        F.coalesce("least", "id").alias("component_id"), F.struct("first.id", "first.key").alias("first"),
+    )
+
+
+def first_of_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without all but the first document of each class.
+
+    First is the smallest id, then the smallest MD5 of the text; of rows that are
+    equal in both one stays. Documents without words all stay. ``options`` as in
+    :func:`jaccard_classes`.
+    """
+    classes = jaccard_classes(docs, id_column, text, **options).filter("node is not null")
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & F.col("key").eqNullSafe(F.col("first.key"))
+    found = materialize(classes.select(F.col("id").alias("_id"), F.col("key").alias("_key"), stays.alias("stays")), "classes")
+    keyed = docs.withColumn("_own_key", F.md5(F.col(text).cast("string")))
+    same = F.col("_own_key").eqNullSafe(F.col("_key")) & F.col(id_column).cast("long").eqNullSafe(F.col("_id"))
+    left = keyed.join(_small(found.filter(~F.col("stays")).select("_id", "_key").distinct()), same, "left_anti")
+    copies = _small(found.filter("stays").groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    one = left.join(copies, same, "left_semi").dropDuplicates([id_column, "_own_key"])
+    return left.join(copies, same, "left_anti").union(one).drop("_own_key")

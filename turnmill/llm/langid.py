@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "und"
 _DIMENSIONS = 1024
@@ -152,7 +153,7 @@ def identify(docs: DataFrame, profiles: DataFrame, id_columns: list[str], text:
     shared = docs.sparkSession.sparkContext.broadcast((matrix / np.where(norms == 0, 1, norms)).astype(np.float32))
     kept = [f"_kept_{i}" for i in range(len(id_columns))]
     source = docs.select(*[docs[c].alias(k) for c, k in zip(id_columns, kept, strict=True)], docs[text].alias("_body"))
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["lang_pred string", "score double"])
+    schema = T.StructType(source.schema.fields[:-1]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
 
     def predict(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnmill.llm.common import whole
 from turnmill.session import materialize
@@ -128,7 +129,6 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     joined = source.join(_small(cuts.withColumnRenamed("key", "_key")), F.col("key") == F.col("_key"), "left")
     place = kept.index(text)
     rows = joined.select(*[f"_{i}" for i in range(len(kept))], "cut")
-    span = "array<struct<start:int,end:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -149,6 +149,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                 columns += [pa.array(counts, pa.int32()), pa.array(cut_lines, pa.int32()), pa.array(removed, spans)]
                 yield pa.RecordBatch.from_arrays(columns, [*(f"_{i}" for i in range(len(kept))), *made])
 
-    types = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    done = rows.mapInArrow(run, ", ".join([*types, "n_lines int", "removed_lines int", f"removed {span}"]))
-    return done.toDF(*kept, *made)
+    spans_type = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()))
+    schema = T.StructType(rows.schema.fields[:-1]).add("n_lines", T.IntegerType())
+    schema = schema.add("removed_lines", T.IntegerType()).add("removed", spans_type)
+    return rows.mapInArrow(run, schema).toDF(*kept, *made)

@@ -111,7 +111,7 @@ def mix(
     text: str = "text",
     tokens: Column | None = None,
 ) -> DataFrame:
-    """Rows ``id, <levels>, tokens, epoch, take_tokens``: the documents of the mixture.
+    """Rows ``id, text_key, <levels>, tokens, epoch, take_tokens``: the documents of the mixture.
 
     ``weights[level][name]`` is a positive whole number, 1 where none is given.
     ``budget`` is in tokens and may refer to ``total`` (all tokens, the default);
@@ -145,7 +145,7 @@ def mix(
     for c in levels:
         keys = keys & F.col(c).eqNullSafe(F.col(f"_{c}"))
     placed = rows.join(targets, keys).drop(*[f"_{c}" for c in levels])
-    columns = ["id", *levels, "tokens"]
+    columns = ["id", "text_key", *levels, "tokens"]
     full = placed.filter("epochs > 0").select(
         *columns, F.explode(F.sequence(F.lit(1).cast("long"), "epochs")).alias("epoch"), F.col("tokens").alias("take_tokens")
     )
