@@ -241,7 +241,8 @@ def _differing(docs: DataFrame, decided: DataFrame, id_column: str, text: str) -
     shared = decided.filter(F.col("group_size") > 1).select("id", "digest", "keep_id").distinct()
     texts = docs.select(
         F.col(id_column).cast("long").alias("id"), text_digest(F.col(text)).alias("digest"), normalized(F.col(text)).alias("body")
-    ).join(shared, ["id", "digest"])
+    )
+    texts = materialize(texts.join(shared, ["id", "digest"]), "shared-texts")
     stays = texts.filter(F.col("id") == F.col("keep_id")).select("digest", F.col("body").alias("kept_body"))
     return texts.filter(F.col("id") != F.col("keep_id")).join(stays, "digest").filter(F.col("body") != F.col("kept_body"))
 
