@@ -9,8 +9,10 @@ from turnmill.llm import bpe, jaccard, langid, line_dedup, mixing
 from turnmill.llm.queries import MIX_LEVELS, MIX_WEIGHTS, vocabulary, with_domain
 from turnmill.session import new_folder
 
-# A text whose cosine with every learned language is smaller is in none of them.
-MIN_LANGUAGE_SCORE = 0.25
+# A text of so many characters whose cosine with every learned language is smaller is
+# in none of them. Shorter texts have too few trigrams to be rejected by score.
+MIN_LANGUAGE_SCORE = 0.1
+MIN_SCORED_CHARS = 100
 MAX_EPOCHS = 2
 SEED = 11
 
@@ -33,7 +35,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     profiles = langid.learn_profiles(docs)
     rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
     found = langid.identify(rows, profiles, ["_row"], text="_text")
-    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    alike = (F.col("score") >= MIN_LANGUAGE_SCORE) | (F.length("_row.text") < MIN_SCORED_CHARS)
+    known = (F.col("lang_pred") != langid.UNKNOWN) & alike
     return found.filter(known).select("_row.*")
 
 
