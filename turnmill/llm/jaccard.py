@@ -423,9 +423,9 @@ def first_of_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     classes = jaccard_classes(docs, id_column, text, **options).filter("node is not null")
     stays = F.col("id").eqNullSafe(F.col("first.id")) & F.col("key").eqNullSafe(F.col("first.key"))
     found = materialize(classes.select(F.col("id").alias("_id"), F.col("key").alias("_key"), stays.alias("stays")), "classes")
-    keyed = docs.withColumn("_own_key", F.md5(F.col(text).cast("string")))
-    same = F.col("_own_key").eqNullSafe(F.col("_key")) & F.col(id_column).cast("long").eqNullSafe(F.col("_id"))
-    left = keyed.join(_small(found.filter(~F.col("stays")).select("_id", "_key").distinct()), same, "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("id"), F.md5(F.col(text).cast("string")).alias("key"))
+    same = F.col("key").eqNullSafe(F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))
+    left = rows.join(_small(found.filter(~F.col("stays")).select("_id", "_key").distinct()), same, "left_anti")
     copies = _small(found.filter("stays").groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    one = left.join(copies, same, "left_semi").dropDuplicates([id_column, "_own_key"])
-    return left.join(copies, same, "left_anti").union(one).drop("_own_key")
+    one = left.join(copies, same, "left_semi").dropDuplicates(["id", "key"])
+    return left.join(copies, same, "left_anti").union(one).select("row.*")

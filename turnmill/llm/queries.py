@@ -73,6 +73,56 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumnRenamed("id", "doc_id").drop("text_key")
 
 
+def _mix_sql() -> str:
+    """The mixture in SQL: one level of the tree after the other."""
+    case = lambda column, weights: f"CASE {' '.join(f"WHEN {column} = '{k}' THEN {v}" for k, v in weights.items())} ELSE 1 END" if weights else "1"
+    domain = "CASE " + " ".join(f"WHEN source IN ({', '.join(map(repr, x))}) THEN '{k}'" for k, x in DOMAINS.items()) + " ELSE 'other' END"
+    parts = [
+        rf"""d AS (SELECT doc_id, {domain} AS domain, lang, source, md5(coalesce(text, '')) AS text_key,
+        CASE WHEN body = '' THEN 0 ELSE len(string_split_regex(body, '[\x20\x09-\x0D]+')) END AS tokens
+        FROM (SELECT *, regexp_replace(coalesce(text, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS body FROM documents))""",
+        "leaves AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS tokens FROM d WHERE tokens > 0 GROUP BY ALL)",
+        "p0 AS (SELECT 0 AS root, least(sum(tokens) // 2, sum(tokens) * 2)::HUGEINT AS budget FROM leaves)",
+    ]
+    above = ["root"]
+    for depth, level in enumerate(MIX_LEVELS, 1):
+        path = ", ".join(MIX_LEVELS[:depth])
+        parent = ", ".join(above)
+        full_first = f"PARTITION BY {parent} ORDER BY cap / weight, {level}"
+        before = f"({full_first} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        upto = f"({full_first} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        group = f"(PARTITION BY {parent})"
+        parts += [
+            f"""c{depth} AS (SELECT * FROM (SELECT 0 AS root, {path}, sum(tokens)::HUGEINT * 2 AS cap,
+            max({case(level, MIX_WEIGHTS.get(level, {}))})::HUGEINT AS weight FROM leaves GROUP BY ALL) JOIN p{depth - 1} USING ({parent}))""",
+            f"""r{depth} AS (SELECT *, cap * (sum(weight) OVER {group} - coalesce(sum(weight) OVER {before}, 0))
+            <= (budget - coalesce(sum(cap) OVER {before}, 0)) * weight AS fits FROM c{depth})""",
+            f"f{depth} AS (SELECT *, bool_and(fits) OVER {upto} AS filled FROM r{depth})",
+            f"""o{depth} AS (SELECT *, budget - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER {group} AS rest,
+            sum(CASE WHEN filled THEN 0 ELSE weight END) OVER {group} AS open,
+            sum(CASE WHEN filled THEN 0 ELSE weight END) OVER {upto} AS upto FROM f{depth})""",
+            f"""p{depth} AS (SELECT root, {path}, CASE WHEN filled THEN cap
+            ELSE (rest * upto)::HUGEINT // open::HUGEINT - (rest * (upto - weight))::HUGEINT // open::HUGEINT END AS budget FROM o{depth})""",
+        ]
+        above.append(level)
+    leaf = ", ".join(MIX_LEVELS)
+    parts += [
+        f"t AS (SELECT {leaf}, budget // tokens AS epochs, budget % tokens AS over FROM leaves JOIN p{len(MIX_LEVELS)} USING ({leaf}))",
+        f"placed AS (SELECT * FROM d JOIN t USING ({leaf}) WHERE tokens > 0)",
+        f"""started AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY {leaf}
+        ORDER BY md5(concat_ws(':', '11', (epochs + 1)::VARCHAR, doc_id::VARCHAR, text_key)), doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM placed WHERE over > 0)""",
+    ]
+    return (
+        f"WITH {', '.join(parts)} SELECT doc_id, {leaf}, tokens::BIGINT AS tokens, epoch::BIGINT AS epoch, tokens::BIGINT AS take_tokens"
+        f" FROM (SELECT *, unnest(range(1, epochs::BIGINT + 1)) AS epoch FROM placed)"
+        f" UNION ALL SELECT doc_id, {leaf}, tokens::BIGINT, (epochs + 1)::BIGINT, least(tokens, over - start)::BIGINT FROM started WHERE start < over"
+    )
+
+
+ORACLES["op3_mix_sources"] = _mix_sql()
+
+
 @query
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier one has, in figures."""
@@ -111,6 +161,20 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, folder, payload=False).drop("url")
 
 
+ORACLES["op5_warc_archive"] = """
+WITH p AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4)::INTEGER, 5) AS INTEGER) >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)
+    for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+"""
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
@@ -163,3 +227,23 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document under 5-word shingles and similarity 0.75."""
     found = jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+ORACLES["op10_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x for x in string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+    WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE [array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)] END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = other)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
