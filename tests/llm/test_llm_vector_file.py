@@ -1,0 +1,65 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from turnmill.llm import vector_file as vf
+
+SCHEMA = "vec_id long, embedding array<double>"
+
+
+def _expected(rows, is_query, k):
+    whole = []
+    for n, (i, v) in enumerate(rows):
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+            whole.append((n, i, [math.floor(256 * x) for x in v]))
+    out = []
+    for n, i, q in whole:
+        if is_query(i):
+            scores = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for m, j, v in whole if m != n and len(v) == len(q))
+            out += [(i, rank, j, -s) for rank, (s, j) in enumerate(scores[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [0.2, 3.0, 1e4])
+def test_brute_force(spark, scale):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=12) * scale).tolist()) for i in range(300)]
+    rows += [(300 + i, rows[i % 5][1]) for i in range(40)]
+    got = vf.top_k(spark.createDataFrame(rows, SCHEMA).repartition(5), F.col("vec_id") % 10 == 0, 5)
+    assert sorted(map(tuple, got.collect())) == _expected(rows, lambda i: i % 10 == 0, 5)
+
+
+def test_odd_rows(spark):
+    rows = [
+        (0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, None), (2, []), (3, [1.0, None]), (4, [1.0, float("nan")]), (5, [float("inf"), 0.0]),
+        (None, [1.0, 1.0]), (6, [0.5, -0.5]), (7, [0.5, -0.5]), (10, [3.0]), (20, [1e12, -1e12]), (30, [0.0, 0.0]), (40, [1.0, 2.0, 3.0]),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = _expected(rows, lambda i: i % 10 == 0, 3)
+    assert sorted(map(tuple, vf.top_k(df, F.col("vec_id") % 10 == 0, 3).collect())) == want
+    clash = df.withColumns({c: F.lit(1) for c in ("row", "vector", "cells", "dims", "query", "score")})
+    assert sorted(map(tuple, vf.top_k(clash, F.col("vec_id") % 10 == 0, 3).collect())) == want
+    assert vf.top_k(df.limit(0), F.col("vec_id") % 10 == 0, 3).collect() == []
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(vf, "_QUERIES_A_PASS", 7)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(120)]
+    got = vf.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 3 == 0, 4)
+    assert sorted(map(tuple, got.collect())) == _expected(rows, lambda i: i % 3 == 0, 4)
+
+
+def test_scores_beyond_64_bits():
+    a = np.array([[2**62, 2**62]], np.int64)
+    assert vf.exact_scores(a, a)[0] == 2**63 - 1 and vf.exact_scores(a, -a)[0] == -(2**63)
+
+
+def test_cells_leave_few_candidates(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=32) / 6).tolist()) for i in range(2000)]
+    file, grids = vf.build_file(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding")
+    queries = file.filter("vec_id < 20").select("row", "dims", "vector").toPandas()
+    assert vf._scan(file, grids, queries, 5).count() < 0.1 * 20 * 2000
