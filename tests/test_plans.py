@@ -42,6 +42,13 @@ def test_no_full_table_in_one_task(spark, name):
             assert "HashAggregate" in below or "Window" in below, below
 
 
+@pytest.mark.parametrize("name", ["bigram_perplexity", "bigram_losses", "eval_report", "token_counts", "truncate_tokens"])
+def test_texts_are_not_dealt_round_robin(spark, name):
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
+    assert "RoundRobin" not in plan
+    assert len(re.findall(r"FileScan.*documents\.parquet", plan)) <= 3
+
+
 def test_split_does_not_shuffle_the_rows(spark):
     main = plan_of(QUERIES["split_exact"](spark, SF_DIR))
     assert "Subquery" in main and "BroadcastNestedLoopJoin" not in main

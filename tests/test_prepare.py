@@ -72,7 +72,21 @@ def test_malformed_record_aborts_or_is_skipped(spark, corpus):
 
 def test_quarantined_json_is_left_out(spark, corpus):
     (corpus / "bad.jsonl").write_text('{bad\n{"text":"t"}\n')
-    assert prepare_dataset(spark, str(corpus), on_bad_json="quarantine").stats.first()["kept"] == 27
+    prepared = prepare_dataset(spark, str(corpus), on_bad_json="quarantine")
+    stats = prepared.stats.first()
+    assert (stats["seen"], stats["kept"], stats["dropped"], stats["rejected"]) == (28, 27, 0, 1)
+    assert [(r["reason"], r["raw"]) for r in prepared.rejected.collect()] == [("invalid JSON", "{bad")]
+
+
+def test_quarantine_keeps_every_reject(spark, corpus):
+    (corpus / "bad.jsonl").write_text('{bad\n{"foo":1}\n{"text":" "}\n')
+    prepared = prepare_dataset(spark, str(corpus), on_bad_json="quarantine", on_error="quarantine")
+    stats = prepared.stats.first()
+    assert stats["seen"] == stats["kept"] + stats["dropped"] + stats["rejected"] == 29
+    rows = sorted((r["ordinal"], r["reason"], r["raw"]) for r in prepared.rejected.collect())
+    assert rows == [(1, "invalid JSON", "{bad"), (2, "no known layout; keys: foo", '{"foo":1}')]
+    skipped = prepare_dataset(spark, str(corpus), on_bad_json="skip", on_error="skip")
+    assert skipped.rejected.collect() == [] and skipped.stats.first()["rejected"] == 0
 
 
 def test_head_sample_is_in_read_order(spark, corpus):

@@ -9,6 +9,7 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as entry
+from turnmill.queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -21,14 +22,15 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["conv_id", "format", "text", "split"]
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
     df = entry.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)

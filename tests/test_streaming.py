@@ -9,7 +9,7 @@ from turnmill.operators.conversations import render
 from turnmill.operators.formats import normalize
 from turnmill.sources.records import read_records
 from turnmill.streaming.deltas import accumulate_deltas
-from turnmill.streaming.ingest import start_ingest, stream_records, stream_rendered
+from turnmill.streaming.ingest import start_ingest, stream_records, stream_rejected, stream_rendered
 from turnmill.streaming.latency import windowed_latency
 
 
@@ -29,7 +29,7 @@ def test_ingest_equals_batch(spark, tmp_path):
     drop("b.jsonl", [{"instruction": "i", "output": "o"}, "[1]"])
 
     def ingest():
-        rendered = stream_rendered(stream_records(spark, str(source), max_files=1), template=ROLE_PREFIX)
+        rendered = stream_rendered(stream_records(spark, str(source), max_files=1), template=ROLE_PREFIX, on_error="skip")
         start_ingest(rendered, out, state).awaitTermination()
 
     ingest()
@@ -44,11 +44,22 @@ def test_ingest_equals_batch(spark, tmp_path):
 
 def test_strict_ingest_fails(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("{bad\n")
-    rendered = stream_rendered(stream_records(spark, str(tmp_path)), on_error="raise")
+    rendered = stream_rendered(stream_records(spark, str(tmp_path)))
     with pytest.raises(Exception, match="invalid JSON"):
         start_ingest(rendered, str(tmp_path / "o"), str(tmp_path / "s")).awaitTermination()
 
 
+def test_rejects_have_a_sink_of_their_own(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{bad\n{"text":"t"}\n{"foo":1}\n')
+    records = stream_records(spark, str(tmp_path / "in"))
+    start_ingest(stream_rejected(records), str(tmp_path / "r"), str(tmp_path / "rs")).awaitTermination()
+    start_ingest(stream_rendered(records, on_error="quarantine"), str(tmp_path / "o"), str(tmp_path / "os")).awaitTermination()
+    rows = sorted((r["reason"], r["raw"]) for r in spark.read.parquet(str(tmp_path / "r")).collect())
+    assert rows == [("invalid JSON", "{bad"), ("no known layout; keys: foo", '{"foo":1}')]
+    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "o")).collect()] == ["t"]
+
+
 def deltas(count=40):
     rows = [(r, seq, f" {r}.{seq}" if seq % 5 else "") for r in ("x", "y") for seq in range(count)]
     random.Random(3).shuffle(rows)

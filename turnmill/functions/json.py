@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from turnmill.functions.sql import bind
 
-# A record whose binary form passes this limit cannot be held in a VARIANT.
-VARIANT_LIMIT_BYTES = 16 * 1024 * 1024
+# The binary form of a VARIANT is limited to 128 MiB; shorter texts always fit.
+VARIANT_LIMIT_BYTES = 64 * 1024 * 1024
 
 
-# What the parser takes: standard JSON, and NaN and Infinity as Python writes them.
-_OPTIONS = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'true')"
+# What the parser takes: standard JSON with strings of any length, and NaN and Infinity
+# as Python writes them.
+_OPTIONS = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'true', 'maxStringLen', '2147483647')"
 
 
 def _checksum(raw: str) -> str:

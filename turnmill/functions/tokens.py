@@ -11,13 +11,20 @@ from pyspark.sql import types as T
 
 Tokenizer = Callable[[Column], Column]
 
+_BLANKS = " \t\n\r\f"
 _SPACES = "[ \\t\\n\\r\\f]+"
 
 
 def whitespace_tokens(text: Column) -> Column:
     """Runs of characters between ASCII blanks; null gives no tokens."""
-    pieces = F.split(F.coalesce(text, F.lit("")), _SPACES)
-    return F.filter(pieces, lambda t: t != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANKS))
+    none = F.array().cast("array<string>")
+    return F.when(trimmed == "", none).otherwise(F.split(trimmed, _SPACES))
+
+
+def given_tokens(tokens: Column) -> Column:
+    """For a column that holds token arrays already."""
+    return tokens
 
 
 def batch_tokenizer(encode: Callable[[list[str]], Sequence[Sequence[str]]]) -> Tokenizer:

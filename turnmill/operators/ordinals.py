@@ -118,7 +118,10 @@ def running_total(
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Turn ``block`` and ``position`` of scanned lines into 1-based line numbers.
+    """Turn ``block`` and ``position`` of written lines into 1-based line numbers.
+
+    ``lines`` is read twice and must give the same rows both times, so pass a written
+    table. A line whose block was not counted fails the job.
 
     The line text is not shuffled: one row per file block is counted, written,
     and its first line number joined back. The table is broadcast while its row
@@ -140,7 +143,8 @@ def number_lines(lines: DataFrame) -> DataFrame:
     if found["rows"] <= _BROADCAST_BLOCKS and found["files"] == found["hashes"]:
         short = starts.select(F.xxhash64("file").alias("file_key"), "block", "shift")
         keyed = lines.withColumn("file_key", F.xxhash64("file"))
-        joined = keyed.join(F.broadcast(short), ["file_key", "block"]).drop("file_key")
+        joined = keyed.join(F.broadcast(short), ["file_key", "block"], "left").drop("file_key")
     else:
-        joined = lines.join(starts, ["file", "block"])
-    return joined.withColumn("ordinal", F.col("position") + F.col("shift")).drop("shift")
+        joined = lines.join(starts, ["file", "block"], "left")
+    unknown = F.raise_error(F.concat_ws(" ", F.lit("no count for block"), "block", F.lit("of"), "file")).cast("bigint")
+    return joined.withColumn("ordinal", F.coalesce(F.col("position") + F.col("shift"), unknown)).drop("shift")

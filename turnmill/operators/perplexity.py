@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnmill.functions.text import is_blank
 from turnmill.functions.tokens import Tokenizer, whitespace_tokens
@@ -99,6 +100,8 @@ class BigramModel:
                 "prev", F.when(F.col("prev_count").isNotNull(), F.col("prev")).otherwise(UNKNOWN)
             )
         )
+        # Unknown words have become equal, so their pairs are summed again.
+        resolved = resolved.groupBy(*groups, "prev", "next", "prev_count").agg(F.sum("times").alias("times"))
         # A training text may hold the unknown word itself; then it has counts too.
         unknown = self.words.filter(F.col("prev") == UNKNOWN)
         unknown_count = unknown.agg(F.max("prev_count").alias("c")).scalar()
@@ -128,7 +131,7 @@ class BigramModel:
     ) -> DataFrame:
         """The same figure as :func:`perplexity` over :meth:`losses`, without a
         row per example: only group totals leave the joins."""
-        scored = texts.filter(~is_blank(F.col(text)))
+        scored = texts if isinstance(texts.schema[text].dataType, T.ArrayType) else texts.filter(~is_blank(F.col(text)))
         scorable = F.size(self._tokens(text, max_length)) >= 2
         used = scored.groupBy(*groups).agg(F.count_if(scorable).alias("n_used"))
         totals = self.surprise(scored, *groups, text=text, max_length=max_length)

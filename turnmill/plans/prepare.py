@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,22 @@ from turnmill.sources.records import in_read_order, read_records
 
 @dataclass(frozen=True)
 class Prepared:
-    """A corpus with its one-row count table (``seen``, ``kept``, ``num_train``, ``num_eval``)."""
+    """A corpus, its one-row count table, and what was put into quarantine.
+
+    ``stats`` has ``seen = kept + dropped + rejected``, ``num_train`` and ``num_eval``.
+    ``rejected`` has ``record_id, file, ordinal, reason, raw``; it is empty unless
+    ``on_bad_json`` or ``on_error`` is ``"quarantine"``.
+    """
 
     corpus: DataFrame
     stats: DataFrame
+    rejected: DataFrame
     text_field: str = "text"
 
 
+_REJECTED = ["record_id", "file", "ordinal", "reason", "raw"]
+
+
 def prepare(
     records: DataFrame,
     id_column: str = "record_id",
@@ -67,24 +77,44 @@ def prepare_dataset(
     later reads start from there. A corpus without a usable example is an error.
     """
     records = read_records(spark, path, on_bad_json=on_bad_json)
+    # Counted while the corpus is written, which saves a second pass.
+    read, kept = Observation(), Observation()
+    count = F.count(F.lit(1)).alias("n")
+    rejected = rejects(records, fmt, bad_json=on_bad_json == "quarantine", errors=on_error == "quarantine")
+    records = records.observe(read, count)
     if on_bad_json == "quarantine":
         records = records.filter(F.col("problem").isNull()).drop("problem")
     unified = normalize(records, fmt, default_system=default_system, on_error=on_error)
-    # Counted while the corpus is written, which saves a second pass.
-    seen, kept = Observation(), Observation()
-    count = F.count(F.lit(1)).alias("n")
     columns = ["record_id", "file", "ordinal", "format", "text"]
-    rendered = render(unified.observe(seen, count), template).select(*columns)
+    rendered = render(unified, template).select(*columns)
     written = materialize(rendered.observe(kept, count), "rendered")
-    require_examples(seen.get["n"], kept.get["n"], path)
+    # Records that "skip" leaves out are dropped, not rejected.
+    total = read.get["n"]
+    n_rejected = rejected.count() if "quarantine" in (on_bad_json, on_error) else 0
+    require_examples(total, kept.get["n"], path)
     corpus = seeded_split(written, "record_id", ratio=eval_ratio, seed=seed)
     stats = corpus.agg(
-        F.lit(seen.get["n"]).alias("seen"),
+        F.lit(total).alias("seen"),
+        F.lit(total - kept.get["n"] - n_rejected).alias("dropped"),
+        F.lit(n_rejected).alias("rejected"),
         F.count(F.lit(1)).alias("kept"),
         F.count_if(F.col("split") == "train").alias("num_train"),
         F.count_if(F.col("split") == "eval").alias("num_eval"),
     )
-    return Prepared(corpus, stats)
+    return Prepared(corpus, stats, rejected)
+
+
+def rejects(records: DataFrame, fmt: str = "auto", *, bad_json: bool = True, errors: bool = True) -> DataFrame:
+    """``record_id, file, ordinal, reason, raw`` of records that could not be used:
+    those with a ``problem``, and those in no known layout."""
+    parts = []
+    good = records
+    if "problem" in records.columns:
+        parts.append(records.filter(F.col("problem").isNotNull() & F.lit(bad_json)).withColumnRenamed("problem", "reason"))
+        good = records.filter(F.col("problem").isNull()).drop("problem")
+    failed = normalize(good, fmt, on_error="quarantine").filter(F.col("error").isNotNull() & F.lit(errors))
+    parts.append(failed.withColumnRenamed("error", "reason"))
+    return reduce(DataFrame.unionByName, (p.select(*_REJECTED) for p in parts))
 
 
 def require_examples(seen: int, kept: int, source: str) -> None:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from turnmill.functions.text import PY_WS
 from turnmill.operators.conversations import collect_turns
-from turnmill.operators.staging import spread
 from turnmill.session import configure
 from turnmill.sources.records import parse_lines
 
@@ -25,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns))
+    return table(spark, sf_dir, "documents").select("doc_id", *columns)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnmill.functions.tokens import given_tokens, whitespace_tokens
 from turnmill.operators.lengths import with_token_count
 from turnmill.operators.perplexity import BigramModel, perplexity
 from turnmill.operators.split import seeded_split
@@ -12,6 +13,7 @@ from turnmill.plans.evaluation import evaluation_report
 from turnmill.plans.prepare import prepare
 from turnmill.queries import adapters as a
 from turnmill.queries.batches import _TOKENS
+from turnmill.session import materialize
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -25,19 +27,21 @@ def _perplexity_by_lang(spark, sf_dir) -> DataFrame:
 
 
 def _held_out(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    documents = a.documents(spark, sf_dir, "lang", "text")
-    split = seeded_split(documents, "doc_id", ratio=0.05, seed=42)
-    return split.filter("split = 'train'"), split.filter("split = 'eval'")
+    """Training and held-out token arrays; texts are cut into tokens once."""
+    split = seeded_split(a.documents(spark, sf_dir, "lang", "text"), "doc_id", ratio=0.05, seed=42)
+    tokens = split.select("doc_id", "lang", "split", whitespace_tokens(F.col("text")).alias("tokens"))
+    tokens = materialize(tokens, "tokens")
+    return tokens.filter("split = 'train'"), tokens.filter("split = 'eval'")
 
 
 def _bigram_perplexity(spark, sf_dir) -> DataFrame:
     train, held_out = _held_out(spark, sf_dir)
-    return _rounded(BigramModel(train).perplexity(held_out, "lang"), "perplexity")
+    return _rounded(BigramModel(train, "tokens", tokenizer=given_tokens).perplexity(held_out, "lang", text="tokens"), "perplexity")
 
 
 def _bigram_losses(spark, sf_dir) -> DataFrame:
     train, held_out = _held_out(spark, sf_dir)
-    return _rounded(BigramModel(train).losses(held_out, "doc_id"), "loss")
+    return _rounded(BigramModel(train, "tokens", tokenizer=given_tokens).losses(held_out, "doc_id", text="tokens"), "loss")
 
 
 def _eval_report(spark, sf_dir) -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.operators.formats import normalize
-from turnmill.plans.prepare import prepare
+from turnmill.plans.prepare import prepare, rejects
 from turnmill.queries import adapters as a
 from turnmill.session import new_folder
 from turnmill.sources.records import read_records
 from turnmill.sources.sinks import write_splits
-from turnmill.streaming.ingest import start_ingest, stream_records, stream_rendered
+from turnmill.streaming.ingest import start_ingest, stream_records, stream_rejected, stream_rendered
 
 
 def _written_records(spark, sf_dir) -> str:
@@ -57,19 +57,67 @@ def _stream_ingest(spark, sf_dir) -> DataFrame:
     source, out = new_folder(spark, "incoming"), new_folder(spark, "ingested")
     lines = a.mixed_fields(spark, sf_dir)
     lines.write.json(source)
-    rendered = stream_rendered(stream_records(spark, source, files="*.json"))
+    rendered = stream_rendered(stream_records(spark, source, files="*.json"), on_error="skip")
     start_ingest(rendered, out, new_folder(spark, "ingest-state")).awaitTermination()
     return spark.read.parquet(out).select("format", "text")
 
 
+def _damaged_records(spark, sf_dir) -> str:
+    """The mixed records as line files in which every 25th line lacks its last character."""
+    path = new_folder(spark, "damaged")
+    fields = a.mixed_fields(spark, sf_dir)
+    raw = F.to_json(F.struct(*fields.columns))
+    short = F.expr("substring(raw, 1, length(raw) - 1)")
+    lines = fields.select("conv_id", raw.alias("raw"))
+    lines.select(F.when(F.col("conv_id") % 25 == 8, short).otherwise(F.col("raw")).alias("value")).write.text(path)
+    return path
+
+
+def _reasons(rejected: DataFrame) -> DataFrame:
+    # A damaged record has no value to read its id from.
+    conv_id = F.regexp_extract("raw", '"conv_id":([0-9]+)', 1).cast("bigint")
+    return rejected.select(conv_id.alias("conv_id"), F.col("reason").alias("error"))
+
+
+def _prepared_rejects(spark, sf_dir) -> DataFrame:
+    """What a preparation from files puts into quarantine."""
+    records = read_records(spark, _damaged_records(spark, sf_dir), on_bad_json="quarantine", line_files="*.txt")
+    return _reasons(rejects(records))
+
+
+def _stream_rejects(spark, sf_dir) -> DataFrame:
+    """What a stream of the same files puts into quarantine, read back."""
+    source, out = _damaged_records(spark, sf_dir), new_folder(spark, "rejected")
+    rejected = stream_rejected(stream_records(spark, source, files="*.txt"))
+    start_ingest(rejected, out, new_folder(spark, "rejected-state")).awaitTermination()
+    return _reasons(spark.read.parquet(out))
+
+
 QUERIES = {
+    "prepared_rejects": _prepared_rejects,
+    "stream_rejects": _stream_rejects,
     "scan_records": _scan_records,
     "line_ordinals": _line_ordinals,
     "split_sink": _split_sink,
     "stream_ingest": _stream_ingest,
 }
 
+def _rejected_sql() -> str:
+    """Reasons for the damaged files; every record there has a conv_id of its own."""
+    keys = """CASE WHEN conv_id % 25 = 7 THEN 'conv_id, note'
+      WHEN conv_id % 6 = 2 THEN concat_ws(', ', 'conv_id', 'input', 'note',
+        CASE WHEN len(replies) > 0 THEN 'output' END, CASE WHEN len(systems) > 0 THEN 'system' END)
+      ELSE concat_ws(', ', CASE WHEN len(replies) > 0 AND conv_id % 12 <> 10 THEN 'completion' END, 'conv_id',
+        'note', CASE WHEN len(users) > 0 THEN 'prompt' END,
+        CASE WHEN len(replies) > 0 AND conv_id % 12 = 10 THEN 'response' END) END"""
+    return f"""WITH {a.SQL_CONV}, {a.SQL_DETECTED}
+        SELECT conv_id, CASE WHEN conv_id % 25 = 8 THEN 'invalid JSON' ELSE 'no known layout; keys: ' || {keys} END AS error
+        FROM detected JOIN conv USING (conv_id) WHERE format IS NULL OR conv_id % 25 = 8"""
+
+
 ORACLES = {
+    "prepared_rejects": _rejected_sql(),
+    "stream_rejects": _rejected_sql(),
     "scan_records": f"WITH {a.SQL_CONV}, {a.SQL_DETECTED} SELECT conv_id, format FROM detected",
     "line_ordinals": """
         SELECT CAST(count(DISTINCT conv_id) AS BIGINT) AS n_records, true AS gapless FROM conversations""",

@@ -15,7 +15,7 @@ from turnmill.functions import sql
 from turnmill.functions.json import VARIANT_LIMIT_BYTES, parse_strict, parse_strict_list
 from turnmill.operators.ordinals import number_lines
 from turnmill.operators.staging import with_computed
-from turnmill.session import configure
+from turnmill.session import configure, materialize
 
 LINE_FILES = "*.[jJ][sS][oO][nN][lL]"
 DOCUMENT_FILES = "*.[jJ][sS][oO][nN]"
@@ -30,9 +30,14 @@ def _file_status(spark: SparkSession, path: str):
     return fs.getFileStatus(hadoop_path)
 
 
+def file_name() -> Column:
+    """The path as it is named; metadata has it percent-encoded, plus signs excepted."""
+    return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file")
+
+
 def _provenance() -> list[Column]:
     return [
-        F.col("_metadata.file_path").alias("file"),
+        file_name(),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("position"),
     ]
@@ -45,9 +50,12 @@ def read_lines(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def _malformed(raw: Column, value: Column, utf8: Column) -> Column:
+    # No value for so long a text may be the parser's limit and not the text's fault,
+    # so it is not reported as bad but ends the job.
+    beyond = F.raise_error(F.lit("a record is beyond the size limit of VARIANT")).cast("string")
     return (
         F.when(~utf8, F.lit("invalid UTF-8"))
-        .when(F.octet_length(raw) > VARIANT_LIMIT_BYTES, F.lit("record larger than 16 MiB"))
+        .when(value.isNull() & (F.octet_length(raw) > VARIANT_LIMIT_BYTES), beyond)
         .when(value.isNull(), F.lit("invalid JSON"))
     )
 
@@ -64,7 +72,7 @@ def read_documents(spark: SparkSession, path: str, **options) -> DataFrame:
     documents = (
         spark.read.options(**options)
         .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.expr(sql.strip("value")).alias("raw"))
+        .select(file_name(), F.expr(sql.strip("value")).alias("raw"))
     )
     elements = f"""CASE WHEN startswith(raw, '[') THEN {parse_strict_list("raw")}
         ELSE array({parse_strict("raw")}) END"""
@@ -93,6 +101,7 @@ def read_records(
     *,
     on_bad_json: str = "fail",
     json_files: str = "document",
+    line_files: str = LINE_FILES,
 ) -> DataFrame:
     """Raw records under ``path``: a file, or a directory searched recursively.
 
@@ -102,22 +111,21 @@ def read_records(
 
     ``on_bad_json`` is ``"fail"`` (the job fails, naming file and line), ``"skip"``
     or ``"quarantine"`` (bad records stay, with ``problem`` set and ``v`` null).
-    ``json_files="lines"`` reads ``.json`` files by line too, as Spark writes them.
+    ``json_files="lines"`` reads ``.json`` files by line too, as Spark writes them;
+    ``line_files`` names the files of a directory that are always read so.
     """
     if json_files not in ("document", "lines"):
         raise ValueError("json_files must be 'document' or 'lines'")
     configure(spark)
     parts: list[DataFrame] = []
     if _file_status(spark, path).isDirectory():
-        found = False
-        for glob, is_lines in ((LINE_FILES, True), (DOCUMENT_FILES, json_files == "lines")):
+        for glob, is_lines in ((line_files, True), (DOCUMENT_FILES, json_files == "lines")):
             options = {"recursiveFileLookup": "true", "pathGlobFilter": glob}
-            if not spark.read.options(**options).text(path).inputFiles():
+            if not _has_files(spark, path, options):
                 continue
-            found = True
             read = _numbered_lines if is_lines else read_documents
             parts.append(read(spark, path, **options))
-        if not found:
+        if not parts:
             raise FileNotFoundError(f"no .jsonl or .json files under {path}")
     elif path.lower().endswith(".jsonl") or json_files == "lines":
         parts.append(_numbered_lines(spark, path))
@@ -129,8 +137,17 @@ def read_records(
     return apply_json_policy(records, on_bad_json)
 
 
+def _has_files(spark: SparkSession, path: str, options: dict[str, str]) -> bool:
+    """Whether any file matches; empty files count, and no path comes to the driver."""
+    files = spark.read.format("binaryFile").options(**options).load(path).select("path")
+    return not files.isEmpty()
+
+
 def _numbered_lines(spark: SparkSession, path: str, **options) -> DataFrame:
-    return parse_lines(number_lines(read_lines(spark, path, **options)))
+    """Lines with their numbers. They are scanned once and written with their block and
+    place; counting and parsing read that copy, so neither depends on how the files are
+    split when a later action runs."""
+    return parse_lines(number_lines(materialize(read_lines(spark, path, **options), "lines")))
 
 
 def apply_json_policy(records: DataFrame, on_bad_json: str) -> DataFrame:

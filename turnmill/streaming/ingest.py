@@ -11,7 +11,7 @@ from turnmill.functions.templates import CHATML, Template
 from turnmill.operators.conversations import render
 from turnmill.operators.formats import normalize
 from turnmill.session import configure
-from turnmill.sources.records import LINE_FILES, parse_lines
+from turnmill.sources.records import LINE_FILES, file_name, parse_lines
 
 
 def stream_records(
@@ -26,9 +26,7 @@ def stream_records(
     reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", files)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
-    lines = reader.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.expr(sql.strip("value")).alias("raw")
-    )
+    lines = reader.text(path).select(file_name(), F.expr(sql.strip("value")).alias("raw"))
     return parse_lines(lines).filter(F.col("problem").isNotNull() | F.col("raw").startswith("{"))
 
 
@@ -38,9 +36,13 @@ def stream_rendered(
     fmt: str = "auto",
     template: Template | None = CHATML,
     default_system: str | None = None,
-    on_error: str = "skip",
+    on_error: str = "raise",
 ) -> DataFrame:
-    """The same normalise, filter and render steps as in batch; all stateless."""
+    """The same normalise, filter and render steps as in batch; all stateless.
+
+    Strict like batch unless told otherwise. With ``"quarantine"`` send
+    :func:`stream_rejected` of the same records to a sink of its own.
+    """
     if on_error == "raise":
         bad = F.col("problem").isNotNull()
         fail = F.raise_error(F.concat_ws(": ", "file", "problem")).cast("boolean")
@@ -49,6 +51,15 @@ def stream_rendered(
     return render(normalize(good, fmt, default_system=default_system, on_error=on_error), template)
 
 
+def stream_rejected(records: DataFrame, *, fmt: str = "auto", default_system: str | None = None) -> DataFrame:
+    """``file, reason, raw`` of the records that don't parse or have no known layout."""
+    bad = records.filter(F.col("problem").isNotNull()).select("file", F.col("problem").alias("reason"), "raw")
+    good = records.filter(F.col("problem").isNull()).drop("problem")
+    unified = normalize(good, fmt, default_system=default_system, on_error="quarantine")
+    failed = unified.filter(F.col("error").isNotNull()).select("file", F.col("error").alias("reason"), "raw")
+    return bad.unionByName(failed)
+
+
 def start_ingest(rendered: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append to a Parquet folder until the files present now are done."""
     return (
