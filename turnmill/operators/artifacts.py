@@ -15,6 +15,7 @@ from turnmill.functions import sql
 from turnmill.functions.json import parse_strict, string_or_null
 from turnmill.functions.text import human_bytes
 from turnmill.operators.staging import with_computed
+from turnmill.sources.model_files import is_weights
 
 # The files a usable model needs.
 REQUIRED_FILES = ("config.json",)
@@ -90,7 +91,7 @@ def model_problems(models: DataFrame, files: DataFrame, indexes: DataFrame) -> D
     has = files.groupBy("model").agg(
         *(F.bool_or(F.col("rel_path") == name).alias(name.replace(".", "_")) for name in REQUIRED_FILES),
         F.bool_or(F.col("rel_path").isin(*TOKENIZER_FILES)).alias("tokenizer"),
-        F.bool_or(at_top & F.col("rel_path").endswith(".safetensors")).alias("weights"),
+        F.bool_or(at_top & is_weights(F.col("rel_path"))).alias("weights"),
     )
     indexed = indexes.select("model").distinct().withColumn("indexed", F.lit(True))
     named = indexed_shards(indexes).groupBy("model").agg(F.count(F.lit(1)).alias("named"))
@@ -124,7 +125,7 @@ def report_issues(
     names the missing shards, and covers unreadable headers and bad configs.
     """
     at_top = ~F.contains("rel_path", F.lit("/"))
-    weighted = files.filter(at_top & F.lower("rel_path").endswith(".safetensors")).select("model")
+    weighted = files.filter(at_top & is_weights(F.col("rel_path"))).select("model")
     no_weights = models.select("model").join(weighted, "model", "left_anti").select(
         "model", F.lit("no weight files").alias("issue")
     )

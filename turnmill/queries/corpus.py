@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnmill.functions import sql
 from turnmill.functions.json import content_text, field
 from turnmill.functions.messages import canonical_role, is_usable
 from turnmill.functions.templates import CHATML, ROLE_PREFIX
@@ -12,12 +13,14 @@ from turnmill.operators import conversations as ops
 from turnmill.operators.formats import normalize, status, with_format
 from turnmill.operators.formats import turns as long_turns
 from turnmill.operators.split import seeded_split
-from turnmill.plans.prepare import dataset_report, prepare
+from turnmill.plans.prepare import dataset_report, head_sample, prepare
 from turnmill.queries import adapters as a
 from turnmill.queries.adapters import sql_strip
 from turnmill.sources.records import parse_lines
 
 SYSTEM_PROMPT = "Answer in one paragraph."
+# Fewer than the usable conversations of any table.
+SAMPLE = 5
 
 
 def _rendered(spark, sf_dir, template) -> DataFrame:
@@ -116,14 +119,75 @@ def _prepared(spark, sf_dir) -> DataFrame:
 def _head_sample(spark, sf_dir) -> DataFrame:
     # Ids are enough to find the sample; only its turns are collected.
     turns = a.turns(spark, sf_dir)
-    chosen = (
-        ops.usable_conversations(turns, "conv_id").filter("usable").select("conv_id").orderBy("conv_id").limit(200)
-    )
+    usable = ops.usable_conversations(turns, "conv_id").filter("usable")
+    chosen = head_sample(usable.select(F.lit("conversations").alias("file"), F.col("conv_id").alias("ordinal")), SAMPLE)
+    chosen = chosen.select(F.col("ordinal").alias("conv_id"))
     sampled = ops.collect_turns(turns.join(chosen, "conv_id", "left_semi"), "conv_id")
     return sampled.select("conv_id", CHATML.render(F.col("messages")).alias("text"))
 
 
+# A JSON string of a SQL text, and the question and answer the edge cases are made of.
+_JSON = "substr(to_json(array({0})), 2, length(to_json(array({0}))) - 2)"
+_ASKED, _TOLD = (f"coalesce(get(filter(messages, m -> m.role = '{r}'), 0).content, 'none')" for r in ("user", "assistant"))
+_EDGES = (
+    '{"messages":[{"role":" Human","content":[{"type":"text","text":$u},"tail",{"type":"image"},7]},{"role":"GPT","content":$r}]}',
+    '{"messages":[{"role":"user","content":null},{"role":"bot","content":12},{"role":"user","content":true},{"role":"user","content":[]}]}',
+    '{"conversations":[{"from":"human","value":$u},{"from":"gpt","value":$r}],"system_prompt":" be brief "}',
+    '{"conversations":[{"from":"human","value":$u},{"from":"gpt"}],"system":"","system_prompt":"short"}',
+    '{"instruction":$u,"output":$r}',
+    '{"instruction":$u,"input":"  ","output":7,"system":"own"}',
+    '{"prompt":$u,"completion":null,"response":$r,"system":" sys "}',
+    '{"prompt":$u,"completion":"","response":$r}',
+    '{"text":"  ","other":$u}',
+    '{"messages":"no list","x":$r}',
+    '{"instruction":" ","output":$r}',
+    '{"messages":[1],"text":$u}',
+)
+
+
+def _normalize_edges(spark, sf_dir) -> DataFrame:
+    """Every conversation as one of a dozen awkward records."""
+    texts = {"u": _JSON.format(_ASKED), "r": _JSON.format(_TOLD)}
+    raw = "CASE "
+    for number, edge in enumerate(_EDGES):
+        parts = edge.replace("$u", "\0u\0").replace("$r", "\0r\0").split("\0")
+        raw += f"WHEN conv_id % {len(_EDGES)} = {number} THEN concat({', '.join(texts.get(p) or sql.literal(p) for p in parts)}) "
+    records = a.conversations(spark, sf_dir).selectExpr("conv_id", f"{raw} END AS raw")
+    unified = normalize(a.parsed(records), default_system="be kind", on_error="quarantine")
+    flat = unified.select("conv_id", "format", "text", "error", F.posexplode_outer("messages").alias("turn", "m"))
+    return flat.select("conv_id", "format", F.col("turn").cast("bigint").alias("turn"), "m.role", "m.content", "text", "error")
+
+
+def _edges_sql() -> str:
+    n = len(_EDGES)
+    own = sql_strip
+    chat = [
+        (0, "openai", 0, "'user'", "u || chr(10) || 'tail'"), (0, "openai", 1, "'assistant'", "r"),
+        (1, "openai", 0, "'user'", "''"), (1, "openai", 1, "'assistant'", "'12'"), (1, "openai", 2, "'user'", "'True'"), (1, "openai", 3, "'user'", "''"),
+        (2, "sharegpt", 0, "'system'", "'be brief'"), (2, "sharegpt", 1, "'user'", "u"), (2, "sharegpt", 2, "'assistant'", "r"),
+        (3, "sharegpt", 0, "'system'", "'short'"), (3, "sharegpt", 1, "'user'", "u"), (3, "sharegpt", 2, "'assistant'", "''"),
+        (4, "alpaca", 0, "'system'", "'be kind'"), (4, "alpaca", 1, "'user'", own("u")), (4, "alpaca", 2, "'assistant'", own("r")),
+        (5, "alpaca", 0, "'system'", "'own'"), (5, "alpaca", 1, "'user'", own("u")), (5, "alpaca", 2, "'assistant'", "'7'"),
+        (6, "prompt", 0, "'system'", "'sys'"), (6, "prompt", 1, "'user'", own("u")), (6, "prompt", 2, "'assistant'", own("r")),
+        (7, "prompt", 0, "'user'", own("u")), (7, "prompt", 1, "'assistant'", "''"),
+    ]
+    rows = [
+        f"SELECT conv_id, '{f}' AS format, {t} AS turn, {role} AS role, {content} AS content, NULL AS text, NULL AS error FROM e WHERE k = {k}"
+        for k, f, t, role, content in chat
+    ]
+    other = [
+        (8, "'text'", "'  '", "NULL"), (9, "NULL", "NULL", "'no known layout; keys: messages, x'"),
+        (10, "'alpaca'", "NULL", "chr(39) || 'instruction' || chr(39) || ' is empty'"),
+        (11, "'openai'", "NULL", "chr(39) || 'messages' || chr(39) || ' must be a list of objects'"),
+    ]
+    rows += [f"SELECT conv_id, {f}, NULL, NULL, NULL, {text}, {error} FROM e WHERE k = {k}" for k, f, text, error in other]
+    return f"""WITH {a.SQL_CONV},
+        e AS (SELECT conv_id, conv_id % {n} AS k, coalesce(users[1], 'none') AS u, coalesce(replies[1], 'none') AS r FROM conv)
+        SELECT conv_id, format, CAST(turn AS BIGINT) AS turn, role, content, text, error FROM ({' UNION ALL '.join(rows)})"""
+
+
 QUERIES = {
+    "normalize_edges": _normalize_edges,
     "render_chatml": lambda s, d: _rendered(s, d, CHATML),
     "render_role_prefix": lambda s, d: _rendered(s, d, ROLE_PREFIX),
     "inference_prompt": _inference_prompt,
@@ -151,6 +215,7 @@ _USABLE = f"bool_or(role = 'user') AND bool_or(role = 'assistant' AND {sql_strip
 _TURN_COLUMNS = "conv_id, CAST(turn AS BIGINT) AS turn, role, content"
 
 ORACLES = {
+    "normalize_edges": _edges_sql(),
     "render_chatml": f"WITH {a.SQL_CONV} SELECT conv_id, chat AS text FROM conv WHERE usable",
     "render_role_prefix": f"""
         SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text
@@ -217,5 +282,5 @@ ORACLES = {
         SELECT conv_id, format, text,
           CASE WHEN n >= 10 AND place <= ceil(0.05::DOUBLE * n) THEN 'eval' ELSE 'train' END AS split
         FROM ranked""",
-    "head_sample": f"WITH {a.SQL_CONV} SELECT conv_id, chat AS text FROM conv WHERE usable ORDER BY conv_id LIMIT 200",
+    "head_sample": f"WITH {a.SQL_CONV} SELECT conv_id, chat AS text FROM conv WHERE usable ORDER BY conv_id LIMIT {SAMPLE}",
 }

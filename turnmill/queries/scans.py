@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.operators.formats import normalize
-from turnmill.plans.prepare import prepare, rejects
+from turnmill.plans.prepare import prepare, prepare_dataset, rejects
 from turnmill.queries import adapters as a
 from turnmill.session import new_folder
 from turnmill.sources.records import read_records
@@ -93,7 +93,21 @@ def _stream_rejects(spark, sf_dir) -> DataFrame:
     return _reasons(spark.read.parquet(out))
 
 
+def _prepare_folder(spark, sf_dir) -> DataFrame:
+    """The file-based preparation over a folder of record files."""
+    path = _written_records(spark, sf_dir)
+    prepared = prepare_dataset(spark, path, eval_ratio=0, on_error="quarantine", json_files="lines")
+    return prepared.corpus.select("format", "text")
+
+
+def _prepare_stats(spark, sf_dir) -> DataFrame:
+    path = _written_records(spark, sf_dir)
+    return prepare_dataset(spark, path, eval_ratio=0.05, on_error="quarantine", json_files="lines").stats
+
+
 QUERIES = {
+    "prepare_folder": _prepare_folder,
+    "prepare_stats": _prepare_stats,
     "prepared_rejects": _prepared_rejects,
     "stream_rejects": _stream_rejects,
     "scan_records": _scan_records,
@@ -116,6 +130,15 @@ def _rejected_sql() -> str:
 
 
 ORACLES = {
+    "prepare_folder": a.SQL_MIXED + " SELECT format, text FROM mixed_rendered",
+    "prepare_stats": a.SQL_MIXED + """,
+        n AS (
+          SELECT count(*) AS seen, count(*) FILTER (format IS NULL) AS rejected,
+                 (SELECT count(*) FROM mixed_rendered) AS kept FROM detected)
+        SELECT seen, seen - rejected - kept AS dropped, rejected, kept,
+          CAST(CASE WHEN kept >= 10 THEN kept - ceil(0.05::DOUBLE * kept) ELSE kept END AS BIGINT) AS num_train,
+          CAST(CASE WHEN kept >= 10 THEN ceil(0.05::DOUBLE * kept) ELSE 0 END AS BIGINT) AS num_eval
+        FROM n""",
     "prepared_rejects": _rejected_sql(),
     "stream_rejects": _rejected_sql(),
     "scan_records": f"WITH {a.SQL_CONV}, {a.SQL_DETECTED} SELECT conv_id, format FROM detected",

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Folders of intermediate tables that this driver has made.
+_made: list[str] = []
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the runtime options the jobs rely on."""
+    """Set the one runtime option the JSON reader relies on."""
     # A repeated JSON key keeps its last value instead of failing the record.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
     return spark
 
 
@@ -27,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     named = tempfile.mkdtemp(prefix="turnmill-")
     spark.conf.set("spark.checkpoint.dir", named)
@@ -46,5 +49,19 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete the tables that :func:`materialize` has written so far; how many.
+
+    Call it when results are written: frames that still read those tables fail.
+    """
+    hadoop = spark._jsc.hadoopConfiguration()
+    count = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return count

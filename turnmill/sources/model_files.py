@@ -8,11 +8,12 @@ the header are read, inside tasks.
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # File kinds that belong to a model, and its index file.
@@ -34,6 +35,11 @@ _HEADER_ARROW = pa.schema(
 )
 
 
+def is_weights(rel_path: Column) -> Column:
+    """Weight files by the exact, case-sensitive suffix."""
+    return rel_path.endswith(WEIGHTS_SUFFIX)
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``model, rel_path, size, path`` of every model file below ``root``.
 
@@ -73,7 +79,7 @@ def _header_problem(path: str) -> tuple[dict | None, str | None]:
     if path.startswith("file:"):
         filesystem, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     else:
-        filesystem, inner = fs.FileSystem.from_uri(path)
+        filesystem, inner = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
     with filesystem.open_input_file(inner) as handle:
         prefix = handle.read(_PREFIX_BYTES)
         if len(prefix) < _PREFIX_BYTES:
@@ -95,7 +101,12 @@ def _read_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for file in batch.to_pylist():
             where = {"model": file["model"], "shard": file["rel_path"]}
-            header, issue = _header_problem(file["path"])
+            try:
+                header, issue = _header_problem(file["path"])
+            except OSError as error:
+                header, issue = None, f"file can't be read: {type(error).__name__}"
+            if not issue and any(n != "__metadata__" and not isinstance(e, dict) for n, e in header.items()):
+                issue = "header has entries that are no objects"
             if issue:
                 rows = [{**where, "issue": issue}]
             else:
@@ -113,9 +124,7 @@ def read_tensor_headers(files: DataFrame) -> DataFrame:
     ``files`` comes from :func:`list_files`. A file whose header cannot be read
     gives one row with ``issue``; the others are read all the same.
     """
-    shards = files.filter(
-        F.lower("rel_path").endswith(WEIGHTS_SUFFIX) & ~F.contains("rel_path", F.lit("/"))
-    )
+    shards = files.filter(is_weights(F.col("rel_path")) & ~F.contains("rel_path", F.lit("/")))
     return shards.select("model", "rel_path", "path").mapInArrow(_read_headers, _HEADER_SCHEMA)
 
 
