@@ -168,3 +168,21 @@ def test_facts(spark, store, tables):
     assert got["bare"]["model_type"] is None
     assert got["empty_map"]["config_ok"] is False
     assert got["with space"]["model_type"] == "sp"
+
+
+def test_bad_entries_and_lost_files_are_issues(spark, tmp_path):
+    import json
+    import struct
+
+    from turnmill.sources.model_files import list_files, read_tensor_headers
+
+    (tmp_path / "m").mkdir()
+    header = json.dumps({"w": [1, 2]}).encode()
+    (tmp_path / "m" / "bad.safetensors").write_bytes(struct.pack("<Q", len(header)) + header)
+    (tmp_path / "m" / "OTHER.SAFETENSORS").write_bytes(b"not read: the suffix is case-sensitive")
+    (tmp_path / "m" / "lost.safetensors").write_bytes(b"12345678")
+    files = list_files(spark, str(tmp_path))
+    rows = files.collect()
+    kept = spark.createDataFrame([(*r[:3], r["path"] + (".gone" if r["rel_path"].startswith("lost") else "")) for r in rows], files.schema)
+    got = {r["shard"]: r["issue"] for r in read_tensor_headers(kept).collect()}
+    assert got == {"bad.safetensors": "header has entries that are no objects", "lost.safetensors": "file can't be read: FileNotFoundError"}

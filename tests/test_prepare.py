@@ -139,3 +139,27 @@ def test_running_total_with_a_hot_group(spark):
         assert got[r["k"]] == seen.get(r["g"], 0)
         seen[r["g"]] = seen.get(r["g"], 0) + r["w"]
     assert math.ceil(0.07 * 100) == 8
+
+
+def test_intermediate_tables_can_be_dropped(spark, tmp_path):
+    import os
+
+    from turnmill import session
+
+    kept = session._made[:]
+    session._made.clear()
+    df = session.materialize(spark.range(5), "tried")
+    folder = session._made[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.isdir(folder)
+    assert session.drop_intermediates(spark) == 1 and not os.path.exists(folder)
+    session._made.extend(kept)
+
+
+def test_sessions_keep_their_time_zone(spark):
+    from turnmill.session import configure
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    configure(spark)
+    assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    spark.conf.set("spark.sql.session.timeZone", before)
