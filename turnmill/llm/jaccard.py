@@ -7,14 +7,16 @@ nodes that are similar, without listing the pairs of a group:
 1. Similar nodes are put into groups: nodes with the same least hash (under
    several hash functions) are compared with one of them, and those that are
    similar form a cluster. Shards of a cluster are groups of some tens of nodes.
-2. Each cluster and group stores the union of its tokens. Only tokens of prefixes
-   are needed for candidates: two similar sets share one among the least
-   ``n - ceil(t * n) + 1`` of each under any common order. Frequent tokens come last
-   in that order, then the hash decides.
-3. The number of shared tokens bounds the overlap of a query and a group. Only
-   pairs of clusters, then of a query and a group, that can reach the threshold are
-   opened and compared exactly; a group is closed again at the first link, because
-   its members are connected already.
+2. Candidates are pairs of clusters. Only tokens of prefixes are needed: two similar
+   sets share one among the least ``n - ceil(t * n) + 1`` of each under any common
+   order. Frequent tokens come last in that order, then the hash decides. The number
+   of shared tokens bounds the overlap; pairs that can't reach the threshold are out.
+3. Members of both clusters are compared first. Where they are not similar, every
+   node of the smaller cluster is a query on the groups of the other. A group has a
+   row in the token-group matrix, a bitmap of its token union; the query's tokens
+   that are set in it bound the overlap, and only qualifying groups are opened.
+4. Two nodes are compared by parity bitmaps first, whose distance bounds that of the
+   sets from below, and then exactly.
 
 Sets are exact up to collisions of 64-bit hashes.
 """
@@ -119,6 +121,48 @@ class Threshold:
         return common >= self.overlap(len(a), len(b))
 
 
+def _power(n: int) -> int:
+    return 1 << max(n - 1, 1).bit_length()
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """The size of a set, and the parity of its tokens in each of some 4 n cells."""
+    cells = 4 * _power(len(tokens))
+    odd = np.bincount((tokens & _U64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return len(tokens).to_bytes(4, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_distance(a: bytes, b: bytes, at: Threshold) -> int | None:
+    """A lower bound of the tokens in which the sets of two sketches differ; None if
+    they can't be similar. Each cell in which the parities differ holds a token that
+    only one of the sets has."""
+    sizes = int.from_bytes(a[:4], "little"), int.from_bytes(b[:4], "little")
+    if at.whole * min(sizes) < at.part * max(sizes):
+        return None
+    x, y = np.frombuffer(a, np.uint8, offset=4), np.frombuffer(b, np.uint8, offset=4)
+    if len(x) < len(y):
+        x, y = y, x
+    # The larger bitmap folded is the bitmap of its set with fewer cells.
+    folded = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    apart = int(np.bitwise_count(folded ^ y).sum())
+    return apart if apart <= sum(sizes) - 2 * at.overlap(*sizes) else None
+
+
+def union_bitmap(sets: list[np.ndarray]) -> bytes:
+    """A group's row of the token-group matrix: the cells that its tokens fall into."""
+    tokens = np.unique(np.concatenate(sets))
+    cells = 16 * _power(len(tokens))
+    bits = np.zeros(cells, np.uint8)
+    bits[(tokens & _U64(cells - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def overlap_bound(tokens: np.ndarray, bitmap: bytes) -> int:
+    """At least as many as the query's tokens that are in the group's union."""
+    place = (tokens & _U64(8 * len(bitmap) - 1)).astype(np.int64)
+    return int((np.frombuffer(bitmap, np.uint8)[place >> 3] >> (7 - (place & 7)) & 1).sum())
+
+
 def _arrow(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
@@ -190,46 +234,53 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, profiles: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
-    """``node, tokens`` (packed) of the given nodes, from the texts of one of their
+    """``node, tokens, sketch`` of the given nodes, from the texts of one of their
     documents in each task at most."""
     wanted = _small(nodes.distinct())
     ids = _small(profiles.filter("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct())
     # Documents without an id can't be chosen by it, so all of them are read.
     texts = docs.join(ids, "id", "left_semi").union(docs.filter("id is null"))
-    schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS_A_STEP):
-                nodes, packed = [], []
+                nodes, packed, sketches = [], [], []
                 for text in batch.slice(at, _ROWS_A_STEP).column(1).to_pylist():
                     tokens = shingle_set(text, words_each)
                     if len(tokens) and (node := node_of(tokens)) not in seen:
                         seen.add(node)
                         nodes.append(node)
                         packed.append(tokens.tobytes())
-                yield _arrow([nodes, packed], schema)
+                        sketches.append(sketch(tokens))
+                yield _arrow([nodes, packed, sketches], schema)
+
+    made = texts.mapInArrow(run, "node long, tokens binary, sketch binary").join(wanted, "node", "left_semi")
+    return materialize(made.groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "sets")
 
-    made = texts.mapInArrow(run, "node long, tokens binary").join(wanted, "node", "left_semi")
-    return materialize(made.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+
+def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """``a, b`` with that column of both nodes as ``s`` and ``t``."""
+    a = sets.select(F.col("node").alias("a"), F.col(column).alias("s"))
+    b = sets.select(F.col("node").alias("b"), F.col(column).alias("t"))
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "s", "t")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar."""
-    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("s")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("tokens").alias("t")), "b"
-    )
+    """The pairs ``a, b`` whose sets are similar: by sketch first, then exactly."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [
-                at.similar(np.frombuffer(s.as_buffer(), _U64), np.frombuffer(t.as_buffer(), _U64))
-                for s, t in zip(batch.column(2), batch.column(3), strict=True)
-            ]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    def kept(test):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [test(s, t) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        return run
 
-    return rows.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    likely = _both(pairs, sets, "sketch").mapInArrow(kept(lambda s, t: least_distance(s, t, at) is not None), "a long, b long")
+    same = lambda s, t: at.similar(np.frombuffer(s, _U64), np.frombuffer(t, _U64))
+    return _both(likely, sets, "tokens").mapInArrow(kept(same), "a long, b long")
 
 
 def _clusters(docs: DataFrame, profiles: DataFrame, words_each: int, at: Threshold) -> tuple[DataFrame, DataFrame]:
@@ -338,34 +389,73 @@ def _shared_tokens(rows: DataFrame, at: Threshold) -> DataFrame:
     return counted.filter(F.col("shared") >= total - behind).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _opened(pairs: DataFrame, members: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
-    """Links of nodes of the first cluster with groups of the second.
+def _matrix(packed: DataFrame) -> DataFrame:
+    """The token-group matrix: ``cluster, part, bitmap`` of the groups of ``packed``,
+    with the ``nodes`` of each and their ``sketches``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [union_bitmap([np.frombuffer(t, _U64) for t in own]) for own in batch["sets"]]
+            yield batch[["cluster", "part"]].assign(bitmap=rows, nodes=batch["nodes"], sketches=batch["sketches"])
+
+    lists = [F.collect_list(c).alias(n) for c, n in (("node", "nodes"), ("tokens", "sets"), ("sketch", "sketches"))]
+    groups = packed.groupBy("cluster", "part").agg(*lists)
+    return groups.mapInPandas(run, "cluster long, part int, bitmap binary, nodes array<long>, sketches array<binary>")
 
-    ``pairs``: a, b (clusters); ``members``: node, cluster, part, for single nodes
-    too. Of each group one link a query node is enough, for a cluster is connected.
-    """
-    packed = members.join(sets, "node").select("cluster", "part", "node", "tokens")
-    groups = packed.groupBy("cluster", "part").agg(F.collect_list("node").alias("nodes"), F.collect_list("tokens").alias("sets"))
-    queries = packed.select(F.col("cluster").alias("a"), F.col("node").alias("query"), F.col("tokens").alias("s"))
-    rows = pairs.join(queries, "a").join(groups.withColumnRenamed("cluster", "b"), "b").select("query", "s", "nodes", "sets")
+
+def _opened(pairs: DataFrame, members: DataFrame, sets: DataFrame, at: Threshold, nearest: bool) -> DataFrame:
+    """Pairs ``a, b`` of nodes: the queries of cluster ``a`` with those members of cluster
+    ``b`` that are in a group the query's tokens qualify and whose sketch may be similar.
+    ``members``: node, cluster, part. With ``nearest`` only the nearest of each group."""
+    packed = members.join(sets, "node")
+    queries = packed.select(F.col("cluster").alias("a"), F.col("node").alias("query"), "tokens", "sketch")
+    matrix = _matrix(packed.join(pairs.select(F.col("b").alias("cluster")).distinct(), "cluster", "left_semi"))
+    rows = pairs.join(queries, "a").join(matrix.withColumnRenamed("cluster", "b"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for query, s, nodes, packed in zip(batch["query"], batch["s"], batch["nodes"], batch["sets"], strict=True):
-                own = np.frombuffer(s, _U64)
-                theirs = [np.frombuffer(t, _U64) for t in packed]
-                union = np.unique(np.concatenate(theirs))
-                bound = len(own) + len(union) - len(np.union1d(own, union))
-                if at.whole * bound < at.part * len(own):
+            for query, packed, own, bitmap, nodes, sketches in batch.itertuples(index=False):
+                tokens = np.frombuffer(packed, _U64)
+                if at.whole * overlap_bound(tokens, bitmap) < at.part * len(tokens):
                     continue
-                for node, tokens in zip(nodes, theirs, strict=True):
-                    if at.similar(own, tokens):
-                        found.append((query, node))
-                        break
+                likely = [(apart, n) for n, s in zip(nodes, sketches, strict=True) if (apart := least_distance(own, s, at)) is not None]
+                found += [(query, n) for _, n in ([min(likely)] if nearest and likely else likely)]
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.mapInPandas(run, "a long, b long")
+    return rows.select("query", "tokens", "sketch", "bitmap", "nodes", "sketches").mapInPandas(run, "a long, b long")
+
+
+def _joined(pairs: DataFrame, members: DataFrame, sets: DataFrame, near: DataFrame, at: Threshold) -> DataFrame:
+    """Components of the near links and of those between clusters: ``node, label``.
+
+    Links between clusters are looked for in rounds, each only between clusters that
+    earlier rounds did not connect: two members of each, then each query with its
+    nearest member of a group, then with all members that may be similar.
+    """
+    ends = members.groupBy("cluster").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("nodes"))
+    named = lambda side: ends.select(*[F.col(c).alias(side if c == "cluster" else f"{side}_{c}") for c in ends.columns])
+    known = materialize(pairs.join(named("a"), "a").join(named("b"), "b"), "cluster-pairs")
+    several = (F.col("a_nodes") > 1) | (F.col("b_nodes") > 1)
+    tried = known.select(F.col("a_least").alias("a"), F.col("b_least").alias("b")).union(known.filter(several).select("a_most", "b_most"))
+    labels = materialize(components(near.union(_verified(tried.distinct(), sets, at))), "labels")
+    side = lambda s: F.struct(F.col(s).alias("cluster"), F.col(f"{s}_least").alias("least"))
+    ordered = F.when(F.col("a_nodes") <= F.col("b_nodes"), F.struct(side("a").alias("x"), side("b").alias("y"))).otherwise(
+        F.struct(side("b").alias("x"), side("a").alias("y"))
+    )
+    left = known.filter(several).select(ordered.alias("p")).select(
+        F.col("p.x.cluster").alias("a"), F.col("p.x.least").alias("a_least"), F.col("p.y.cluster").alias("b"), F.col("p.y.least").alias("b_least")
+    )
+    for nearest in (True, False):
+        of = lambda s: labels.select(F.col("node").alias(f"{s}_least"), F.col("label").alias(f"{s}_label"))  # noqa: B023, E731
+        placed = left.join(of("a"), "a_least", "left").join(of("b"), "b_least", "left")
+        apart = F.coalesce("a_label", "a_least") != F.coalesce("b_label", "b_least")
+        left = materialize(placed.filter(apart).drop("a_label", "b_label"), "open-pairs")
+        links = materialize(_verified(_opened(left.select("a", "b"), members, sets, at, nearest), sets, at), "open-links")
+        if not links.isEmpty():
+            known_links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            labels = materialize(components(known_links.union(links)), "labels")
+    return labels
 
 
 def jaccard_classes(
@@ -400,8 +490,7 @@ def jaccard_classes(
     members = inside.select("node", "cluster", "part").union(alone.select(F.col("cluster").alias("node"), "cluster", F.lit(0)))
     members = materialize(members, "members")
     sets = _sets(docs, profiles, members.select("node"), words_each)
-    far = _opened(pairs, members, sets, at)
-    labels = components(near.union(far))
+    labels = _joined(pairs, members, sets, near, at)
     labelled = profiles.filter("n is not null").select("id", "key", "node", "n").join(labels, "node", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "node"))
     least = labelled.filter("label is not null").groupBy("label").agg(
