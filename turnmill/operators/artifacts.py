@@ -47,11 +47,13 @@ def parameter_totals(tensors: DataFrame) -> DataFrame:
     )
 
 
+def _is_reported() -> Column:
+    return F.lower("rel_path").rlike(r"\.(%s)$" % "|".join(s[1:] for s in REPORTED_SUFFIXES))
+
+
 def file_inventory(files: DataFrame) -> DataFrame:
     """Every reported file with its size, and a total row per model (null path)."""
-    reported = files.filter(
-        F.lower("rel_path").rlike(r"\.(%s)$" % "|".join(s[1:] for s in REPORTED_SUFFIXES))
-    ).select("model", "rel_path", "size")
+    reported = files.filter(_is_reported()).select("model", "rel_path", "size")
     totals = reported.groupBy("model").agg(F.sum("size").alias("size")).select(
         "model", F.lit(None).cast("string").alias("rel_path"), "size"
     )
@@ -116,30 +118,75 @@ def model_problems(models: DataFrame, files: DataFrame, indexes: DataFrame) -> D
     return facts.select("model", F.explode(F.filter(found, lambda p: p.isNotNull())).alias("problem"))
 
 
+def _findings(models: DataFrame, files: DataFrame, tensors: DataFrame, indexes: DataFrame, config: DataFrame) -> DataFrame:
+    """``model, disk_bytes, parameters, issues`` beside the columns of ``config``, among
+    them ``config_ok``. Each table is aggregated once; ``issues`` is a sorted array."""
+    at_top = ~F.contains("rel_path", F.lit("/"))
+    held = files.groupBy("model").agg(
+        F.bool_or(at_top & is_weights(F.col("rel_path"))).alias("weights"),
+        F.sum(F.when(_is_reported(), F.col("size"))).alias("disk_bytes"),
+    )
+    found = F.when(F.col("tensor").isNotNull(), parameter_count(F.col("shape")))
+    unreadable = F.when(F.col("issue").isNotNull(), F.concat_ws(": ", "shard", "issue"))
+    read = tensors.groupBy("model").agg(
+        F.sum(found).cast("decimal(38,0)").alias("parameters"), F.collect_list(unreadable).alias("unreadable")
+    )
+    absent = missing_shards(indexes, files).groupBy("model").agg(
+        F.collect_list(F.concat(F.lit("missing shard "), "shard")).alias("absent")
+    )
+    facts = models.select("model")
+    for part in (config, held, read, absent):
+        facts = facts.join(part, "model", "left")
+    none = F.array().cast("array<string>")
+    issues = F.concat(
+        F.when(F.coalesce("weights", F.lit(False)), none).otherwise(F.array(F.lit("no weight files"))),
+        F.when(F.coalesce("config_ok", F.lit(False)), none).otherwise(
+            F.array(F.lit("config.json is missing or invalid"))
+        ),
+        F.coalesce("unreadable", none),
+        F.coalesce("absent", none),
+    )
+    return facts.select(
+        "model",
+        *[c for c in config.columns if c != "model"],
+        F.coalesce("disk_bytes", F.lit(0)).alias("disk_bytes"),
+        F.coalesce("parameters", F.lit(0).cast("decimal(38,0)")).alias("parameters"),
+        F.array_sort(issues).alias("issues"),
+    )
+
+
+def _filled() -> Column:
+    """Whether ``v`` is an object with any entry."""
+    return F.col("v").isNotNull() & (F.to_json("v") != "{}")
+
+
 def report_issues(
     models: DataFrame, files: DataFrame, tensors: DataFrame, configs: DataFrame, indexes: DataFrame
 ) -> DataFrame:
-    """One row per model and finding of a report.
+    """One row per finding of a report on the given models.
 
     Unlike :func:`model_problems` this tolerates an index that names no shard,
     names the missing shards, and covers unreadable headers and bad configs.
     """
-    at_top = ~F.contains("rel_path", F.lit("/"))
-    weighted = files.filter(at_top & is_weights(F.col("rel_path"))).select("model")
-    no_weights = models.select("model").join(weighted, "model", "left_anti").select(
-        "model", F.lit("no weight files").alias("issue")
-    )
-    unreadable = tensors.filter(F.col("issue").isNotNull()).select(
-        "model", F.concat_ws(": ", "shard", "issue").alias("issue")
-    )
-    good = _parsed(configs).filter(F.col("v").isNotNull() & (F.to_json("v") != "{}")).select("model")
-    bad_config = models.select("model").join(good, "model", "left_anti").select(
-        "model", F.lit("config.json is missing or invalid").alias("issue")
-    )
-    absent = missing_shards(indexes, files).select(
-        "model", F.concat(F.lit("missing shard "), "shard").alias("issue")
-    )
-    return no_weights.unionByName(unreadable).unionByName(bad_config).unionByName(absent)
+    config = _parsed(configs).select("model", _filled().alias("config_ok"))
+    findings = _findings(models, files, tensors, indexes, config)
+    return findings.select("model", F.explode("issues").alias("issue"))
+
+
+def model_report(
+    models: DataFrame,
+    files: DataFrame,
+    tensors: DataFrame,
+    configs: DataFrame,
+    tokenizer_configs: DataFrame,
+    generation_configs: DataFrame,
+    indexes: DataFrame,
+) -> DataFrame:
+    """One row per model: architecture facts, bytes of the reported files, parameters,
+    ``issues``, and ``integrity_ok`` where there are none."""
+    facts = model_facts(models, configs, tokenizer_configs, generation_configs)
+    findings = _findings(models, files, tensors, indexes, facts)
+    return findings.withColumn("integrity_ok", F.size("issues") == 0)
 
 
 def model_facts(
@@ -147,7 +194,7 @@ def model_facts(
 ) -> DataFrame:
     """Architecture facts per model; nulls where a file is missing or invalid."""
     v = F.col("v")
-    filled = v.isNotNull() & (F.to_json(v) != "{}")
+    filled = _filled()
 
     def text_of(key: str, path: str = "") -> Column:
         value = f"try_variant_get(v, '$.{key}{path}', 'variant')"

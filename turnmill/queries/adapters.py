@@ -41,6 +41,13 @@ def _nth(role: str, n: int = 0) -> str:
     return f"get(filter(messages, m -> m.role = '{role}'), {n}).content"
 
 
+def joined(role: str, first: int = 1) -> str:
+    """The texts of a role's turns, from the ``first`` on; null if it has no turn."""
+    own = f"filter(messages, m -> m.role = '{role}')"
+    texts = f"transform(slice({own}, {first}, size({own})), m -> m.content)"
+    return f"CASE WHEN size({own}) > 0 THEN array_join({texts}, '\\n') END"
+
+
 # The JSON fields that hold a conversation in each layout, as SQL over `messages`.
 _NAMED = " ".join(f"WHEN '{role}' THEN '{name}'" for role, name in SHAREGPT_NAMES.items())
 LAYOUT_FIELDS = {
@@ -51,18 +58,19 @@ LAYOUT_FIELDS = {
     },
     "alpaca": {
         "instruction": _nth("user"),
-        "input": f"coalesce({_nth('user', 1)}, '')",
-        "output": _nth("assistant"),
-        "system": _nth("system"),
+        "input": f"coalesce({joined('user', 2)}, '')",
+        "output": joined("assistant"),
+        "system": joined("system"),
     },
     "chatml": {
         "text": """array_join(transform(messages, m ->
             concat('<|im_start|>', m.role, '\\n', m.content, '<|im_end|>\\n')), '')"""
     },
     "prompt": {
-        "prompt": _nth("user"),
-        "completion": f"CASE WHEN conv_id % 12 <> 10 THEN {_nth('assistant')} END",
-        "response": f"CASE WHEN conv_id % 12 = 10 THEN {_nth('assistant')} END",
+        "prompt": joined("user"),
+        "completion": f"CASE WHEN conv_id % 12 <> 10 THEN {joined('assistant')} END",
+        "response": f"CASE WHEN conv_id % 12 = 10 THEN {joined('assistant')} END",
+        "system": joined("system"),
     },
     "text": {"text": "array_join(transform(messages, m -> m.content), '\\n')"},
 }
@@ -115,6 +123,9 @@ conv AS (
          list(text ORDER BY turn) FILTER (role = 'user') AS users,
          list(text ORDER BY turn) FILTER (role = 'assistant') AS replies,
          list(text ORDER BY turn) FILTER (role = 'system') AS systems,
+         string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user') AS asked,
+         string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant') AS told,
+         string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'system') AS ruled,
          string_agg(text, chr(10) ORDER BY turn) AS plain,
          string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), ''
                     ORDER BY turn) AS chat,
@@ -135,8 +146,8 @@ all_turns AS (
 
 SQL_ALPACA = f"""
 alpaca_parts AS (
-  SELECT conv_id, {sql_strip("coalesce(users[1], '')")} AS task, {sql_strip("coalesce(users[2], '')")} AS extra,
-         {sql_strip("coalesce(replies[1], '')")} AS reply, {sql_strip("coalesce(systems[1], '')")} AS sys
+  SELECT conv_id, {sql_strip("coalesce(users[1], '')")} AS task, {sql_strip("coalesce(array_to_string(users[2:], chr(10)), '')")} AS extra,
+         {sql_strip("coalesce(told, '')")} AS reply, {sql_strip("coalesce(ruled, '')")} AS sys
   FROM conv WHERE {sql_strip("coalesce(users[1], '')")} <> ''),
 alpaca_turns AS (
   SELECT conv_id, 0 AS turn, 'system' AS role, sys AS content FROM alpaca_parts WHERE sys <> ''
@@ -148,11 +159,13 @@ alpaca_turns AS (
 
 SQL_PROMPT = f"""
 prompt_parts AS (
-  SELECT conv_id, {sql_strip("coalesce(users[1], '')")} AS task, {sql_strip("coalesce(replies[1], '')")} AS reply
-  FROM conv WHERE {sql_strip("coalesce(users[1], '')")} <> ''),
+  SELECT conv_id, {sql_strip("coalesce(asked, '')")} AS task, {sql_strip("coalesce(told, '')")} AS reply,
+         {sql_strip("coalesce(ruled, '')")} AS sys
+  FROM conv WHERE {sql_strip("coalesce(asked, '')")} <> ''),
 prompt_turns AS (
-  SELECT conv_id, 0 AS turn, 'user' AS role, task AS content FROM prompt_parts
-  UNION ALL SELECT conv_id, 1, 'assistant', reply FROM prompt_parts)"""
+  SELECT conv_id, 0 AS turn, 'system' AS role, sys AS content FROM prompt_parts WHERE sys <> ''
+  UNION ALL SELECT conv_id, CASE WHEN sys <> '' THEN 1 ELSE 0 END, 'user', task FROM prompt_parts
+  UNION ALL SELECT conv_id, CASE WHEN sys <> '' THEN 2 ELSE 1 END, 'assistant', reply FROM prompt_parts)"""
 
 # What auto detection says about each mixed record; NULL for malformed ones.
 # Absent JSON fields decide: a conversation without a user has no 'instruction'.

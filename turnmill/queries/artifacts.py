@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.operators import artifacts as ops
 from turnmill.queries import adapters as a
+from turnmill.session import new_folder
+from turnmill.sources.model_files import file_system, list_files, read_tensor_headers
 
 
 def _model(key: str) -> Column:
@@ -122,7 +128,43 @@ def _dtype_breakdown(spark, sf_dir) -> DataFrame:
     )
 
 
+def _written_store(spark, sf_dir) -> str:
+    """A store with one weight file per model and shard, of which only the header is written."""
+    root = new_folder(spark, "models")
+    entry = F.struct("tensor", F.struct("dtype", "shape"))
+    header = F.to_json(F.map_from_entries(F.collect_list(entry)))
+    headers = tensors(spark, sf_dir).groupBy("model", "shard").agg(header.alias("header"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.to_pylist():
+                system, folder = file_system(f"{root}/{file['model']}")
+                system.create_dir(folder, recursive=True)
+                body = file["header"].encode()
+                with system.open_output_stream(f"{folder}/{file['shard']}") as out:
+                    out.write(struct.pack("<Q", len(body)) + body)
+            yield batch.select(["model"])
+
+    headers.mapInArrow(write, "model string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def _tensor_headers(spark, sf_dir) -> DataFrame:
+    found = read_tensor_headers(list_files(spark, _written_store(spark, sf_dir)))
+    return found.select("model", "shard", "tensor", "dtype", F.array_join("shape", "x").alias("shape"), "issue")
+
+
+def _model_report(spark, sf_dir) -> DataFrame:
+    report = ops.model_report(
+        models(spark, sf_dir), files(spark, sf_dir), tensors(spark, sf_dir), configs(spark, sf_dir),
+        tokenizer_configs(spark, sf_dir), generation_configs(spark, sf_dir), indexes(spark, sf_dir),
+    )
+    return report.withColumns({"parameters": F.col("parameters").cast("bigint"), "issues": F.array_join("issues", "; ")})
+
+
 QUERIES = {
+    "tensor_headers": _tensor_headers,
+    "model_report": _model_report,
     "dtype_breakdown": _dtype_breakdown,
     "parameter_totals": lambda s, d: ops.parameter_totals(tensors(s, d)).select(
         "model", F.col("parameters").cast("bigint").alias("parameters")
@@ -167,6 +209,25 @@ _READABLE = """CASE WHEN size < 1024 THEN printf('%.2f B', size::DOUBLE)
   WHEN size < 1073741824 THEN printf('%.2f MiB', round_even(size / 1048576.0::DOUBLE, 2))
   ELSE printf('%.2f GiB', round_even(size / 1073741824.0::DOUBLE, 2)) END"""
 
+_ISSUES = """
+        SELECT 'model-' || s_suppkey AS model, 'config.json is missing or invalid' AS issue
+        FROM supplier WHERE s_suppkey % 11 IN (5, 6, 7)
+        UNION ALL SELECT 'model-' || s_suppkey, 'no weight files' FROM supplier
+        WHERE 'model-' || s_suppkey NOT IN (SELECT model FROM files WHERE rel_path LIKE '%.safetensors')
+        UNION ALL SELECT model, 'missing shard ' || shard FROM absent"""
+
+_FACTS = """
+        SELECT 'model-' || s_suppkey AS model,
+          CASE WHEN ok THEN 'Arch' || s_nationkey END AS architecture,
+          CASE WHEN ok THEN lower(s_name) END AS model_type,
+          CASE WHEN ok THEN CAST(s_nationkey * 64 AS BIGINT) END AS hidden_size,
+          CASE WHEN ok THEN CAST(s_suppkey % 48 AS BIGINT) END AS num_layers,
+          CASE WHEN ok THEN CAST(s_suppkey * 100 AS BIGINT) END AS vocab_size,
+          CASE WHEN s_suppkey % 5 = 2 THEN 'Tok' || s_nationkey END AS tokenizer_class,
+          CASE WHEN s_suppkey % 2 = 0 THEN '{"top_k":' || (s_suppkey % 7) || '}' END AS generation_config,
+          ok AS config_ok
+        FROM (SELECT *, s_suppkey % 11 NOT IN (5, 6, 7) AS ok FROM supplier)"""
+
 ORACLES = {
     "dtype_breakdown": f"""
         WITH {_TENSORS}, c AS (SELECT model, dtype, sum(numel) AS p FROM tensors GROUP BY model, dtype)
@@ -193,22 +254,21 @@ ORACLES = {
         SELECT model, 'required file config.json is missing' AS problem FROM flags WHERE s_suppkey % 11 = 6
         UNION ALL SELECT model, 'no tokenizer file' FROM flags WHERE s_suppkey % 5 IN (0, 4)
         UNION ALL SELECT model, 'weight shards are missing or incomplete' FROM flags WHERE NOT complete""",
-    "report_issues": f"""
-        WITH {_FILES}
-        SELECT 'model-' || s_suppkey AS model, 'config.json is missing or invalid' AS issue
-        FROM supplier WHERE s_suppkey % 11 IN (5, 6, 7)
-        UNION ALL SELECT 'model-' || s_suppkey, 'no weight files' FROM supplier
-        WHERE 'model-' || s_suppkey NOT IN (SELECT model FROM files WHERE rel_path LIKE '%.safetensors')
-        UNION ALL SELECT model, 'missing shard ' || shard FROM absent""",
-    "model_facts": """
-        SELECT 'model-' || s_suppkey AS model,
-          CASE WHEN ok THEN 'Arch' || s_nationkey END AS architecture,
-          CASE WHEN ok THEN lower(s_name) END AS model_type,
-          CASE WHEN ok THEN CAST(s_nationkey * 64 AS BIGINT) END AS hidden_size,
-          CASE WHEN ok THEN CAST(s_suppkey % 48 AS BIGINT) END AS num_layers,
-          CASE WHEN ok THEN CAST(s_suppkey * 100 AS BIGINT) END AS vocab_size,
-          CASE WHEN s_suppkey % 5 = 2 THEN 'Tok' || s_nationkey END AS tokenizer_class,
-          CASE WHEN s_suppkey % 2 = 0 THEN '{"top_k":' || (s_suppkey % 7) || '}' END AS generation_config,
-          ok AS config_ok
-        FROM (SELECT *, s_suppkey % 11 NOT IN (5, 6, 7) AS ok FROM supplier)""",
+    "report_issues": f"WITH {_FILES} {_ISSUES}",
+    "model_report": f"""
+        WITH {_FILES}, {_TENSORS}, facts AS ({_FACTS}), found AS ({_ISSUES}),
+        i AS (SELECT model, string_agg(issue, '; ' ORDER BY issue) AS issues FROM found GROUP BY model),
+        d AS (SELECT model, CAST(sum(size) AS BIGINT) AS disk_bytes FROM files WHERE rel_path <> 'README.md' GROUP BY model),
+        p AS (SELECT model, CAST(sum(numel) AS BIGINT) AS parameters FROM tensors GROUP BY model)
+        SELECT facts.*, coalesce(disk_bytes, 0) AS disk_bytes, coalesce(parameters, 0) AS parameters,
+               coalesce(issues, '') AS issues, issues IS NULL AS integrity_ok
+        FROM facts LEFT JOIN d USING (model) LEFT JOIN p USING (model) LEFT JOIN i USING (model)""",
+    "tensor_headers": """
+        SELECT 'model-' || l_suppkey AS model, printf('model-%05d.safetensors', l_linenumber) AS shard,
+          'layer.' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS tensor,
+          CASE l_returnflag WHEN 'A' THEN 'F32' WHEN 'N' THEN 'BF16' ELSE 'I8' END AS dtype,
+          CASE WHEN l_tax > 0 THEN CAST(l_quantity AS BIGINT) || 'x' || (l_partkey + 1) ELSE '' END AS shape,
+          CAST(NULL AS VARCHAR) AS issue
+        FROM lineitem""",
+    "model_facts": _FACTS,
 }

@@ -128,7 +128,7 @@ def _head_sample(spark, sf_dir) -> DataFrame:
 
 # A JSON string of a SQL text, and the question and answer the edge cases are made of.
 _JSON = "substr(to_json(array({0})), 2, length(to_json(array({0}))) - 2)"
-_ASKED, _TOLD = (f"coalesce(get(filter(messages, m -> m.role = '{r}'), 0).content, 'none')" for r in ("user", "assistant"))
+_ASKED, _TOLD = (f"coalesce({a.joined(r)}, 'none')" for r in ("user", "assistant"))
 _EDGES = (
     '{"messages":[{"role":" Human","content":[{"type":"text","text":$u},"tail",{"type":"image"},7]},{"role":"GPT","content":$r}]}',
     '{"messages":[{"role":"user","content":null},{"role":"bot","content":12},{"role":"user","content":true},{"role":"user","content":[]}]}',
@@ -182,7 +182,7 @@ def _edges_sql() -> str:
     ]
     rows += [f"SELECT conv_id, {f}, NULL, NULL, NULL, {text}, {error} FROM e WHERE k = {k}" for k, f, text, error in other]
     return f"""WITH {a.SQL_CONV},
-        e AS (SELECT conv_id, conv_id % {n} AS k, coalesce(users[1], 'none') AS u, coalesce(replies[1], 'none') AS r FROM conv)
+        e AS (SELECT conv_id, conv_id % {n} AS k, coalesce(asked, 'none') AS u, coalesce(told, 'none') AS r FROM conv)
         SELECT conv_id, format, CAST(turn AS BIGINT) AS turn, role, content, text, error FROM ({' UNION ALL '.join(rows)})"""
 
 
@@ -259,7 +259,8 @@ ORACLES = {
                         CASE WHEN len(replies) > 0 THEN 'output' END, CASE WHEN len(systems) > 0 THEN 'system' END)
                       ELSE concat_ws(', ', CASE WHEN len(replies) > 0 AND conv_id % 12 <> 10 THEN 'completion' END,
                         'note', CASE WHEN len(users) > 0 THEN 'prompt' END,
-                        CASE WHEN len(replies) > 0 AND conv_id % 12 = 10 THEN 'response' END) END
+                        CASE WHEN len(replies) > 0 AND conv_id % 12 = 10 THEN 'response' END,
+                        CASE WHEN len(systems) > 0 THEN 'system' END) END
           END AS error
         FROM detected JOIN conv USING (conv_id)
         WHERE format IS NULL OR conv_id % 25 = 8""",

@@ -14,6 +14,9 @@ from turnmill.sources.sinks import write_splits
 from turnmill.streaming.ingest import start_ingest, stream_records, stream_rejected, stream_rendered
 
 
+IDS_A_FILE = 16
+
+
 def _written_records(spark, sf_dir) -> str:
     """The mixed records as JSON line files below a new shared folder."""
     path = new_folder(spark, "records")
@@ -29,19 +32,12 @@ def _scan_records(spark, sf_dir) -> DataFrame:
 
 
 def _line_ordinals(spark, sf_dir) -> DataFrame:
-    """Per-file line numbers must run from 1 to the number of lines."""
-    records = read_records(spark, _written_records(spark, sf_dir), json_files="lines")
-    per_file = records.groupBy("file").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("ordinal").alias("last"),
-        F.min("ordinal").alias("first"),
-        F.sum("ordinal").alias("total"),
-    )
-    n = F.col("n")
-    gapless = (F.col("first") == 1) & (F.col("last") == n) & (F.col("total") * 2 == n * (n + 1))
-    return per_file.agg(
-        F.sum("n").alias("n_records"), F.bool_and(gapless).alias("gapless")
-    )
+    """Every record's line number in files of 16 ids each, written in id order."""
+    path = new_folder(spark, "ordered")
+    lots = a.mixed_fields(spark, sf_dir).withColumn("lot", F.expr(f"conv_id div {IDS_A_FILE}"))
+    lots.repartition("lot").sortWithinPartitions("lot", "conv_id").write.partitionBy("lot").json(path)
+    conv_id = F.try_variant_get(F.col("v"), "$.conv_id", "bigint")
+    return read_records(spark, path, json_files="lines").select(conv_id.alias("conv_id"), "ordinal")
 
 
 def _split_sink(spark, sf_dir) -> DataFrame:
@@ -123,7 +119,8 @@ def _rejected_sql() -> str:
         CASE WHEN len(replies) > 0 THEN 'output' END, CASE WHEN len(systems) > 0 THEN 'system' END)
       ELSE concat_ws(', ', CASE WHEN len(replies) > 0 AND conv_id % 12 <> 10 THEN 'completion' END, 'conv_id',
         'note', CASE WHEN len(users) > 0 THEN 'prompt' END,
-        CASE WHEN len(replies) > 0 AND conv_id % 12 = 10 THEN 'response' END) END"""
+        CASE WHEN len(replies) > 0 AND conv_id % 12 = 10 THEN 'response' END,
+        CASE WHEN len(systems) > 0 THEN 'system' END) END"""
     return f"""WITH {a.SQL_CONV}, {a.SQL_DETECTED}
         SELECT conv_id, CASE WHEN conv_id % 25 = 8 THEN 'invalid JSON' ELSE 'no known layout; keys: ' || {keys} END AS error
         FROM detected JOIN conv USING (conv_id) WHERE format IS NULL OR conv_id % 25 = 8"""
@@ -142,8 +139,9 @@ ORACLES = {
     "prepared_rejects": _rejected_sql(),
     "stream_rejects": _rejected_sql(),
     "scan_records": f"WITH {a.SQL_CONV}, {a.SQL_DETECTED} SELECT conv_id, format FROM detected",
-    "line_ordinals": """
-        SELECT CAST(count(DISTINCT conv_id) AS BIGINT) AS n_records, true AS gapless FROM conversations""",
+    "line_ordinals": f"""
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id // {IDS_A_FILE} ORDER BY conv_id) AS ordinal
+        FROM (SELECT DISTINCT conv_id FROM conversations)""",
     "split_sink": a.SQL_MIXED + """,
         ranked AS (
           SELECT conv_id, format, text, row_number() OVER (ORDER BY md5('42:' || conv_id), conv_id) AS place,

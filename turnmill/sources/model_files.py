@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# File kinds that belong to a model, and its index file.
-MODEL_FILES = "*.{[sS][aA][fF][eE][tT][eE][nN][sS][oO][rR][sS],[jJ][sS][oO][nN],[tT][xX][tT],[mM][oO][dD][eE][lL]}"
+# The suffix of weight files, and a model's index file.
 WEIGHTS_SUFFIX = ".safetensors"
 INDEX_FILE = "model.safetensors.index.json"
 _PREFIX_BYTES = 8
+# Fixed value: the file format allows no larger header.
+MAX_HEADER_BYTES = 100_000_000
 # The header table's row type; `issue` is set instead of the tensor when a file is unreadable.
 _HEADER_SCHEMA = "model string, shard string, tensor string, dtype string, shape array<bigint>, issue string"
 _HEADER_ARROW = pa.schema(
@@ -41,7 +42,7 @@ def is_weights(rel_path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``model, rel_path, size, path`` of every model file below ``root``.
+    """``model, rel_path, size, path`` of every file of the models below ``root``.
 
     Only the ``path`` and ``length`` columns of the source are used, so no
     content is opened.
@@ -49,7 +50,6 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", MODEL_FILES)
         .load(root)
         .select("path", F.col("length").alias("size"))
     )
@@ -72,14 +72,18 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _header_problem(path: str) -> tuple[dict | None, str | None]:
-    """The parsed header of one weight file, or what is wrong with it."""
+def file_system(path: str) -> tuple:
+    """Arrow's file system of a path, and the path there."""
     from pyarrow import fs
 
     if path.startswith("file:"):
-        filesystem, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    else:
-        filesystem, inner = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
+def _header_problem(path: str) -> tuple[dict | None, str | None]:
+    """The parsed header of one weight file, or what is wrong with it."""
+    filesystem, inner = file_system(path)
     with filesystem.open_input_file(inner) as handle:
         prefix = handle.read(_PREFIX_BYTES)
         if len(prefix) < _PREFIX_BYTES:
@@ -87,6 +91,8 @@ def _header_problem(path: str) -> tuple[dict | None, str | None]:
         (length,) = struct.unpack("<Q", prefix)
         if length > handle.size() - _PREFIX_BYTES:
             return None, "header is truncated"
+        if length > MAX_HEADER_BYTES:
+            return None, "header is larger than the format allows"
         body = handle.read(length)
     try:
         header = json.loads(body.decode("utf-8"))
