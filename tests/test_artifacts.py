@@ -80,7 +80,8 @@ def tables(spark, store):
 def test_listing(tables):
     rows = {(r["model"], r["rel_path"]) for r in tables["files"].collect()}
     assert ("good", "sub/deep.safetensors") in rows and ("good", "merges.TXT") in rows
-    assert not any("notes" in path for _, path in rows)
+    # Every file is listed; only the inventory leaves kinds out.
+    assert ("good", "notes.md") in rows
     assert "content" not in tables["files"]._jdf.queryExecution().executedPlan().toString()
 
 
@@ -121,7 +122,7 @@ def test_inventory(tables):
     rows = ops.file_inventory(tables["files"]).filter("model = 'good'").collect()
     total = next(r["size"] for r in rows if r["rel_path"] is None)
     assert total == sum(r["size"] for r in rows if r["rel_path"])
-    assert len(rows) == 9
+    assert len(rows) == 9 and not any("notes" in (r["rel_path"] or "") for r in rows)
 
 
 def test_missing_shards(tables):
@@ -154,6 +155,31 @@ def test_report_issues(tables):
     }
 
 
+def test_model_report(spark, store, tables):
+    extra = [read_json_files(spark, store, f"{n}_config.json") for n in ("tokenizer", "generation")]
+    report = ops.model_report(tables["models"], tables["files"], tables["tensors"], tables["configs"], *extra, tables["indexes"])
+    got = {r["model"]: r for r in report.collect()}
+    assert {m for m, r in got.items() if r["integrity_ok"]} == {"good", "plain", "with space"}
+    assert got["bare"]["issues"] == ["no weight files"] and int(got["bare"]["parameters"]) == 0
+    assert len(got["broken"]["issues"]) == 6 and int(got["broken"]["parameters"]) == 4
+    inventory = ops.file_inventory(tables["files"]).filter("rel_path IS NULL").collect()
+    assert {r["model"]: r["size"] for r in inventory} == {m: r["disk_bytes"] for m, r in got.items()}
+    assert got["good"]["tokenizer_class"] == "T" and got["good"]["hidden_size"] == 8
+
+
+def test_shards_of_any_suffix_and_oversized_headers(spark, tmp_path):
+    model = tmp_path / "m"
+    text(model / "model.safetensors.index.json", {"weight_map": {"a": "part.bin", "b": "gone.bin"}})
+    (model / "part.bin").write_bytes(b"x")
+    with open(model / "huge.safetensors", "wb") as out:
+        out.write((150_000_000).to_bytes(8, "little"))
+        out.truncate(200_000_000)
+    files = list_files(spark, str(tmp_path))
+    indexes = read_json_files(spark, str(tmp_path), "model.safetensors.index.json")
+    assert [r["shard"] for r in ops.missing_shards(indexes, files).collect()] == ["gone.bin"]
+    assert [r["issue"] for r in read_tensor_headers(files).collect()] == ["header is larger than the format allows"]
+
+
 def test_facts(spark, store, tables):
     facts = ops.model_facts(
         tables["models"],

@@ -133,7 +133,11 @@ def _written_store(spark, sf_dir) -> str:
     root = new_folder(spark, "models")
     entry = F.struct("tensor", F.struct("dtype", "shape"))
     header = F.to_json(F.map_from_entries(F.collect_list(entry)))
-    headers = tensors(spark, sf_dir).groupBy("model", "shard").agg(header.alias("header"))
+    # A name stands once in a file.
+    named = tensors(spark, sf_dir).groupBy("model", "shard", "tensor").agg(
+        F.min("dtype").alias("dtype"), F.min("shape").alias("shape")
+    )
+    headers = named.groupBy("model", "shard").agg(header.alias("header"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,9 +270,10 @@ ORACLES = {
     "tensor_headers": """
         SELECT 'model-' || l_suppkey AS model, printf('model-%05d.safetensors', l_linenumber) AS shard,
           'layer.' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS tensor,
-          CASE l_returnflag WHEN 'A' THEN 'F32' WHEN 'N' THEN 'BF16' ELSE 'I8' END AS dtype,
-          CASE WHEN l_tax > 0 THEN CAST(l_quantity AS BIGINT) || 'x' || (l_partkey + 1) ELSE '' END AS shape,
+          min(CASE l_returnflag WHEN 'A' THEN 'F32' WHEN 'N' THEN 'BF16' ELSE 'I8' END) AS dtype,
+          array_to_string(min(CASE WHEN l_tax > 0 THEN [CAST(l_quantity AS BIGINT), CAST(l_partkey + 1 AS BIGINT)]
+                              ELSE CAST([] AS BIGINT[]) END), 'x') AS shape,
           CAST(NULL AS VARCHAR) AS issue
-        FROM lineitem""",
+        FROM lineitem GROUP BY ALL""",
     "model_facts": _FACTS,
 }
