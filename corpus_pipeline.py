@@ -46,7 +46,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Documents of which nothing is left go.
     """
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct("*").alias("_row"))
-    clean = line_dedup.remove_repeats(rows, "_id", "_text").withColumn("_changed", F.col("removed_lines") > 0)
+    clean = line_dedup.remove_passages(rows, "_id", "_text").withColumn("_changed", F.col("removed_lines") > 0)
     left = ~F.col("_changed") | (F.trim(F.regexp_replace("_text", r"\s+", " ")) != "")
     return _with_text(clean.filter(left), docs.columns)
 

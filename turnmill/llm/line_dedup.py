@@ -1,15 +1,21 @@
-"""Removal of repeated passages by content-defined chunks of lines.
+"""Removal of repeated passages, runs of lines that occur earlier in the table.
 
-A rolling hash over the hashes of neighbouring lines chooses the chunk boundaries,
-so they depend on the lines around them and not on where in a document they are:
-after an insertion the boundaries fall into step again. A chunk of several lines
-that occurs more than once in the whole table stays where it occurs first and is
-removed elsewhere, after its bytes were compared with those that stay.
+:func:`remove_passages` cuts every repeated passage from its first line to its last.
+From each line the shortest passage that begins there, and the shortest that ends
+there, is a window. What a window holds depends on its own lines only, and the windows
+inside a run of lines cover all of it, so a run is repeated just where its windows are.
+Windows of one document that repeat the same place of another are joined, and their
+bytes compared, before they are cut.
+
+:func:`remove_repeats` cuts whole content-defined chunks only: a rolling hash over the
+hashes of neighbouring lines chooses the boundaries, so they depend on the lines around
+them and not on where in a document they are. A passage keeps its lines before the
+first and after the last boundary in it. No query uses it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -28,6 +34,12 @@ _MAX_LINES = 64
 _ROWS_A_STEP = 512
 # Id tables of at most so many rows are broadcast; larger ones are joined by shuffle.
 _BROADCAST_ROWS = 2_000_000
+# A line of so many words is a passage by itself.
+_LINE_WORDS = 50
+# Texts without spaces: so many bytes, white space apart, count as a word.
+_WORD_BYTES = 12
+_WINDOW_PRIME = (1 << 127) - 1
+_WINDOW_WEIGHT = 0x5BD1E9955BD1E9959E3779B97F4A7C15
 _WEIGHT = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -113,18 +125,10 @@ def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     return rest.join(stays, "hash").filter(F.col("body") == F.col("kept")).select("id", "key", "chunk", "lines")
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks cut out of the text, and ``n_lines``,
-    ``removed_lines`` and ``removed`` (array of the (start, end) line spans).
-
-    Single lines are no chunks of several lines and stay. A null text stays null
-    and has no lines. Rows that are equal in id and text count as one document and
-    are cut alike. A document whose chunks all repeat ends up with an empty text.
-    Columns of these three names are replaced, others pass through.
-    """
+def _without(docs: DataFrame, cuts: DataFrame, spans_of: Callable[[str, list], list[tuple[int, int]]], id_column: str, text: str) -> DataFrame:
+    """``docs`` without the lines that ``spans_of`` makes of the text and its ``cut``."""
     made = ["n_lines", "removed_lines", "removed"]
     kept = [c for c in docs.columns if c not in made]
-    cuts = repeated_chunks(docs, id_column, text).groupBy("key").agg(F.sort_array(F.collect_set("chunk")).alias("cut"))
     source = docs.select(*[docs[c].alias(f"_{i}") for i, c in enumerate(kept)], document_key(id_column, text).alias("key"))
     joined = source.join(_small(cuts.withColumnRenamed("key", "_key")), F.col("key") == F.col("_key"), "left")
     place = kept.index(text)
@@ -138,7 +142,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                 texts, counts, cut_lines, removed = [], [], [], []
                 for body, cut in zip(part.column(place).to_pylist(), part.column(len(kept)).to_pylist(), strict=True):
                     lines = [] if body is None else body.split("\n")
-                    gone = [span for n, span in enumerate(chunks(body)) if n in set(cut)] if cut else []
+                    gone = spans_of(body, cut) if cut else []
                     dropped = {i for a, b in gone for i in range(a, b)}
                     texts.append("\n".join(x for i, x in enumerate(lines) if i not in dropped) if dropped else body)
                     counts.append(len(lines))
@@ -153,3 +157,136 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     schema = T.StructType(rows.schema.fields[:-1]).add("n_lines", T.IntegerType())
     schema = schema.add("removed_lines", T.IntegerType()).add("removed", spans_type)
     return rows.mapInArrow(run, schema).toDF(*kept, *made)
+
+
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with repeated chunks cut out of the text, and ``n_lines``,
+    ``removed_lines`` and ``removed`` (array of the (start, end) line spans).
+
+    Single lines are no chunks of several lines and stay. A null text stays null
+    and has no lines. Rows that are equal in id and text count as one document and
+    are cut alike. A document whose chunks all repeat ends up with an empty text.
+    Columns of these three names are replaced, others pass through.
+    """
+    cuts = repeated_chunks(docs, id_column, text).groupBy("key").agg(F.sort_array(F.collect_set("chunk")).alias("cut"))
+    return _without(docs, cuts, lambda body, cut: [span for n, span in enumerate(chunks(body)) if n in set(cut)], id_column, text)
+
+
+def _words(line: bytes) -> int:
+    parts = line.split()
+    return max(len(parts), sum(map(len, parts)) // _WORD_BYTES)
+
+
+def is_passage(lines: int, words: int) -> bool:
+    """Whether a run of lines may be cut: two lines, or one of 50 words."""
+    return lines >= _MIN_LINES or words >= _LINE_WORDS
+
+
+def windows(text: str) -> list[tuple[int, int, bytes]]:
+    """(first line, end line, hash) of the shortest passages that begin or end at each line."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    size, sums, rolled, powers = len(lines), [0], [0], [1]
+    for line in lines:
+        sums.append(sums[-1] + _words(line))
+        rolled.append((rolled[-1] * _WINDOW_WEIGHT + xxhash.xxh3_128_intdigest(line)) % _WINDOW_PRIME)
+        powers.append(powers[-1] * _WINDOW_WEIGHT % _WINDOW_PRIME)
+    spans, b = set(), 0
+    for a in range(size):
+        while b < size and (b <= a or not is_passage(b - a, sums[b] - sums[a])):
+            b += 1
+        if b <= a or not is_passage(b - a, sums[b] - sums[a]):
+            break
+        spans.add((a, b))
+    a = 0
+    for b in range(1, size + 1):
+        while a + 1 < b and is_passage(b - a - 1, sums[b] - sums[a + 1]):
+            a += 1
+        if is_passage(b - a, sums[b] - sums[a]):
+            spans.add((a, b))
+    return [(a, b, ((rolled[b] - rolled[a] * powers[b - a]) % _WINDOW_PRIME).to_bytes(16, "big")) for a, b in sorted(spans)]
+
+
+def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The lines of ``spans`` as spans that don't touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _window_rows(keyed: DataFrame) -> DataFrame:
+    """One row for each window: id, key, start, end and hash."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["id", "key", "start", "end", "hash"], [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS_A_STEP):
+                part = batch.slice(at, _ROWS_A_STEP)
+                rows = [(own, key, *w) for own, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True) for w in windows(text)]
+                columns = list(zip(*rows, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return keyed.mapInArrow(run, "id long, key string, start int, end int, hash binary")
+
+
+def _segments(repeats: DataFrame) -> DataFrame:
+    """Windows with one document's place of first occurrence, joined: rows ``key, start,
+    end, first_key, first_start``. A document's windows are one row of a group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["key", "start", "end", "first_key", "first_start"], [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+        for batch in batches:
+            rows = []
+            for key, first_key, ahead, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(key, a, b, first_key, a - ahead) for a, b in joined_spans([(s["start"], s["end"]) for s in spans])]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    ahead = (F.col("start") - F.col("first_start")).alias("ahead")
+    groups = repeats.groupBy("key", "first_key", ahead).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return groups.mapInArrow(run, "key string, start int, end int, first_key string, first_start int")
+
+
+def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows ``key, start, end`` of the lines to remove: what repeats an earlier passage,
+    by id (null ids first), key and place. A passage that overlaps its own first
+    occurrence loses the lines after it."""
+    keyed = _keyed(docs, id_column, text)
+    found = materialize(_window_rows(keyed), "windows")
+    # Rows that are equal in id and text count as one document: their places are equal.
+    place = F.struct("id", "key", "start")
+    many = found.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last")))
+    many = materialize(many.select("hash", F.col("first.key").alias("first_key"), F.col("first.start").alias("first_start")), "repeated")
+    is_first = (F.col("key") == F.col("first_key")) & (F.col("start") == F.col("first_start"))
+    repeats = materialize(found.join(many, "hash").filter(~is_first).select("key", "start", "end", "first_key", "first_start"), "repeats")
+    parts = materialize(_segments(repeats).withColumn("first_end", F.col("first_start") + F.col("end") - F.col("start")), "segments")
+    own = parts.select("key", "start", "end")
+    first = parts.select(F.col("first_key").alias("key"), F.col("first_start").alias("start"), F.col("first_end").alias("end"))
+    spans = own.union(first).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # Both sides of the comparison come from the texts themselves.
+    spans = materialize(spans, "spans")
+    texts = keyed.join(_small(spans.select("key")), "key", "left_semi").join(spans, "key")
+    lines = texts.select("key", F.split("text", "\n", -1).alias("lines"), "spans").select("key", "lines", F.explode("spans").alias("s"))
+    body = F.array_join(F.slice("lines", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")), "\n")
+    bodies = lines.select("key", "s.start", "s.end", body.alias("body"))
+    bodies = materialize(bodies.groupBy("key", "start", "end").agg(F.first("body").alias("body")), "bodies")
+    kept = bodies.select(F.col("key").alias("first_key"), F.col("start").alias("first_start"), F.col("end").alias("first_end"), F.col("body").alias("kept"))
+    same = parts.join(bodies, ["key", "start", "end"]).join(kept, ["first_key", "first_start", "first_end"]).filter(F.col("body") == F.col("kept"))
+    begin = F.when(F.col("key") == F.col("first_key"), F.greatest("start", "first_end")).otherwise(F.col("start"))
+    return same.select("key", begin.alias("start"), "end").filter("start < end")
+
+
+def remove_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with every repeated passage cut out of the text, and ``n_lines``,
+    ``removed_lines`` and ``removed`` (array of the (start, end) line spans).
+
+    A passage is a run of lines that :func:`is_passage`; it is cut if an earlier place
+    has the same lines in a row, before anything was cut there. So the lines of
+    overlapping passages each stay once, but may stay in different documents. A null
+    text stays null and has no lines. Rows that are equal in id and text count as one
+    document and are cut alike. A document that repeats as a whole ends up with an
+    empty text. Columns of these three names are replaced, others pass through.
+    """
+    cuts = repeated_passages(docs, id_column, text).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("cut"))
+    return _without(docs, cuts, lambda body, cut: joined_spans([(s["start"], s["end"]) for s in cut]), id_column, text)

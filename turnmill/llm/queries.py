@@ -126,7 +126,7 @@ ORACLES["op3_mix_sources"] = _mix_sql()
 @query
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier one has, in figures."""
-    clean = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    clean = line_dedup.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.concat_ws(",", F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])))
     return clean.select(
         "doc_id", "n_lines", "removed_lines", spans.alias("removed_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
