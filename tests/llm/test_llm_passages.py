@@ -77,3 +77,10 @@ def test_odd_rows(spark, monkeypatch):
     assert ld.remove_passages(documents(spark).limit(0)).collect() == []
     monkeypatch.setattr(ld, "_BROADCAST_ROWS", -1)
     assert _run(documents(spark)) == _brute(ROWS)
+
+
+def test_short_passages_stay(spark):
+    rows = [(i, f"own {i}\n\n\n}}\n\nBy\nTo.\n{i} end\nfour words in it\nand five words in it", None, None, None) for i in range(3)]
+    assert _run(documents(spark, rows)) == sorted(((r[0], r[1], 0) for r in rows), key=str)
+    rows = [(i, f"own {i}\nfour words in it\n\nand six words are in it\n\n", None, None, None) for i in range(2)]
+    assert _run(documents(spark, rows)) == [(0, rows[0][1], 0), (1, "own 1", 5)]

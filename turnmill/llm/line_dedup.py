@@ -34,6 +34,8 @@ _MAX_LINES = 64
 _ROWS_A_STEP = 512
 # Id tables of at most so many rows are broadcast; larger ones are joined by shuffle.
 _BROADCAST_ROWS = 2_000_000
+# A passage of several lines has so many words, those of blank lines being none.
+_MIN_WORDS = 10
 # A line of so many words is a passage by itself.
 _LINE_WORDS = 50
 # Texts without spaces: so many bytes, white space apart, count as a word.
@@ -178,8 +180,8 @@ def _words(line: bytes) -> int:
 
 
 def is_passage(lines: int, words: int) -> bool:
-    """Whether a run of lines may be cut: two lines, or one of 50 words."""
-    return lines >= _MIN_LINES or words >= _LINE_WORDS
+    """Whether a run of lines may be cut: two lines with 10 words in all, or one of 50."""
+    return words >= (_MIN_WORDS if lines >= _MIN_LINES else _LINE_WORDS)
 
 
 def windows(text: str) -> list[tuple[int, int, bytes]]:
