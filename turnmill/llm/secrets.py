@@ -150,8 +150,8 @@ def judge(rows: DataFrame, forest: RandomForestClassificationModel | None) -> Da
 def scan_secrets(docs: DataFrame, label: Column, id_column: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """Judged candidates of all documents: ``FINDING`` columns, ``score``, ``secret``.
 
-    ``label`` gives 0 or 1 for a finding (its ``FINDING`` columns) that was reviewed,
-    null for others. A null path counts as empty. Repeated rows give repeated
+    ``label`` gives 0 or 1 for a finding (its ``FINDING`` and ``FEATURES`` columns) that
+    was reviewed, null for others. A null path counts as empty. Repeated rows give repeated
     findings; tables without candidates give no rows.
     """
     found = materialize(candidates(docs, id_column, text, path), "findings")
