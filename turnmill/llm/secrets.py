@@ -1,6 +1,7 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are runs of credential characters with a digit among them. Each gets
+Candidates are runs of credential characters with a digit among them, and whatever
+stands after a credential's name and = or :. Each gets
 features of its length, character classes and transitions between them, of how much
 of it dictionary words cover, of the path it is in, and of the words beside it. A
 random forest learned from labelled findings tells secrets from card numbers,
@@ -20,6 +21,17 @@ from turnmill.session import materialize
 
 # At least twelve characters that credentials are made of, a digit among them.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
+# A credential's name (the rest of its word, up to 40 characters, may follow), and = or :.
+_NAME = r"(?i:token|passw(?:or)?d|passwd|passphrase|pwd|secret|credential|authorization|(?:api|access|private|auth|account|encryption|signing|ssh|master)[_.-]?key)"
+_ASSIGN = r"[\w.-]{0,40}[\"'`\])]{0,2}\s?(?::=|=>|[=:]{1,2})\s?"
+_SCHEME = r"(?:[\"'`]?(?i:bearer|basic|token)\s?)?"
+# In one word: up to the closing quote; without quotes, to the end of the word or the next pair.
+_PAIR = _NAME + _ASSIGN + r"(?:\"[^\"]+|'[^']+|`[^`]+|[^\"'`]\S*?(?=[&;,][\"'{]?[\w.-]{1,40}[\"']?[=:]|$))"
+_LEAD = _NAME + _ASSIGN + _SCHEME + "$"
+# A value may begin with the sign, if the name is the word before.
+_SIGN = r"^(?::=|=>|[=:]{1,2})"
+_OPEN, _CLOSE = r"[\"'`({\[<]*", r"[\"'`)}\]>,;]+$"
+_LEAD_CHARS = 200
 # Words that name a credential, and words of paths with made-up ones.
 _NAMING = r"(?i)(token|passw|secret|api|key|auth|cred|bearer)"
 _PRACTICE = r"(?i)(test|example|sample|mock|fixture|demo|doc)"
@@ -43,7 +55,7 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", p
     0; ``value_at`` its place in the word. Null texts have none.
     """
     body = F.col(text)
-    rows = docs.filter(body.rlike(CANDIDATE)).select(
+    rows = docs.filter(body.rlike(CANDIDATE) | body.rlike(_NAME)).select(
         F.col(id_column).alias("id"), whole(F.col(path).cast("string")).alias("path"), F.split(F.trim(F.regexp_replace(body, SPACES, " ")), " ").alias("words")
     )
     around = F.transform(
@@ -51,17 +63,46 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", p
         lambda w, i: F.struct(
             i.alias("word_at"), w.alias("word"), F.get("words", i - 2).alias("before_2"),
             F.get("words", i - 1).alias("before"), F.get("words", i + 1).alias("after"),
+            F.right(F.concat_ws(" ", F.get("words", i - 3), F.get("words", i - 2), F.get("words", i - 1)), F.lit(_LEAD_CHARS)).alias("lead"),
         ),
     )
-    found = rows.select("id", "path", F.explode(F.filter(around, lambda s: s["word"].rlike(CANDIDATE))).alias("s"))
-    values = F.regexp_extract_all(F.col("s.word"), F.lit(CANDIDATE), F.lit(0))
-    one = found.select("id", "path", "s.*", F.posexplode(values).alias("value_at", "value"))
+    of_interest = lambda s: s["word"].rlike(CANDIDATE) | s["word"].rlike(_NAME) | s["lead"].rlike(_NAME)
+    found = rows.select("id", "path", F.explode(F.filter(around, of_interest)).alias("s")).select("id", "path", "s.*")
+    word = F.col("word")
+    runs = F.transform(F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(0)), lambda v: F.struct(v.alias("value"), F.call_function("substring_index", word, v, F.lit(1)).alias("prefix")))
+    named = F.concat(_pairs(word), _led(word, F.col("lead")))
+    more = F.filter(named, lambda n: (n["value"] != "") & ~F.exists(runs, lambda r: r["value"] == n["value"]))
+    values = F.concat(runs, F.array_distinct(more))
+    one = found.select("id", "path", "word_at", "before_2", "before", "after", F.posexplode(values).alias("value_at", "v"))
     return one.select(
-        "id", "path", "word_at", "value_at", "value", whole(F.col("before")).alias("before"), whole(F.col("before_2")).alias("before_2"),
-        F.expr("substring_index(word, value, 1)").alias("prefix"), whole(F.col("after")).alias("after"),
+        "id", "path", "word_at", "value_at", "v.value", whole(F.col("before")).alias("before"), whole(F.col("before_2")).alias("before_2"),
+        "v.prefix", whole(F.col("after")).alias("after"),
     )
 
 
+def _pairs(word: Column) -> Column:
+    """Values and what is before them, of the pairs of a name and a value in a word."""
+    def pair(match: Column) -> Column:
+        head = F.regexp_extract(match, "^" + _NAME + _ASSIGN + _OPEN, 0)
+        value = F.regexp_replace(F.substr(match, F.length(head) + 1), _CLOSE, "")
+        return F.struct(value.alias("value"), F.concat(F.call_function("substring_index", word, match, F.lit(1)), head).alias("prefix"))
+
+    return F.transform(F.regexp_extract_all(word, F.lit(_PAIR), F.lit(0)), pair)
+
+
+def _led(word: Column, lead: Column) -> Column:
+    """The value that a word is, if a name and the sign end before it or in its first characters."""
+    head = F.when(lead.rlike(_LEAD), F.regexp_extract(word, "^" + _OPEN, 0)).otherwise(F.regexp_extract(word, _SIGN + _OPEN, 0))
+    value = F.regexp_replace(F.substr(word, F.length(head) + 1), _CLOSE, "")
+    # Signs and schemes alone are no values.
+    told = (lead.rlike(_LEAD) & ~word.rlike(r"^[\"'`]?(?i:bearer|basic|token)$") & ~word.rlike(r"^[=:>]+$")) | (
+        lead.rlike(_NAME + r"[\w.-]{0,40}[\"'`\])]{0,2}$") & word.rlike(_SIGN)
+    )
+    return F.when(told & (value != ""), F.array(F.struct(value.alias("value"), head.alias("prefix")))).otherwise(
+        F.array().cast("array<struct<value:string,prefix:string>>")
+    )
+
+
 def dictionary(docs: DataFrame, text: str = "text", min_docs: int = _MIN_DICTIONARY_DOCS, size: int = _MAX_DICTIONARY) -> DataFrame:
     """The ``size`` words of letters that are in most documents, ``min_docs`` at least."""
     words = F.explode(F.array_distinct(F.split(F.lower(whole(F.col(text))), r"[^\p{L}]+"))).alias("word")
