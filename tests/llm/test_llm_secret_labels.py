@@ -21,3 +21,11 @@ def test_only_what_a_rule_proves_is_labelled(spark, known):
     words = spark.createDataFrame([("window",), ("server",), ("gamma",)], "word string")
     got = {r.id: r.label for r in secrets.features(secrets.candidates(docs), words).withColumn("label", reviewed()).collect()}
     assert got == {i.id: label if known else None for i, (_, label) in zip(ids, CASES, strict=True)}
+
+
+def test_copies_leave_room_for_the_other_label(spark):
+    rows = [(i, f"token = {RANDOM}", None, None, None) for i in range(60)] + [(60 + i, f"card 411111111111111{i}", None, None, None) for i in range(3)]
+    words = spark.createDataFrame([("window",)], "word string")
+    found = secrets.features(secrets.candidates(documents(spark, rows)), words)
+    label = (F.col("id") < 60).cast("int")
+    assert all(secrets.train_forest(found.withColumn("label", label), seed=seed, max_labelled=2, trees=2) is not None for seed in range(4))

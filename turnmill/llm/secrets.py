@@ -168,11 +168,15 @@ def train_forest(
     labelled: DataFrame, *, trees: int = 20, depth: int = 6, seed: int = 5, max_labelled: int = _MAX_LABELLED
 ) -> RandomForestClassificationModel | None:
     """A forest from rows of :func:`features` with ``label`` (0 or 1; null rows are
-    left out). At most ``max_labelled`` rows are used, those with the least hashes.
-    None if the labels aren't of both kinds."""
+    left out). Findings of equal value, before, prefix and label count once. At most
+    ``max_labelled`` of each label are used, those with the least hashes. None if the
+    labels aren't of both kinds."""
+    names = ["value", "before", "prefix", "label"]
+    rows = labelled.filter(F.col("label").isNotNull()).groupBy(*names).agg(F.min(F.struct(*FEATURES)).alias("f"))
     key = F.xxhash64(F.lit(seed), "value", "before", "prefix")
-    rows = labelled.filter(F.col("label").isNotNull()).orderBy(key, "value", "label").limit(max_labelled)
-    rows = materialize(rows.select(F.col("label").cast("double").alias("label"), *FEATURES), "labelled")
+    kinds = [rows.filter(F.col("label") == kind).orderBy(key, "value", "before", "prefix").limit(max_labelled) for kind in (0, 1)]
+    rows = kinds[0].union(kinds[1])
+    rows = materialize(rows.select(F.col("label").cast("double").alias("label"), *[F.col("f")[c].alias(c) for c in FEATURES]), "labelled")
     if rows.select("label").distinct().count() < 2:
         return None
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(_vectors(rows))
