@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import bpe, exact_dedup, jaccard, langid, line_dedup, mixing, secrets, sharding, vector_file, warc
+from turnmill.llm import bpe, exact_dedup, filter_audit, jaccard, langid, line_dedup, mixing, secrets, sharding, vector_file, warc
 from turnmill.llm.common import table
 
 QUERIES = {}
@@ -274,3 +274,48 @@ reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT reach.doc_id, b FRO
 SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
+
+
+@query
+def op11_filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source under all 120 orders of four text filters and the duplicate filter."""
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_orders"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, t, len(w) AS n, len(list_distinct(w)) AS distinct_n
+  FROM (SELECT doc_id, source, coalesce(text, '') AS t, [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents)),
+f AS (
+  SELECT doc_id, part, CASE WHEN n < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * distinct_n < 65 * n THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY sha256(t)) THEN 16 ELSE 0 END AS mask
+  FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS is_good, bool_or(toxic = 1) AS is_toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (is_good) AS good, count(*) FILTER (is_toxic) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(range(5)) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+s AS (
+  SELECT array_to_string([substr('ABCDE', x::INTEGER + 1, 1) for x in o], '') AS filter_order, step::INTEGER AS step, o[step] AS f, 1 << o[step]::INTEGER AS own,
+    list_sum([1 << x::INTEGER for x in o[1:step]])::INTEGER - (1 << o[step]::INTEGER) AS before
+  FROM steps),
+r AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM m CROSS JOIN s GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r
+"""
