@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import bpe, divergence, exact_dedup, filter_audit, jaccard, langid, line_dedup, mixing, secrets, sharding, vector_file, warc
+from turnmill.llm import bpe, divergence, exact_dedup, filter_audit, jaccard, langid, line_dedup, mixing, secrets, sharding, url_filter, vector_file, warc
 from turnmill.llm.common import table
 
 QUERIES = {}
@@ -355,3 +355,62 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts)
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by rules, and by two Markov models where none fits."""
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", F.col("score").alias("score_milli"))
+
+
+def _url_sql() -> str:
+    """Rules, n-gram counts, smoothing by context, calibration and verdict in SQL."""
+    fits = [
+        f"WHEN (host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{below}') THEN '{rule}'"
+        for rule in sorted((r for _, r in URL_RULES), key=lambda r: (-len(r), r))
+        for own, _, below in [rule.partition("/")]
+    ]
+    told = " ".join(f"WHEN '{rule}' THEN '{kind}'" for kind, rule in URL_RULES)
+    order, strength = url_filter.ORDER, f"{url_filter.STRENGTH}::DOUBLE"
+    parts = [
+        "u AS (SELECT row_number() OVER () AS r, page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest"
+        " FROM (SELECT page_id, coalesce(url, '') AS url FROM pages))",
+        "h AS (SELECT r, page_id, url, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,"
+        " coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u)",
+        f"f AS (SELECT *, CASE {' '.join(fits)} END AS rule FROM h)",
+        f"t AS (SELECT *, CASE rule {told} END AS told, substr(md5(url), 1, 1) IN ('0', '1', '2') AS held FROM f)",
+        f"x AS (SELECT r, told, told IS NULL OR held AS asked, repeat(chr(2), {order}) || url || chr(3) AS s FROM t)",
+        f"g AS (SELECT r, told, asked, substr(s, unnest(range(1, length(s) - {order} + 1)), {order + 1}) AS gram FROM x)",
+        f"l{order} AS (SELECT gram, count(*) FILTER (told = 'allow' AND NOT asked) AS a, count(*) FILTER (told = 'block' AND NOT asked) AS b FROM g GROUP BY gram)",
+    ]
+    parts += [f"l{k} AS (SELECT substr(gram, 2) AS gram, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM l{k + 1} GROUP BY ALL)" for k in reversed(range(order))]
+    smooth = lambda c, below, context: f"({c}::DOUBLE + {strength} * {below}) / ({context}::DOUBLE + {strength}) AS {c}"
+    parts.append("n AS (SELECT 1.0::DOUBLE / count(*) AS p, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM l0)")
+    parts.append(f"p0 AS (SELECT gram, {smooth('l0.a', 'p', 'n.a').replace('AS l0.a', 'AS a')}, {smooth('l0.b', 'p', 'n.b').replace('AS l0.b', 'AS b')} FROM l0, n)")
+    for k in range(1, order + 1):
+        parts.append(f"c{k} AS (SELECT substr(gram, 1, {k}) AS gram, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM l{k} GROUP BY ALL)")
+        one = [smooth(f"l.{c}", f"p.{c}", f"c.{c}").replace(f"AS l.{c}", f"AS {c}") for c in "ab"]
+        parts.append(f"p{k} AS (SELECT l.gram, {', '.join(one)} FROM l{k} l JOIN p{k - 1} p ON substr(l.gram, 2) = p.gram JOIN c{k} c ON substr(l.gram, 1, {k}) = c.gram)")
+    parts += [
+        f"w AS (SELECT gram, round((ln(a) - ln(b)) * {url_filter._UNIT})::BIGINT AS weight FROM p{order})",
+        f"s AS (SELECT r, sum(weight)::BIGINT AS s, {url_filter._BIN} * count(*) AS m FROM g JOIN w USING (gram) WHERE asked GROUP BY r)",
+        "z AS (SELECT r, (s - ((s % m) + m) % m) // m AS score FROM s)",
+        "k AS (SELECT score, told = 'allow' AS good FROM z JOIN t USING (r) WHERE told IS NOT NULL)",
+        "e AS (SELECT DISTINCT score FROM (SELECT score FROM k UNION ALL SELECT max(score) + 1 FROM k UNION ALL SELECT 0 FROM k))",
+        """cut AS (SELECT coalesce((SELECT score FROM (
+          SELECT e.score, (count(*) FILTER (good AND k.score < e.score))::HUGEINT * count(*) FILTER (NOT good) + (count(*) FILTER (NOT good AND k.score >= e.score))::HUGEINT * count(*) FILTER (good) AS cost,
+            count(*) FILTER (good) AS x, count(*) FILTER (NOT good) AS y FROM e, k GROUP BY e.score)
+          WHERE x > 0 AND y > 0 ORDER BY cost, abs(score), score LIMIT 1), 0) AS cutoff)""",
+        "trained AS (SELECT a > 0 AND b > 0 AS ok FROM n)",
+    ]
+    return (
+        f"WITH {', '.join(parts)} SELECT page_id, host, path, rule, CASE WHEN told IS NOT NULL THEN told WHEN NOT ok OR score >= cutoff THEN 'allow' ELSE 'block' END AS verdict,"
+        " CASE WHEN told IS NULL AND ok THEN score END::BIGINT AS score_milli FROM t LEFT JOIN z USING (r), cut, trained"
+    )
+
+
+ORACLES["op12_url_filter"] = _url_sql()
