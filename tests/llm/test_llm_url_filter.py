@@ -138,7 +138,7 @@ def test_calibration(spark):
     assert cut([(5, False), (4, True)]) == 0
     assert cut([(-5, True), (-9, False)]) == -5
     # Kinds weigh the same, however many they are.
-    assert cut([(1, True)] * 10 + [(3, True)] + [(2, False)]) == 1
+    assert cut([(1, True)] * 10 + [(3, True)] + [(2, False)]) == 3
 
 
 def test_no_python_on_the_main_path(spark):
