@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -94,3 +96,19 @@ def test_odd_rows(spark, library):
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(r.text or "", add_special_tokens=False).ids
         assert (r.n_tokens, r.decoded, r.score) == (len(r.ids) // 4, r.text or "", "x")
     assert bpe.encode_documents(documents(spark).limit(0), vocabulary()).collect() == []
+
+
+MEASURE = """
+import sys
+from turnmill.llm import bpe
+peak = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmHWM")).split()[1])
+before = peak()
+bpe.compile_automaton(sys.argv[1])
+print((peak() - before) / 1024)
+"""
+
+
+def test_compiling_takes_little_more_than_the_table():
+    """The table has 20 MB; the peak of the process rises by less than 60."""
+    done = subprocess.run([sys.executable, "-c", MEASURE, vocabulary()], capture_output=True, text=True, check=True, env={"PYTHONPATH": ":".join(sys.path)})
+    assert float(done.stdout) < 60

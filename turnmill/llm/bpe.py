@@ -81,34 +81,52 @@ class Automaton:
         return all(self.state[t] >= 0 for t in ids) and all(map(self.follows, ids, ids[1:]))
 
 
-def _apply_gadgets(letters: list[int], merges: list[tuple[int, int, int]], size: int):
+def _gadgets(letters: list[int], merges: list[tuple[int, int, int]], size: int):
+    """What the gadgets of all merges do: rows of (state to copy, its copy, class to copy,
+    its copy, state, class of the arc taken out), -1 where nothing is copied; then the
+    state and the class of each label, and how many there are of both. None of it
+    depends on the table."""
     state, label_class = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     state[letters] = 0
     label_class[letters] = np.arange(len(letters))
     states, classes = 1, len(letters)
     in_state, in_class = {0: len(letters)}, dict.fromkeys(range(len(letters)), 1)
-    table = np.ones((64, 2 * classes), np.uint8)
-    for u, v, joined in merges:
+    steps = np.full((len(merges), 6), -1, np.int32)
+    for step, (u, v, joined) in zip(steps, merges, strict=True):
         led_to = state[v]
         if in_state[int(state[u])] > 1 or u == v:
-            if states == len(table):
-                table = np.concatenate((table, np.zeros_like(table)))
-            table[states] = table[state[u]]
+            step[:2] = state[u], states
             in_state[int(state[u])] -= 1
             state[u], in_state[states] = states, 1
             states += 1
         if in_class[int(label_class[v])] > 1:
-            if classes == table.shape[1]:
-                table = np.concatenate((table, np.zeros((len(table), classes // 2), np.uint8)), axis=1)
-            table[:states, classes] = table[:states, label_class[v]]
+            step[2:4] = label_class[v], classes
             in_class[int(label_class[v])] -= 1
             label_class[v], in_class[classes] = classes, 1
             classes += 1
-        table[state[u], label_class[v]] = 0
+        step[4:] = state[u], label_class[v]
         state[joined], label_class[joined] = led_to if u == v else state[v], label_class[u]
         in_state[int(state[joined])] += 1
         in_class[int(label_class[joined])] += 1
-    return np.packbits(table[:states, :classes], axis=1, bitorder="little"), state, label_class
+    return steps, state, label_class, states, classes
+
+
+def _apply_gadgets(letters: list[int], merges: list[tuple[int, int, int]], size: int):
+    """The table after all gadgets. It is packed from the start and allocated once, at
+    its final size, since its rows and columns are known before its bits."""
+    steps, state, label_class, states, classes = _gadgets(letters, merges, size)
+    table = np.zeros((states, -(-classes // 8)), np.uint8)
+    table[0] = np.packbits(np.arange(8 * table.shape[1]) < len(letters), bitorder="little")
+    used = 1
+    for own, copy, own_class, copy_class, without, label in map(np.ndarray.tolist, steps):
+        if copy >= 0:
+            table[copy] = table[own]
+            used = copy + 1
+        if copy_class >= 0:
+            bits = table[:used, own_class >> 3] >> (own_class & 7) & 1
+            table[:used, copy_class >> 3] |= bits << (copy_class & 7)
+        table[without, label >> 3] &= 255 ^ 1 << (label & 7)
+    return table, state, label_class
 
 
 def compile_automaton(path: str) -> Automaton:
