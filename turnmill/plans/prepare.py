@@ -70,14 +70,14 @@ def prepare_dataset(
     default_system: str | None = None,
     on_bad_json: str = "fail",
     on_error: str = "raise",
-    json_files: str = "document",
+    **reading,
 ) -> Prepared:
-    """Prepare the files under ``path``.
+    """Prepare the files under ``path``. ``reading`` goes to :func:`read_records`.
 
     The rendered corpus is written once to the shared folder; split, counts and
     later reads start from there. A corpus without a usable example is an error.
     """
-    records = read_records(spark, path, on_bad_json=on_bad_json, json_files=json_files)
+    records = read_records(spark, path, on_bad_json=on_bad_json, **reading)
     # Counted while the corpus is written, which saves a second pass.
     read, kept = Observation(), Observation()
     count = F.count(F.lit(1)).alias("n")
