@@ -88,10 +88,42 @@ def test_runs_count_rows_and_documents():
 def test_against_brute_force(spark, monkeypatch, cells, step):
     monkeypatch.setattr(divergence, "_BLOCK_CELLS", cells)
     monkeypatch.setattr(divergence, "_BYTES_A_STEP", step)
+    if step == 100:
+        for name in ("_ROWS_HELD", "_LONG_HELD", "_ROWS_OUT"):
+            monkeypatch.setattr(divergence, name, 9)
     rows = made_rows(400, cells)
     same(source_divergence(with_clashes(documents(spark, rows)).repartition(3), min_docs=5), rows, 5)
 
 
+def test_counts_of_a_task_are_added_up(monkeypatch):
+    rows = [(lang or "", source or "", (text or "").encode()) for _, text, lang, source, _ in made_rows(200, 5)]
+
+    def counted(step, held):
+        monkeypatch.setattr(divergence, "_ROWS_HELD", held)
+        counts, out = divergence.TermCounts(), []
+        for at in range(0, len(rows), step):
+            counts.add(*map(list, zip(*rows[at : at + step], strict=True)))
+            if counts.full:
+                out += [r for b in counts.rows_out() for r in b.to_pylist()]
+        out += [r for b in counts.rows_out() for r in b.to_pylist()]
+        total = Counter()
+        for r in out:
+            term = r["long_term"] or b"".join((r[w] % (1 << 64)).to_bytes(8, "big") for w in ("w1", "w2")).rstrip(b"\0")
+            for c in ("n", "docs"):
+                total[r["lang"], r["source"], term.decode(), c] += r[c]
+        return len(out), total
+
+    few, whole = counted(len(rows), 1 << 20)
+    assert all(counted(step, held) == (few, whole) for step, held in ((1, 1 << 20), (7, 1 << 20)))
+    assert counted(7, 50)[1] == whole
+    wanted = Counter()
+    for lang, source, body in rows:
+        terms = TERM.findall(body.decode().translate(LOWER))
+        wanted.update((lang, source, t, "n") for t in terms)
+        wanted.update((lang, source, t, "docs") for t in set(terms))
+    assert whole == wanted and few == len({k[:3] for k in wanted})
+
+
 def test_odd_rows(spark):
     rows = [*ROWS, *ROWS, (30, LONG, "en", "src4", 1), (31, "ÀÉ émigré", "", "src0", 1)]
     same(source_divergence(documents(spark, rows), min_docs=2), rows, 2)

@@ -13,6 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Texts are long, and a batch is held by the JVM and by Python at once.
+_BATCH_KEY, _BATCH_DEFAULT, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after Arrow batches of its session are set to 1,000 rows, if they have Spark's
+    default of 10,000."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
+        conf.set(_BATCH_KEY, _BATCH_ROWS)
+    return df
+
+
 def whole(text: Column) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(text, F.lit(""))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnmill.llm.common import small_batches
 from turnmill.session import materialize
 
 # A term is kept for a language if so many of its documents hold it.
@@ -29,7 +30,11 @@ SCALE = 1_000_000_000
 TOP_TERMS = 50
 
 _WORD = 8
-_BYTES_A_STEP = 1 << 23
+_BYTES_A_STEP = 1 << 21
+# Counts that a task holds before it gives them on, and rows of a batch that it gives.
+_ROWS_HELD = 1 << 20
+_LONG_HELD = 1 << 17
+_ROWS_OUT = 1 << 15
 # A block of the source by term table has about so many cells, a tile of pairs so many pairs.
 _BLOCK_CELLS = 1 << 20
 # Term bytes are ASCII letters and all of a code point beyond ASCII; only A-Z change.
@@ -119,61 +124,99 @@ def count_long(body: bytes, starts: np.ndarray, lengths: np.ndarray, groups: np.
     return out
 
 
-def _count_step(langs: list[str], sources: list[str], bodies: list[bytes]) -> pa.RecordBatch | None:
-    """Terms of some documents, counted for each (lang, source)."""
-    named = sorted(range(len(bodies)), key=lambda i: (langs[i], sources[i]))
-    names = sorted({(langs[i], sources[i]) for i in named})
-    number = {x: k for k, x in enumerate(names)}
-    body = b"\0".join(bodies[i] for i in named).translate(_LOWER)
-    starts, lengths = find_terms(body)
-    if not len(starts):
-        return None
-    ends = np.cumsum([len(bodies[i]) + 1 for i in named])
-    docs = np.searchsorted(ends, starts, "right")
-    groups = np.array([number[langs[i], sources[i]] for i in named])[docs]
-    parts = []
-    for words in (1, 2):
-        own = np.flatnonzero((lengths > _WORD * (words - 1)) & (lengths <= _WORD * words))
-        if len(own):
-            parts.append(count_short(body, starts[own], lengths[own], words, groups[own], docs[own]))
-    own = np.flatnonzero(lengths > 2 * _WORD)
-    long = count_long(body, starts[own], lengths[own], groups[own], docs[own]) if len(own) else []
-    w1, w2, of_group, n, of_docs = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64),) * 5
-    none, width = np.zeros(len(long), np.uint64), len(w1)
-    column = lambda short, more: pa.array(np.concatenate((short.astype(np.int64), np.array(more, np.int64))))
-    group = pa.array(np.concatenate((of_group.astype(np.int32), np.array([x[1] for x in long], np.int32))))
-    by_name = [pa.array([x[k] for x in names], pa.string()).take(group) for k in (0, 1)]
-    columns = [
-        *by_name,
-        pa.array(np.concatenate((w1, none)).view(np.int64)),
-        pa.array(np.concatenate((w2, none)).view(np.int64)),
-        pa.array([None] * width + [x[0] for x in long], pa.binary()),
-        column(n, [x[2] for x in long]),
-        column(of_docs, [x[3] for x in long]),
-    ]
-    return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in _PARTIAL.split(", ")])
+class TermCounts:
+    """Counts of a task: packed terms of its (lang, source) groups, and longer terms."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], int] = {}
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.rows = 0
+        self.long: dict[tuple[bytes, int], list[int]] = {}
+
+    def add(self, langs: list[str], sources: list[str], bodies: list[bytes]) -> None:
+        """Count the terms of some documents."""
+        own = [self.groups.setdefault(x, len(self.groups)) for x in zip(langs, sources, strict=True)]
+        order = sorted(range(len(bodies)), key=own.__getitem__)
+        body = b"\0".join(bodies[i] for i in order).translate(_LOWER)
+        starts, lengths = find_terms(body)
+        docs = np.searchsorted(np.cumsum([len(bodies[i]) + 1 for i in order]), starts, "right")
+        groups = np.array([own[i] for i in order])[docs]
+        for words in (1, 2):
+            at = np.flatnonzero((lengths > _WORD * (words - 1)) & (lengths <= _WORD * words))
+            if len(at):
+                self._keep(count_short(body, starts[at], lengths[at], words, groups[at], docs[at]))
+        at = np.flatnonzero(lengths > 2 * _WORD)
+        if len(at):
+            for term, group, n, of_docs in count_long(body, starts[at], lengths[at], groups[at], docs[at]):
+                counts = self.long.setdefault((term, group), [0, 0])
+                counts[0] += n
+                counts[1] += of_docs
+        if self.rows >= _ROWS_HELD and len(self.parts) > 1:
+            self._merge()
+
+    def _keep(self, part: tuple[np.ndarray, ...]) -> None:
+        self.parts.append(part)
+        self.rows += len(part[0])
+
+    def _merge(self) -> None:
+        """One row for each packed term of a group."""
+        w1, w2, group, n, docs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = radix_order([w1, w2, group.astype(np.uint64)])
+        w1, w2, group = w1[order], w2[order], group[order]
+        first = np.flatnonzero(np.concatenate(([True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (group[1:] != group[:-1]))))
+        self.parts, self.rows = [], 0
+        self._keep((w1[first], w2[first], group[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first)))
+
+    @property
+    def full(self) -> bool:
+        return self.rows >= _ROWS_HELD or len(self.long) >= _LONG_HELD
+
+    def rows_out(self) -> Iterator[pa.RecordBatch]:
+        """What was counted, in small batches; nothing is held any more."""
+        names = [c.split(" ")[0] for c in _PARTIAL.split(", ")]
+        known = [pa.array([x[k] for x in self.groups], pa.string()) for k in (0, 1)]
+        if self.parts:
+            self._merge()
+            w1, w2, group, n, docs = self.parts[0]
+            for at in range(0, len(w1), _ROWS_OUT):
+                cut = slice(at, at + _ROWS_OUT)
+                of_group = pa.array(group[cut].astype(np.int32))
+                words = [pa.array(w[cut].view(np.int64)) for w in (w1, w2)]
+                counts = [pa.array(c[cut].astype(np.int64)) for c in (n, docs)]
+                yield pa.RecordBatch.from_arrays([*(k.take(of_group) for k in known), *words, pa.nulls(len(of_group), pa.binary()), *counts], names)
+        long = list(self.long.items())
+        for at in range(0, len(long), _ROWS_OUT):
+            rows = long[at : at + _ROWS_OUT]
+            of_group = pa.array([g for (_, g), _ in rows], pa.int32())
+            none = pa.array(np.zeros(len(rows), np.int64))
+            counts = [pa.array([c[k] for _, c in rows], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(k.take(of_group) for k in known), none, none, pa.array([t for (t, _), _ in rows], pa.binary()), *counts], names)
+        self.parts, self.rows, self.long = [], 0, {}
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
     """``lang, source, w1, w2, long_term, n, docs`` for each term of each group of the
     documents ``lang, source, body``: how often it occurs, and in how many rows.
 
-    Each task counts step by step, about eight megabytes of text or one longer document
-    at a time; sums are added up in the task before the one shuffle, keyed by group and
-    term, so that a source with most of the rows is spread by its terms.
+    Each task counts step by step, about two megabytes of text or one longer document at
+    a time, and adds up what it counted until that is a million rows. Sums are added up
+    before the one shuffle, keyed by group and term, so that a source with most of the
+    rows is spread by its terms.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = TermCounts()
         for batch in batches:
             langs, sources, bodies = (c.to_pylist() for c in batch.columns)
             at, size = 0, 0
             for i, body in enumerate(bodies, 1):
                 size += len(body)
                 if size >= _BYTES_A_STEP or i == len(bodies):
-                    made = _count_step(langs[at:i], sources[at:i], bodies[at:i])
+                    counts.add(langs[at:i], sources[at:i], bodies[at:i])
                     at, size = i, 0
-                    if made is not None:
-                        yield made
+                    if counts.full:
+                        yield from counts.rows_out()
+        yield from counts.rows_out()
 
     counted = docs.select("lang", "source", "body").mapInArrow(run, _PARTIAL)
     return counted.groupBy("lang", "source", *_PACKED).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -220,7 +263,7 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     order of UTF-8. One text has to fit a task; results are exact.
     """
     empty = F.lit("")
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.coalesce(docs[lang].cast("string"), empty).alias("lang"),
         F.coalesce(docs[source].cast("string"), empty).alias("source"),
         F.coalesce(docs[text], empty).cast("binary").alias("body"),
