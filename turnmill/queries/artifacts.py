@@ -13,6 +13,10 @@ from turnmill.operators import artifacts as ops
 from turnmill.queries import adapters as a
 from turnmill.session import new_folder
 from turnmill.sources.model_files import file_system, list_files, read_tensor_headers
+from turnmill.sources.tensor_source import SOURCE, register_tensor_headers
+
+# Header bytes of a partition of the query over the tensor source.
+SOURCE_PARTITION = 1 << 20
 
 
 def _model(key: str) -> Column:
@@ -158,6 +162,15 @@ def _tensor_headers(spark, sf_dir) -> DataFrame:
     return found.select("model", "shard", "tensor", "dtype", F.array_join("shape", "x").alias("shape"), "issue")
 
 
+def _tensor_source(spark, sf_dir) -> DataFrame:
+    """Two shards of every second kind of model, chosen by filters that reach the source."""
+    store = _written_store(spark, sf_dir)
+    register_tensor_headers(spark)
+    found = spark.read.format(SOURCE).option("partitionBytes", SOURCE_PARTITION).load(store)
+    found = found.filter("shard IN ('model-00001.safetensors', 'model-00003.safetensors') AND endswith(model, '2')")
+    return found.select("model", "shard", "tensor", "dtype", F.array_join("shape", "x").alias("shape"))
+
+
 def _model_report(spark, sf_dir) -> DataFrame:
     report = ops.model_report(
         models(spark, sf_dir), files(spark, sf_dir), tensors(spark, sf_dir), configs(spark, sf_dir),
@@ -168,6 +181,7 @@ def _model_report(spark, sf_dir) -> DataFrame:
 
 QUERIES = {
     "tensor_headers": _tensor_headers,
+    "tensor_source": _tensor_source,
     "model_report": _model_report,
     "dtype_breakdown": _dtype_breakdown,
     "parameter_totals": lambda s, d: ops.parameter_totals(tensors(s, d)).select(
@@ -267,6 +281,13 @@ ORACLES = {
         SELECT facts.*, coalesce(disk_bytes, 0) AS disk_bytes, coalesce(parameters, 0) AS parameters,
                coalesce(issues, '') AS issues, issues IS NULL AS integrity_ok
         FROM facts LEFT JOIN d USING (model) LEFT JOIN p USING (model) LEFT JOIN i USING (model)""",
+    "tensor_source": """
+        SELECT 'model-' || l_suppkey AS model, printf('model-%05d.safetensors', l_linenumber) AS shard,
+          'layer.' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS tensor,
+          min(CASE l_returnflag WHEN 'A' THEN 'F32' WHEN 'N' THEN 'BF16' ELSE 'I8' END) AS dtype,
+          array_to_string(min(CASE WHEN l_tax > 0 THEN [CAST(l_quantity AS BIGINT), CAST(l_partkey + 1 AS BIGINT)]
+                              ELSE CAST([] AS BIGINT[]) END), 'x') AS shape
+        FROM lineitem WHERE l_linenumber IN (1, 3) AND l_suppkey % 10 = 2 GROUP BY ALL""",
     "tensor_headers": """
         SELECT 'model-' || l_suppkey AS model, printf('model-%05d.safetensors', l_linenumber) AS shard,
           'layer.' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS tensor,

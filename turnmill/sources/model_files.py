@@ -103,25 +103,30 @@ def _header_problem(path: str) -> tuple[dict | None, str | None]:
     return header, None
 
 
+def header_rows(model: str, shard: str, path: str) -> pa.RecordBatch:
+    """The tensors of one weight file, or one row that says why it can't be read."""
+    where = {"model": model, "shard": shard}
+    try:
+        header, issue = _header_problem(path)
+    except OSError as error:
+        header, issue = None, f"file can't be read: {type(error).__name__}"
+    if not issue and any(n != "__metadata__" and not isinstance(e, dict) for n, e in header.items()):
+        issue = "header has entries that are no objects"
+    if issue:
+        rows = [{**where, "issue": issue}]
+    else:
+        rows = [
+            {**where, "tensor": name, "dtype": entry.get("dtype", "?"), "shape": entry.get("shape", [])}
+            for name, entry in header.items()
+            if name != "__metadata__"
+        ]
+    return pa.RecordBatch.from_pylist(rows, schema=_HEADER_ARROW)
+
+
 def _read_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file in batch.to_pylist():
-            where = {"model": file["model"], "shard": file["rel_path"]}
-            try:
-                header, issue = _header_problem(file["path"])
-            except OSError as error:
-                header, issue = None, f"file can't be read: {type(error).__name__}"
-            if not issue and any(n != "__metadata__" and not isinstance(e, dict) for n, e in header.items()):
-                issue = "header has entries that are no objects"
-            if issue:
-                rows = [{**where, "issue": issue}]
-            else:
-                rows = [
-                    {**where, "tensor": name, "dtype": entry.get("dtype", "?"), "shape": entry.get("shape", [])}
-                    for name, entry in header.items()
-                    if name != "__metadata__"
-                ]
-            yield pa.RecordBatch.from_pylist(rows, schema=_HEADER_ARROW)
+            yield header_rows(file["model"], file["rel_path"], file["path"])
 
 
 def read_tensor_headers(files: DataFrame) -> DataFrame:
