@@ -54,7 +54,7 @@ def benchmark_summary(runs: DataFrame, *engines: str) -> DataFrame:
     return summed.withColumns({"overall_tps": overall, "decode_tps": decode})
 
 
-def _seconds_between(start: Column, end: Column) -> Column:
+def seconds_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
 
 
@@ -66,7 +66,7 @@ def request_timing(deltas: DataFrame, request: str = "request_id") -> DataFrame:
     """
     said = F.col("delta") != ""
     return deltas.groupBy(request).agg(
-        _seconds_between(F.min("started"), F.max("ts")).alias("total_s"),
-        _seconds_between(F.min("started"), F.min(F.when(said, F.col("ts")))).alias("ttft_s"),
+        seconds_between(F.min("started"), F.max("ts")).alias("total_s"),
+        seconds_between(F.min("started"), F.min(F.when(said, F.col("ts")))).alias("ttft_s"),
         F.count_if(said).alias("gen_tokens"),
     )

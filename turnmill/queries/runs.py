@@ -40,14 +40,14 @@ def deltas(spark, sf_dir) -> DataFrame:
     started = F.timestamp_micros(
         F.unix_micros(F.lit(EPOCH).cast("timestamp")) + F.col("conv_id") * 1_000_000
     )
-    pieces = replies.select(
-        "conv_id", "turn", started.alias("started"), F.posexplode(F.split("content", " ")).alias("seq", "word")
-    )
+    words = F.split("content", " ")
+    pieces = replies.select("conv_id", "turn", started.alias("started"), F.size(words).alias("n"), F.posexplode(words).alias("seq", "word"))
     delta = F.when(F.col("seq") == 0, F.col("word")).otherwise(F.concat(F.lit(" "), "word"))
     ts = F.timestamp_micros(F.unix_micros("started") + (F.col("seq") + 1) * DELTA_MS * 1000)
     return pieces.select(
-        F.concat_ws("-", "conv_id", "turn").alias("request_id"), "seq", "started", ts.alias("ts"), delta.alias("delta")
-    )
+        F.concat_ws("-", "conv_id", "turn").alias("request_id"), "seq", "started", ts.alias("ts"), delta.alias("delta"),
+        (F.col("seq") == F.col("n") - 1).alias("last"),
+    )
 
 
 def _checkpoints(spark, sf_dir) -> DataFrame:

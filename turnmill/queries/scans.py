@@ -58,7 +58,7 @@ def _stream_ingest(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(out).select("format", "text")
 
 
-def _damaged_records(spark, sf_dir) -> str:
+def damaged_records(spark, sf_dir) -> str:
     """The mixed records as line files in which every 25th line lacks its last character."""
     path = new_folder(spark, "damaged")
     fields = a.mixed_fields(spark, sf_dir)
@@ -77,13 +77,13 @@ def _reasons(rejected: DataFrame) -> DataFrame:
 
 def _prepared_rejects(spark, sf_dir) -> DataFrame:
     """What a preparation from files puts into quarantine."""
-    records = read_records(spark, _damaged_records(spark, sf_dir), on_bad_json="quarantine", line_files="*.txt")
+    records = read_records(spark, damaged_records(spark, sf_dir), on_bad_json="quarantine", line_files="*.txt")
     return _reasons(rejects(records))
 
 
 def _stream_rejects(spark, sf_dir) -> DataFrame:
     """What a stream of the same files puts into quarantine, read back."""
-    source, out = _damaged_records(spark, sf_dir), new_folder(spark, "rejected")
+    source, out = damaged_records(spark, sf_dir), new_folder(spark, "rejected")
     rejected = stream_rejected(stream_records(spark, source, files="*.txt"))
     start_ingest(rejected, out, new_folder(spark, "rejected-state")).awaitTermination()
     return _reasons(spark.read.parquet(out))
@@ -112,7 +112,7 @@ QUERIES = {
     "stream_ingest": _stream_ingest,
 }
 
-def _rejected_sql() -> str:
+def rejected_sql() -> str:
     """Reasons for the damaged files; every record there has a conv_id of its own."""
     keys = """CASE WHEN conv_id % 25 = 7 THEN 'conv_id, note'
       WHEN conv_id % 6 = 2 THEN concat_ws(', ', 'conv_id', 'input', 'note',
@@ -136,8 +136,8 @@ ORACLES = {
           CAST(CASE WHEN kept >= 10 THEN kept - ceil(0.05::DOUBLE * kept) ELSE kept END AS BIGINT) AS num_train,
           CAST(CASE WHEN kept >= 10 THEN ceil(0.05::DOUBLE * kept) ELSE 0 END AS BIGINT) AS num_eval
         FROM n""",
-    "prepared_rejects": _rejected_sql(),
-    "stream_rejects": _rejected_sql(),
+    "prepared_rejects": rejected_sql(),
+    "stream_rejects": rejected_sql(),
     "scan_records": f"WITH {a.SQL_CONV}, {a.SQL_DETECTED} SELECT conv_id, format FROM detected",
     "line_ordinals": f"""
         SELECT conv_id, row_number() OVER (PARTITION BY conv_id // {IDS_A_FILE} ORDER BY conv_id) AS ordinal

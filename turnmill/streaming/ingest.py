@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -70,3 +72,73 @@ def start_ingest(rendered: DataFrame, out: str, checkpoint: str) -> StreamingQue
         .trigger(availableNow=True)
         .start()
     )
+
+
+_MANIFEST = "_batches"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def _commit(spark: SparkSession, sink: str, batch_id: int) -> None:
+    """Note that a batch of the sink is whole. The note is empty and made in one step."""
+    note = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/{_MANIFEST}/{batch_id}")
+    note.getFileSystem(spark._jsc.hadoopConfiguration()).create(note, True).close()
+
+
+def write_batch_once(rows: DataFrame, sink: str, batch_id: int) -> bool:
+    """Write a batch into a folder of its own below ``sink``, unless it is there already;
+    whether it was written. Half-written batches are replaced."""
+    spark = rows.sparkSession
+    if _exists(spark, f"{sink}/{_MANIFEST}/{batch_id}"):
+        return False
+    rows.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+    _commit(spark, sink, batch_id)
+    return True
+
+
+def read_batches(spark: SparkSession, sink: str) -> DataFrame:
+    """The rows of the batches that are whole."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/{_MANIFEST}")
+    notes = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    batches = sorted(int(note.getPath().getName()) for note in notes if note.getPath().getName().isdigit())
+    return spark.read.option("basePath", sink).parquet(*[f"{sink}/batch={n}" for n in batches]).drop("batch")
+
+
+def _write_both(batch: DataFrame, batch_id: int, *, out: str, rejected: str, fmt: str, template: Template | None, default_system: str | None) -> None:
+    batch = batch.persist()
+    try:
+        bad = batch.filter(F.col("problem").isNotNull()).select("file", F.col("problem").alias("reason"), "raw")
+        good = batch.filter(F.col("problem").isNull()).drop("problem")
+        unified = normalize(good, fmt, default_system=default_system, on_error="quarantine").persist()
+        try:
+            write_batch_once(render(unified, template).drop("raw"), out, batch_id)
+            failed = unified.filter(F.col("error").isNotNull()).select("file", F.col("error").alias("reason"), "raw")
+            write_batch_once(bad.unionByName(failed), rejected, batch_id)
+        finally:
+            unified.unpersist()
+    finally:
+        batch.unpersist()
+
+
+def start_ingest_both(
+    records: DataFrame,
+    out: str,
+    rejected: str,
+    checkpoint: str,
+    *,
+    fmt: str = "auto",
+    template: Template | None = CHATML,
+    default_system: str | None = None,
+) -> StreamingQuery:
+    """Send usable records to ``out`` and the others, with their reason, to ``rejected``.
+
+    The files are read once for both: ``records`` is what :func:`stream_records` gives. Each
+    batch has a folder of its own in either sink, and a note once it is whole. A batch that
+    is run again, because the job ended between the two writes, writes only what has no
+    note yet. Read the sinks with :func:`read_batches`.
+    """
+    write = partial(_write_both, out=out, rejected=rejected, fmt=fmt, template=template, default_system=default_system)
+    return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
