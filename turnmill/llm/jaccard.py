@@ -14,7 +14,8 @@ nodes that are similar, without listing the pairs of a group:
 3. Members of both clusters are compared first. Where they are not similar, every
    node of the smaller cluster is a query on the groups of the other. A group has a
    row in the token-group matrix, a bitmap of its token union; the query's tokens
-   that are set in it bound the overlap, and only qualifying groups are opened.
+   that are set in it bound the overlap, and only qualifying groups are opened. Queries
+   come in groups too, so that two clusters meet in a row for each pair of groups.
 4. Two nodes are compared by parity bitmaps first, whose distance bounds that of the
    sets from below, and then exactly.
 
@@ -26,12 +27,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnmill.llm.common import small_batches
 from turnmill.llm.components import components
 from turnmill.session import materialize
 
@@ -46,6 +47,7 @@ _TOKENS_A_LOT = 4_000_000
 _FREQUENT = 64
 _MAX_FREQUENT = 500_000
 _GROUP_NODES = 32
+_GROUP_TOKENS = 1 << 17
 # Id tables of at most so many rows are broadcast (about 100 MB); larger ones are
 # joined by shuffle.
 _BROADCAST_ROWS = 2_000_000
@@ -169,7 +171,7 @@ def _arrow(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
 
 def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     body = F.col(text).cast("string")
-    return docs.select(F.col(id_column).cast("long").alias("id"), body.alias("text"), F.md5(body).alias("key"))
+    return small_batches(docs).select(F.col(id_column).cast("long").alias("id"), body.alias("text"), F.md5(body).alias("key"))
 
 
 def _profiles(docs: DataFrame, words_each: int) -> DataFrame:
@@ -288,7 +290,9 @@ def _clusters(docs: DataFrame, profiles: DataFrame, words_each: int, at: Thresho
     ``node, cluster, lo, hi`` of the nodes that these connect."""
     sizes = profiles.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("minima").alias("minima"))
     keyed = sizes.select("node", "n", F.posexplode("minima").alias("k", "key"))
+    # Aggregates are written before they are joined back, so that hot keys can be split.
     buckets = keyed.groupBy("k", "key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    buckets = materialize(buckets, "buckets")
     pairs = keyed.join(buckets, ["k", "key"]).filter("node != b").select(F.col("node").alias("a"), "b").distinct()
     pairs = materialize(pairs, "bucket-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
@@ -297,7 +301,9 @@ def _clusters(docs: DataFrame, profiles: DataFrame, words_each: int, at: Thresho
     known = sizes.select("node", "n").join(labels, "node").withColumnRenamed("label", "cluster")
     known = materialize(known, "cluster-nodes")
     spans = known.groupBy("cluster").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("nodes"))
-    group = F.pmod(F.xxhash64("node"), F.ceil(F.col("nodes") / _GROUP_NODES)).cast("int")
+    # Groups of large sets have fewer nodes.
+    each = F.greatest(F.least(F.lit(_GROUP_NODES), F.floor(F.lit(_GROUP_TOKENS) / F.col("hi"))), F.lit(1))
+    group = F.pmod(F.xxhash64("node"), F.ceil(F.col("nodes") / each)).cast("int")
     return links, known.join(spans, "cluster").select("node", "n", "cluster", "lo", "hi", group.alias("part"))
 
 
@@ -389,49 +395,82 @@ def _shared_tokens(rows: DataFrame, at: Threshold) -> DataFrame:
     return counted.filter(F.col("shared") >= total - behind).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _matrix(packed: DataFrame) -> DataFrame:
-    """The token-group matrix: ``cluster, part, bitmap`` of the groups of ``packed``,
-    with the ``nodes`` of each and their ``sketches``."""
+def _matrix(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The token-group matrix: ``cluster, part, bitmap`` of each group, with its ``nodes``
+    and their ``sets`` and ``sketches``. ``members``: node, cluster, part."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [union_bitmap([np.frombuffer(t, _U64) for t in own]) for own in batch["sets"]]
-            yield batch[["cluster", "part"]].assign(bitmap=rows, nodes=batch["nodes"], sketches=batch["sketches"])
+            rows = [union_bitmap([np.frombuffer(t, _U64) for t in own]) for own in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], [*batch.schema.names, "bitmap"])
 
     lists = [F.collect_list(c).alias(n) for c, n in (("node", "nodes"), ("tokens", "sets"), ("sketch", "sketches"))]
-    groups = packed.groupBy("cluster", "part").agg(*lists)
-    return groups.mapInPandas(run, "cluster long, part int, bitmap binary, nodes array<long>, sketches array<binary>")
-
+    groups = members.join(sets, "node").groupBy("cluster", "part").agg(*lists)
+    schema = "cluster long, part int, nodes array<long>, sets array<binary>, sketches array<binary>, bitmap binary"
+    return materialize(groups.mapInArrow(run, schema), "matrix")
+
+
+def least_distances(own: bytes, others: list[bytes], at: Threshold) -> list[tuple[int, int]]:
+    """(distance, place) of those ``others`` that :func:`least_distance` gives one, nearest first."""
+    by_size: dict[int, list[int]] = {}
+    for i, other in enumerate(others):
+        by_size.setdefault(len(other), []).append(i)
+    size, x = int.from_bytes(own[:4], "little"), np.frombuffer(own, np.uint8, offset=4)
+    found = []
+    for length, places in by_size.items():
+        packed = np.frombuffer(b"".join(others[i] for i in places), np.uint8).reshape(len(places), length)
+        sizes = packed[:, :4].copy().view("<u4")[:, 0].astype(np.int64)
+        y = packed[:, 4:]
+        # The larger bitmap folded is the bitmap of its set with fewer cells.
+        cells = min(len(x), length - 4)
+        mine = np.bitwise_xor.reduce(x.reshape(-1, cells), axis=0)
+        theirs = np.bitwise_xor.reduce(y.reshape(len(places), -1, cells), axis=1)
+        apart = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
+        fits = (apart <= size + sizes - 2 * at.overlap(size, sizes)) & (at.whole * np.minimum(size, sizes) >= at.part * np.maximum(size, sizes))
+        found += [(int(apart[k]), places[k]) for k in np.flatnonzero(fits)]
+    return sorted(found)
+
+
+def first_link(queries: tuple[list, list, list], group: tuple[list, list, list], bitmap: bytes, at: Threshold) -> tuple[int, int] | None:
+    """One link between the nodes of two groups (nodes, sets, sketches), if there is any.
+
+    Each node of the first is a query on the row of the matrix; the group is opened only to
+    queries whose tokens may reach the overlap in its union."""
+    for node, packed, own in zip(*queries, strict=True):
+        tokens = np.frombuffer(packed, _U64)
+        if at.whole * overlap_bound(tokens, bitmap) < at.part * len(tokens):
+            continue
+        for _, place in least_distances(own, group[2], at):
+            if at.similar(tokens, np.frombuffer(group[1][place], _U64)):
+                return node, group[0][place]
+    return None
+
+
+def _opened(pairs: DataFrame, matrix: DataFrame, at: Threshold) -> DataFrame:
+    """Links ``a, b`` (nodes), at most one for each group of cluster ``a`` and each group of
+    cluster ``b``: the clusters are connected in themselves, so one link joins them."""
+    columns = ["nodes", "sets", "sketches"]
+    side = lambda s, more: matrix.select(F.col("cluster").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns], *more)
+    rows = pairs.select("a", "b").join(side("a", []), "a").join(side("b", ["bitmap"]), "b")
 
-def _opened(pairs: DataFrame, members: DataFrame, sets: DataFrame, at: Threshold, nearest: bool) -> DataFrame:
-    """Pairs ``a, b`` of nodes: the queries of cluster ``a`` with those members of cluster
-    ``b`` that are in a group the query's tokens qualify and whose sketch may be similar.
-    ``members``: node, cluster, part. With ``nearest`` only the nearest of each group."""
-    packed = members.join(sets, "node")
-    queries = packed.select(F.col("cluster").alias("a"), F.col("node").alias("query"), "tokens", "sketch")
-    matrix = _matrix(packed.join(pairs.select(F.col("b").alias("cluster")).distinct(), "cluster", "left_semi"))
-    rows = pairs.join(queries, "a").join(matrix.withColumnRenamed("cluster", "b"), "b")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for query, packed, own, bitmap, nodes, sketches in batch.itertuples(index=False):
-                tokens = np.frombuffer(packed, _U64)
-                if at.whole * overlap_bound(tokens, bitmap) < at.part * len(tokens):
-                    continue
-                likely = [(apart, n) for n, s in zip(nodes, sketches, strict=True) if (apart := least_distance(own, s, at)) is not None]
-                found += [(query, n) for _, n in ([min(likely)] if nearest and likely else likely)]
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            for at_row in range(batch.num_rows):
+                row = [c[at_row].as_py() for c in batch.columns]
+                found.append(first_link(tuple(row[:3]), tuple(row[3:6]), row[6], at))
+            links = [x for x in found if x is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.select("query", "tokens", "sketch", "bitmap", "nodes", "sketches").mapInPandas(run, "a long, b long")
+    return rows.select(*[f"{s}_{c}" for s in "ab" for c in columns], "bitmap").mapInArrow(run, "a long, b long")
 
 
 def _joined(pairs: DataFrame, members: DataFrame, sets: DataFrame, near: DataFrame, at: Threshold) -> DataFrame:
     """Components of the near links and of those between clusters: ``node, label``.
 
     Links between clusters are looked for in rounds, each only between clusters that
-    earlier rounds did not connect: two members of each, then each query with its
-    nearest member of a group, then with all members that may be similar.
+    earlier rounds did not connect: two members of each, then one group of each, then
+    all groups of one with all groups of the other.
     """
     ends = members.groupBy("cluster").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("nodes"))
     named = lambda side: ends.select(*[F.col(c).alias(side if c == "cluster" else f"{side}_{c}") for c in ends.columns])
@@ -446,12 +485,14 @@ def _joined(pairs: DataFrame, members: DataFrame, sets: DataFrame, near: DataFra
     left = known.filter(several).select(ordered.alias("p")).select(
         F.col("p.x.cluster").alias("a"), F.col("p.x.least").alias("a_least"), F.col("p.y.cluster").alias("b"), F.col("p.y.least").alias("b_least")
     )
-    for nearest in (True, False):
+    matrix = _matrix(members.join(left.select(F.explode(F.array("a", "b")).alias("cluster")).distinct(), "cluster", "left_semi"), sets)
+    least = matrix.groupBy("cluster").agg(F.min("part").alias("part"))
+    for groups in (matrix.join(least, ["cluster", "part"], "left_semi"), matrix):
         of = lambda s: labels.select(F.col("node").alias(f"{s}_least"), F.col("label").alias(f"{s}_label"))  # noqa: B023, E731
         placed = left.join(of("a"), "a_least", "left").join(of("b"), "b_least", "left")
         apart = F.coalesce("a_label", "a_least") != F.coalesce("b_label", "b_least")
         left = materialize(placed.filter(apart).drop("a_label", "b_label"), "open-pairs")
-        links = materialize(_verified(_opened(left.select("a", "b"), members, sets, at, nearest), sets, at), "open-links")
+        links = materialize(_opened(left, groups, at), "open-links")
         if not links.isEmpty():
             known_links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
             labels = materialize(components(known_links.union(links)), "labels")
@@ -496,6 +537,7 @@ def jaccard_classes(
     least = labelled.filter("label is not null").groupBy("label").agg(
         F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first")
     )
+    least = materialize(least, "least")
     return labelled.join(least, "label", "left").select(
         "id", "key", F.col("n").cast("long").alias("n_shingles"), "node",
         F.coalesce("least", "id").alias("component_id"), F.struct("first.id", "first.key").alias("first"),
