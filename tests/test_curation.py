@@ -1,0 +1,213 @@
+"""Near copies, quality limits, comparison of models, token blocks."""
+
+import hashlib
+import json
+import math
+import os
+import random
+
+import pytest
+from conftest import plan_of
+from pyspark.sql import functions as F
+
+from turnmill.operators import near_copies as nc
+from turnmill.operators.comparison import UNIT, compare_models, poisson_steps
+from turnmill.operators.near_copies import drop_near_copies, first_arrivals, near_copies
+from turnmill.operators.packing import packed_tokens
+from turnmill.operators.quality import LIMITS, MEASURES, RANK_ERROR, merge_sketches, quality_limits, quantile_sketches, with_measures, within_limits
+
+
+def words(rng, n):
+    return [f"w{rng.randint(0, 400)}" for _ in range(n)]
+
+
+def shingle_set(text):
+    own = text.lower().split()
+    return {tuple(own[i : i + 5]) for i in range(max(len(own) - 4, 1))} if own else set()
+
+
+def conversations(rng):
+    rows = []
+    for i in range(120):
+        base = words(rng, rng.randint(20, 120))
+        rows.append((i, " ".join(base)))
+        for k in range(rng.randint(0, 3)):
+            near = list(base)
+            for _ in range(rng.randint(0, 4)):
+                near[rng.randrange(len(near))] = f"new{rng.random()}"
+            rows.append((1000 + 10 * i + k, " ".join(near).upper() if k else "  ".join(near)))
+    return [*rows, (5000, ""), (5001, None), (5002, " \n"), (5003, "two words"), (5004, "Two  WORDS"), (5005, "two other")]
+
+
+def similar_to_smaller(rows, threshold=0.75):
+    sets = {i: shingle_set(t or "") for i, t in rows}
+    out = set()
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and a and b and len(a & b) >= threshold * len(a | b):
+                out.add(i)
+    return out
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(4)
+    rows = conversations(rng)
+    df = spark.createDataFrame(rows, "conv_id long, text string").repartition(5)
+    found = {r["id"]: r["copy_of"] for r in near_copies(df, "conv_id").collect()}
+    wanted = similar_to_smaller(rows)
+    assert set(found) <= wanted and len(found) >= 0.9 * len(wanted) and len(wanted) > 80
+    text = dict(rows)
+    for i, j in found.items():
+        a, b = shingle_set(text[i]), shingle_set(text[j])
+        assert j < i and len(a & b) >= 0.75 * len(a | b)
+    left = {r["conv_id"] for r in drop_near_copies(df, "conv_id").collect()}
+    assert left == set(text) - set(found)
+
+
+def test_a_hot_band_gives_one_candidate_a_row(spark):
+    rows = [(i, "the very same words in all of these conversations of ours") for i in range(400)]
+    df = spark.createDataFrame(rows, "conv_id long, text string")
+    from turnmill import session
+
+    before = len(session._made)
+    assert {(r["id"], r["copy_of"]) for r in near_copies(df, "conv_id").collect()} == {(i, 0) for i in range(1, 400)}
+    (candidates,) = [p for p in session._made[before:] if "/candidates-" in p]
+    assert spark.read.parquet(candidates).count() == 399
+
+
+def test_near_copies_of_nothing(spark):
+    assert near_copies(spark.createDataFrame([], "conv_id long, text string"), "conv_id").collect() == []
+    assert nc.near_copies(spark.createDataFrame([("a", "x"), ("b", "X")], "conv_id string, text string"), "conv_id").collect()[0]["copy_of"] == "a"
+
+
+def test_first_arrivals(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+
+    def put(number, *rows):
+        file = tmp_path / "in" / f"{number}.json"
+        file.write_text("\n".join(json.dumps({"id": i, "text": t, "ts": f"2024-01-0{d} 00:00:00"}) for i, t, d in rows))
+        os.utime(file, (1_700_000_000 + number,) * 2)
+
+    put(0, (1, "Hello there", 1), (2, "hello  THERE", 1), (3, "other", 1))
+    put(1, (4, "hello there", 1), (5, None, 1), (6, " ", 1), (7, "late", 5))
+    put(2, (8, "later", 6))
+    put(3, (9, "HELLO there", 7))
+    stream = spark.readStream.schema("id long, text string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = first_arrivals(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    found = {r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(found & {1, 2}) == 1 and len(found & {5, 6}) == 1 and {3, 7, 8, 9} <= found and 4 not in found
+
+
+def test_quality_limits_within_the_error(spark):
+    """The rank of a limit is off by no more than the stated error, for a group larger than a sketch."""
+    rng = random.Random(6)
+    rows = [(i, i % 2, float(int(rng.paretovariate(1.2) * 100)), rng.random(), rng.betavariate(8, 2)) for i in range(60_000)]
+    measured = spark.createDataFrame(rows, "id long, half int, n_chars double, repeated_lines double, letters double")
+    whole = quality_limits(quantile_sketches(measured.withColumn("g", F.lit("x")), "g"), "g").first()
+    halves = quantile_sketches(measured.withColumn("g", F.lit("x")), "g", "half")
+    merged = quality_limits(merge_sketches(halves, "g"), "g").first()
+    for limits in (whole, merged):
+        for place, measure in enumerate(MEASURES, 2):
+            for side, p in zip(("low", "high"), LIMITS[measure], strict=True):
+                value = limits[f"{measure}_{side}"]
+                assert (value is None) == (p is None)
+                if p is not None:
+                    below, upto = (sum(test(r[place], value) for r in rows) / len(rows) for test in (lambda x, v: x < v, lambda x, v: x <= v))
+                    assert below - 2 * RANK_ERROR <= p <= upto + 2 * RANK_ERROR
+
+
+def test_quality_of_odd_texts(spark):
+    rows = [(0, None), (1, ""), (2, "a\na\nb"), (3, "1 2 3"), (4, "é漢\U0001f600")]
+    got = {r["id"]: (r["n_chars"], round(r["repeated_lines"], 6), round(r["letters"], 6)) for r in with_measures(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == {0: (0, 0, 0), 1: (0, 0, 0), 2: (5, 0.333333, 0.6), 3: (5, 0, 0), 4: (3, 0, 0.666667)}
+    measured = with_measures(spark.createDataFrame([(i, "g" if i else None, "x" * (i + 1)) for i in range(200)], "id long, lang string, text string"))
+    limits = quality_limits(quantile_sketches(measured.filter("id < 100"), "lang"), "lang")
+    judged = {r["id"]: (r["keep"], r["outside"]) for r in within_limits(measured, limits, "lang").collect()}
+    assert len(judged) == 200 and judged[0] == (True, []) and judged[1][0] is False and judged[150] == (False, ["n_chars"]) and judged[50][0]
+    assert "_lang" not in within_limits(measured, limits, "lang").columns
+
+
+def reference_weights(seed, i, replicates):
+    out = []
+    for block in range(replicates // 4):
+        digest = hashlib.md5(f"{seed}:{i}:{block}".encode()).hexdigest()
+        out += [sum(int(digest[8 * k : 8 * k + 8], 16) >= s for s in poisson_steps()) for k in range(4)]
+    return out
+
+
+def test_comparison_against_a_loop(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("xy"), rng.randint(0, 50), round(rng.random() * 9, 6), round(rng.random() * 9, 6)) for i in range(300)] + [(999, "x", 9, None, 1.0)]
+    losses = spark.createDataFrame(rows, "id long, g string, n_tokens int, loss_a double, loss_b double")
+    found = {r["g"]: r for r in compare_models(losses.repartition(7), ["id"], "g", replicates=40, seed=3).collect()}
+    assert sorted(found) == ["x", "y"]
+    for g, r in found.items():
+        own = [(i, n - 1, (round(b * UNIT) - round(a * UNIT))) for i, k, n, a, b in rows if k == g and n >= 2 and a is not None]
+        value = lambda w: sum(k * n * d for k, (_, n, d) in zip(w, own, strict=True)) / sum(k * n for k, (_, n, _) in zip(w, own, strict=True)) / UNIT  # noqa: B023, E731
+        weights = list(zip(*(reference_weights(3, i, 40) for i, *_ in own), strict=True))
+        values = sorted(map(value, weights))
+        assert r["n_used"] == len(own) and r["difference"] == pytest.approx(value([1] * len(own)), abs=1e-12)
+        assert (r["low"], r["high"]) == (pytest.approx(values[0]), pytest.approx(values[38]))
+        assert r["better"] == pytest.approx(sum(v < 0 for v in values) / 40)
+    again = compare_models(losses.coalesce(1), ["id"], "g", replicates=40, seed=3)
+    assert {r["g"]: r for r in again.collect()} == found
+    assert compare_models(losses.limit(0), ["id"], replicates=40).first()["n_used"] == 0
+    assert compare_models(losses.limit(0), ["id"], "g", replicates=40).collect() == []
+    with pytest.raises(ValueError, match="multiple"):
+        compare_models(losses, ["id"], replicates=10)
+
+
+def test_weights_are_poisson(spark):
+    rows = spark.range(2000).select("id", F.lit(2).alias("n_tokens"), F.lit(0.0).alias("loss_a"), (F.col("id") % 2).cast("double").alias("loss_b"))
+    r = compare_models(rows, ["id"], replicates=200).first()
+    # The standard error of a share of a half among 2,000 is 0.0112.
+    assert r["difference"] == 0.5 and r["better"] == 0 and 0.015 < 0.5 - r["low"] < 0.03 and 0.015 < r["high"] - 0.5 < 0.03
+    assert math.isclose(sum(1 - s / 2**32 for s in poisson_steps()), 1, abs_tol=1e-6)
+
+
+def cut(rows, size):
+    """Blocks of each shard's stream."""
+    streams = {}
+    for shard, _, tokens in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        streams.setdefault(shard, []).extend([*(tokens or []), "<eos>"])
+    return {(s, i // size): t[i : i + size] for s, t in streams.items() for i in range(0, len(t), size)}
+
+
+@pytest.mark.parametrize(("size", "partitions", "batch"), [(7, 4, 10_000), (64, 9, 3), (1, 3, 5), (100_000, 4, 10_000)])
+def test_blocks_against_a_stream(spark, size, partitions, batch):
+    rng = random.Random(size)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b", None, "é"]), i, rng.choice([[], None, [f"{i}.{k}" for k in range(rng.randint(0, 40))]])) for i in range(400)]
+    settings = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch), "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.createDataFrame(rows, "shard string, doc long, tokens array<string>")
+        found = packed_tokens(df.repartition(5), "doc", size).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == len({(r["shard"], r["block"]) for r in found})
+    assert {(r["shard"], r["block"]): r["tokens"] for r in found} == cut(rows, size)
+
+
+def test_a_hot_shard_is_spread_and_only_its_edges_meet(spark):
+    from turnmill import session
+
+    rows = [("hot", i, list(range(20))) for i in range(2000)]
+    before, merging = len(session._made), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    try:
+        found = packed_tokens(spark.createDataFrame(rows, "shard string, doc long, tokens array<int>").repartition(4), "doc", 50, separator=-1)
+    finally:
+        spark.conf.unset(merging)
+    assert found.count() == 2000 * 21 / 50 and found.schema["tokens"].dataType.elementType.simpleString() == "int"
+    laid, pieces = (spark.read.parquet(next(p for p in session._made[before:] if f"/{name}-" in p)) for name in ("laid-out", "cut"))
+    parts = laid.groupBy("part").count().count()
+    assert parts >= 3 and pieces.filter("size(tokens) < 50").count() <= 2 * parts
+    assert "Exchange" in plan_of(found)
+
+
+def test_no_examples(spark):
+    assert packed_tokens(spark.createDataFrame([], "shard string, doc long, tokens array<string>"), "doc", 5).collect() == []
