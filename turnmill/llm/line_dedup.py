@@ -1,29 +1,34 @@
 """Removal of repeated passages, runs of lines that occur earlier in the table.
 
-:func:`remove_passages` cuts every repeated passage from its first line to its last.
-From each line the shortest passage that begins there, and the shortest that ends
-there, is a window. What a window holds depends on its own lines only, and the windows
-inside a run of lines cover all of it, so a run is repeated just where its windows are.
-Windows of one document that repeat the same place of another are joined, and their
-bytes compared, before they are cut.
-
-:func:`remove_repeats` cuts whole content-defined chunks only: a rolling hash over the
-hashes of neighbouring lines chooses the boundaries, so they depend on the lines around
-them and not on where in a document they are. A passage keeps its lines before the
-first and after the last boundary in it. No query uses it.
+Content-defined line chunks are found on two levels:
+
+1. A rolling hash over the hashes of neighbouring lines chooses boundaries, so they depend
+   on the lines around them and not on where in a document they are. A chunk that occurs
+   earlier is an anchor: it is joined to its first occurrence and widened line by line to
+   both sides, as long as the lines of both documents are the same.
+2. A passage may have no such chunk inside it, or lie across the edge of what was found.
+   Therefore the shortest passages that begin, and those that end, at each line are chunks
+   too, unless they are inside a widened one. What such a chunk holds depends on its own
+   lines only, and the chunks inside a run of lines cover all of it.
+
+Both levels together find every repeated passage. The bytes of both occurrences are
+compared before anything is cut.
+
+:func:`remove_repeats` cuts whole chunks of the first level only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnmill.llm.common import whole
+from turnmill.llm.common import small_batches, whole
 from turnmill.session import materialize
 
 _WINDOW = 2
@@ -34,6 +39,8 @@ _MAX_LINES = 64
 _ROWS_A_STEP = 512
 # Id tables of at most so many rows are broadcast; larger ones are joined by shuffle.
 _BROADCAST_ROWS = 2_000_000
+# A table of rows of any width is broadcast if its Parquet files have at most so many bytes.
+_BROADCAST_BYTES = 32 << 20
 # A passage of several lines has so many words, those of blank lines being none.
 _MIN_WORDS = 10
 # A line of so many words is a passage by itself.
@@ -46,13 +53,12 @@ _WEIGHT = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def chunks(text: str) -> list[tuple[int, int]]:
-    """(first line, end line) of the chunks of a text's lines, which ``\\n`` ends.
+def chunk_lines(hashes: list[int]) -> list[tuple[int, int]]:
+    """(first line, end line) of the chunks of lines with these hashes.
 
     A boundary follows line i if the rolling hash of the lines up to i says so and
     the chunk has two lines; a chunk ends at 64 lines in any case.
     """
-    hashes = [xxhash.xxh3_64_intdigest(line) for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
     out, start, rolled = [], 0, 0
     oldest = pow(_WEIGHT, _WINDOW, _MASK + 1)
     for i, h in enumerate(hashes):
@@ -68,18 +74,31 @@ def chunks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def chunks(text: str) -> list[tuple[int, int]]:
+    """The chunks of a text's lines, which ``\\n`` ends."""
+    return chunk_lines([xxhash.xxh3_128_intdigest(line) & _MASK for line in text.encode("utf-8", "surrogatepass").split(b"\n")])
+
+
 def document_key(id_column: str = "doc_id", text: str = "text") -> Column:
     """128 bits that name a document by its id and text."""
     return F.md5(F.concat_ws(":", F.coalesce(F.col(id_column).cast("string"), F.lit("-")), whole(F.col(text))))
 
 
 def _small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has few enough rows."""
     df = materialize(df, "ids")
     return F.broadcast(df) if df.count() <= _BROADCAST_ROWS else df
 
 
+def _light(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its files have few enough bytes."""
+    df = materialize(df, "cuts")
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if size <= _BROADCAST_BYTES else df
+
+
 def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_column).cast("long").alias("id"), document_key(id_column, text).alias("key"), whole(F.col(text)).alias("text"))
+    return small_batches(docs).select(F.col(id_column).cast("long").alias("id"), document_key(id_column, text).alias("key"), whole(F.col(text)).alias("text"))
 
 
 def _occurrences(keyed: DataFrame, *, with_text: bool) -> DataFrame:
@@ -132,7 +151,7 @@ def _without(docs: DataFrame, cuts: DataFrame, spans_of: Callable[[str, list], l
     made = ["n_lines", "removed_lines", "removed"]
     kept = [c for c in docs.columns if c not in made]
     source = docs.select(*[docs[c].alias(f"_{i}") for i, c in enumerate(kept)], document_key(id_column, text).alias("key"))
-    joined = source.join(_small(cuts.withColumnRenamed("key", "_key")), F.col("key") == F.col("_key"), "left")
+    joined = source.join(_light(cuts.withColumnRenamed("key", "_key")), F.col("key") == F.col("_key"), "left")
     place = kept.index(text)
     rows = joined.select(*[f"_{i}" for i in range(len(kept))], "cut")
 
@@ -184,28 +203,71 @@ def is_passage(lines: int, words: int) -> bool:
     return words >= (_MIN_WORDS if lines >= _MIN_LINES else _LINE_WORDS)
 
 
-def windows(text: str) -> list[tuple[int, int, bytes]]:
-    """(first line, end line, hash) of the shortest passages that begin or end at each line."""
+def line_profile(text: str) -> tuple[bytes, bytes]:
+    """The hashes of a text's lines, 16 bytes each, and their words, four bytes each."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    size, sums, rolled, powers = len(lines), [0], [0], [1]
-    for line in lines:
-        sums.append(sums[-1] + _words(line))
-        rolled.append((rolled[-1] * _WINDOW_WEIGHT + xxhash.xxh3_128_intdigest(line)) % _WINDOW_PRIME)
-        powers.append(powers[-1] * _WINDOW_WEIGHT % _WINDOW_PRIME)
-    spans, b = set(), 0
+    hashes = b"".join(xxhash.xxh3_128_digest(line) for line in lines)
+    return hashes, np.fromiter(map(_words, lines), "<u4", len(lines)).tobytes()
+
+
+class Lines:
+    """A profile, and the hash of any run of its lines."""
+
+    def __init__(self, hashes: bytes, words: bytes):
+        self.hashes = [int.from_bytes(hashes[at : at + 16], "big") for at in range(0, len(hashes), 16)]
+        self.sums = [0, *np.cumsum(np.frombuffer(words, "<u4"), dtype=np.int64).tolist()]
+        self.rolled, self.powers = [0], [1]
+        for h in self.hashes:
+            self.rolled.append((self.rolled[-1] * _WINDOW_WEIGHT + h) % _WINDOW_PRIME)
+            self.powers.append(self.powers[-1] * _WINDOW_WEIGHT % _WINDOW_PRIME)
+
+    def is_passage(self, a: int, b: int) -> bool:
+        return is_passage(b - a, self.sums[b] - self.sums[a])
+
+    def hash(self, a: int, b: int) -> bytes:
+        return ((self.rolled[b] - self.rolled[a] * self.powers[b - a]) % _WINDOW_PRIME).to_bytes(16, "big")
+
+
+def long_chunks(lines: Lines) -> list[tuple[int, int]]:
+    """The chunks of the first level that are passages."""
+    return [(a, b) for a, b in chunk_lines([h & _MASK for h in lines.hashes]) if lines.is_passage(a, b)]
+
+
+def short_chunks(lines: Lines, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The shortest passages that begin or end at each line, without those inside one of
+    the ``known`` spans."""
+    size, spans, b = len(lines.hashes), set(), 0
     for a in range(size):
-        while b < size and (b <= a or not is_passage(b - a, sums[b] - sums[a])):
+        while b < size and (b <= a or not lines.is_passage(a, b)):
             b += 1
-        if b <= a or not is_passage(b - a, sums[b] - sums[a]):
+        if b <= a or not lines.is_passage(a, b):
             break
         spans.add((a, b))
     a = 0
     for b in range(1, size + 1):
-        while a + 1 < b and is_passage(b - a - 1, sums[b] - sums[a + 1]):
+        while a + 1 < b and lines.is_passage(a + 1, b):
             a += 1
-        if is_passage(b - a, sums[b] - sums[a]):
+        if lines.is_passage(a, b):
             spans.add((a, b))
-    return [(a, b, ((rolled[b] - rolled[a] * powers[b - a]) % _WINDOW_PRIME).to_bytes(16, "big")) for a, b in sorted(spans)]
+    # How far the known spans that begin at a line or before it reach.
+    reach = [0] * (size + 1)
+    for start, end in known:
+        reach[start] = max(reach[start], end)
+    for i in range(1, size + 1):
+        reach[i] = max(reach[i], reach[i - 1])
+    return sorted((a, b) for a, b in spans if b > reach[a])
+
+
+def widened(own: bytes, first: bytes, start: int, end: int, first_start: int) -> tuple[int, int, int]:
+    """(start, end, first_start) of a run of the same lines in two documents, as long as it
+    can be. ``own`` and ``first`` are the documents' line hashes."""
+    line = lambda hashes, i: hashes[16 * i : 16 * i + 16]
+    while start and first_start and line(own, start - 1) == line(first, first_start - 1):
+        start, first_start = start - 1, first_start - 1
+    ahead = start - first_start
+    while 16 * end < len(own) and 16 * (end - ahead) < len(first) and line(own, end) == line(first, end - ahead):
+        end += 1
+    return start, end, first_start
 
 
 def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -219,18 +281,75 @@ def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _window_rows(keyed: DataFrame) -> DataFrame:
-    """One row for each window: id, key, start, end and hash."""
+def _profiles(keyed: DataFrame) -> DataFrame:
+    """``id, key, hashes, words`` of every document's lines."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["id", "key", "start", "end", "hash"], [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS_A_STEP):
                 part = batch.slice(at, _ROWS_A_STEP)
-                rows = [(own, key, *w) for own, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True) for w in windows(text)]
+                made = [line_profile(text) for text in part.column(2).to_pylist()]
+                columns = [pa.array([x[k] for x in made], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["id", "key", "hashes", "words"])
+
+    return keyed.mapInArrow(run, "id long, key string, hashes binary, words binary")
+
+
+def _chunk_rows(profiles: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``id, key, start, end, hash`` of the chunks of the first level, or of the second where
+    ``known`` (``_key, spans``) has what the first one found."""
+    rows = profiles.select("id", "key", "hashes", "words")
+    if known is not None:
+        rows = profiles.join(known, F.col("key") == F.col("_key"), "left").select("id", "key", "hashes", "words", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["id", "key", "start", "end", "hash"], [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS_A_STEP):
+                rows = []
+                for own, key, hashes, words, *spans in zip(*(c.to_pylist() for c in batch.slice(at, _ROWS_A_STEP).columns), strict=True):
+                    lines = Lines(hashes, words)
+                    found = short_chunks(lines, [(s["start"], s["end"]) for s in spans[0] or ()]) if spans else long_chunks(lines)
+                    rows += [(own, key, a, b, lines.hash(a, b)) for a, b in found]
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return keyed.mapInArrow(run, "id long, key string, start int, end int, hash binary")
+    return rows.mapInArrow(run, "id long, key string, start int, end int, hash binary")
+
+
+def _repeats(found: DataFrame) -> DataFrame:
+    """``key, start, end, first_key, first_start`` of the chunks that occur earlier, by id
+    (null ids first), key and place."""
+    # Rows that are equal in id and text count as one document: their places are equal.
+    place = F.struct("id", "key", "start")
+    many = found.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last")))
+    many = materialize(many.select("hash", F.col("first.key").alias("first_key"), F.col("first.start").alias("first_start")), "repeated")
+    is_first = (F.col("key") == F.col("first_key")) & (F.col("start") == F.col("first_start"))
+    return materialize(found.join(many, "hash").filter(~is_first).select("key", "start", "end", "first_key", "first_start"), "repeats")
+
+
+def _widened(segments: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The segments as long as both documents have the same lines. Those within one document
+    are left to the second level."""
+    pairs = segments.filter("key != first_key").groupBy("key", "first_key").agg(F.collect_list(F.struct("start", "end", "first_start")).alias("spans"))
+    pairs = materialize(pairs, "anchors")
+    named = _small(pairs.select("key").union(pairs.select(F.col("first_key").alias("key"))).distinct())
+    # Rows that are equal in id and text have one profile.
+    lines = materialize(profiles.join(named, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")), "line-hashes")
+    first = lines.select(F.col("key").alias("first_key"), F.col("hashes").alias("first_hashes"))
+    rows = pairs.join(lines, "key").join(first, "first_key").select("key", "first_key", "spans", "hashes", "first_hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["key", "start", "end", "first_key", "first_start"], [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+        for batch in batches:
+            rows = []
+            for at in range(batch.num_rows):
+                key, first_key, spans, own, first = (c[at].as_py() for c in batch.columns)
+                longest = {widened(own, first, s["start"], s["end"], s["first_start"]) for s in spans}
+                rows += [(key, a, b, first_key, c) for a, b, c in sorted(longest)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return materialize(rows.mapInArrow(run, "key string, start int, end int, first_key string, first_start int"), "widened")
 
 
 def _segments(repeats: DataFrame) -> DataFrame:
@@ -255,23 +374,24 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     by id (null ids first), key and place. A passage that overlaps its own first
     occurrence loses the lines after it."""
     keyed = _keyed(docs, id_column, text)
-    found = materialize(_window_rows(keyed), "windows")
-    # Rows that are equal in id and text count as one document: their places are equal.
-    place = F.struct("id", "key", "start")
-    many = found.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last")))
-    many = materialize(many.select("hash", F.col("first.key").alias("first_key"), F.col("first.start").alias("first_start")), "repeated")
-    is_first = (F.col("key") == F.col("first_key")) & (F.col("start") == F.col("first_start"))
-    repeats = materialize(found.join(many, "hash").filter(~is_first).select("key", "start", "end", "first_key", "first_start"), "repeats")
-    parts = materialize(_segments(repeats).withColumn("first_end", F.col("first_start") + F.col("end") - F.col("start")), "segments")
+    profiles = materialize(_profiles(keyed), "line-profiles")
+    anchors = _repeats(materialize(_chunk_rows(profiles), "chunks"))
+    found = _widened(_segments(anchors), profiles)
+    known = found.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    rest = _segments(_repeats(materialize(_chunk_rows(profiles, _light(known)), "short-chunks")))
+    parts = found.union(rest).withColumn("first_end", F.col("first_start") + F.col("end") - F.col("start"))
+    parts = materialize(parts, "segments")
     own = parts.select("key", "start", "end")
     first = parts.select(F.col("first_key").alias("key"), F.col("first_start").alias("start"), F.col("first_end").alias("end"))
     spans = own.union(first).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     # Both sides of the comparison come from the texts themselves.
     spans = materialize(spans, "spans")
     texts = keyed.join(_small(spans.select("key")), "key", "left_semi").join(spans, "key")
-    lines = texts.select("key", F.split("text", "\n", -1).alias("lines"), "spans").select("key", "lines", F.explode("spans").alias("s"))
-    body = F.array_join(F.slice("lines", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")), "\n")
-    bodies = lines.select("key", "s.start", "s.end", body.alias("body"))
+    # Spans are cut out before a row is made of each, so that none carries the whole text.
+    lines = texts.select("key", F.split("text", "\n", -1).alias("lines"), "spans")
+    body = lambda s: F.array_join(F.slice(F.col("lines"), s["start"] + 1, s["end"] - s["start"]), "\n")
+    cut = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), body(s).alias("body")))
+    bodies = lines.select("key", cut.alias("cut")).select("key", F.inline("cut"))
     bodies = materialize(bodies.groupBy("key", "start", "end").agg(F.first("body").alias("body")), "bodies")
     kept = bodies.select(F.col("key").alias("first_key"), F.col("start").alias("first_start"), F.col("end").alias("first_end"), F.col("body").alias("kept"))
     same = parts.join(bodies, ["key", "start", "end"]).join(kept, ["first_key", "first_start", "first_end"]).filter(F.col("body") == F.col("kept"))
