@@ -28,7 +28,9 @@ _FILE_BYTES = 512 << 20
 _GAP_BYTES = 64 << 10
 _READ_BYTES = 8 << 20
 # Index rows of one window of a file are read by one task.
-_WINDOW_BYTES = 16 << 20
+_WINDOW_BYTES = 8 << 20
+# A task reads archives of about so many bytes.
+_TASK_BYTES = 32 << 20
 _ROWS_A_STEP = 256
 
 # Fixed values of the format.
@@ -206,7 +208,11 @@ def read_records(index: DataFrame, folder: str, *, payload: bool = True) -> Data
             yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     window = F.floor(F.col("offset") / _WINDOW_BYTES)
-    places = index.select("file", "offset", "length", window.alias("window")).repartition("file", "window")
+    places = index.select("file", "offset", "length", window.alias("window"))
+    # The index is small against the archives, so their bytes decide how many tasks read.
+    size = places.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count_distinct("file", "window").alias("windows")).first()
+    tasks = max(-(-size["bytes"] // _TASK_BYTES), min(size["windows"], 2 * index.sparkSession.sparkContext.defaultParallelism), 1)
+    places = places.repartition(int(tasks), "file", "window")
     return places.sortWithinPartitions("file", "offset").drop("window").mapInPandas(read, schema + (", payload binary" if payload else ""))
 
 
