@@ -238,7 +238,8 @@ def entries(index: DataFrame) -> DataFrame:
 
 def _differing(docs: DataFrame, decided: DataFrame, id_column: str, text: str) -> DataFrame:
     """Dropped documents whose normalised bytes differ from those of the one that stays."""
-    shared = decided.filter(F.col("group_size") > 1).select("id", "digest", "keep_id").distinct()
+    # One row for each id and digest, dealt by the digest alone, so that a hot one can be split.
+    shared = decided.filter(F.col("group_size") > 1).select("id", "digest", "keep_id")
     texts = docs.select(
         F.col(id_column).cast("long").alias("id"), text_digest(F.col(text)).alias("digest"), normalized(F.col(text)).alias("body")
     )
