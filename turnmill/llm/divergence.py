@@ -35,8 +35,9 @@ _BYTES_A_STEP = 1 << 21
 _ROWS_HELD = 1 << 20
 _LONG_HELD = 1 << 17
 _ROWS_OUT = 1 << 15
-# A block of the source by term table has about so many cells, a tile of pairs so many pairs.
-_BLOCK_CELLS = 1 << 20
+# A block of the source by term table has about as many cells as there are pairs of
+# sources, between these bounds; a tile of pairs has at most so many pairs.
+_LEAST_CELLS, _BLOCK_CELLS = 1 << 16, 1 << 20
 # Term bytes are ASCII letters and all of a code point beyond ASCII; only A-Z change.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IN_TERM = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -298,13 +299,14 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 def _pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """Every pair of sources of a language. The sources by terms table of a language is cut
-    by terms into blocks of about a million cells, which are added up pair by pair. A task
-    has one block and a tile of at most about a million pairs; up to a thousand sources
-    are one tile."""
+    by terms into blocks, which are added up pair by pair. A task has one block and a tile
+    of at most about a million pairs; up to a thousand sources are one tile."""
     about = groups.groupBy("lang", "kept").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "total"))), lambda s: s["total"]).alias("totals"))
     size = F.size("totals").cast("long")
-    pieces = lambda cells: F.greatest(F.ceil(cells / F.lit(_BLOCK_CELLS)), F.lit(1)).cast("int")
-    about = about.withColumns({"blocks": pieces(F.col("kept") * size), "tiles": F.least(pieces(size * size), size).cast("int")})
+    pieces = lambda cells, each: F.greatest(F.ceil(cells / each), F.lit(1)).cast("int")
+    most = F.lit(_BLOCK_CELLS).cast("long")
+    block = F.least(F.greatest(F.lit(min(_LEAST_CELLS, _BLOCK_CELLS)).cast("long"), size * size), most)
+    about = about.withColumns({"blocks": pieces(F.col("kept") * size, block), "tiles": F.least(pieces(size * size, most), size).cast("int")})
     about = materialize(about, "languages")
     number = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     named = groups.select("lang", "source", "number")
