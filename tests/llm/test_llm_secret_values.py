@@ -26,3 +26,11 @@ def test_prefix_ends_before_the_value(found):
     words = [text.split() for text in CASES]
     assert all(words[r.id][r.word_at].startswith(r.prefix + r.value) for r in found)
     assert [r.prefix for r in found if r.id == list(CASES).index("password=a")] == ["password="]
+
+
+def test_long_keys_take_linear_time(spark):
+    """Many names in one long word, and a value after it."""
+    word = "token" * 100_000
+    docs = documents(spark, [(1, word, None, None, None), (2, word + "=a!b", None, None, None), (3, "password=" + "x&" * 100_000, None, None, None)])
+    found = {r.id: r.value for r in secrets.candidates(docs).collect()}
+    assert found == {2: "a!b", 3: "x&" * 100_000}

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from llm_cases import ROWS, documents, with_clashes
 from pyspark.sql import functions as F
 
@@ -64,6 +65,67 @@ def test_dictionary_coverage(spark):
     assert row.coverage == pytest.approx(12 / 16) and row.length == 16 and row.digits == pytest.approx(2 / 16)
 
 
+def test_reviewed_findings_as_a_table(spark, labelled):
+    docs, truth = labelled
+    rows = [(r.id, r.value, truth[r.value]) for r in secrets.candidates(docs).collect() if r.id % 3 != 1]
+    # A finding that was reviewed twice, and findings that are in no document.
+    table = spark.createDataFrame([*rows, (*rows[0][:2], 1 - rows[0][2]), (9999, "x", 1), (None, None, 0)], "id long, value string, label int")
+    got = [r for r in secrets.scan_secrets(docs, table).collect() if r.id % 3 == 1]
+    assert len(got) >= 75 and sum(r.secret == bool(truth[r.value]) for r in got) / len(got) > 0.95
+
+
+def _bucket(text):
+    return (xxhash.xxh64_intdigest(text.encode(), 42) ^ 1 << 63) % 8
+
+
+def _features(row, words):
+    """All features of a finding, from its definition."""
+    v, n = row.value, len(row.value)
+    share = lambda test: sum(map(test, v)) / n
+    lower, upper, digit = str.islower, str.isupper, str.isdigit
+    follows = lambda a, b: sum(a(x) and b(y) for x, y in zip(v, v[1:], strict=False)) / n
+    kind = lambda c: "a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else None
+    runs = sum(kind(c) is None or i == 0 or kind(v[i - 1]) != kind(c) for i, c in enumerate(v))
+    parts = set(re.split("[^a-z]+", v.lower()))
+    naming = re.compile("token|passw|secret|api|key|auth|cred|bearer", re.I)
+    return {
+        "length": n, "digits": share(digit), "uppers": share(upper), "lowers": share(lower), "marks": share(lambda c: not c.isalnum()), "distinct": len(set(v)),
+        "runs": runs / n, "lower_digit": follows(lower, digit), "digit_lower": follows(digit, lower), "upper_digit": follows(upper, digit), "digit_upper": follows(digit, upper),
+        "hexadecimal": bool(re.fullmatch("[0-9a-f]+", v)), "coverage": sum(len(w) for w in parts if w in words) / n, "path_depth": row.path.count("/"), "path_length": len(row.path),
+        "path_practice": bool(re.search("test|example|sample|mock|fixture|demo|doc", row.path, re.I)), "path_bucket": _bucket(row.path),
+        "named_before": bool(naming.search(row.before) or naming.search(row.before_2)), "named_prefix": bool(naming.search(row.prefix)),
+        "assigned": bool(re.search("[=:]", row.prefix) or re.search("[=:]$", row.before)), "quoted": bool(re.search("[\"'`]$", row.prefix)),
+        "before_bucket": _bucket(row.before.lower()), "before_length": len(row.before), "after_length": len(row.after),
+    }
+
+
+def _tree_share(node, x):
+    """The share of secrets in the leaf that a finding falls into."""
+    while node.subtreeDepth() > 0:
+        split = node.split()
+        node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+    stats = list(node.impurityStats().stats())
+    return stats[1] / sum(stats)
+
+
+def test_features_and_scores_by_definition(spark, labelled):
+    docs, truth = labelled
+    words = secrets.dictionary(docs)
+    known = {r.word for r in words.collect()}
+    rows = secrets.features(secrets.candidates(docs.limit(60)), words)
+    label = F.col("value").isin([v for v, t in truth.items() if t]).cast("int")
+    forest = secrets.train_forest(secrets.features(secrets.candidates(docs), words).withColumn("label", label), trees=7, depth=4)
+    got = secrets.judge(rows, forest).collect()
+    roots = [t._call_java("rootNode") for t in forest.trees]
+    assert len(got) == 60 and {"window", "server"} <= known
+    for r in got:
+        want = _features(r, known)
+        assert want.keys() == set(secrets.FEATURES) and {c: r[c] for c in want} == pytest.approx({c: float(x) for c, x in want.items()}), r.value
+        x = [float(want[c]) for c in secrets.FEATURES]
+        score = sum(_tree_share(root, x) for root in roots) / len(roots)
+        assert r.score == pytest.approx(score) and r.secret == (r.score >= 0.5)
+
+
 def test_odd_rows(spark):
     none = F.lit(None).cast("int")
     got = secrets.scan_secrets(documents(spark), none).collect()

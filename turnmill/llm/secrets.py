@@ -21,17 +21,19 @@ from turnmill.session import materialize
 
 # At least twelve characters that credentials are made of, a digit among them.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
-# A credential's name (the rest of its word, up to 40 characters, may follow), and = or :.
+# A credential's name.
 _NAME = r"(?i:token|passw(?:or)?d|passwd|passphrase|pwd|secret|credential|authorization|(?:api|access|private|auth|account|encryption|signing|ssh|master)[_.-]?key)"
-_ASSIGN = r"[\w.-]{0,40}[\"'`\])]{0,2}\s?(?::=|=>|[=:]{1,2})\s?"
+# A whole key, of any length, that a name is in. It is tried once, where it begins.
+_KEY = r"(?<![\w.-])(?=[\w.-]*?" + _NAME + r")[\w.-]++"
+_CLOSED = r"[\"'`\])]{0,2}"
+_ASSIGN = _CLOSED + r"\s?(?::=|=>|[=:]{1,2})\s?"
 _SCHEME = r"(?:[\"'`]?(?i:bearer|basic|token)\s?)?"
 # In one word: up to the closing quote; without quotes, to the end of the word or the next pair.
-_PAIR = _NAME + _ASSIGN + r"(?:\"[^\"]+|'[^']+|`[^`]+|[^\"'`]\S*?(?=[&;,][\"'{]?[\w.-]{1,40}[\"']?[=:]|$))"
-_LEAD = _NAME + _ASSIGN + _SCHEME + "$"
+_PAIR = _KEY + _ASSIGN + r"(?:\"[^\"]+|'[^']+|`[^`]+|[^\"'`]\S*?(?=[&;,][\"'{]?[\w.-]++[\"']?[=:]|$))"
+_LEAD = _KEY + _ASSIGN + _SCHEME + "$"
 # A value may begin with the sign, if the name is the word before.
 _SIGN = r"^(?::=|=>|[=:]{1,2})"
 _OPEN, _CLOSE = r"[\"'`({\[<]*", r"[\"'`)}\]>,;]+$"
-_LEAD_CHARS = 200
 # Words that name a credential, and words of paths with made-up ones.
 _NAMING = r"(?i)(token|passw|secret|api|key|auth|cred|bearer)"
 _PRACTICE = r"(?i)(test|example|sample|mock|fixture|demo|doc)"
@@ -63,7 +65,7 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", p
         lambda w, i: F.struct(
             i.alias("word_at"), w.alias("word"), F.get("words", i - 2).alias("before_2"),
             F.get("words", i - 1).alias("before"), F.get("words", i + 1).alias("after"),
-            F.right(F.concat_ws(" ", F.get("words", i - 3), F.get("words", i - 2), F.get("words", i - 1)), F.lit(_LEAD_CHARS)).alias("lead"),
+            F.concat_ws(" ", F.get("words", i - 3), F.get("words", i - 2), F.get("words", i - 1)).alias("lead"),
         ),
     )
     of_interest = lambda s: s["word"].rlike(CANDIDATE) | s["word"].rlike(_NAME) | s["lead"].rlike(_NAME)
@@ -83,7 +85,7 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", p
 def _pairs(word: Column) -> Column:
     """Values and what is before them, of the pairs of a name and a value in a word."""
     def pair(match: Column) -> Column:
-        head = F.regexp_extract(match, "^" + _NAME + _ASSIGN + _OPEN, 0)
+        head = F.regexp_extract(match, r"^[\w.-]++" + _ASSIGN + _OPEN, 0)
         value = F.regexp_replace(F.substr(match, F.length(head) + 1), _CLOSE, "")
         return F.struct(value.alias("value"), F.concat(F.call_function("substring_index", word, match, F.lit(1)), head).alias("prefix"))
 
@@ -96,7 +98,7 @@ def _led(word: Column, lead: Column) -> Column:
     value = F.regexp_replace(F.substr(word, F.length(head) + 1), _CLOSE, "")
     # Signs and schemes alone are no values.
     told = (lead.rlike(_LEAD) & ~word.rlike(r"^[\"'`]?(?i:bearer|basic|token)$") & ~word.rlike(r"^[=:>]+$")) | (
-        lead.rlike(_NAME + r"[\w.-]{0,40}[\"'`\])]{0,2}$") & word.rlike(_SIGN)
+        lead.rlike(_KEY + _CLOSED + "$") & word.rlike(_SIGN)
     )
     return F.when(told & (value != ""), F.array(F.struct(value.alias("value"), head.alias("prefix")))).otherwise(
         F.array().cast("array<struct<value:string,prefix:string>>")
@@ -104,7 +106,12 @@ def _led(word: Column, lead: Column) -> Column:
 
 
 def dictionary(docs: DataFrame, text: str = "text", min_docs: int = _MIN_DICTIONARY_DOCS, size: int = _MAX_DICTIONARY) -> DataFrame:
-    """The ``size`` words of letters that are in most documents, ``min_docs`` at least."""
+    """The ``size`` words of letters that are in most documents, ``min_docs`` at least.
+
+    All documents are counted. ``size`` bounds the table, which is broadcast, and says what
+    coverage means: the share of a value that common words make up. No candidate is left
+    out for it.
+    """
     words = F.explode(F.array_distinct(F.split(F.lower(whole(F.col(text))), r"[^\p{L}]+"))).alias("word")
     counted = docs.select(words).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     often = counted.filter((F.length("word") > 2) & (F.col("n") >= min_docs))
@@ -192,13 +199,23 @@ def judge(rows: DataFrame, forest: RandomForestClassificationModel | None) -> Da
     return scored.withColumn("score", score).withColumn("secret", F.col("score") >= 0.5).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def scan_secrets(docs: DataFrame, label: Column, id_column: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
+def reviewed_label(rows: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """``rows`` with the ``label`` that a table of reviewed findings (``id, value, label``) has
+    for them. Of several labels of a finding the largest counts, so a secret stays one."""
+    known = reviewed.groupBy(F.col("id").alias("_id"), F.col("value").alias("_value")).agg(F.max("label").alias("label"))
+    known = materialize(known, "reviewed")
+    return rows.join(known, (F.col("id") == F.col("_id")) & (F.col("value") == F.col("_value")), "left").drop("_id", "_value")
+
+
+def scan_secrets(docs: DataFrame, label: Column | DataFrame, id_column: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """Judged candidates of all documents: ``FINDING`` columns, ``score``, ``secret``.
 
-    ``label`` gives 0 or 1 for a finding (its ``FINDING`` and ``FEATURES`` columns) that
-    was reviewed, null for others. A null path counts as empty. Repeated rows give repeated
-    findings; tables without candidates give no rows.
+    ``label`` is a table of reviewed findings, ``id, value, label`` (0 or 1), or a column that
+    gives 0 or 1 for a finding (its ``FINDING`` and ``FEATURES`` columns) that was reviewed,
+    null for others. A null path counts as empty. Repeated rows give repeated findings, and
+    equal findings equal scores; tables without candidates give no rows.
     """
     found = materialize(candidates(docs, id_column, text, path), "findings")
     rows = materialize(features(found, dictionary(docs, text)), "finding-features")
-    return judge(rows, train_forest(rows.withColumn("label", label))).select(*FINDING, "score", "secret")
+    labelled = reviewed_label(rows, label) if isinstance(label, DataFrame) else rows.withColumn("label", label)
+    return judge(rows, train_forest(labelled)).select(*FINDING, "score", "secret")
