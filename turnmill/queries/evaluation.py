@@ -44,12 +44,16 @@ def _bigram_losses(spark, sf_dir) -> DataFrame:
     return _rounded(BigramModel(train, "tokens", tokenizer=given_tokens).losses(held_out, "doc_id", text="tokens"), "loss")
 
 
-def _eval_report(spark, sf_dir) -> DataFrame:
+# Limits that a table of a hundred conversations reaches.
+FEW_SAMPLES, SHORT = 5, 24
+
+
+def _eval_report(spark, sf_dir, **limits) -> DataFrame:
     """A model of ``documents`` scored on the prepared conversations, by layout."""
     model = BigramModel(a.documents(spark, sf_dir, "text"))
     corpus = prepare(a.parsed(a.mixed_records(spark, sf_dir)), "conv_id", eval_ratio=0.0, on_error="skip")
     corpus = corpus.select("conv_id", "format", "text").withColumnRenamed("format", "dataset")
-    return _rounded(evaluation_report(model, corpus, "dataset", ["conv_id"], "conv_id"), "perplexity")
+    return _rounded(evaluation_report(model, corpus, "dataset", ["conv_id"], "conv_id", **limits), "perplexity")
 
 
 QUERIES = {
@@ -57,6 +61,7 @@ QUERIES = {
     "bigram_perplexity": _bigram_perplexity,
     "bigram_losses": _bigram_losses,
     "eval_report": _eval_report,
+    "eval_report_limits": lambda s, d: _eval_report(s, d, max_samples=FEW_SAMPLES, max_length=SHORT),
 }
 
 _SPLIT = """
@@ -97,6 +102,18 @@ scored AS (
   FROM known k LEFT JOIN pairs b ON k.prev = b.prev AND k.next = b.next LEFT JOIN words w ON k.prev = w.prev)"""
 
 
+def _report_sql(samples: int, length: int) -> str:
+    return a.SQL_MIXED + f""",
+        sample AS (
+          SELECT * FROM (
+            SELECT conv_id, format AS dataset, text,
+                   row_number() OVER (PARTITION BY format ORDER BY conv_id) AS place FROM mixed_rendered)
+          WHERE place <= {samples}),
+        {_model_sql("documents")}, {_scored_sql("sample", "conv_id, dataset", f"[1:{length}]")}
+        SELECT dataset, round(exp(sum(nll) / count(*)), 6) AS perplexity,
+               CAST(count(DISTINCT conv_id) AS BIGINT) AS n_used FROM scored GROUP BY dataset"""
+
+
 ORACLES = {
     "perplexity_by_lang": f"""
         WITH l AS (
@@ -117,13 +134,6 @@ ORACLES = {
         {_model_sql("train")}, {_scored_sql("held", "doc_id")}
         SELECT doc_id, CAST(count(*) + 1 AS BIGINT) AS n_tokens, round(avg(nll), 6) AS loss
         FROM scored GROUP BY doc_id""",
-    "eval_report": a.SQL_MIXED + f""",
-        sample AS (
-          SELECT * FROM (
-            SELECT conv_id, format AS dataset, text,
-                   row_number() OVER (PARTITION BY format ORDER BY conv_id) AS place FROM mixed_rendered)
-          WHERE place <= 200),
-        {_model_sql("documents")}, {_scored_sql("sample", "conv_id, dataset", "[1:1024]")}
-        SELECT dataset, round(exp(sum(nll) / count(*)), 6) AS perplexity,
-               CAST(count(DISTINCT conv_id) AS BIGINT) AS n_used FROM scored GROUP BY dataset""",
+    "eval_report": _report_sql(200, 1024),
+    "eval_report_limits": _report_sql(FEW_SAMPLES, SHORT),
 }
