@@ -114,8 +114,8 @@ def test_sharegpt_system_prompt(parsed, extra, system):
 
 
 def test_alpaca_joins_instruction_and_input(parsed):
-    record = {"instruction": " Summarise ", "input": "Long\t", "output": "S ", "system": "T"}
-    assert run(parsed, record)[1] == [("system", "T"), ("user", "Summarise\n\nLong"), ("assistant", "S")]
+    record = {"instruction": "\tCount the vowels\n", "input": " in: banana ", "output": " three\t", "system": "Be exact."}
+    assert run(parsed, record)[1] == [("system", "Be exact."), ("user", "Count the vowels\n\nin: banana"), ("assistant", "three")]
 
 
 @pytest.mark.parametrize(

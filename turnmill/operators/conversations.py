@@ -47,21 +47,31 @@ def inject_system(turns: DataFrame, prompt: str, *keys: str) -> DataFrame:
     return turns.select(*keys, "turn", "role", "content").unionByName(added)
 
 
-def render(normalized: DataFrame, template: Template | None) -> DataFrame:
-    """Usable records as training text; chat through ``template``, text verbatim.
+def with_rendered(normalized: DataFrame, template: Template | None) -> DataFrame:
+    """Replace ``messages`` and ``error`` by the training text in ``text``: chat through
+    ``template``, text verbatim, null for records that are not usable or blank.
 
     Without a template the job fails on the first usable conversation.
     """
     is_chat = F.col("messages").isNotNull()
-    usable = normalized.filter(F.when(is_chat, is_usable(F.col("messages"))).otherwise(F.col("text").isNotNull()))
     if template is None:
         missing = F.raise_error(F.lit("chat records need a template; none was given"))
         chat_text = missing.cast("string")
     else:
         chat_text = template.render(F.col("messages"))
-    text = F.when(is_chat, chat_text).otherwise(F.col("text"))
-    rendered = with_computed(usable, text=text).drop("messages", "error")
-    return rendered.filter(~is_blank(F.col("text")))
+    text = F.when(is_chat, F.when(is_usable(F.col("messages")), chat_text)).otherwise(F.col("text"))
+    rendered = with_computed(normalized, text=text).drop("messages", "error")
+    return rendered.withColumn("text", F.when(~is_blank(F.col("text")), F.col("text")))
+
+
+def render(normalized: DataFrame, template: Template | None) -> DataFrame:
+    """Usable records as training text; chat through ``template``, text verbatim.
+
+    Without a template the job fails on the first usable conversation.
+    """
+    is_chat = F.col("messages").isNotNull()
+    usable = normalized.filter(F.when(is_chat, is_usable(F.col("messages"))).otherwise(F.col("text").isNotNull()))
+    return with_rendered(usable, template).filter(F.col("text").isNotNull())
 
 
 def inference_prompts(

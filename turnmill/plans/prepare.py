@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions.messages import is_usable
 from turnmill.functions.templates import CHATML, Template
-from turnmill.operators.conversations import render
+from turnmill.operators.conversations import render, with_rendered
 from turnmill.operators.formats import normalize, status
 from turnmill.operators.split import seeded_split
 from turnmill.session import materialize
@@ -78,25 +78,27 @@ def prepare_dataset(
     later reads start from there. A corpus without a usable example is an error.
     """
     records = read_records(spark, path, on_bad_json=on_bad_json, **reading)
-    # Counted while the corpus is written, which saves a second pass.
-    read, kept = Observation(), Observation()
-    count = F.count(F.lit(1)).alias("n")
-    rejected = rejects(records, fmt, bad_json=on_bad_json == "quarantine", errors=on_error == "quarantine")
-    records = records.observe(read, count)
-    if on_bad_json == "quarantine":
-        records = records.filter(F.col("problem").isNull()).drop("problem")
+    # Kept and rejected records come from one pass, which also counts them.
+    read, made = Observation(), Observation()
+    records = records.observe(read, F.count(F.lit(1)).alias("n"))
     unified = normalize(records, fmt, default_system=default_system, on_error=on_error)
-    columns = ["record_id", "file", "ordinal", "format", "text"]
-    rendered = render(unified, template).select(*columns)
-    written = materialize(rendered.observe(kept, count), "rendered")
+    none = F.lit(None).cast("string")
+    problem = F.col("problem") if on_bad_json == "quarantine" else none
+    reason = F.coalesce(problem, F.col("error") if on_error == "quarantine" else none)
+    rendered = with_rendered(unified.withColumn("reason", reason), template)
+    raw = F.when(F.col("reason").isNotNull(), F.col("raw")).alias("raw")
+    rows = rendered.select("record_id", "file", "ordinal", "format", "text", "reason", raw).filter("text IS NOT NULL OR reason IS NOT NULL")
+    counts = [F.count_if(F.col("reason").isNull()).alias("kept"), F.count_if(F.col("reason").isNotNull()).alias("rejected")]
+    written = materialize(rows.observe(made, *counts), "rendered")
+    rejected = written.filter("reason IS NOT NULL").select(*_REJECTED)
     # Records that "skip" leaves out are dropped, not rejected.
-    total = read.get["n"]
-    n_rejected = rejected.count() if "quarantine" in (on_bad_json, on_error) else 0
-    require_examples(total, kept.get["n"], path)
-    corpus = seeded_split(written, "record_id", ratio=eval_ratio, seed=seed)
+    total, n_kept, n_rejected = read.get["n"], made.get["kept"], made.get["rejected"]
+    require_examples(total, n_kept, path)
+    kept = written.filter("reason IS NULL").drop("reason", "raw")
+    corpus = seeded_split(kept, "record_id", ratio=eval_ratio, seed=seed)
     stats = corpus.agg(
         F.lit(total).alias("seen"),
-        F.lit(total - kept.get["n"] - n_rejected).alias("dropped"),
+        F.lit(total - n_kept - n_rejected).alias("dropped"),
         F.lit(n_rejected).alias("rejected"),
         F.count(F.lit(1)).alias("kept"),
         F.count_if(F.col("split") == "train").alias("num_train"),
