@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-# Folders of intermediate tables that this driver has made.
+# Folders that this driver has made below the shared one.
 _made: list[str] = []
 # Applications whose workers have the package.
 _shipped: set[str] = set()
@@ -60,8 +60,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing has used yet. What is written there is
+    dropped with the intermediate tables."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -71,13 +74,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_intermediates(spark: SparkSession) -> int:
-    """Delete the tables that :func:`materialize` has written so far; how many.
+    """Delete what was written to folders of :func:`new_folder` so far, the tables of
+    :func:`materialize` among them; how many folders.
 
     Call it when results are written: frames that still read those tables fail.
     """
