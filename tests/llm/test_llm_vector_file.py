@@ -45,7 +45,7 @@ def test_odd_rows(spark):
 
 
 def test_blocks_of_queries(spark, monkeypatch):
-    monkeypatch.setattr(vf, "_QUERIES_A_PASS", 7)
+    monkeypatch.setattr(vf, "_QUERIES_A_BLOCK", 7)
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(120)]
     got = vf.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 3 == 0, 4)
@@ -61,5 +61,5 @@ def test_cells_leave_few_candidates(spark):
     rng = np.random.default_rng(7)
     rows = [(i, (rng.normal(size=32) / 6).tolist()) for i in range(2000)]
     file, grids = vf.build_file(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding")
-    queries = file.filter("vec_id < 20").select("row", "dims", "vector").toPandas()
-    assert vf._scan(file, grids, queries, 5).count() < 0.1 * 20 * 2000
+    queries = file.filter("vec_id < 20")
+    assert vf._scan(file, grids, vf._written_queries(queries), 5).count() < 0.1 * 20 * 2000

@@ -15,15 +15,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnmill.session import materialize
+from turnmill.llm.warc import open_store
+from turnmill.session import materialize, new_folder
 
 _CELL_BITS = 6
-# Queries that are searched in one pass over the cells, and held by each task.
-_QUERIES_A_PASS = 4096
+# Queries of a block; each task holds one block at a time.
+_QUERIES_A_BLOCK = 4096
 _SCORES_A_STEP = 4_000_000
 _SCALE = 256
 _LARGEST = np.iinfo(np.int64).max
@@ -115,34 +119,60 @@ def build_file(embeddings: DataFrame, id_column: str, vector: str, bits: int = _
     return materialize(made.withColumn("row", F.monotonically_increasing_id()), "vector-file"), grids
 
 
-def _scan(file: DataFrame, grids: dict[int, Grid], queries: pd.DataFrame, k: int) -> DataFrame:
-    """Rows ``query, row, upper, lower`` that may be among a query's k best."""
-    by_dims = {}
-    for dims, part in queries.groupby("dims"):
-        by_dims[dims] = part["row"].to_numpy(np.int64), _matrix(part["vector"], dims).astype(np.float64)
-    shared = file.sparkSession.sparkContext.broadcast((by_dims, grids))
+def _written_queries(queries: DataFrame) -> str:
+    """The folder of the queries' rows, some thousands in each file."""
+    folder = new_folder(queries.sparkSession, "queries")
+    blocks = max(1, -(-queries.count() // _QUERIES_A_BLOCK))
+    queries.select("row", "dims", "vector").repartition(blocks, F.xxhash64("row")).write.parquet(folder)
+    return folder
+
+
+def _blocks(folder: str) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The queries of each file: their rows and vectors, by number of components."""
+    store, path = open_store(folder)
+    names = sorted(x.path for x in store.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(".parquet"))
+    for name in names:
+        with store.open_input_file(name) as file:
+            table = pq.read_table(file)
+        by_dims = {}
+        for dims in np.unique(table["dims"].to_numpy()).tolist():
+            own = table.filter(pc.equal(table["dims"], dims))
+            vectors = own["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            by_dims[dims] = own["row"].to_numpy(), vectors.reshape(-1, dims).astype(np.float64)
+        yield by_dims
+
+
+def _scan(file: DataFrame, grids: dict[int, Grid], folder: str, k: int) -> DataFrame:
+    """Rows ``query, row, upper, lower`` that may be among a query's k best.
+
+    One pass over the cells: a task holds those of its part of the file, one byte a
+    component, and goes through the blocks of queries, which it reads one after the other.
+    """
+    shared = file.sparkSession.sparkContext.broadcast(grids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        searched, own_grids = shared.value
-        # The k largest lower bounds that this task has seen, for each query.
-        best = {d: np.full((len(rows), k), -np.inf) for d, (rows, _) in searched.items()}
+        held: dict[int, tuple[list, list]] = {}
         for batch in batches:
             for dims, part in batch.groupby("dims"):
-                if dims not in searched:
-                    continue
-                names, matrix = searched[dims]
+                rows, cells = held.setdefault(dims, ([], []))
+                rows.append(part["row"].to_numpy(np.int64))
+                cells.append(np.frombuffer(b"".join(part["cells"]), np.uint8).reshape(-1, dims))
+        file_part = {dims: (np.concatenate(rows), np.concatenate(cells)) for dims, (rows, cells) in held.items()}
+        for block in _blocks(folder) if file_part else ():
+            for dims, (names, matrix) in block.items():
+                rows, cells = file_part.get(dims, (np.zeros(0, np.int64), None))
+                # The k largest lower bounds that this task has seen, for each query.
+                best = np.full((len(names), k), -np.inf)
                 step = max(64, _SCORES_A_STEP // len(names))
-                for at in range(0, len(part), step):
-                    piece = part.iloc[at : at + step]
-                    rows = piece["row"].to_numpy(np.int64)
-                    cells = np.frombuffer(b"".join(piece["cells"]), np.uint8).reshape(-1, dims)
-                    upper, less, _ = own_grids[dims].bounds(cells, matrix)
-                    upper[names[:, None] == rows[None, :]] = -np.inf
+                for at in range(0, len(rows), step):
+                    own = rows[at : at + step]
+                    upper, less, _ = shared.value[dims].bounds(cells[at : at + step], matrix)
+                    upper[names[:, None] == own[None, :]] = -np.inf
                     lower = upper - less[:, None]
                     top = np.partition(lower, -k, axis=1)[:, -k:] if lower.shape[1] > k else lower
-                    best[dims] = np.sort(np.concatenate((best[dims], top), axis=1), axis=1)[:, -k:]
-                    q, c = np.nonzero((upper >= best[dims][:, :1]) & (upper > -np.inf))
-                    yield pd.DataFrame({"query": names[q], "row": rows[c], "upper": upper[q, c], "lower": lower[q, c]})
+                    best = np.sort(np.concatenate((best, top), axis=1), axis=1)[:, -k:]
+                    q, c = np.nonzero((upper >= best[:, :1]) & (upper > -np.inf))
+                    yield pd.DataFrame({"query": names[q], "row": own[c], "upper": upper[q, c], "lower": lower[q, c]})
 
     return file.select("row", "dims", "cells").mapInPandas(run, "query long, row long, upper double, lower double")
 
@@ -185,20 +215,13 @@ def top_k(
     whole-number vectors; ties go to the smaller vec_id. Only vectors of the same
     number of components are compared. Rows with a null id, or whose vector is null,
     empty or not finite, take no part. Repeated rows count each for itself; a row is
-    never its own candidate. Queries are searched in blocks, each in one pass over the
-    cells; a block, not the query set, is what tasks hold.
+    never its own candidate. All queries are searched in one pass over the cells; tasks read
+    the queries block by block, and hold one block.
     """
     file, grids = build_file(embeddings, id_column, vector)
-    queries = file.filter(is_query)
-    blocks = max(1, -(-queries.count() // _QUERIES_A_PASS))
-    block = F.pmod(F.xxhash64("row"), F.lit(blocks))
-    found = None
-    for number in range(blocks):
-        own = queries.filter(block == number).select("row", "dims", "vector").toPandas()
-        candidates = materialize(_scan(file, grids, own, k), "candidates")
-        lower = W.partitionBy("query").orderBy(F.desc("lower"), "row")
-        bound = candidates.withColumn("n", F.row_number().over(lower)).filter(F.col("n") == k).select("query", F.col("lower").alias("least"))
-        left = candidates.join(bound, "query", "left").filter(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
-        result = _certain(left.select("query", "row", "upper"), file, k)
-        found = result if found is None else found.union(result)
+    candidates = materialize(_scan(file, grids, _written_queries(file.filter(is_query)), k), "candidates")
+    lower = W.partitionBy("query").orderBy(F.desc("lower"), "row")
+    bound = candidates.withColumn("n", F.row_number().over(lower)).filter(F.col("n") == k).select("query", F.col("lower").alias("least"))
+    left = candidates.join(bound, "query", "left").filter(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
+    found = _certain(left.select("query", "row", "upper"), file, k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
