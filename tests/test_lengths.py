@@ -88,3 +88,13 @@ def test_effective_batch_size():
     assert effective_batch_size(2, 8) == 16
     assert effective_batch_size(2, 8, 2) == 32
     assert effective_batch_size(2, 8, 0) == 16
+
+
+def test_a_plan_that_ends_in_a_pass_ranks_only_what_it_needs(spark):
+    examples = spark.range(5000)
+    whole = {tuple(r) for r in batch_plan(examples, "id", epochs=1).collect()}
+    few = batch_plan(examples, "id", max_steps=20)
+    assert {tuple(r) for r in few.collect()} == {r for r in whole if r[1] < 20}
+    # The filter on the bucket's first place is below the window.
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window [row_number") < plan.rindex("before#") and "before" in plan[plan.index("Window [row_number") :]

@@ -98,7 +98,9 @@ def batch_plan(
     seeded = F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"))
     keyed = repeated.withColumn("order_key", seeded_key(seeded, key))
     known_passes = int(-(-epochs // 1)) if max_steps <= 0 else max_steps
-    ordered = seeded_ordinal(keyed, "order_key", [key], "epoch", groups=known_passes)
+    # Of the pass in which the steps end, only examples before that place are ranked.
+    wanted = (F.col("total") - F.col("epoch") * F.col("per_epoch")) * per_step
+    ordered = seeded_ordinal(keyed, "order_key", [key], "epoch", groups=known_passes, below=wanted)
     step = F.col("epoch") * F.col("per_epoch") + F.expr(f"ordinal div {per_step}")
     return (
         ordered.withColumn("step", step)

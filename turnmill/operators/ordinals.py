@@ -53,24 +53,23 @@ def bucket_counts(df: DataFrame, key: str, *within: str) -> DataFrame:
 
 
 def seeded_ordinal(
-    df: DataFrame, key: str, ids: Sequence[str], *within: str, groups: int = 1
+    df: DataFrame, key: str, ids: Sequence[str], *within: str, groups: int = 1, below: Column | None = None
 ) -> DataFrame:
     """Add ``ordinal``: the row's 0-based place in ``key`` order in its group.
 
     ``key`` must be a :func:`seeded_key`, ``ids`` break ties. ``groups`` is the
-    number of ``within`` groups; it bounds the table that is broadcast.
+    number of ``within`` groups; it bounds the table that is broadcast. With ``below``
+    rows of buckets that begin at that place or later are left out before they are
+    ranked; the last bucket still comes whole.
     """
     counts = bucket_counts(df, key, *within).drop("size")
     if groups * _BUCKETS <= _BROADCAST_ROWS:
         counts = F.broadcast(counts)
+    placed = df.withColumn("bucket", _bucket(F.col(key))).join(counts, [*within, "bucket"])
+    if below is not None:
+        placed = placed.filter(F.col("before") < below)
     local = F.row_number().over(W.partitionBy(*within, "bucket").orderBy(key, *ids))
-    return (
-        df.withColumn("bucket", _bucket(F.col(key)))
-        .withColumn("ordinal", local)
-        .join(counts, [*within, "bucket"])
-        .withColumn("ordinal", F.col("ordinal") + F.col("before") - 1)
-        .drop("bucket", "before")
-    )
+    return placed.withColumn("ordinal", local + F.col("before") - 1).drop("bucket", "before")
 
 
 def seeded_cut(df: DataFrame, key: str, id_column: str, wanted: Column) -> DataFrame:
