@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnmill.operators.staging import with_computed
 from turnmill.session import materialize
 
 WORDS_A_SHINGLE = 5
@@ -24,12 +25,16 @@ def conversation_text(messages: Column) -> Column:
     return F.array_join(F.flatten(F.transform(messages, lambda m: F.array(m["role"], F.coalesce(m["content"], F.lit(""))))), "\n")
 
 
-def shingles(text: Column, words: int = WORDS_A_SHINGLE) -> Column:
-    """The distinct runs of so many words, case apart, as hashes; all words of a shorter text
-    are one. Empty without words."""
-    own = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    count = F.greatest(F.size(own) - F.lit(words - 1), F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(F.slice(own, i, words), " ")))
+def words(text: Column) -> Column:
+    """The words of a text, case apart."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+
+
+def shingles(own: Column, words_each: int = WORDS_A_SHINGLE) -> Column:
+    """The distinct runs of so many words, as hashes; all words of a shorter text are one.
+    Empty without words. Pass a column that is computed already: it is read for every run."""
+    count = F.greatest(F.size(own) - F.lit(words_each - 1), F.lit(1))
+    runs = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(F.slice(own, i, words_each), " ")))
     return F.when(F.size(own) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -76,8 +81,8 @@ def near_copies(conversations: DataFrame, id_column: str, text: str = "text", *,
     A copy is missed if in no bucket the least id is similar to it. Ids are unique and not
     null; texts without words are no copies.
     """
-    sets = conversations.select(F.col(id_column).alias("id"), shingles(F.col(text)).alias("shingles"))
-    sets = materialize(sets, "shingles")
+    split = with_computed(conversations.select(F.col(id_column).alias("id"), F.col(text).alias("text")), words=words(F.col("text")))
+    sets = materialize(split.select("id", shingles(F.col("words")).alias("shingles")), "shingles")
     bands = materialize(_bands(sets, seed), "bands")
     # Written before it is joined back, so that a hot bucket can be split.
     least = materialize(bands.groupBy("band", "key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most"), "buckets")
@@ -101,5 +106,5 @@ def first_arrivals(conversations: DataFrame, text: str = "text", time: str = "ts
     """Of a stream's conversations with the same words, case and blanks apart, the first that
     arrives; a repeat more than ``within`` later may come through again. What is kept for it
     is one digest a conversation, until the watermark passes."""
-    words = F.array_join(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != ""), " ")
-    return conversations.withWatermark(time, within).withColumn("_words", F.sha2(words, 256)).dropDuplicatesWithinWatermark(["_words"]).drop("_words")
+    digest = F.sha2(F.array_join(words(F.col(text)), " "), 256)
+    return conversations.withWatermark(time, within).withColumn("_words", digest).dropDuplicatesWithinWatermark(["_words"]).drop("_words")

@@ -56,7 +56,8 @@ def byte_ranges(spark: SparkSession, path: str, range_bytes: int | None = None,
         share = (total["bytes"] + total["files"] * OPEN_BYTES) // max(spark.sparkContext.defaultParallelism, 1)
         range_bytes = min(RANGE_BYTES, max(OPEN_BYTES, share))
     count = total["files"] + total["bytes"] // range_bytes
-    tasks = max(1, min(count, (total["bytes"] + count * OPEN_BYTES) // range_bytes + 1))
+    # Small ranges and small files share a task.
+    tasks = max(1, min(count, (total["bytes"] + total["files"] * OPEN_BYTES) // max(range_bytes, OPEN_BYTES) + 1))
     step = F.lit(range_bytes).cast("long")
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, step)
     cut = files.select("file", "path", "size", F.explode(starts).alias("start"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,6 +103,9 @@ def finished_requests(deltas: DataFrame, *, idle: str = "10 minutes", lateness:
     an incomplete one. Append mode.
     """
     use_rocksdb(deltas.sparkSession)
+    # The state's own worker on the driver sees no files that were shipped, so the processor
+    # goes there whole and not by the name of this module.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     pieces = deltas.withWatermark("ts", lateness).select(
         F.col("request_id").cast("string").alias("request_id"), F.col("seq").cast("long").alias("seq"), "ts", "delta",
         F.coalesce(F.col("last"), F.lit(False)).alias("last"), F.unix_millis("ts").alias("ts_ms"),
