@@ -61,3 +61,41 @@ def test_odd_rows(spark):
     nothing = langid.learn_profiles(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(docs, nothing, ["doc_id"]).collect()} == {"und"}
     assert langid.learn_profiles(docs.withColumn("lang", F.lit(None).cast("string"))).collect() == []
+
+
+def test_predictions_by_definition(spark):
+    """Prototypes, cosines and the language of the largest, recomputed letter by letter."""
+    rows = [(r["text"], r["lang"]) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("text", "lang").collect() if len(r["text"] or "") < 400][:40]
+    rows += [("Éaux", "fr"), ("éaux", "aa"), ("", "en"), (None, "en"), ("a text", None)]
+    docs = documents(spark, [(i, text, lang, "s", None) for i, (text, lang) in enumerate(rows)])
+    prototypes = {}
+    for text, lang in rows:
+        if lang and any(c.isalpha() for c in text or ""):
+            keys, counts = langid.trigrams(text)
+            weights = counts * langid._WEIGHT // counts.sum()
+            own = {k: _gram(k) for k in keys.tolist()}
+            prototypes[lang] = prototypes.get(lang, 0) + sum(own[k] * w for k, w in zip(keys.tolist(), weights.tolist(), strict=True))
+    profiles = langid.learn_profiles(docs)
+    assert {r.lang: r.profile for r in profiles.collect()} == {n: p.tolist() for n, p in prototypes.items()}
+    for r in langid.identify(docs, profiles, ["doc_id"]).collect():
+        text = rows[r.doc_id][0]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score, r.n_trigrams) == ("und", 0, 0)
+            continue
+        vector = _vector(text)
+        cosines = {n: float(vector @ p / np.linalg.norm(vector) / np.linalg.norm(p)) for n, p in prototypes.items()}
+        best = max(cosines.values())
+        assert abs(r.score - max(best, 0)) < 1e-4 and cosines[r.lang_pred] > best - 1e-6
+        assert r.n_trigrams == langid.trigrams(text)[1].sum()
+
+
+def _gram(key):
+    a, b, c = (key >> 2 * langid._CODE_BITS, key >> langid._CODE_BITS & (1 << langid._CODE_BITS) - 1, key & (1 << langid._CODE_BITS) - 1)
+    own = [langid._letter_vectors(np.array([x]), 7)[0].astype(int) for x in (a, b, c)]
+    return np.roll(own[0], 2) * np.roll(own[1], 1) * own[2]
+
+
+def test_equal_cosines_go_to_the_first_language(spark):
+    docs = documents(spark, [(1, "the same words", "nl", "s", None), (2, "the same words", "af", "s", None), (None, "the same words", None, "s", None)])
+    got = langid.identify(docs, langid.learn_profiles(docs), ["doc_id"]).collect()
+    assert {r.lang_pred for r in got} == {"af"} and len(got) == 3

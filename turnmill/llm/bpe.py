@@ -33,6 +33,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from turnmill.llm.common import small_batches
+
 # How byte-level vocabularies cut a text into words before merging,
 # in full and for texts of Latin-1 characters.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -314,7 +316,7 @@ def encode_documents(
     made = ["ids", "n_tokens", *(["decoded"] if decoded else [])]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     shared = docs.sparkSession.sparkContext.broadcast(compile_automaton(path))
-    source = docs.select(*[docs[c] for c in kept], docs[text].alias("_encoded_text"))
+    source = small_batches(docs).select(*[docs[c] for c in kept], docs[text].alias("_encoded_text"))
     schema = T.StructType(source.schema.fields[:-1]).add("ids", T.BinaryType()).add("n_tokens", T.LongType())
     if decoded:
         schema = schema.add("decoded", T.StringType())

@@ -17,12 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnmill.llm.common import small_batches
+
 UNKNOWN = "und"
 _DIMENSIONS = 1024
 _SPACE = 32
 _CODE_BITS = 21
 _DOCS_A_STEP = 128
 _CHARS_A_STEP = 1 << 20
+_TRIGRAMS_A_STEP = 8192
 # Weight of one text in a prototype, dealt to its trigrams as whole numbers so
 # that sums don't depend on their order.
 _WEIGHT = 1 << 20
@@ -87,13 +90,19 @@ def _trigram_vectors(keys: np.ndarray, seed: int) -> np.ndarray:
 
 def text_vectors(grams: list[tuple[np.ndarray, np.ndarray]], seed: int) -> np.ndarray:
     """The bundled vector of each text, from its trigrams."""
-    keys, where = np.unique(np.concatenate([k for k, _ in grams]), return_inverse=True)
-    counts = np.zeros((len(grams), len(keys)), np.float32)
+    all_keys, all_counts = np.concatenate([k for k, _ in grams]), np.concatenate([n for _, n in grams])
+    keys, where = np.unique(all_keys, return_inverse=True)
     rows = np.repeat(np.arange(len(grams)), [len(k) for k, _ in grams])
-    counts[rows, where] = np.concatenate([n for _, n in grams])
     out = np.zeros((len(grams), _DIMENSIONS), np.float32)
-    for at in range(0, len(keys), 8192):
-        out += counts[:, at : at + 8192] @ _trigram_vectors(keys[at : at + 8192], seed).astype(np.float32)
+    # So many trigrams at a time, however many the texts have.
+    order = np.argsort(where, kind="stable")
+    edges = np.searchsorted(where[order], np.arange(0, len(keys) + _TRIGRAMS_A_STEP, _TRIGRAMS_A_STEP))
+    for step, at in enumerate(range(0, len(keys), _TRIGRAMS_A_STEP)):
+        own = order[edges[step] : edges[step + 1]]
+        vectors = _trigram_vectors(keys[at : at + _TRIGRAMS_A_STEP], seed).astype(np.float32)
+        counts = np.zeros((len(grams), len(vectors)), np.float32)
+        counts[rows[own], where[own] - at] = all_counts[own]
+        out += counts @ vectors
     return out
 
 
@@ -131,7 +140,7 @@ def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang",
                 total += weights[at : at + 8192] @ _trigram_vectors(keys[at : at + 8192], seed).astype(np.int64)
             yield pd.DataFrame({"lang": [name], "part": [total]})
 
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
+    rows = small_batches(labelled).select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
     parts = rows.mapInPandas(partial, "lang string, part array<bigint>").select("lang", F.posexplode("part").alias("at", "x"))
     by_place = parts.groupBy("lang", "at").agg(F.sum("x").alias("x"))
     vector = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"])
@@ -139,12 +148,12 @@ def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang",
 
 
 def identify(docs: DataFrame, profiles: DataFrame, id_columns: list[str], text: str = "text", seed: int = 7) -> DataFrame:
-    """The ``id_columns`` of every row with ``lang_pred`` and ``score``.
+    """The ``id_columns`` of every row with ``lang_pred``, ``score`` and ``n_trigrams``.
 
     ``score`` is the cosine, 0 where it is negative; equal cosines go to the first
     language in order. A null text, one without letters, and any text when nothing
-    was learned give ``und`` and 0. Whole texts are read. ``profiles``, one vector
-    for each language, comes to the driver.
+    was learned give ``und`` and 0. Whole texts are read; ``n_trigrams`` counts all of a
+    text's. ``profiles``, one vector for each language, comes to the driver.
     """
     learned = sorted((r["lang"], r["profile"]) for r in profiles.collect())
     names = [name for name, _ in learned]
@@ -152,8 +161,8 @@ def identify(docs: DataFrame, profiles: DataFrame, id_columns: list[str], text:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     shared = docs.sparkSession.sparkContext.broadcast((matrix / np.where(norms == 0, 1, norms)).astype(np.float32))
     kept = [f"_kept_{i}" for i in range(len(id_columns))]
-    source = docs.select(*[docs[c].alias(k) for c, k in zip(id_columns, kept, strict=True)], docs[text].alias("_body"))
-    schema = T.StructType(source.schema.fields[:-1]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
+    source = small_batches(docs).select(*[docs[c].alias(k) for c, k in zip(id_columns, kept, strict=True)], docs[text].alias("_body"))
+    schema = T.StructType(source.schema.fields[:-1]).add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("n_trigrams", T.LongType())
 
     def predict(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -173,8 +182,9 @@ def identify(docs: DataFrame, profiles: DataFrame, id_columns: list[str], text:
                     for i, b in zip(some, best.tolist(), strict=True):
                         found[i] = names[b]
                     score[some] = np.clip(cosine[np.arange(len(some)), best], 0, 1)
-                columns = [*part.columns[:-1], pa.array(found, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
+                size = pa.array([int(n.sum()) for _, n in grams], pa.int64())
+                columns = [*part.columns[:-1], pa.array(found, pa.string()), pa.array(score, pa.float64()), size]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "n_trigrams"])
 
     found = source.mapInArrow(predict, schema)
-    return found.toDF(*id_columns, "lang_pred", "score")
+    return found.toDF(*id_columns, "lang_pred", "score", "n_trigrams")

@@ -177,9 +177,10 @@ FROM g
 
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document, learned from those that are not held out."""
+    """The language of every document, learned from those that are not held out. A
+    document without an id is not held out."""
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     profiles = langid.learn_profiles(docs.filter(~held_out))
     found = langid.identify(docs, profiles, ["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
