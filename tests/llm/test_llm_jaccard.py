@@ -78,7 +78,7 @@ def test_far_links_are_found(spark, monkeypatch):
     """Without buckets of equal hashes, every link comes from opened groups."""
     monkeypatch.setattr(jaccard, "_clusters", lambda docs, profiles, words_each, at: (
         spark.createDataFrame([], "a long, b long"),
-        spark.createDataFrame([], "node long, n int, cluster long, lo int, hi int, part int"),
+        spark.createDataFrame([], "node long, n int, cluster long, lo int, hi int, part int, loose boolean"),
     ))
     rows = _corpus(3, 160)
     assert _run(documents(spark, rows)) == _brute(rows)
@@ -127,3 +127,49 @@ def test_components(spark):
             label[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {x: find(x) for x in label}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_many_nearly_similar_documents(spark):
+    """Documents of one base that are mostly below the threshold of each other: loose groups
+    stand for them among the candidates, and no link is lost."""
+    rng = random.Random(31)
+    base = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(160):
+        own = list(base)
+        for _ in range(rng.choice([5, 14, 18, 22])):
+            own[rng.randrange(len(own))] = f"own{i}.{rng.random()}"
+        rows.append((i, " ".join(own), None, None, None))
+    from turnmill import session
+
+    before = len(session._made)
+    found = _run(documents(spark, rows))
+    assert found == _brute(rows) and 1 < len({c for *_, c in found}) < 160
+    (known,) = [p for p in session._made[before:] if "/cluster-pairs-" in p]
+    assert spark.read.parquet(known).count() < 160 * 159 / 2 / 3
+
+
+def test_links_that_connect_two_groups():
+    import numpy as np
+
+    at = jaccard.Threshold()
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 400, np.uint64)
+    sets = [np.unique(np.concatenate((base[k : k + 300], rng.integers(0, 1 << 62, 5, np.uint64)))) for k in (0, 10, 20, 60, 95, 100)]
+    nodes = [jaccard.node_of(s) for s in sets]
+    group = lambda own: ([nodes[i] for i in own], [sets[i].tobytes() for i in own], [jaccard.sketch(sets[i]) for i in own])
+    similar = {(i, j) for i in range(6) for j in range(6) if i != j and at.similar(sets[i], sets[j])}
+
+    def parts(links):
+        label = {n: n for n in nodes}
+        for _ in nodes:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        return [label[n] for n in nodes]
+
+    for a, b in (([0, 1, 2], [3, 4, 5]), ([0, 3], [1, 2, 4, 5]), (range(6), range(6))):
+        links = jaccard.connecting_links(group(a), group(b), jaccard.union_bitmap([sets[i] for i in b]), at, (True, True))
+        among = {(i, j) for i, j in similar if i in a and j in b}
+        assert all((nodes.index(x), nodes.index(y)) in among for x, y in links) and len(links) < 6
+        assert parts(links) == parts([(nodes[i], nodes[j]) for i, j in among])
+        assert len(jaccard.connecting_links(group(a), group(b), jaccard.union_bitmap([sets[i] for i in b]), at, (False, False))) <= 1

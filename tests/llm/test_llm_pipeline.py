@@ -15,7 +15,7 @@ from turnmill.llm.queries import ORACLES, QUERIES, vocabulary
 
 
 def test_registered():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert len(cp.STAGES) == 5
 
@@ -53,6 +53,15 @@ def test_language_stage_keeps_short_texts(spark):
     assert sorted(str(r.doc_id) for r in kept) == sorted(str(r[0]) for r in ROWS if any(c.isalpha() for c in r[1] or ""))
 
 
+def test_language_stage_has_one_rule_for_every_length(spark):
+    """Letters of no learned language go, from some ten on; short texts of a language stay."""
+    words = "the quick brown fox jumps over a lazy dog and runs away from it".split()
+    english = [(i, " ".join(words[i % 5 : i % 5 + 3 + i % 9]), "en", "s", None) for i in range(60)]
+    other = [(100 + n, "漢字仮名交文" * n, None, "s", None) for n in (2, 10, 30, 300)]
+    kept = {r.doc_id for r in cp.identify_language(spark, documents(spark, english + other), SF_DIR).collect()}
+    assert kept == {r[0] for r in english}
+
+
 def test_line_stage_follows_the_text(spark):
     rows = cp.remove_repeated_lines(spark, documents(spark), SF_DIR).collect()
     assert all(r.n_chars == len(r.text) for r in rows if r.text and r.doc_id not in (1, 2, 10, 11, 12, None))

@@ -6,7 +6,10 @@ nodes that are similar, without listing the pairs of a group:
 
 1. Similar nodes are put into groups: nodes with the same least hash (under
    several hash functions) are compared with one of them, and those that are
-   similar form a cluster. Shards of a cluster are groups of some tens of nodes.
+   similar form a cluster. Nodes that are alike, with two equal least hashes, but
+   were not linked form loose clusters. Shards of a cluster are groups of some tens
+   of nodes, so that many nodes that are nearly similar to each other are not
+   candidates pair by pair.
 2. Candidates are pairs of clusters. Only tokens of prefixes are needed: two similar
    sets share one among the least ``n - ceil(t * n) + 1`` of each under any common
    order. Frequent tokens come last in that order, then the hash decides. The number
@@ -287,7 +290,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
 
 def _clusters(docs: DataFrame, profiles: DataFrame, words_each: int, at: Threshold) -> tuple[DataFrame, DataFrame]:
     """Links found by comparing the nodes of a bucket with the least of them, and
-    ``node, cluster, lo, hi`` of the nodes that these connect."""
+    ``node, n, cluster, lo, hi, part, loose`` of the nodes that these connect; then of nodes
+    that are only alike, in loose clusters whose nodes need not be similar."""
     sizes = profiles.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("minima").alias("minima"))
     keyed = sizes.select("node", "n", F.posexplode("minima").alias("k", "key"))
     # Aggregates are written before they are joined back, so that hot keys can be split.
@@ -301,10 +305,20 @@ def _clusters(docs: DataFrame, profiles: DataFrame, words_each: int, at: Thresho
     known = sizes.select("node", "n").join(labels, "node").withColumnRenamed("label", "cluster")
     known = materialize(known, "cluster-nodes")
     spans = known.groupBy("cluster").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("nodes"))
+    tight = known.join(spans, "cluster").withColumn("loose", F.lit(False))
+    # Nodes that were linked to none, but share two least hashes and are of like size.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(max(at.whole / at.part, 1.05))))
+    lone = sizes.join(labels, "node", "left_anti").select("node", "n", F.col("minima")[0].alias("m0"), F.col("minima")[1].alias("m1"), size_class.alias("size_class"))
+    lone = materialize(lone, "lone-nodes")
+    like = ["m0", "m1", "size_class"]
+    found = lone.groupBy(*like).agg(F.min("node").alias("cluster"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("nodes"))
+    found = materialize(found.filter("nodes > 1"), "loose-groups")
+    loose = lone.join(found, like).withColumn("loose", F.lit(True))
     # Groups of large sets have fewer nodes.
     each = F.greatest(F.least(F.lit(_GROUP_NODES), F.floor(F.lit(_GROUP_TOKENS) / F.col("hi"))), F.lit(1))
     group = F.pmod(F.xxhash64("node"), F.ceil(F.col("nodes") / each)).cast("int")
-    return links, known.join(spans, "cluster").select("node", "n", "cluster", "lo", "hi", group.alias("part"))
+    columns = ["node", "n", "cluster", "lo", "hi", group.alias("part"), "loose"]
+    return links, tight.select(*columns).union(loose.select(*columns))
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, words_each: int, at: Threshold) -> DataFrame:
@@ -396,17 +410,17 @@ def _shared_tokens(rows: DataFrame, at: Threshold) -> DataFrame:
 
 
 def _matrix(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """The token-group matrix: ``cluster, part, bitmap`` of each group, with its ``nodes``
-    and their ``sets`` and ``sketches``. ``members``: node, cluster, part."""
+    """The token-group matrix: ``cluster, part, loose, bitmap`` of each group, with its ``nodes``
+    and their ``sets`` and ``sketches``. ``members``: node, cluster, part, loose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [union_bitmap([np.frombuffer(t, _U64) for t in own]) for own in batch.column(3).to_pylist()]
+            rows = [union_bitmap([np.frombuffer(t, _U64) for t in own]) for own in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], [*batch.schema.names, "bitmap"])
 
     lists = [F.collect_list(c).alias(n) for c, n in (("node", "nodes"), ("tokens", "sets"), ("sketch", "sketches"))]
-    groups = members.join(sets, "node").groupBy("cluster", "part").agg(*lists)
-    schema = "cluster long, part int, nodes array<long>, sets array<binary>, sketches array<binary>, bitmap binary"
+    groups = members.join(sets, "node").groupBy("cluster", "part", "loose").agg(*lists)
+    schema = "cluster long, part int, loose boolean, nodes array<long>, sets array<binary>, sketches array<binary>, bitmap binary"
     return materialize(groups.mapInArrow(run, schema), "matrix")
 
 
@@ -431,38 +445,68 @@ def least_distances(own: bytes, others: list[bytes], at: Threshold) -> list[tupl
     return sorted(found)
 
 
-def first_link(queries: tuple[list, list, list], group: tuple[list, list, list], bitmap: bytes, at: Threshold) -> tuple[int, int] | None:
-    """One link between the nodes of two groups (nodes, sets, sketches), if there is any.
+class _Parts:
+    """Which nodes are connected, as far as is known."""
+
+    def __init__(self, groups: list[tuple[list[int], bool]]):
+        self.parent = {n: n for nodes, _ in groups for n in nodes}
+        self.count = len(self.parent)
+        for nodes, loose in groups:
+            if not loose:
+                for n in nodes[1:]:
+                    self.join(nodes[0], n)
+
+    def root(self, n: int) -> int:
+        while self.parent[n] != n:
+            self.parent[n] = n = self.parent[self.parent[n]]
+        return n
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[a] = b
+            self.count -= 1
+
+
+def connecting_links(queries: tuple[list, list, list], group: tuple[list, list, list], bitmap: bytes, at: Threshold, loose: tuple[bool, bool]) -> list[tuple[int, int]]:
+    """Links between the nodes of two groups (nodes, sets, sketches), so many that they connect
+    whatever similar nodes connect. The nodes of a group that is not loose are connected
+    already, so one link does for two of these. The groups may be the same one.
 
     Each node of the first is a query on the row of the matrix; the group is opened only to
     queries whose tokens may reach the overlap in its union."""
+    known = _Parts([(queries[0], loose[0]), (group[0], loose[1])])
+    out = []
     for node, packed, own in zip(*queries, strict=True):
+        if known.count == 1:
+            break
         tokens = np.frombuffer(packed, _U64)
         if at.whole * overlap_bound(tokens, bitmap) < at.part * len(tokens):
             continue
         for _, place in least_distances(own, group[2], at):
-            if at.similar(tokens, np.frombuffer(group[1][place], _U64)):
-                return node, group[0][place]
-    return None
+            other = group[0][place]
+            if known.root(node) != known.root(other) and at.similar(tokens, np.frombuffer(group[1][place], _U64)):
+                known.join(node, other)
+                out.append((node, other))
+    return out
 
 
 def _opened(pairs: DataFrame, matrix: DataFrame, at: Threshold) -> DataFrame:
-    """Links ``a, b`` (nodes), at most one for each group of cluster ``a`` and each group of
-    cluster ``b``: the clusters are connected in themselves, so one link joins them."""
-    columns = ["nodes", "sets", "sketches"]
+    """Links ``a, b`` (nodes) that connect the groups of cluster ``a`` with those of cluster
+    ``b``, fewer for each pair of groups than these have nodes. A cluster may stand with itself."""
+    columns = ["nodes", "sets", "sketches", "loose", "part"]
     side = lambda s, more: matrix.select(F.col("cluster").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns], *more)
-    rows = pairs.select("a", "b").join(side("a", []), "a").join(side("b", ["bitmap"]), "b")
+    rows = pairs.select("a", "b").join(side("a", []), "a").join(side("b", ["bitmap"]), "b").filter("a != b OR a_part <= b_part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            links = []
             for at_row in range(batch.num_rows):
                 row = [c[at_row].as_py() for c in batch.columns]
-                found.append(first_link(tuple(row[:3]), tuple(row[3:6]), row[6], at))
-            links = [x for x in found if x is not None]
+                links += connecting_links(tuple(row[:3]), tuple(row[4:7]), row[8], at, (row[3], row[7]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.select(*[f"{s}_{c}" for s in "ab" for c in columns], "bitmap").mapInArrow(run, "a long, b long")
+    return rows.select(*[f"{s}_{c}" for s in "ab" for c in columns[:4]], "bitmap").mapInArrow(run, "a long, b long")
 
 
 def _joined(pairs: DataFrame, members: DataFrame, sets: DataFrame, near: DataFrame, at: Threshold) -> DataFrame:
@@ -470,11 +514,17 @@ def _joined(pairs: DataFrame, members: DataFrame, sets: DataFrame, near: DataFra
 
     Links between clusters are looked for in rounds, each only between clusters that
     earlier rounds did not connect: two members of each, then one group of each, then
-    all groups of one with all groups of the other.
+    all groups of one with all groups of the other. Loose clusters are not connected in
+    themselves, so all their groups are opened to each other and to their partners.
     """
-    ends = members.groupBy("cluster").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("nodes"))
+    ends = members.groupBy("cluster").agg(
+        F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("nodes"), F.bool_or("loose").alias("loose")
+    )
     named = lambda side: ends.select(*[F.col(c).alias(side if c == "cluster" else f"{side}_{c}") for c in ends.columns])
-    known = materialize(pairs.join(named("a"), "a").join(named("b"), "b"), "cluster-pairs")
+    paired = materialize(pairs.join(named("a"), "a").join(named("b"), "b"), "cluster-pairs")
+    loose = paired.filter("a_loose OR b_loose").select("a", "b")
+    loose = loose.union(ends.filter("loose").select(F.col("cluster").alias("a"), F.col("cluster").alias("b")))
+    known = paired.filter("NOT a_loose AND NOT b_loose").drop("a_loose", "b_loose")
     several = (F.col("a_nodes") > 1) | (F.col("b_nodes") > 1)
     tried = known.select(F.col("a_least").alias("a"), F.col("b_least").alias("b")).union(known.filter(several).select("a_most", "b_most"))
     labels = materialize(components(near.union(_verified(tried.distinct(), sets, at))), "labels")
@@ -485,7 +535,10 @@ def _joined(pairs: DataFrame, members: DataFrame, sets: DataFrame, near: DataFra
     left = known.filter(several).select(ordered.alias("p")).select(
         F.col("p.x.cluster").alias("a"), F.col("p.x.least").alias("a_least"), F.col("p.y.cluster").alias("b"), F.col("p.y.least").alias("b_least")
     )
-    matrix = _matrix(members.join(left.select(F.explode(F.array("a", "b")).alias("cluster")).distinct(), "cluster", "left_semi"), sets)
+    wanted = left.select("a", "b").union(loose).select(F.explode(F.array("a", "b")).alias("cluster")).distinct()
+    matrix = _matrix(members.join(wanted, "cluster", "left_semi"), sets)
+    links = materialize(_opened(loose, matrix, at), "loose-links")
+    labels = _relabelled(labels, links)
     least = matrix.groupBy("cluster").agg(F.min("part").alias("part"))
     for groups in (matrix.join(least, ["cluster", "part"], "left_semi"), matrix):
         of = lambda s: labels.select(F.col("node").alias(f"{s}_least"), F.col("label").alias(f"{s}_label"))  # noqa: B023, E731
@@ -493,12 +546,18 @@ def _joined(pairs: DataFrame, members: DataFrame, sets: DataFrame, near: DataFra
         apart = F.coalesce("a_label", "a_least") != F.coalesce("b_label", "b_least")
         left = materialize(placed.filter(apart).drop("a_label", "b_label"), "open-pairs")
         links = materialize(_opened(left, groups, at), "open-links")
-        if not links.isEmpty():
-            known_links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-            labels = materialize(components(known_links.union(links)), "labels")
+        labels = _relabelled(labels, links)
     return labels
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, label`` of the components of ``labels`` and further links together."""
+    if links.isEmpty():
+        return labels
+    known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return materialize(components(known.union(links)), "labels")
+
+
 def jaccard_classes(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", *, words_each: int = 5, part: int = 75, whole: int = 100
 ) -> DataFrame:
@@ -525,10 +584,11 @@ def jaccard_classes(
         F.coalesce("hi", "n").alias("hi"),
     )
     pairs = materialize(_shared_tokens(rows, at), "candidates")
-    involved = materialize(pairs.select(F.col("a").alias("cluster")).union(pairs.select("b")).distinct(), "involved")
-    inside = clustered.select("node", "cluster", "part").join(involved, "cluster", "left_semi")
+    wanted = pairs.select(F.col("a").alias("cluster")).union(pairs.select("b")).union(clustered.filter("loose").select("cluster"))
+    involved = materialize(wanted.distinct(), "involved")
+    inside = clustered.select("node", "cluster", "part", "loose").join(involved, "cluster", "left_semi")
     alone = involved.join(clustered.select("cluster").distinct(), "cluster", "left_anti")
-    members = inside.select("node", "cluster", "part").union(alone.select(F.col("cluster").alias("node"), "cluster", F.lit(0)))
+    members = inside.union(alone.select(F.col("cluster").alias("node"), "cluster", F.lit(0), F.lit(False)))
     members = materialize(members, "members")
     sets = _sets(docs, profiles, members.select("node"), words_each)
     labels = _joined(pairs, members, sets, near, at)
