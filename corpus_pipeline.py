@@ -9,10 +9,11 @@ from turnmill.llm import bpe, jaccard, langid, line_dedup, mixing
 from turnmill.llm.queries import MIX_LEVELS, MIX_WEIGHTS, vocabulary, with_domain
 from turnmill.session import new_folder
 
-# A text of so many characters whose cosine with every learned language is smaller is
-# in none of them. Shorter texts have too few trigrams to be rejected by score.
+# A text whose cosine with every learned language is below this is in none of them; with n
+# trigrams, below this times the root of n / (n + FEW_TRIGRAMS). The cosine of a text that
+# is in a language grows with the root of its trigrams while they are few.
 MIN_LANGUAGE_SCORE = 0.1
-MIN_SCORED_CHARS = 100
+FEW_TRIGRAMS = 100
 MAX_EPOCHS = 2
 SEED = 11
 
@@ -29,14 +30,16 @@ def _with_text(docs: DataFrame, names: list[str], row: str = "_row") -> DataFram
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in one of the languages that the table names.
 
-    Null texts, texts without letters and texts unlike every language go. Languages are
-    learned from the documents themselves; a document's own label doesn't decide.
+    Null texts, texts without letters and texts unlike every language go; how alike a text
+    has to be follows its number of trigrams, by one rule for every length. Languages are
+    learned from the documents themselves, each row counting, rows without an id too; a
+    document's own label doesn't decide. Equal texts get equal decisions.
     """
     profiles = langid.learn_profiles(docs)
     rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
     found = langid.identify(rows, profiles, ["_row"], text="_text")
-    alike = (F.col("score") >= MIN_LANGUAGE_SCORE) | (F.length("_row.text") < MIN_SCORED_CHARS)
-    known = (F.col("lang_pred") != langid.UNKNOWN) & alike
+    least = MIN_LANGUAGE_SCORE * F.sqrt(F.col("n_trigrams") / (F.col("n_trigrams") + FEW_TRIGRAMS))
+    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)
     return found.filter(known).select("_row.*")
 
 
