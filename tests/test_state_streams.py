@@ -5,12 +5,13 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from turnmill.functions.templates import ROLE_PREFIX
 from turnmill.operators.timing import request_timing
 from turnmill.streaming import ingest
-from turnmill.streaming.deltas import accumulate_deltas, finished_requests
+from turnmill.streaming.deltas import _Assembly, accumulate_deltas, finished_requests
 from turnmill.streaming.ingest import read_batches, start_ingest_both, stream_records, write_batch_once
 from turnmill.streaming.timing import stream_timing
 
@@ -72,6 +73,44 @@ def test_finished_requests(spark, tmp_path):
     assert held[0] != [0] and held[-1] == [0]
 
 
+class CountedState:
+    """Both kinds of state of a request and its timers, with the number of calls."""
+
+    def __init__(self):
+        self.calls, self.values, self.value, self.timers = 0, {}, None, set()
+
+    def getListState(self, *_):
+        return self
+
+    getMapState = getValueState = getListState
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls += 1
+            if name == "appendValue":
+                self.values[len(self.values)] = given[0]
+            elif name == "updateValue":
+                self.values[given[0]] = given[1]
+            elif name == "update":
+                self.value = given[0]
+            elif name == "clear":
+                self.values, self.value = {}, None
+            return {"get": self.value, "exists": self.value is not None, "getCurrentWatermarkInMs": 0, "containsKey": bool(given) and given[0] in list(self.values)}.get(name)
+
+        return call
+
+
+def test_calls_to_the_state_do_not_grow_with_the_pieces():
+    counts = []
+    for n in (10, 1000):
+        state, request = CountedState(), _Assembly(1000)
+        request.init(state)
+        pieces = [Row(seq=i, delta=f" {i}", last=i == n, ts_ms=i) for i in range(1, n + 1)]
+        assert list(request.handleInputRows(("a",), iter(pieces), state)) == []
+        counts.append(state.calls)
+    assert counts[0] == counts[1]
+
+
 def test_finished_equals_batch_in_any_order(spark, tmp_path):
     rng = random.Random(3)
     feed = Feed(spark, tmp_path / "in", PIECES)

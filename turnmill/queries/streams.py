@@ -19,10 +19,12 @@ FILES = 4
 
 
 def _as_stream(rows: DataFrame, name: str) -> DataFrame:
-    """The rows as a stream of files, in pieces that don't follow their order."""
-    path = new_folder(rows.sparkSession, name)
-    rows.repartition(FILES, F.xxhash64(*rows.columns)).write.parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES // 2).parquet(path)
+    """The rows as a stream of files, in pieces that don't follow their order: two batches,
+    each of at least a file for every core."""
+    spark = rows.sparkSession
+    path, files = new_folder(spark, name), max(FILES, 2 * spark.sparkContext.defaultParallelism)
+    rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files // 2).parquet(path)
 
 
 def _run(stream: DataFrame, out: str, state: str) -> None:
