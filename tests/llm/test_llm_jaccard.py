@@ -1,6 +1,8 @@
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from llm_cases import ROWS, documents, with_clashes
 
@@ -173,3 +175,17 @@ def test_links_that_connect_two_groups():
         assert all((nodes.index(x), nodes.index(y)) in among for x, y in links) and len(links) < 6
         assert parts(links) == parts([(nodes[i], nodes[j]) for i, j in among])
         assert len(jaccard.connecting_links(group(a), group(b), jaccard.union_bitmap([sets[i] for i in b]), at, (False, False))) <= 1
+
+
+def test_repeated_tokens_are_counted_in_little_more_than_their_own_memory():
+    rng = np.random.Generator(np.random.Philox(key=[3, 0]))
+    sets = [np.unique(rng.integers(0, 1 << 20, 1000, dtype=np.uint64)) for _ in range(500)]
+    tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+    size = sum(s.nbytes for s in sets)
+    tracemalloc.start()
+    found, times = jaccard.repeated_tokens(list(sets))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.tolist() == tokens[counts > 1].tolist() and times.tolist() == counts[counts > 1].tolist()
+    assert peak < 2.5 * size
+    assert all(len(x) == 0 for x in jaccard.repeated_tokens([np.zeros(0, np.uint64)]))

@@ -39,7 +39,7 @@ from turnmill.llm.common import small_batches
 from turnmill.llm.components import components
 from turnmill.session import materialize
 
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 100_000
 _ROWS_A_STEP = 256
 # Three hash functions put similar nodes into buckets.
 _MINIMA = 3
@@ -177,15 +177,27 @@ def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return small_batches(docs).select(F.col(id_column).cast("long").alias("id"), body.alias("text"), F.md5(body).alias("key"))
 
 
+def repeated_tokens(lot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that are in several of the sets, ascending, and in how many. The list is
+    emptied, and its tokens are sorted where they are, since a task holds millions of them."""
+    tokens = np.concatenate(lot)
+    lot.clear()
+    tokens.sort()
+    same = np.zeros(len(tokens) + 1, bool)
+    np.equal(tokens[1:], tokens[:-1], out=same[1:-1])
+    # Runs of two or more begin where the next is the same and the one before is not.
+    first, last = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:])
+    return tokens[first], last - first + 1
+
+
 def _profiles(docs: DataFrame, words_each: int) -> DataFrame:
     """For each document its node, size and least hashes; then, with a null size,
     tokens that repeat within a task with the number of documents they are in."""
     schema = pa.schema([("id", pa.int64()), ("key", pa.string()), ("node", pa.int64()), ("n", pa.int32()), ("minima", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
 
     def counted(lot: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(lot), return_counts=True)
-        often = counts > 1
-        return _arrow([[None], [None], [None], [None], [None], [tokens[often].view(np.int64)], [counts[often].astype(np.int32)]], schema)
+        tokens, counts = repeated_tokens(lot)
+        return _arrow([[None], [None], [None], [None], [None], [tokens.view(np.int64)], [counts.astype(np.int32)]], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot, size, seen = [], 0, set()
