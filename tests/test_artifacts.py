@@ -212,3 +212,33 @@ def test_bad_entries_and_lost_files_are_issues(spark, tmp_path):
     kept = spark.createDataFrame([(*r[:3], r["path"] + (".gone" if r["rel_path"].startswith("lost") else "")) for r in rows], files.schema)
     got = {r["shard"]: r["issue"] for r in read_tensor_headers(kept).collect()}
     assert got == {"bad.safetensors": "header has entries that are no objects", "lost.safetensors": "file can't be read: FileNotFoundError"}
+
+
+def test_directories_are_listed_in_tasks(spark, tmp_path):
+    from turnmill.sources.model_files import _listed_by_spark
+
+    for name in ("a/x.safetensors", "a/_x.safetensors", "a/.x", "a/_k=v/y.bin", "a/b/c/z", "a/z._COPYING_", "a/_metadata", "_hidden/x", ".hidden/x", "at the top", "p+q %41/m 1.safetensors"):
+        text(tmp_path / name, name)
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "a" / "no bytes").touch()
+    (tmp_path / "linked").symlink_to(tmp_path / "a")
+    found = list_files(spark, f"{tmp_path}/")
+    assert "binaryFile" not in found._jdf.queryExecution().executedPlan().toString()
+    assert len(found.collect()) == 7
+    assert sorted(found.collect()) == sorted(_listed_by_spark(spark, str(tmp_path), f"file:{tmp_path}").collect())
+    # A store that isn't there is an error when it is listed, not only when it is read.
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        list_files(spark, f"{tmp_path}/no store")
+
+
+def test_small_files_share_a_batch(spark, tmp_path):
+    import pyarrow as pa
+
+    from turnmill.sources.model_files import _read_headers
+
+    for i in range(50):
+        weights(tmp_path / f"{i}.safetensors", {f"t{j}": {"dtype": "F32", "shape": [i, j]} for j in range(i)})
+    files = pa.RecordBatch.from_pydict({"model": ["m"] * 50, "rel_path": [f"{i}.safetensors" for i in range(50)], "path": [str(tmp_path / f"{i}.safetensors") for i in range(50)]})
+    batches = list(_read_headers(iter([files])))
+    assert len(batches) == 1
+    assert [(r["shard"], r["tensor"], r["shape"]) for r in batches[0].to_pylist()] == [(f"{i}.safetensors", f"t{j}", [i, j]) for i in range(50) for j in range(i)]
