@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 from turnmill.session import materialize
 
+# Small tables of edges are in few tasks, each of about so many rows at least.
+_EDGES_A_TASK = 50_000
+
+
+def _in_few_tasks(edges: DataFrame, rows: int) -> DataFrame:
+    """``edges`` in as many tasks as ``rows`` are worth, if the session's shuffles have more: else
+    every exchange of every round writes the files of all these for next to no rows."""
+    spark = edges.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows // _EDGES_A_TASK))
+    return edges.coalesce(tasks) if tasks < int(spark.conf.get("spark.sql.shuffle.partitions")) else edges
+
 
 def _state(edges: DataFrame) -> tuple:
     """Rows and a sum of hashes: equal for equal sets of edges."""
@@ -38,7 +49,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = materialize(edges, "links")
     before = _state(edges)
     while before[0]:
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        # A star has no more edges than both directions of those before.
+        larger = _in_few_tasks(_large_star(edges), 2 * before[0])
+        edges = materialize(_in_few_tasks(_small_star(larger), 2 * before[0]), "stars")
         after = _state(edges)
         if after == before:
             break
