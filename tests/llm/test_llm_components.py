@@ -51,3 +51,16 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     # Only the write has the setting; frames that run again keep their files.
     assert spark.conf.get(name, None) == before
     assert table.count() == 9973 and sorted(table.collect()) == sorted(df.collect())
+
+
+def test_stars_take_no_further_round(spark, monkeypatch):
+    """A round that would change nothing is not run, and stars at the start need none."""
+    rounds, keep = [], comp._small_star
+    monkeypatch.setattr(comp, "_small_star", lambda edges: rounds.append(1) or keep(edges))
+    stars = spark.createDataFrame([(5, 1), (1, 7), (9, 1), (4, 3), (3, 4), (2, 2), (None, 6)], "a int, b int")
+    assert {r["node"]: r["label"] for r in comp.components(stars).collect()} == {1: 1, 5: 1, 7: 1, 9: 1, 3: 3, 4: 3}
+    assert not rounds
+    path = spark.createDataFrame([(1, 2), (2, 3)], "a int, b int")
+    assert {r["node"]: r["label"] for r in comp.components(path).collect()} == {1: 1, 2: 1, 3: 1}
+    assert len(rounds) == 1
+    assert comp.components(stars.filter("false")).count() == 0

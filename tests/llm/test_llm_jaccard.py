@@ -3,6 +3,7 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import ROWS, documents, with_clashes
 
@@ -189,3 +190,44 @@ def test_repeated_tokens_are_counted_in_little_more_than_their_own_memory():
     assert found.tolist() == tokens[counts > 1].tolist() and times.tolist() == counts[counts > 1].tolist()
     assert peak < 2.5 * size
     assert all(len(x) == 0 for x in jaccard.repeated_tokens([np.zeros(0, np.uint64)]))
+
+
+def test_words_of_many_texts_are_hashed_once(monkeypatch):
+    """Each distinct word of a step is hashed once, and its sets are those of single texts."""
+    texts = ["", None, " \n", "a", "a B c d", "A b C d e", " a\tb\x0bc\x0cd\re f ", "\u00c9\x1cx y z q w", "A a A a a a a a", "a b c d e f g" * 9]
+    hashed, real = [], jaccard.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(jaccard.xxhash, "xxh3_64_intdigest", lambda w: hashed.append(bytes(w)) or real(w))
+    tokens, bounds = jaccard.shingle_sets(pa.array(texts, pa.string()))
+    sets = [tokens[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert len(hashed) == len(set(hashed)) == len({w for t in texts for w in (t or "").encode().lower().split()})
+    assert [len(s) for s in sets] == [len(_set(t)) for t in texts]
+    assert all(s == sorted(s) for s in sets)
+    for a, x in zip(texts, sets, strict=True):
+        alone = jaccard.shingle_sets(pa.array([a], pa.string()))[0].tolist()
+        assert alone == x
+        assert all((x == y) == (_set(a) == _set(b)) for b, y in zip(texts, sets, strict=True))
+
+
+def test_steps_hold_few_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(jaccard, "_ROWS_A_STEP", 3)
+    monkeypatch.setattr(jaccard, "_BYTES_A_STEP", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["a"] * 4 + [None, "b" * 30, "c" * 6, "d" * 6, ""])], ["id", "text"])
+    assert [part.column(0).to_pylist() for part in jaccard._steps(batch)] == [[0, 1, 2], [3, 4], [5], [6], [7, 8]]
+    assert list(jaccard._steps(batch.slice(0, 0))) == []
+
+
+@pytest.mark.parametrize("at_once", [2, 64])
+def test_pairs_of_runs(monkeypatch, at_once):
+    """All pairs of different units of a token whose sizes fit, each once, smaller first."""
+    monkeypatch.setattr(jaccard, "_UNITS_AT_ONCE", at_once)
+    rng, at = np.random.default_rng(3), jaccard.Threshold()
+    for n in (0, 1, 2, 300):
+        token, unit = np.sort(rng.integers(-20, 20, n)), rng.integers(0, 60, n)
+        lo = unit % 7 + 5
+        hi = lo + unit % 3
+        want = set()
+        for v in set(token.tolist()):
+            own = sorted({(int(a), int(b), int(c)) for a, b, c in zip(lo[token == v], unit[token == v], hi[token == v], strict=True)})
+            want |= {(v, x[1], y[1]) for i, x in enumerate(own) for y in own[i + 1 :] if y[0] <= x[2] * at.whole // at.part}
+        found = [x for p in jaccard.run_pairs([token, unit, lo.astype(np.int32), hi.astype(np.int32)], at) for x in zip(*[c.tolist() for c in p[:2]], strict=True)]
+        assert sorted(found) == sorted(x[1:] for x in want)

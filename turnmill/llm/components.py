@@ -19,16 +19,21 @@ def _in_few_tasks(edges: DataFrame, rows: int) -> DataFrame:
     return edges.coalesce(tasks) if tasks < int(spark.conf.get("spark.sql.shuffle.partitions")) else edges
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Rows and a sum of hashes: equal for equal sets of edges."""
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """How many edges there are, and whether they are stars about their least nodes: then no
+    node has two edges to lesser ones, or one to a lesser and one to a greater."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    row = nodes.agg(F.sum("down"), F.count_if((F.col("down") > 1) | (F.col("down") > 0) & (F.col("up") > 0))).first()
+    return row[0] or 0, row[1] == 0
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # Equal edges are put together by the small star that follows.
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -41,20 +46,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows ``node, label`` for every node of a link; label is the component's least node.
 
     Each round joins every node with the least of its neighbours; no node's
-    neighbours are gathered, and rounds grow with the logarithm of the nodes. Null
-    ends and links of a node with itself are left out.
+    neighbours are gathered, and rounds grow with the logarithm of the nodes. They end when
+    all edges are stars, for which no further round is taken. Null ends and links of a node
+    with itself are left out.
     """
     greater = F.greatest(a, b)
     edges = links.filter(f"{a} != {b}").select(greater.alias("u"), F.least(a, b).alias("v")).distinct()
     edges = materialize(edges, "links")
-    before = _state(edges)
-    while before[0]:
+    many, done = _state(edges)
+    while not done:
         # A star has no more edges than both directions of those before.
-        larger = _in_few_tasks(_large_star(edges), 2 * before[0])
-        edges = materialize(_in_few_tasks(_small_star(larger), 2 * before[0]), "stars")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
+        larger = _in_few_tasks(_large_star(edges), 2 * many)
+        edges = materialize(_in_few_tasks(_small_star(larger), 2 * many), "stars")
+        many, done = _state(edges)
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.union(stars.select(F.col("label").alias("node"), "label").distinct())

@@ -28,9 +28,11 @@ Sets are exact up to collisions of 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +41,9 @@ from turnmill.llm.common import small_batches
 from turnmill.llm.components import components
 from turnmill.session import materialize
 
-_KNOWN_WORDS = 100_000
+# Texts are cut into words so many at a time, or as many as have about so many bytes.
 _ROWS_A_STEP = 256
+_BYTES_A_STEP = 1 << 20
 # Three hash functions put similar nodes into buckets.
 _MINIMA = 3
 # Tokens are counted within a task in lots of this many.
@@ -55,23 +58,15 @@ _GROUP_TOKENS = 1 << 17
 # joined by shuffle.
 _BROADCAST_ROWS = 2_000_000
 _PAIRS_A_STEP = 200_000
+# Rows whose pairs are made at once, but for tokens in more units than the second number.
+_ROWS_AT_ONCE = 20_000
+_UNITS_AT_ONCE = 64
 
 _U64 = np.uint64
 # Odd multipliers that combine the hashes of a shingle's words, made from a seed.
 _FACTORS = np.random.Generator(np.random.Philox(key=[1, 0])).integers(1, 1 << 63, 64, dtype=np.uint64) | _U64(1)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KNOWN_WORDS:
-            self.clear()
-        self[word] = number = xxhash.xxh3_64_intdigest(word)
-        return number
-
-
-_HASHES = _WordHashes()
-
-
 def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
     x = x + _U64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -80,21 +75,61 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
-def shingle_set(text: str | None, words_each: int = 5) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a whole text.
+def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, few enough at a time; texts are in its second column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        size = _BYTES_A_STEP + (int(ends[at - 1]) if at else 0)
+        end = max(at + 1, min(at + _ROWS_A_STEP, int(np.searchsorted(ends, size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """The hash of each word."""
+    words = words.cast(pa.large_binary())
+    _, bounds, data = words.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[words.offset : words.offset + len(words) + 1].tolist() if len(words) else []
+    data = data.to_pybytes() if data else b""
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in pairwise(bounds)), _U64, len(words))
+
+
+def shingle_sets(texts: pa.Array, words_each: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct shingles of each whole text, one set behind the other,
+    and where the sets begin, with the end of the last.
 
     A-Z are lower-cased, words end at ASCII white space. A text of fewer words is
     one shingle; without words the set is empty.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, _U64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), _U64, len(words))
-    n = min(words_each, len(words))
-    total = np.full(len(words) - n + 1, _U64(0 if n == words_each else n))
-    for k in range(n):
-        total += hashes[k : len(words) - n + 1 + k] * _FACTORS[k]
-    return np.unique(_mix(total))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    # White space at either end of a text leaves an empty word there.
+    real = pc.not_equal(pc.binary_length(words), 0)
+    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    at = lists.offsets.to_numpy()
+    at = before[at - at[0]]
+    coded = words.filter(real).dictionary_encode()
+    hashes = _hashes(coded.dictionary)[coded.indices.to_numpy()]
+    total = np.zeros(max(len(hashes) - words_each + 1, 0), _U64)
+    for k in range(words_each):
+        total += hashes[k : len(total) + k] * _FACTORS[k]
+    total = _mix(total)
+    counts = np.diff(at)
+    sizes = np.where(counts < words_each, np.minimum(counts, 1), counts - words_each + 1)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    tokens = np.empty(starts[-1], _U64)
+    for n, first, start, end in zip(counts.tolist(), at.tolist(), starts.tolist(), starts[1:].tolist(), strict=False):
+        own = tokens[start:end]
+        if n >= words_each:
+            own[:] = total[first : first + end - start]
+            own.sort()
+        elif n:
+            own[:] = _mix((hashes[first : first + n] * _FACTORS[:n]).sum(keepdims=True) + _U64(n))
+    new = np.ones(len(tokens), bool)
+    np.not_equal(tokens[1:], tokens[:-1], out=new[1:])
+    new[starts[:-1][sizes > 0]] = True
+    return tokens[new], np.concatenate(([0], np.cumsum(new)))[starts]
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -180,7 +215,7 @@ def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 def repeated_tokens(lot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The tokens that are in several of the sets, ascending, and in how many. The list is
     emptied, and its tokens are sorted where they are, since a task holds millions of them."""
-    tokens = np.concatenate(lot)
+    tokens = lot[0] if len(lot) == 1 else np.concatenate(lot)
     lot.clear()
     tokens.sort()
     same = np.zeros(len(tokens) + 1, bool)
@@ -195,37 +230,35 @@ def _profiles(docs: DataFrame, words_each: int) -> DataFrame:
     tokens that repeat within a task with the number of documents they are in."""
     schema = pa.schema([("id", pa.int64()), ("key", pa.string()), ("node", pa.int64()), ("n", pa.int32()), ("minima", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
 
-    def counted(lot: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, counts = repeated_tokens(lot)
+    def counted(lot: np.ndarray) -> pa.RecordBatch:
+        tokens, counts = repeated_tokens([lot])
         return _arrow([[None], [None], [None], [None], [None], [tokens.view(np.int64)], [counts.astype(np.int32)]], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lot, size, seen = [], 0, set()
+        lot, size, seen = np.empty(_TOKENS_A_LOT, _U64), 0, set()
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS_A_STEP):
-                part = batch.slice(at, _ROWS_A_STEP)
-                nodes, sizes, minima = [], [], []
-                for text in part.column(1).to_pylist():
-                    tokens = shingle_set(text, words_each)
-                    sizes.append(len(tokens))
-                    if not len(tokens):
-                        nodes.append(None)
-                        minima.append(None)
-                        continue
-                    node = node_of(tokens)
-                    nodes.append(node)
-                    minima.append([int(_mix(tokens, k).min().view(np.int64)) for k in range(1, _MINIMA + 1)])
-                    if node not in seen:
-                        seen.add(node)
-                        lot.append(tokens)
-                        size += len(tokens)
+            for part in _steps(batch):
+                tokens, bounds = shingle_sets(part.column(1), words_each)
+                sizes = np.diff(bounds)
+                some = sizes > 0
+                least = [np.minimum.reduceat(_mix(tokens, k), bounds[:-1][some]).view(np.int64) for k in range(1, _MINIMA + 1)] if some.any() else []
+                minima = iter(np.stack(least, 1).tolist() if least else [])
+                nodes = []
+                for start, end in pairwise(bounds.tolist()):
+                    own = tokens[start:end]
+                    nodes.append(node_of(own) if len(own) else None)
+                    # A set that no lot has room for is left out: it repeats no token in itself.
+                    if len(own) and nodes[-1] not in seen and len(own) <= len(lot):
+                        seen.add(nodes[-1])
+                        if size + len(own) > len(lot):
+                            yield counted(lot[:size])
+                            size = 0
+                        lot[size : size + len(own)] = own
+                        size += len(own)
                 none = [None] * len(nodes)
-                yield _arrow([part.column(0), part.column(2), nodes, sizes, minima, none, none], schema)
-                if size >= _TOKENS_A_LOT:
-                    yield counted(lot)
-                    lot, size = [], 0
-        if lot:
-            yield counted(lot)
+                yield _arrow([part.column(0), part.column(2), nodes, sizes, [next(minima) if n else None for n in sizes], none, none], schema)
+        if size:
+            yield counted(lot[:size])
 
     return docs.mapInArrow(run, "id long, key string, node long, n int, minima array<long>, tokens array<long>, counts array<int>")
 
@@ -254,7 +287,7 @@ def _sets(docs: DataFrame, profiles: DataFrame, nodes: DataFrame, words_each: in
     """``node, tokens, sketch`` of the given nodes, from the texts of one of their
     documents in each task at most."""
     wanted = _small(nodes.distinct())
-    ids = _small(profiles.filter("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct())
+    ids = _small(profiles.filter("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id"))
     # Documents without an id can't be chosen by it, so all of them are read.
     texts = docs.join(ids, "id", "left_semi").union(docs.filter("id is null"))
     schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary()), ("sketch", pa.binary())])
@@ -262,15 +295,16 @@ def _sets(docs: DataFrame, profiles: DataFrame, nodes: DataFrame, words_each: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS_A_STEP):
+            for part in _steps(batch):
                 nodes, packed, sketches = [], [], []
-                for text in batch.slice(at, _ROWS_A_STEP).column(1).to_pylist():
-                    tokens = shingle_set(text, words_each)
-                    if len(tokens) and (node := node_of(tokens)) not in seen:
+                tokens, bounds = shingle_sets(part.column(1), words_each)
+                for start, end in pairwise(bounds.tolist()):
+                    own = tokens[start:end]
+                    if len(own) and (node := node_of(own)) not in seen:
                         seen.add(node)
                         nodes.append(node)
-                        packed.append(tokens.tobytes())
-                        sketches.append(sketch(tokens))
+                        packed.append(own.tobytes())
+                        sketches.append(sketch(own))
                 yield _arrow([nodes, packed, sketches], schema)
 
     made = texts.mapInArrow(run, "node long, tokens binary, sketch binary").join(wanted, "node", "left_semi")
@@ -341,35 +375,60 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words_each: int, at: Thresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = shared.value, set()
         for batch in batches:
-            for step in range(0, batch.num_rows, _ROWS_A_STEP):
+            for part in _steps(batch):
                 nodes, sizes, prefixes = [], [], []
-                for text in batch.slice(step, _ROWS_A_STEP).column(1).to_pylist():
-                    tokens = shingle_set(text, words_each)
-                    if not len(tokens) or (node := node_of(tokens)) in seen:
+                tokens, bounds = shingle_sets(part.column(1), words_each)
+                for start, end in pairwise(bounds.tolist()):
+                    own = tokens[start:end]
+                    if not len(own) or (node := node_of(own)) in seen:
                         continue
                     seen.add(node)
                     if len(last):
-                        often = last[np.minimum(np.searchsorted(last, tokens), len(last) - 1)] == tokens
-                        tokens = np.concatenate((tokens[~often], tokens[often]))
+                        often = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
+                        own = np.concatenate((own[~often], own[often]))
                     nodes.append(node)
-                    sizes.append(len(tokens))
-                    prefixes.append(tokens[: at.prefix(len(tokens))].view(np.int64))
-                yield _arrow([nodes, sizes, prefixes], schema)
+                    sizes.append(len(own))
+                    prefixes.append(own[: at.prefix(len(own))].view(np.int64))
+                ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *prefixes]))
+                yield _arrow([nodes, sizes, lists], schema)
 
     return docs.mapInArrow(run, "node long, n int, prefix array<long>")
 
 
-def _run_pairs(units: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: Threshold) -> Iterator[list[np.ndarray]]:
-    """Pairs of different units that share a token and whose sizes can be similar."""
-    units, first = np.unique(units, return_index=True)
-    order = np.argsort(lo[first], kind="stable")
-    units, lo, hi = units[order], lo[first][order], hi[first][order]
-    for i in range(len(units) - 1):
-        # Later units are at least as large; beyond this size none is similar.
-        end = int(np.searchsorted(lo, hi[i] * at.whole // at.part, side="right"))
-        if end > i + 1:
-            other = np.arange(i + 1, end)
-            yield [np.full(len(other), units[i]), units[other], np.full(len(other), lo[i]), lo[other], np.full(len(other), hi[i]), hi[other]]
+def run_pairs(columns: list[np.ndarray], at: Threshold) -> Iterator[list[np.ndarray]]:
+    """Pairs of different units that share a token and whose sizes can be similar, as columns
+    unit, unit, lo, lo, hi, hi. ``columns``: token, unit, lo, hi, with equal tokens together."""
+    token = columns[0]
+    if not len(token):
+        return
+    same = token[1:] == token[:-1]
+    several = np.append(same, False) | np.append(False, same)
+    token, unit, lo, hi = (c[several] for c in columns)
+    order = np.lexsort((unit, lo, token))
+    token, unit = token[order], unit[order]
+    new = np.append(True, token[1:] != token[:-1])[: len(token)]
+    once = new.copy()
+    once[1:] |= unit[1:] != unit[:-1]
+    # Of a token's units later ones are at least as large; beyond the limit none is similar.
+    token, unit, lo, hi = token[once], unit[once], lo[order][once].astype(np.int64), hi[order][once].astype(np.int64)
+    limit = hi * at.whole // at.part
+    starts = np.flatnonzero(new[once])
+    sizes = np.diff(np.append(starts, len(token)))
+    made = lambda i, j: [c[k] for c in (unit, lo, hi) for k in (i, j)]
+    ends = np.repeat(starts + sizes, sizes)
+    i, step = np.flatnonzero(np.repeat(sizes <= _UNITS_AT_ONCE, sizes)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < ends[i]]
+        i = i[lo[i + step] <= limit[i]]
+        if len(i):
+            yield made(i, i + step)
+    for start, size in zip(starts[sizes > _UNITS_AT_ONCE].tolist(), sizes[sizes > _UNITS_AT_ONCE].tolist(), strict=True):
+        own = slice(start, start + size)
+        for k, end in enumerate((start + np.searchsorted(lo[own], limit[own], side="right")).tolist(), start):
+            if end > k + 1:
+                yield made(np.full(end - k - 1, k), np.arange(k + 1, end))
 
 
 def _shared_tokens(rows: DataFrame, at: Threshold) -> DataFrame:
@@ -378,36 +437,37 @@ def _shared_tokens(rows: DataFrame, at: Threshold) -> DataFrame:
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("lo_x", pa.int32()), ("lo_y", pa.int32()), ("hi_x", pa.int32()), ("hi_y", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32)] * 2
+        held, rows, enough = [], 0, _ROWS_AT_ONCE
         out, made = [], 0
 
         def full() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-        def runs(columns: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-            token = columns[0]
-            starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, int)
-            sizes = np.diff(np.append(starts, len(token)))
-            for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-                yield from _run_pairs(*(c[s : s + n] for c in columns[1:]), at)
+        def columns() -> list[np.ndarray]:
+            return [np.concatenate(c) for c in zip(*held, strict=True)]
 
-        for batch in batches:
-            columns = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)]
-            # The last run may go on in the next batch.
-            cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
-            held = [c[cut:] for c in columns]
-            for pairs in runs([c[:cut] for c in columns]):
+        def lots() -> Iterator[list[np.ndarray]]:
+            nonlocal held, rows, enough
+            for batch in batches:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                rows += batch.num_rows
+                if rows >= enough:
+                    lot = columns()
+                    # The last token may go on in the next batch.
+                    cut = int(np.searchsorted(lot[0], lot[0][-1]))
+                    held, rows = [[c[cut:] for c in lot]], rows - cut
+                    enough = max(_ROWS_AT_ONCE, 2 * rows)
+                    yield [c[:cut] for c in lot]
+            if rows:
+                yield columns()
+
+        for lot in lots():
+            for pairs in run_pairs(lot, at):
                 out.append(pairs)
                 made += len(pairs[0])
                 if made >= _PAIRS_A_STEP:
                     yield full()
                     out, made = [], 0
-        for pairs in runs(held):
-            out.append(pairs)
-            made += len(pairs[0])
-            if made >= _PAIRS_A_STEP:
-                yield full()
-                out, made = [], 0
         if out:
             yield full()
 
