@@ -122,3 +122,22 @@ def test_checkpoints(spark):
     assert {r["run"]: r["step"] for r in ck.best(df, greater_is_better=True).collect()} == {"a": 10, "c": 1}
     assert ck.best(df, has_eval=False).count() == 0
     assert ck.latest(df.filter(F.lit(False))).count() == 0
+
+
+def test_training_tokens_are_not_written_and_pairs_are_not_copied(spark, monkeypatch, tmp_path):
+    from turnmill.operators import perplexity as module
+    from turnmill.queries import evaluation
+
+    texts = [(i, "en", f"a b{i} c", "s", 3) for i in range(40)]
+    spark.createDataFrame(texts, "doc_id long, lang string, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    written, keep = [], evaluation.materialize
+    monkeypatch.setattr(evaluation, "materialize", lambda df, name: written.append(df.count()) or keep(df, name))
+    train, held = evaluation._held_out(spark, str(tmp_path))
+    assert written == [2] and held.count() == 2 and train.count() == 38
+    counted = module._pair_counts(train, F.col("tokens"))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" not in plan and "slice" not in plan
+    got = {(r["prev"], r["next"]): r["times"] for r in counted.collect()}
+    assert got[("c", None)] == 38 and len(got) == 2 * 38 + 1
+    few = spark.createDataFrame([([],), (None,), (["x"],), (["x", None, "y"],)], "t array<string>")
+    assert {(r["prev"], r["next"]): r["times"] for r in module._pair_counts(few, F.col("t")).collect()} == {("x", None): 2, ("y", None): 1}
