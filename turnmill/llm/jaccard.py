@@ -46,8 +46,9 @@ _ROWS_A_STEP = 256
 _BYTES_A_STEP = 1 << 20
 # Three hash functions put similar nodes into buckets.
 _MINIMA = 3
-# Tokens are counted within a task in lots of this many.
-_TOKENS_A_LOT = 4_000_000
+# Tokens are counted within a task in lots of this many. From 32 MB on, glibc gives memory
+# back to the system as soon as it is freed, so a worker that is used again doesn't keep it.
+_TOKENS_A_LOT = 1 << 22
 # A token in so many documents goes to the end of the order, up to so many tokens
 # (the most frequent ones). The order affects cost only, never the result.
 _FREQUENT = 64
