@@ -110,6 +110,36 @@ def test_odd_rows(spark):
     assert _run(documents(spark, [r for r in ROWS if not r[1]])) == _brute([r for r in ROWS if not r[1]])
 
 
+def test_few_documents_take_few_tasks(spark, monkeypatch):
+    """With many shuffle partitions, each held to its number, the tables of few documents are in few
+    files, but for the candidates, whose number is not known before."""
+    from turnmill.llm import components as comp
+    from turnmill.session import materialize
+
+    files = {}
+
+    def counted(df, name="stage"):
+        made = materialize(df, name)
+        files[name] = max(files.get(name, 0), len(made.inputFiles()))
+        return made
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    monkeypatch.setattr(comp, "materialize", counted)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = _corpus(9, 200)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = _run(documents(spark, rows))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == _brute(rows)
+    many = {k: n for k, n in files.items() if n > 2 * spark.sparkContext.defaultParallelism}
+    assert {"bucket-pairs", "clusters", "sets", "links", "least"} <= set(files) and set(many) <= {"candidates", "loose-links", "open-links"}
+
+
 def test_first_of_classes(spark):
     got = jaccard.first_of_classes(with_clashes(documents(spark)))
     assert got.columns == with_clashes(documents(spark)).columns

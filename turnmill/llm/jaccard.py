@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import small_batches
+from turnmill.llm.common import in_few_tasks, small_batches
 from turnmill.llm.components import components
 from turnmill.session import materialize
 
@@ -59,6 +60,10 @@ _GROUP_TOKENS = 1 << 17
 # joined by shuffle.
 _BROADCAST_ROWS = 2_000_000
 _PAIRS_A_STEP = 200_000
+# Rows with a node's tokens are in few tasks if these are so many a task at least.
+_TOKENS_A_TASK = 1 << 20
+# Pairs whose sets are compared are in few tasks of so many at least.
+_PAIRS_A_TASK = 5_000
 # Rows whose pairs are made at once, but for tokens in more units than the second number.
 _ROWS_AT_ONCE = 20_000
 _UNITS_AT_ONCE = 64
@@ -226,6 +231,19 @@ def repeated_tokens(lot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return tokens[first], last - first + 1
 
 
+class Size(NamedTuple):
+    """How many rows tables have at most: documents, their tokens, and tokens that tasks repeat."""
+
+    docs: int
+    tokens: int
+    repeated: int
+
+
+def _size(profiles: DataFrame) -> Size:
+    row = profiles.agg(F.count("n"), F.sum("n"), F.sum(F.when(F.col("n").isNull(), F.size("tokens").cast("long")))).first()
+    return Size(*(x or 0 for x in row))
+
+
 def _profiles(docs: DataFrame, words_each: int) -> DataFrame:
     """For each document its node, size and least hashes; then, with a null size,
     tokens that repeat within a task with the number of documents they are in."""
@@ -264,31 +282,31 @@ def _profiles(docs: DataFrame, words_each: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, key string, node long, n int, minima array<long>, tokens array<long>, counts array<int>")
 
 
-def _frequent(profiles: DataFrame) -> np.ndarray:
-    """The tokens that go last in the order; at most ``_MAX_FREQUENT`` numbers."""
-    found = (
+def _frequent(profiles: DataFrame, rows: int) -> np.ndarray:
+    """The tokens that go last in the order; at most ``_MAX_FREQUENT`` numbers. ``rows``: how many
+    tokens the profiles name."""
+    counted = (
         profiles.filter("n is null")
         .select(F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
         .groupBy(F.col("t.tokens").alias("token"))
         .agg(F.sum("t.counts").alias("df"))
-        .filter(F.col("df") >= _FREQUENT)
-        .orderBy(F.desc("df"), "token")
-        .limit(_MAX_FREQUENT)
     )
+    found = in_few_tasks(counted.filter(F.col("df") >= _FREQUENT), rows).orderBy(F.desc("df"), "token").limit(_MAX_FREQUENT)
     return np.sort(np.array([r[0] for r in found.select("token").collect()], np.int64).view(_U64))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it has few enough rows."""
-    df = materialize(df, "ids")
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A written table of ``rows`` at most, marked for broadcast if it has few enough."""
+    df = materialize(in_few_tasks(df, rows), "ids")
     return F.broadcast(df) if df.count() <= _BROADCAST_ROWS else df
 
 
-def _sets(docs: DataFrame, profiles: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
+def _sets(docs: DataFrame, profiles: DataFrame, nodes: DataFrame, words_each: int, size: Size) -> DataFrame:
     """``node, tokens, sketch`` of the given nodes, from the texts of one of their
     documents in each task at most."""
-    wanted = _small(nodes.distinct())
-    ids = _small(profiles.filter("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id"))
+    wanted = _small(nodes.distinct(), size.docs)
+    chosen = profiles.filter("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    ids = _small(chosen.select("id"), size.docs)
     # Documents without an id can't be chosen by it, so all of them are read.
     texts = docs.join(ids, "id", "left_semi").union(docs.filter("id is null"))
     schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary()), ("sketch", pa.binary())])
@@ -309,7 +327,8 @@ def _sets(docs: DataFrame, profiles: DataFrame, nodes: DataFrame, words_each: in
                 yield _arrow([nodes, packed, sketches], schema)
 
     made = texts.mapInArrow(run, "node long, tokens binary, sketch binary").join(wanted, "node", "left_semi")
-    return materialize(made.groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "sets")
+    one = made.groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    return materialize(in_few_tasks(one, size.tokens, _TOKENS_A_TASK), "sets")
 
 
 def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -319,8 +338,8 @@ def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "s", "t")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar: by sketch first, then exactly."""
+def _verified(pairs: DataFrame, sets: DataFrame, at: Threshold, rows: int) -> DataFrame:
+    """The pairs ``a, b``, ``rows`` at most, whose sets are similar: by sketch first, then exactly."""
 
     def kept(test):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,37 +349,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
 
         return run
 
-    likely = _both(pairs, sets, "sketch").mapInArrow(kept(lambda s, t: least_distance(s, t, at) is not None), "a long, b long")
+    likely = in_few_tasks(_both(pairs, sets, "sketch"), rows, _PAIRS_A_TASK).mapInArrow(kept(lambda s, t: least_distance(s, t, at) is not None), "a long, b long")
     same = lambda s, t: at.similar(np.frombuffer(s, _U64), np.frombuffer(t, _U64))
-    return _both(likely, sets, "tokens").mapInArrow(kept(same), "a long, b long")
+    return in_few_tasks(_both(likely, sets, "tokens"), rows, _PAIRS_A_TASK).mapInArrow(kept(same), "a long, b long")
 
 
 def _clusters(docs: DataFrame, profiles: DataFrame, words_each: int, at: Threshold) -> tuple[DataFrame, DataFrame]:
     """Links found by comparing the nodes of a bucket with the least of them, and
     ``node, n, cluster, lo, hi, part, loose`` of the nodes that these connect; then of nodes
     that are only alike, in loose clusters whose nodes need not be similar."""
+    size = _size(profiles)
+    few = lambda df, times=1: in_few_tasks(df, times * size.docs)
     sizes = profiles.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("minima").alias("minima"))
+    sizes = materialize(few(sizes), "sizes")
     keyed = sizes.select("node", "n", F.posexplode("minima").alias("k", "key"))
     # Aggregates are written before they are joined back, so that hot keys can be split.
     buckets = keyed.groupBy("k", "key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    buckets = materialize(buckets, "buckets")
-    pairs = keyed.join(buckets, ["k", "key"]).filter("node != b").select(F.col("node").alias("a"), "b").distinct()
-    pairs = materialize(pairs, "bucket-pairs")
+    buckets = materialize(few(buckets, _MINIMA), "buckets")
+    pairs = few(keyed.join(buckets, ["k", "key"]), _MINIMA).filter("node != b").select(F.col("node").alias("a"), "b").distinct()
+    pairs = materialize(few(pairs, _MINIMA), "bucket-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    links = materialize(_verified(pairs, _sets(docs, profiles, nodes, words_each), at), "bucket-links")
-    labels = materialize(components(links), "clusters")
+    links = materialize(_verified(pairs, _sets(docs, profiles, nodes, words_each, size), at, pairs.count()), "bucket-links")
+    labels = materialize(components(links, rows=links.count()), "clusters")
     known = sizes.select("node", "n").join(labels, "node").withColumnRenamed("label", "cluster")
-    known = materialize(known, "cluster-nodes")
-    spans = known.groupBy("cluster").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("nodes"))
-    tight = known.join(spans, "cluster").withColumn("loose", F.lit(False))
+    known = materialize(few(known), "cluster-nodes")
+    spans = few(known.groupBy("cluster").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("nodes")))
+    tight = few(known.join(spans, "cluster")).withColumn("loose", F.lit(False))
     # Nodes that were linked to none, but share two least hashes and are of like size.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(max(at.whole / at.part, 1.05))))
     lone = sizes.join(labels, "node", "left_anti").select("node", "n", F.col("minima")[0].alias("m0"), F.col("minima")[1].alias("m1"), size_class.alias("size_class"))
-    lone = materialize(lone, "lone-nodes")
+    lone = materialize(few(lone), "lone-nodes")
     like = ["m0", "m1", "size_class"]
     found = lone.groupBy(*like).agg(F.min("node").alias("cluster"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("nodes"))
-    found = materialize(found.filter("nodes > 1"), "loose-groups")
-    loose = lone.join(found, like).withColumn("loose", F.lit(True))
+    found = materialize(few(found.filter("nodes > 1")), "loose-groups")
+    loose = few(lone.join(found, like)).withColumn("loose", F.lit(True))
     # Groups of large sets have fewer nodes.
     each = F.greatest(F.least(F.lit(_GROUP_NODES), F.floor(F.lit(_GROUP_TOKENS) / F.col("hi"))), F.lit(1))
     group = F.pmod(F.xxhash64("node"), F.ceil(F.col("nodes") / each)).cast("int")
@@ -432,7 +454,7 @@ def run_pairs(columns: list[np.ndarray], at: Threshold) -> Iterator[list[np.ndar
                 yield made(np.full(end - k - 1, k), np.arange(k + 1, end))
 
 
-def _shared_tokens(rows: DataFrame, at: Threshold) -> DataFrame:
+def _shared_tokens(rows: DataFrame, at: Threshold, size: Size) -> DataFrame:
     """``a, b`` (units) with the number of prefix tokens they share, for those pairs
     that can still reach the threshold. ``rows``: token, unit, lo, hi."""
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("lo_x", pa.int32()), ("lo_y", pa.int32()), ("hi_x", pa.int32()), ("hi_y", pa.int32())])
@@ -472,7 +494,8 @@ def _shared_tokens(rows: DataFrame, at: Threshold) -> DataFrame:
         if out:
             yield full()
 
-    ordered = rows.select("token", "unit", "lo", "hi").repartition("token").sortWithinPartitions("token")
+    together = in_few_tasks(rows.select("token", "unit", "lo", "hi").repartition("token"), size.tokens, _TOKENS_A_TASK)
+    ordered = together.sortWithinPartitions("token")
     pairs = ordered.mapInArrow(run, "x long, y long, lo_x int, lo_y int, hi_x int, hi_y int")
     counted = pairs.groupBy("x", "y", "lo_x", "lo_y", "hi_x", "hi_y").agg(F.count(F.lit(1)).alias("shared"))
     # What the sets have in common beyond the shared prefix tokens lies behind the
@@ -482,7 +505,7 @@ def _shared_tokens(rows: DataFrame, at: Threshold) -> DataFrame:
     return counted.filter(F.col("shared") >= total - behind).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _matrix(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _matrix(members: DataFrame, sets: DataFrame, size: Size) -> DataFrame:
     """The token-group matrix: ``cluster, part, loose, bitmap`` of each group, with its ``nodes``
     and their ``sets`` and ``sketches``. ``members``: node, cluster, part, loose."""
 
@@ -492,7 +515,8 @@ def _matrix(members: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], [*batch.schema.names, "bitmap"])
 
     lists = [F.collect_list(c).alias(n) for c, n in (("node", "nodes"), ("tokens", "sets"), ("sketch", "sketches"))]
-    groups = members.join(sets, "node").groupBy("cluster", "part", "loose").agg(*lists)
+    placed = in_few_tasks(members.join(sets, "node"), size.tokens, _TOKENS_A_TASK)
+    groups = in_few_tasks(placed.groupBy("cluster", "part", "loose").agg(*lists), size.tokens, _TOKENS_A_TASK)
     schema = "cluster long, part int, loose boolean, nodes array<long>, sets array<binary>, sketches array<binary>, bitmap binary"
     return materialize(groups.mapInArrow(run, schema), "matrix")
 
@@ -582,7 +606,7 @@ def _opened(pairs: DataFrame, matrix: DataFrame, at: Threshold) -> DataFrame:
     return rows.select(*[f"{s}_{c}" for s in "ab" for c in columns[:4]], "bitmap").mapInArrow(run, "a long, b long")
 
 
-def _joined(pairs: DataFrame, members: DataFrame, sets: DataFrame, near: DataFrame, at: Threshold) -> DataFrame:
+def _joined(pairs: DataFrame, members: DataFrame, sets: DataFrame, near: DataFrame, at: Threshold, size: Size) -> DataFrame:
     """Components of the near links and of those between clusters: ``node, label``.
 
     Links between clusters are looked for in rounds, each only between clusters that
@@ -590,17 +614,20 @@ def _joined(pairs: DataFrame, members: DataFrame, sets: DataFrame, near: DataFra
     all groups of one with all groups of the other. Loose clusters are not connected in
     themselves, so all their groups are opened to each other and to their partners.
     """
+    many = pairs.count()
     ends = members.groupBy("cluster").agg(
         F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("nodes"), F.bool_or("loose").alias("loose")
     )
+    ends = materialize(in_few_tasks(ends, size.docs), "cluster-ends")
     named = lambda side: ends.select(*[F.col(c).alias(side if c == "cluster" else f"{side}_{c}") for c in ends.columns])
-    paired = materialize(pairs.join(named("a"), "a").join(named("b"), "b"), "cluster-pairs")
+    paired = materialize(in_few_tasks(pairs.join(named("a"), "a").join(named("b"), "b"), many), "cluster-pairs")
     loose = paired.filter("a_loose OR b_loose").select("a", "b")
     loose = loose.union(ends.filter("loose").select(F.col("cluster").alias("a"), F.col("cluster").alias("b")))
     known = paired.filter("NOT a_loose AND NOT b_loose").drop("a_loose", "b_loose")
     several = (F.col("a_nodes") > 1) | (F.col("b_nodes") > 1)
     tried = known.select(F.col("a_least").alias("a"), F.col("b_least").alias("b")).union(known.filter(several).select("a_most", "b_most"))
-    labels = materialize(components(near.union(_verified(tried.distinct(), sets, at))), "labels")
+    tried = in_few_tasks(tried.distinct(), 2 * many)
+    labels = materialize(components(near.union(_verified(tried, sets, at, 2 * many)), rows=near.count() + 2 * many), "labels")
     side = lambda s: F.struct(F.col(s).alias("cluster"), F.col(f"{s}_least").alias("least"))
     ordered = F.when(F.col("a_nodes") <= F.col("b_nodes"), F.struct(side("a").alias("x"), side("b").alias("y"))).otherwise(
         F.struct(side("b").alias("x"), side("a").alias("y"))
@@ -608,8 +635,8 @@ def _joined(pairs: DataFrame, members: DataFrame, sets: DataFrame, near: DataFra
     left = known.filter(several).select(ordered.alias("p")).select(
         F.col("p.x.cluster").alias("a"), F.col("p.x.least").alias("a_least"), F.col("p.y.cluster").alias("b"), F.col("p.y.least").alias("b_least")
     )
-    wanted = left.select("a", "b").union(loose).select(F.explode(F.array("a", "b")).alias("cluster")).distinct()
-    matrix = _matrix(members.join(wanted, "cluster", "left_semi"), sets)
+    wanted = in_few_tasks(left.select("a", "b").union(loose).select(F.explode(F.array("a", "b")).alias("cluster")).distinct(), size.docs)
+    matrix = _matrix(in_few_tasks(members.join(wanted, "cluster", "left_semi"), size.docs), sets, size)
     links = materialize(_opened(loose, matrix, at), "loose-links")
     labels = _relabelled(labels, links)
     least = matrix.groupBy("cluster").agg(F.min("part").alias("part"))
@@ -617,7 +644,7 @@ def _joined(pairs: DataFrame, members: DataFrame, sets: DataFrame, near: DataFra
         of = lambda s: labels.select(F.col("node").alias(f"{s}_least"), F.col("label").alias(f"{s}_label"))  # noqa: B023, E731
         placed = left.join(of("a"), "a_least", "left").join(of("b"), "b_least", "left")
         apart = F.coalesce("a_label", "a_least") != F.coalesce("b_label", "b_least")
-        left = materialize(placed.filter(apart).drop("a_label", "b_label"), "open-pairs")
+        left = materialize(in_few_tasks(placed.filter(apart).drop("a_label", "b_label"), many), "open-pairs")
         links = materialize(_opened(left, groups, at), "open-links")
         labels = _relabelled(labels, links)
     return labels
@@ -628,7 +655,7 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return labels
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return materialize(components(known.union(links)), "labels")
+    return materialize(components(known.union(links), rows=labels.count() + links.count()), "labels")
 
 
 def jaccard_classes(
@@ -646,32 +673,34 @@ def jaccard_classes(
     at = Threshold(part, whole)
     docs = _texts(docs, id_column, text)
     profiles = materialize(_profiles(docs, words_each), "profiles")
+    size = _size(profiles)
     near, clustered = _clusters(docs, profiles, words_each, at)
     clustered = materialize(clustered, "groups")
-    prefixes = _prefixes(docs, _frequent(profiles), words_each, at)
-    units = _small(clustered.select("node", "cluster", "lo", "hi"))
+    prefixes = _prefixes(docs, _frequent(profiles, size.repeated), words_each, at)
+    units = _small(clustered.select("node", "cluster", "lo", "hi"), size.docs)
     rows = prefixes.join(units, "node", "left").select(
         F.explode("prefix").alias("token"),
         F.coalesce("cluster", "node").alias("unit"),
         F.coalesce("lo", "n").alias("lo"),
         F.coalesce("hi", "n").alias("hi"),
     )
-    pairs = materialize(_shared_tokens(rows, at), "candidates")
+    pairs = materialize(_shared_tokens(rows, at, size), "candidates")
     wanted = pairs.select(F.col("a").alias("cluster")).union(pairs.select("b")).union(clustered.filter("loose").select("cluster"))
-    involved = materialize(wanted.distinct(), "involved")
-    inside = clustered.select("node", "cluster", "part", "loose").join(involved, "cluster", "left_semi")
-    alone = involved.join(clustered.select("cluster").distinct(), "cluster", "left_anti")
+    few = lambda df: in_few_tasks(df, size.docs)
+    involved = materialize(few(wanted.distinct()), "involved")
+    inside = few(clustered.select("node", "cluster", "part", "loose").join(involved, "cluster", "left_semi"))
+    alone = few(involved.join(few(clustered.select("cluster").distinct()), "cluster", "left_anti"))
     members = inside.union(alone.select(F.col("cluster").alias("node"), "cluster", F.lit(0), F.lit(False)))
     members = materialize(members, "members")
-    sets = _sets(docs, profiles, members.select("node"), words_each)
-    labels = _joined(pairs, members, sets, near, at)
-    labelled = profiles.filter("n is not null").select("id", "key", "node", "n").join(labels, "node", "left")
+    sets = _sets(docs, profiles, members.select("node"), words_each, size)
+    labels = _joined(pairs, members, sets, near, at, size)
+    labelled = few(profiles.filter("n is not null").select("id", "key", "node", "n").join(labels, "node", "left"))
     labelled = labelled.withColumn("label", F.coalesce("label", "node"))
     least = labelled.filter("label is not null").groupBy("label").agg(
         F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first")
     )
-    least = materialize(least, "least")
-    return labelled.join(least, "label", "left").select(
+    least = materialize(few(least), "least")
+    return few(labelled.join(least, "label", "left")).select(
         "id", "key", F.col("n").cast("long").alias("n_shingles"), "node",
         F.coalesce("least", "id").alias("component_id"), F.struct("first.id", "first.key").alias("first"),
     )
@@ -687,9 +716,10 @@ def first_of_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     classes = jaccard_classes(docs, id_column, text, **options).filter("node is not null")
     stays = F.col("id").eqNullSafe(F.col("first.id")) & F.col("key").eqNullSafe(F.col("first.key"))
     found = materialize(classes.select(F.col("id").alias("_id"), F.col("key").alias("_key"), stays.alias("stays")), "classes")
+    many = found.count()
     rows = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("id"), F.md5(F.col(text).cast("string")).alias("key"))
     same = F.col("key").eqNullSafe(F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))
-    left = rows.join(_small(found.filter(~F.col("stays")).select("_id", "_key").distinct()), same, "left_anti")
-    copies = _small(found.filter("stays").groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    left = rows.join(_small(found.filter(~F.col("stays")).select("_id", "_key").distinct(), many), same, "left_anti")
+    copies = _small(found.filter("stays").groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), many)
     one = left.join(copies, same, "left_semi").dropDuplicates(["id", "key"])
     return left.join(copies, same, "left_anti").union(one).select("row.*")
