@@ -1,13 +1,15 @@
 import random
 import subprocess
 import sys
+import weakref
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from llm_cases import LONG, ROWS, documents, with_clashes
 from tokenizers import Tokenizer
 
-from turnmill.llm import bpe
+from turnmill.llm import bpe, common
 from turnmill.llm.queries import vocabulary
 
 
@@ -112,3 +114,12 @@ def test_compiling_takes_little_more_than_the_table():
     """The table has 20 MB; the peak of the process rises by less than 60."""
     done = subprocess.run([sys.executable, "-c", MEASURE, vocabulary()], capture_output=True, text=True, check=True, env={"PYTHONPATH": ":".join(sys.path)})
     assert float(done.stdout) < 60
+
+
+def test_a_worker_holds_no_encoder_for_other_operators(encoder):
+    """The tables of one operator are not memory of the tasks that a worker runs for the next."""
+    shared = SimpleNamespace(value=encoder.automaton)
+    found = weakref.ref(bpe._encoder(shared))
+    assert bpe._encoder(shared) is found()
+    assert list(common.own_memory(lambda rows: (x + 1 for x in rows))([1, 2])) == [2, 3]
+    assert found() is None and not common._HELD

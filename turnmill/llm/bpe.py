@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from turnmill.llm.common import small_batches
+from turnmill.llm.common import hold, small_batches
 
 # How byte-level vocabularies cut a text into words before merging,
 # in full and for texts of Latin-1 characters.
@@ -291,16 +291,9 @@ class Encoder:
         return b"".join(map(self.automaton.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def _encoder(shared: Broadcast) -> Encoder:
-    """One encoder for a Python worker, kept between tasks."""
-    number = getattr(shared, "_jid", None) or id(shared)
-    if number not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[number] = Encoder(shared.value)
-    return _ENCODERS[number]
+    """One encoder for a Python worker, kept between tasks until one of another operator comes."""
+    return hold((__name__, getattr(shared, "_jid", None) or id(shared)), lambda: Encoder(shared.value))
 
 
 def encode_documents(

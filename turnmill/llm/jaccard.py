@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import in_few_tasks, small_batches
+from turnmill.llm.common import in_few_tasks, own_memory, small_batches
 from turnmill.llm.components import components
 from turnmill.session import materialize
 
@@ -279,7 +279,7 @@ def _profiles(docs: DataFrame, words_each: int) -> DataFrame:
         if size:
             yield counted(lot[:size])
 
-    return docs.mapInArrow(run, "id long, key string, node long, n int, minima array<long>, tokens array<long>, counts array<int>")
+    return docs.mapInArrow(own_memory(run), "id long, key string, node long, n int, minima array<long>, tokens array<long>, counts array<int>")
 
 
 def _frequent(profiles: DataFrame, rows: int) -> np.ndarray:
@@ -326,7 +326,7 @@ def _sets(docs: DataFrame, profiles: DataFrame, nodes: DataFrame, words_each: in
                         sketches.append(sketch(own))
                 yield _arrow([nodes, packed, sketches], schema)
 
-    made = texts.mapInArrow(run, "node long, tokens binary, sketch binary").join(wanted, "node", "left_semi")
+    made = texts.mapInArrow(own_memory(run), "node long, tokens binary, sketch binary").join(wanted, "node", "left_semi")
     one = made.groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     return materialize(in_few_tasks(one, size.tokens, _TOKENS_A_TASK), "sets")
 
@@ -347,7 +347,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, at: Threshold, rows: int) -> Da
                 keep = [test(s, t) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        return run
+        return own_memory(run)
 
     likely = in_few_tasks(_both(pairs, sets, "sketch"), rows, _PAIRS_A_TASK).mapInArrow(kept(lambda s, t: least_distance(s, t, at) is not None), "a long, b long")
     same = lambda s, t: at.similar(np.frombuffer(s, _U64), np.frombuffer(t, _U64))
@@ -416,7 +416,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words_each: int, at: Thresh
                 lists = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *prefixes]))
                 yield _arrow([nodes, sizes, lists], schema)
 
-    return docs.mapInArrow(run, "node long, n int, prefix array<long>")
+    return docs.mapInArrow(own_memory(run), "node long, n int, prefix array<long>")
 
 
 def run_pairs(columns: list[np.ndarray], at: Threshold) -> Iterator[list[np.ndarray]]:
@@ -496,7 +496,7 @@ def _shared_tokens(rows: DataFrame, at: Threshold, size: Size) -> DataFrame:
 
     together = in_few_tasks(rows.select("token", "unit", "lo", "hi").repartition("token"), size.tokens, _TOKENS_A_TASK)
     ordered = together.sortWithinPartitions("token")
-    pairs = ordered.mapInArrow(run, "x long, y long, lo_x int, lo_y int, hi_x int, hi_y int")
+    pairs = ordered.mapInArrow(own_memory(run), "x long, y long, lo_x int, lo_y int, hi_x int, hi_y int")
     counted = pairs.groupBy("x", "y", "lo_x", "lo_y", "hi_x", "hi_y").agg(F.count(F.lit(1)).alias("shared"))
     # What the sets have in common beyond the shared prefix tokens lies behind the
     # prefix of one of them.
@@ -518,7 +518,7 @@ def _matrix(members: DataFrame, sets: DataFrame, size: Size) -> DataFrame:
     placed = in_few_tasks(members.join(sets, "node"), size.tokens, _TOKENS_A_TASK)
     groups = in_few_tasks(placed.groupBy("cluster", "part", "loose").agg(*lists), size.tokens, _TOKENS_A_TASK)
     schema = "cluster long, part int, loose boolean, nodes array<long>, sets array<binary>, sketches array<binary>, bitmap binary"
-    return materialize(groups.mapInArrow(run, schema), "matrix")
+    return materialize(groups.mapInArrow(own_memory(run), schema), "matrix")
 
 
 def least_distances(own: bytes, others: list[bytes], at: Threshold) -> list[tuple[int, int]]:
@@ -603,7 +603,7 @@ def _opened(pairs: DataFrame, matrix: DataFrame, at: Threshold) -> DataFrame:
                 links += connecting_links(tuple(row[:3]), tuple(row[4:7]), row[8], at, (row[3], row[7]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.select(*[f"{s}_{c}" for s in "ab" for c in columns[:4]], "bitmap").mapInArrow(run, "a long, b long")
+    return rows.select(*[f"{s}_{c}" for s in "ab" for c in columns[:4]], "bitmap").mapInArrow(own_memory(run), "a long, b long")
 
 
 def _joined(pairs: DataFrame, members: DataFrame, sets: DataFrame, near: DataFrame, at: Threshold, size: Size) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnmill.llm.common import small_batches
+from turnmill.llm.common import own_memory, small_batches
 
 UNKNOWN = "und"
 _DIMENSIONS = 1024
@@ -141,7 +141,7 @@ def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang",
             yield pd.DataFrame({"lang": [name], "part": [total]})
 
     rows = small_batches(labelled).select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    parts = rows.mapInPandas(partial, "lang string, part array<bigint>").select("lang", F.posexplode("part").alias("at", "x"))
+    parts = rows.mapInPandas(own_memory(partial), "lang string, part array<bigint>").select("lang", F.posexplode("part").alias("at", "x"))
     by_place = parts.groupBy("lang", "at").agg(F.sum("x").alias("x"))
     vector = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"])
     return by_place.groupBy("lang").agg(vector.alias("profile"))
@@ -186,5 +186,5 @@ def identify(docs: DataFrame, profiles: DataFrame, id_columns: list[str], text:
                 columns = [*part.columns[:-1], pa.array(found, pa.string()), pa.array(score, pa.float64()), size]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "n_trigrams"])
 
-    found = source.mapInArrow(predict, schema)
+    found = source.mapInArrow(own_memory(predict), schema)
     return found.toDF(*id_columns, "lang_pred", "score", "n_trigrams")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnmill.llm.common import small_batches, whole
+from turnmill.llm.common import own_memory, small_batches, whole
 from turnmill.session import materialize
 
 _WINDOW = 2
@@ -120,7 +120,7 @@ def _occurrences(keyed: DataFrame, *, with_text: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
 
     schema = "id long, key string, chunk int, lines int, hash string"
-    return keyed.mapInArrow(run, schema + (", body string" if with_text else ""))
+    return keyed.mapInArrow(own_memory(run), schema + (", body string" if with_text else ""))
 
 
 def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,7 +177,7 @@ def _without(docs: DataFrame, cuts: DataFrame, spans_of: Callable[[str, list], l
     spans_type = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()))
     schema = T.StructType(rows.schema.fields[:-1]).add("n_lines", T.IntegerType())
     schema = schema.add("removed_lines", T.IntegerType()).add("removed", spans_type)
-    return rows.mapInArrow(run, schema).toDF(*kept, *made)
+    return rows.mapInArrow(own_memory(run), schema).toDF(*kept, *made)
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -291,7 +291,7 @@ def _profiles(keyed: DataFrame) -> DataFrame:
                 columns = [pa.array([x[k] for x in made], pa.binary()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["id", "key", "hashes", "words"])
 
-    return keyed.mapInArrow(run, "id long, key string, hashes binary, words binary")
+    return keyed.mapInArrow(own_memory(run), "id long, key string, hashes binary, words binary")
 
 
 def _chunk_rows(profiles: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -313,7 +313,7 @@ def _chunk_rows(profiles: DataFrame, known: DataFrame | None = None) -> DataFram
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return rows.mapInArrow(run, "id long, key string, start int, end int, hash binary")
+    return rows.mapInArrow(own_memory(run), "id long, key string, start int, end int, hash binary")
 
 
 def _repeats(found: DataFrame) -> DataFrame:
@@ -349,7 +349,7 @@ def _widened(segments: DataFrame, profiles: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return materialize(rows.mapInArrow(run, "key string, start int, end int, first_key string, first_start int"), "widened")
+    return materialize(rows.mapInArrow(own_memory(run), "key string, start int, end int, first_key string, first_start int"), "widened")
 
 
 def _segments(repeats: DataFrame) -> DataFrame:
@@ -366,7 +366,7 @@ def _segments(repeats: DataFrame) -> DataFrame:
 
     ahead = (F.col("start") - F.col("first_start")).alias("ahead")
     groups = repeats.groupBy("key", "first_key", ahead).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return groups.mapInArrow(run, "key string, start int, end int, first_key string, first_start int")
+    return groups.mapInArrow(own_memory(run), "key string, start int, end int, first_key string, first_start int")
 
 
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
